@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .minhash import near_duplicates
 from .quality import quality_rules
 from .substring import substring_dedup
@@ -24,13 +25,24 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = encode_decode(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substring_dedup(_table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_quality_rules, op8_substring_dedup)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op5_quality_rules, op7_bpe_encode_decode, op8_substring_dedup)}
 
 
 OP2_SQL = r"""
