@@ -16,7 +16,7 @@ from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
 
 #: Words of an anchor; bytes of pieces that one index holds at most (plus one
 #: batch); rows of an anchor beyond which its windows are spread by their words.
-ANCHOR, INDEX_BYTES, HOT_ROWS = 5, 6 << 20, 50_000
+ANCHOR, INDEX_BYTES, HOT_ROWS = 4, 2 << 20, 50_000
 
 
 def minimizers(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,7 +44,7 @@ def minimizers(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, n
 def _anchors(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, at in blocks(batch.column(1)):
                 w = Words(buf, at, lower=False)
                 _, arg, h = minimizers(w, window, k)
@@ -52,17 +52,17 @@ def _anchors(window: int, k: int):
                 new[1:] = arg[1:] != arg[:-1]
                 p = arg[new]
                 doc = w.doc[p]
-                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(rid[i + doc]), pa.array((p - w.ofs[doc]).astype(np.int32))], names=["anchor", "rid", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(ids[i + doc]), pa.array((p - w.ofs[doc]).astype(np.int32))], names=["anchor", "doc_id", "pos"])
 
     return run
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: pass on those of anchors that more than one row
-    has. A run is held back up to HOT_ROWS rows; a longer one is passed on as
+    """Rows sorted by anchor: pass on those of anchors that several documents
+    have. A run is held back up to HOT_ROWS rows; a longer one is passed on as
     it comes, with its places marked (negative) as hot."""
     def out(r, p):
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(p, pa.int32())], names=["rid", "place"])
+        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(p, pa.int32())], names=["doc_id", "place"])
 
     held: list[tuple[np.ndarray, np.ndarray]] = []
     key, size, hot = None, 0, False
@@ -114,7 +114,7 @@ def _pieces(window: int, k: int):
     own words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rid, doc_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            tag, doc_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
             places = batch.column(3)
             pv, po = places.values.to_numpy(zero_copy_only=False).astype(np.int64), places.offsets.to_numpy().astype(np.int64)
             for i, j, buf, at in blocks(batch.column(2), 1 << 20):
@@ -124,7 +124,9 @@ def _pieces(window: int, k: int):
                     continue
                 flag = np.zeros(len(w.key), np.int8)
                 v, d = pv[po[i] : po[j]], np.repeat(np.arange(j - i), np.diff(po[i : j + 1]))
-                flag[np.where(v < 0, -1 - v, v) + w.ofs[d]] = np.where(v < 0, 2, 1)
+                place = np.where(v < 0, -1 - v, v)
+                own = place < np.diff(w.ofs)[d]  # places of another row of the same id may lie outside
+                flag[(place + w.ofs[d])[own]] = np.where(v < 0, 2, 1)[own]
                 f = flag[arg]
                 m = f > 0
                 first, arg, f = first[m], arg[m], f[m]
@@ -143,8 +145,8 @@ def _pieces(window: int, k: int):
                 ofs = np.concatenate([[0], np.cumsum(b1 - b0)]).astype(np.int32)
                 doc = w.doc[a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc_id[i + doc], pa.int64()), pa.array(rid[i + doc], pa.int64()), pa.array((a - w.ofs[doc]).astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
-                    names=["key", "doc_id", "rid", "pos", "piece"],
+                    [pa.array(key.view(np.int64)), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pa.array((a - w.ofs[doc]).astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
+                    names=["key", "doc_id", "tag", "pos", "piece"],
                 )
 
     return run
@@ -153,7 +155,7 @@ def _pieces(window: int, k: int):
 def _repeated(table: pa.Table, window: int, before: list[FMIndex]) -> tuple[pa.RecordBatch, FMIndex]:
     """Windows of the pieces that a smaller document has, by an index of the
     pieces themselves and by those of earlier pieces of the same key."""
-    doc, rid, pos = (table.column(c).to_numpy() for c in ("doc_id", "rid", "pos"))
+    doc, tag, pos = (table.column(c).to_numpy() for c in ("doc_id", "tag", "pos"))
     buf, at = text_arrays(table.column("piece"))
     w = Words(buf, at, lower=False)
     n = np.diff(w.ofs)
@@ -181,7 +183,7 @@ def _repeated(table: pa.Table, window: int, before: list[FMIndex]) -> tuple[pa.R
     s = np.flatnonzero(new)
     a, b = j[s], j[np.append(s[1:], len(row)) - 1] if len(row) else j[s]
     r = row[s]
-    return pa.RecordBatch.from_arrays([pa.array(rid[r], pa.int64()), pa.array(doc[r], pa.int64()), pa.array((pos[r] + a).astype(np.int32)), pa.array((pos[r] + b + window).astype(np.int32))], names=["rid", "of", "start", "end"]), index
+    return pa.RecordBatch.from_arrays([pa.array(doc[r], pa.int64()), pa.array(tag[r], pa.int32()), pa.array((pos[r] + a).astype(np.int32)), pa.array((pos[r] + b + window).astype(np.int32))], names=["doc_id", "tag", "start", "end"]), index
 
 
 def _search(window: int, most: int):
@@ -228,20 +230,20 @@ def _head(table: pa.Table, key: np.ndarray, window: int, before: list[FMIndex],
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc_id, spans = batch.column(0), batch.column(2)
+        doc_id, spans = batch.column(0), batch.column(3)
         flat = spans.flatten()
         so = spans.offsets.to_numpy().astype(np.int64)
         valid = spans.is_valid().to_numpy(zero_copy_only=False)
         of, a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
         base = int(so[0])
-        ids = doc_id.fill_null(-1).to_numpy(zero_copy_only=False)
-        for i, j, buf, at in blocks(batch.column(1)):
+        tag = batch.column(1).to_numpy(zero_copy_only=False)
+        for i, j, buf, at in blocks(batch.column(2)):
             w = Words(buf, at, lower=False)
             change = np.zeros(len(w.key) + 1, np.int64)
             lens = np.where(valid[i:j], np.diff(so[i : j + 1]), 0)
             at_s = ragged(so[i:j] - base, lens)
             d = np.repeat(np.arange(j - i), lens)
-            own = of[at_s] == ids[i + d]
+            own = of[at_s] == tag[i + d]  # not of another row of the same id
             at_s, d = at_s[own], d[own]
             np.add.at(change, a[at_s] + w.ofs[d], 1)
             np.add.at(change, b[at_s] + w.ofs[d], -1)
@@ -274,7 +276,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that are equal are cut alike. A row with a null id neither removes nor
     loses words. Extra columns are ignored.
 
-    Plan: every window is known by an anchor, its least 5-word run, so equal
+    Plan: every window is known by an anchor, its least 4-word run, so equal
     windows share it. Anchors are shuffled once and only those of several rows
     come back. The windows around them, as pieces of text, are shuffled to
     shards by anchor; a shard builds FM-indexes of its distinct pieces and
@@ -287,11 +289,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("rid", F.xxhash64("doc_id", "text"))
-    anchors = base.where("doc_id is not null").select("rid", "text").mapInArrow(_anchors(window, ANCHOR), "anchor long, rid long, pos int")
-    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "rid long, place int")
-    places = shared.groupBy("rid").agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "rid").select("rid", "doc_id", "text", "places").mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, rid long, pos int, piece binary")
-    found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "rid long, of long, start int, end int")
-    spans = found.groupBy("rid").agg(F.collect_list(F.struct("of", "start", "end")).alias("spans"))
-    return base.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    base = base.withColumn("tag", F.hash("text"))
+    anchors = base.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
+    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")
+    places = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
+    pieces = base.join(places, "doc_id").select("tag", "doc_id", "text", "places").mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
+    found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "doc_id long, tag int, start int, end int")
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    return base.join(spans, "doc_id", "left").select("doc_id", "tag", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
