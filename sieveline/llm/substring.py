@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, stored
 from .fm_index import FMIndex
 from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
 
 #: Words of an anchor; bytes of pieces that one index holds at most (plus one
 #: batch); rows of an anchor beyond which its windows are spread by their words.
 ANCHOR, INDEX_BYTES, HOT_ROWS = 4, 2 << 20, 50_000
+#: End of a span that takes the whole text.
+_WHOLE = (1 << 31) - 1
 
 
 def minimizers(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,41 +230,49 @@ def _head(table: pa.Table, key: np.ndarray, window: int, before: list[FMIndex],
         yield _repeated(table.slice(n), window, [])[0]
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        doc_id, spans = batch.column(0), batch.column(3)
-        flat = spans.flatten()
-        so = spans.offsets.to_numpy().astype(np.int64)
-        valid = spans.is_valid().to_numpy(zero_copy_only=False)
-        of, a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
-        base = int(so[0])
-        tag = batch.column(1).to_numpy(zero_copy_only=False)
-        for i, j, buf, at in blocks(batch.column(2)):
-            w = Words(buf, at, lower=False)
-            change = np.zeros(len(w.key) + 1, np.int64)
-            lens = np.where(valid[i:j], np.diff(so[i : j + 1]), 0)
-            at_s = ragged(so[i:j] - base, lens)
-            d = np.repeat(np.arange(j - i), lens)
-            own = of[at_s] == tag[i + d]  # not of another row of the same id
-            at_s, d = at_s[own], d[own]
-            np.add.at(change, a[at_s] + w.ofs[d], 1)
-            np.add.at(change, b[at_s] + w.ofs[d], -1)
-            gone = np.cumsum(change)[:-1] > 0
-            stay = np.flatnonzero(~gone)
-            s, ln = w.start[stay], w.end[stay] - w.start[stay] + 1
-            data = np.append(buf, np.uint8(32))[ragged(s, ln)]
-            ends = np.cumsum(ln)
-            data[ends - 1] = 32
-            kept = np.bincount(w.doc[stay], minlength=j - i)
-            size = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(kept)])]
-            # the space after a text's last word is left out
-            lens_b = np.diff(size) - (kept > 0)
-            text = data[ragged(size[:-1], lens_b)]
-            n = np.diff(w.ofs)
-            ofs = np.concatenate([[0], np.cumsum(lens_b)])
-            kind = pa.large_string() if ofs[-1] > 2**31 - 1 else pa.string()
-            arr = type(pa.array([], kind)).from_buffers(len(n), pa.py_buffer(ofs.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
-            yield pa.RecordBatch.from_arrays([doc_id.slice(i, j - i), pa.array(n), pa.array(n - kept), arr], names=["doc_id", "n_words", "n_removed", "kept_text"])
+def _cut(window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from _cut_batch(batch, window)
+
+    return run
+
+
+def _cut_batch(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
+    doc_id, spans = batch.column(0), batch.column(3)
+    flat = spans.flatten()
+    so = spans.offsets.to_numpy().astype(np.int64)
+    valid = spans.is_valid().to_numpy(zero_copy_only=False)
+    of, a, b = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+    base = int(so[0])
+    tag = batch.column(1).to_numpy(zero_copy_only=False)
+    for i, j, buf, at in blocks(batch.column(2)):
+        w = Words(buf, at, lower=False)
+        change = np.zeros(len(w.key) + 1, np.int64)
+        lens = np.where(valid[i:j], np.diff(so[i : j + 1]), 0)
+        at_s = ragged(so[i:j] - base, lens)
+        d = np.repeat(np.arange(j - i), lens)
+        own = of[at_s] == tag[i + d]  # not of another row of the same id
+        n = np.diff(w.ofs)
+        own &= (b[at_s] < _WHOLE) | (n[d] >= window)  # a copy without a window stays
+        at_s, d = at_s[own], d[own]
+        np.add.at(change, a[at_s] + w.ofs[d], 1)
+        np.add.at(change, np.minimum(b[at_s], n[d]) + w.ofs[d], -1)
+        gone = np.cumsum(change)[:-1] > 0
+        stay = np.flatnonzero(~gone)
+        s, ln = w.start[stay], w.end[stay] - w.start[stay] + 1
+        data = np.append(buf, np.uint8(32))[ragged(s, ln)]
+        ends = np.cumsum(ln)
+        data[ends - 1] = 32
+        kept = np.bincount(w.doc[stay], minlength=j - i)
+        size = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(kept)])]
+        # the space after a text's last word is left out
+        lens_b = np.diff(size) - (kept > 0)
+        text = data[ragged(size[:-1], lens_b)]
+        ofs = np.concatenate([[0], np.cumsum(lens_b)])
+        kind = pa.large_string() if ofs[-1] > 2**31 - 1 else pa.string()
+        arr = type(pa.array([], kind)).from_buffers(len(n), pa.py_buffer(ofs.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
+        yield pa.RecordBatch.from_arrays([doc_id.slice(i, j - i), pa.array(n), pa.array(n - kept), arr], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
@@ -276,12 +286,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that are equal are cut alike. A row with a null id neither removes nor
     loses words. Extra columns are ignored.
 
-    Plan: every window is known by an anchor, its least 4-word run, so equal
+    Plan: equal texts are found by length and 128 bits of hash; all but those
+    with the smallest id go wholly. Of the rest every window is known by an anchor, its least 4-word run, so equal
     windows share it. Anchors are shuffled once and only those of several rows
     come back. The windows around them, as pieces of text, are shuffled to
     shards by anchor; a shard builds FM-indexes of its distinct pieces and
     streams pieces through backward search, which yields each window's interval
-    and so its smallest document. Both returns join the texts in one exchange
+    and so its smallest document. All returns join the texts in one exchange
     of theirs. An anchor of over HOT_ROWS rows has its windows spread by their
     own hash; a key with more pieces than an index holds is indexed in parts
     that are all searched, so memory is bounded and nothing is dropped.
@@ -289,11 +300,18 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    base = base.withColumn("tag", F.hash("text"))
-    anchors = base.where("doc_id is not null").select("doc_id", "text").mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
+    # joins are on a key without nulls, so that all three share one exchange of the texts
+    base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ref"), "doc_id", F.hash("text").alias("tag"), "text")
+    text_is = ["len", "h1", "h2"]
+    marks = base.where("doc_id is not null").select("doc_id", "tag", F.length("text").alias("len"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = stored(marks.join(same, text_is).where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
+    texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")
-    places = shared.groupBy("doc_id").agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "doc_id").select("tag", "doc_id", "text", "places").mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
+    places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
+    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places").mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
     found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "doc_id long, tag int, start int, end int")
-    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
-    return base.join(spans, "doc_id", "left").select("doc_id", "tag", "text", "spans").mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    whole = copies.select(F.col("ref").alias("doc_id"), F.explode("copy_tags").alias("tag"), F.lit(0).alias("start"), F.lit(_WHOLE).alias("end"))
+    spans = found.union(whole).groupBy(F.col("doc_id").alias("ref")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    return base.join(spans, "ref", "left").select("doc_id", "tag", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
