@@ -92,32 +92,39 @@ def best_segment(match: np.ndarray, penalty: int) -> tuple[int, int, int]:
     return start, end, int(match[start:end].sum())
 
 
+def _overlaps(t: TestSet, buf: np.ndarray, at: np.ndarray, min_words: int, share: float, penalty: int) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """(text, item) -> (-matches, first word, words) of its best alignment."""
+    size = np.diff(t.ofs)
+    need = np.minimum(min_words, np.ceil(share * size).astype(np.int64))
+    w = Words(buf, at, alnum=True)
+    doc, item, start = t.hits(w)
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    if not len(doc):
+        return best
+    # words of the item that lie inside the text on this alignment
+    lo = np.maximum(start, w.ofs[doc])
+    hi = np.minimum(start + size[item], w.ofs[doc + 1])
+    n = hi - lo
+    rows = np.repeat(np.arange(len(doc)), n)
+    same = w.key[ragged(lo, n)] == t.key[ragged(t.ofs[item] + lo - start, n)]
+    enough = np.flatnonzero(np.bincount(rows[same], minlength=len(doc)) >= need[item])
+    cut = np.concatenate([[0], np.cumsum(n)])
+    for r in enough:
+        a, b, c = best_segment(same[cut[r] : cut[r + 1]], penalty)
+        if c >= need[item[r]]:
+            k = (int(doc[r]), int(item[r]))
+            row = (-c, int(lo[r] + a - w.ofs[doc[r]]), int(b - a))
+            best[k] = min(best.get(k, row), row)
+    return best
+
+
 def _scan(tests, min_words: int, share: float, penalty: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tests.value
         size = np.diff(t.ofs)
-        need = np.minimum(min_words, np.ceil(share * size).astype(np.int64))
         for batch in batches:
             for i, j, buf, at in blocks(batch.column(1)):
-                w = Words(buf, at, alnum=True)
-                doc, item, start = t.hits(w)
-                if not len(doc):
-                    continue
-                # words of the item that lie inside the text on this alignment
-                lo = np.maximum(start, w.ofs[doc])
-                hi = np.minimum(start + size[item], w.ofs[doc + 1])
-                n = hi - lo
-                rows = np.repeat(np.arange(len(doc)), n)
-                same = w.key[ragged(lo, n)] == t.key[ragged(t.ofs[item] + lo - start, n)]
-                enough = np.flatnonzero(np.bincount(rows[same], minlength=len(doc)) >= need[item])
-                cut = np.concatenate([[0], np.cumsum(n)])
-                best: dict[tuple[int, int], tuple] = {}
-                for r in enough:
-                    a, b, c = best_segment(same[cut[r] : cut[r + 1]], penalty)
-                    if c >= need[item[r]]:
-                        k = (int(doc[r]), int(item[r]))
-                        row = (-c, int(lo[r] + a - w.ofs[doc[r]]), int(b - a))
-                        best[k] = min(best.get(k, row), row)
+                best = _overlaps(t, buf, at, min_words, share, penalty)
                 if best:
                     d, it = (np.array(x) for x in zip(*best))
                     c, s, ln = (np.array(x) for x in zip(*best.values()))
@@ -126,6 +133,34 @@ def _scan(tests, min_words: int, share: float, penalty: int):
     return run
 
 
+def _item_blocks(tests: DataFrame) -> Iterator[list]:
+    """The test set in blocks of bounded size, one at a time on the driver."""
+    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = -(-int(chars) // (BLOCK_WORDS * 4)) or 1
+    for p in range(parts):
+        yield tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
+
+
+def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, share: float = 0.8, penalty: int = 3) -> DataFrame:
+    """The rows of docs, all columns as they are, that contaminated() has no
+    pair for. Rows are judged where they lie, in one pass per block of items."""
+    spark = docs.sparkSession
+    ship(spark)
+    at_col = docs.columns.index(text_col)
+    for rows in _item_blocks(items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))):
+        of = spark.sparkContext.broadcast(TestSet([r["text"] for r in rows]))
+
+        def run(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, buf, at in blocks(batch.column(at_col)):
+                    clean[[i + d for d, _ in _overlaps(of.value, buf, at, min_words, share, penalty)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_words: int = 13, share: float = 0.8, penalty: int = 3) -> DataFrame:
     """Pairs of a document and a test item that overlap.
 
@@ -151,11 +186,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     tests = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    chars = tests.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-int(chars) // (BLOCK_WORDS * 4)) or 1
     out = None
-    for p in range(parts):
-        rows = tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p).collect()
+    for rows in _item_blocks(tests):
         of = sc.broadcast(TestSet([r["text"] for r in rows]))
         found = base.mapInArrow(_scan(of, min_words, share, penalty), f"doc_id {kind}, item int, n_matched long, item_words long, start_word long, end_word long")
         ids = F.array(*[F.lit(r["item_id"]).cast(tests.schema["item_id"].dataType) for r in rows]) if len(rows) <= 5000 else None

@@ -178,14 +178,34 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts or the longest single text.
     """
     ship(docs.sparkSession)
+    rules = (min_words, shortest, covered, longest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, at in blocks(batch.column(1)):
-                s = block_stats(buf, at, shortest)
-                failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
-                kept = ~failed & (s["covered_words"] <= covered * s["n_words"]) & (s["longest_repeat"] <= longest)
+                s, failed, kept = _verdicts(buf, at, *rules)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(s[f]) for f in FIELDS), pa.array(failed), pa.array(kept)], names=["doc_id", *FIELDS, "base_failed", "kept"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, f"doc_id {kind}, {', '.join(f + ' long' for f in FIELDS)}, base_failed boolean, kept boolean")
+
+
+def _verdicts(buf: np.ndarray, at: np.ndarray, min_words: int, shortest: int, covered: float, longest: int):
+    s = block_stats(buf, at, shortest)
+    failed = (s["n_words"] < min_words) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    return s, failed, ~failed & (s["covered_words"] <= covered * s["n_words"]) & (s["longest_repeat"] <= longest)
+
+
+def passing(docs: DataFrame, text_col: str = "text", min_words: int = 50, shortest: int = SHORTEST, covered: float = COVERED, longest: int = LONGEST) -> DataFrame:
+    """The rows of docs, all columns as they are, that quality_rules would keep.
+    Rows are judged where they lie: no join, no shuffle."""
+    ship(docs.sparkSession)
+    at_col = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [_verdicts(buf, at, min_words, shortest, covered, longest)[2] for _, _, buf, at in blocks(batch.column(at_col))]
+            if kept:
+                yield batch.filter(pa.array(np.concatenate(kept)))
+
+    return docs.mapInArrow(run, docs.schema)

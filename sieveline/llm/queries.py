@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from . import chat
 from .bpe import encode_decode
 from .decontaminate import contaminated
+from .html_extract import extract
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .quality import quality_rules
 from .substring import substring_dedup
+from .toxicity import score, train
 from .warc import field, read_archive, write_archive
 
 
@@ -53,6 +55,13 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = train(docs, labels.where(~held_out))
+    return score(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
@@ -69,12 +78,16 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_warc_archive, op5_quality_rules, op7_bpe_encode_decode, op8_substring_dedup, op10_license_scan)}
+    return {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_warc_archive, op5_quality_rules, op6_toxicity, op7_bpe_encode_decode, op8_substring_dedup, op9_html_extraction, op10_license_scan)}
 
 
 OP2_SQL = r"""

@@ -272,10 +272,13 @@ def _cut_batch(batch: pa.RecordBatch, window: int) -> Iterator[pa.RecordBatch]:
         ofs = np.concatenate([[0], np.cumsum(lens_b)])
         kind = pa.large_string() if ofs[-1] > 2**31 - 1 else pa.string()
         arr = type(pa.array([], kind)).from_buffers(len(n), pa.py_buffer(ofs.astype(np.int64 if kind == pa.large_string() else np.int32)), pa.py_buffer(np.ascontiguousarray(text)))
-        yield pa.RecordBatch.from_arrays([doc_id.slice(i, j - i), pa.array(n), pa.array(n - kept), arr], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        cols = [doc_id.slice(i, j - i), pa.array(n), pa.array(n - kept), arr]
+        if batch.num_columns > 4:
+            cols += [batch.column(2).slice(i, j - i), batch.column(4).slice(i, j - i)]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_text", "text", "extra"][: len(cols)])
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word covered by a window of `window` consecutive words that
     also starts in a document with a smaller id.
 
@@ -284,7 +287,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     space). Null or empty texts: 0 words and the empty text. Repeated ids count
     as one document: their rows don't remove words from each other, and rows
     that are equal are cut alike. A row with a null id neither removes nor
-    loses words. Extra columns are ignored.
+    loses words. Extra columns are ignored, but for those named in `carry`, which
+    come along as fields of a struct `extra`, with `text`, the row's own text.
 
     Plan: equal texts are found by length and 128 bits of hash; all but those
     with the smallest id go wholly. Of the rest every window is known by an anchor, its least 4-word run, so equal
@@ -299,19 +303,23 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     ship(spark)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("extra")] if carry else []))
     # joins are on a key without nulls, so that all three share one exchange of the texts
-    base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ref"), "doc_id", F.hash("text").alias("tag"), "text")
+    base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ref"), "doc_id", F.hash("text").alias("tag"), "text", *(["extra"] if carry else []))
+    extra = ["extra"] if carry else []  # read in every branch, so that the exchanges stay equal
     text_is = ["len", "h1", "h2"]
     marks = base.where("doc_id is not null").select("doc_id", "tag", F.length("text").alias("len"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = stored(marks.join(same, text_is).where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
     texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
-    anchors = texts.select("doc_id", "text").mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
+    anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")
     places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places").mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
+    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
     found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "doc_id long, tag int, start int, end int")
     whole = copies.select(F.col("ref").alias("doc_id"), F.explode("copy_tags").alias("tag"), F.lit(0).alias("start"), F.lit(_WHOLE).alias("end"))
     spans = found.union(whole).groupBy(F.col("doc_id").alias("ref")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
-    return base.join(spans, "ref", "left").select("doc_id", "tag", "text", "spans").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    if carry:
+        out += f", text string, extra {base.schema['extra'].dataType.simpleString()}"
+    return base.join(spans, "ref", "left").select("doc_id", "tag", "text", "spans", *extra).mapInArrow(_cut(window), out)
