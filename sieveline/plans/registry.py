@@ -6,23 +6,33 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_Q: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(name: str, sql: str | None = None):
-    def wrap(f: Callable[[SparkSession, str], DataFrame]):
-        _Q[name] = f
+def register(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a function under its name, with the SQL that gives its rows."""
+
+    def wrap(f: Query) -> Query:
+        _Q[f.__name__] = f
         if sql:
-            _SQL[name] = sql
+            _SQL[f.__name__] = sql
         return f
 
     return wrap
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def queries() -> dict[str, Query]:
+    from . import curation, graphs, outcomes, retrieval, text, vectors  # noqa: F401
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
