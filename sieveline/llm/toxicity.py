@@ -15,11 +15,11 @@ from ..session import ship
 from .kernel import _LOWER, U, blocks, mix, mix_int
 
 #: Lengths of character n-grams (bytes of UTF-8), and bits of their hash space.
-SIZES, BITS = (3, 4, 5), 20
+SIZES, BITS = (4, 5, 6), 20
 #: Labelled rows that a fit reads at most: those with the smallest hash of id.
 SAMPLE = 4000
 #: Features with fewer documents than this, or a smaller weight, score nothing.
-LEAST, KEEP = 3, 0.02
+LEAST, KEEP = 5, 0.02
 
 
 def gram_hashes(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -78,7 +78,7 @@ def presence(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 1.0, rounds: int = 60) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10.0, rounds: int = 200) -> Model:
     """Fit on present/absent n-grams.
 
     The log-count ratio of a bucket is log(p / q), p and q its smoothed shares of
@@ -126,8 +126,7 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 1.
     weight = np.zeros(size)
     weight[ids] = w * r
     weight[np.abs(weight) < KEEP] = 0
-    model = Model(weight, bias)
-    return model
+    return Model(weight, bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
