@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +55,6 @@ def symbols(module: str, source: str) -> Iterator[tuple[str, str, str | None, in
 def extract_symbols(files: DataFrame, by: list[str], path: str = "path", content: str = "content") -> DataFrame:
     """Facts of Python files: by, path, kind, a, b, no. Files are text or bytes;
     null ones have no facts."""
-    import pandas as pd
-
     ship(files.sparkSession)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

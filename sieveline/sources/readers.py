@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -72,8 +73,6 @@ def archive_members(archives: DataFrame, wanted: str | None = None, most: int =
         import io
         import tarfile
 
-        import pandas as pd
-
         for pdf in parts:
             rows = []
             for r in pdf.itertuples(index=False):
@@ -119,8 +118,6 @@ def setup_py(text: Column) -> Column:
 def pyproject(df: DataFrame, text: str, name: str = "deps", all_groups: bool = False) -> DataFrame:
     """Add names declared in pyproject.toml: dependencies, extras, and test
     groups (or all groups). Text that isn't TOML has none."""
-    import pandas as pd
-
     ship(df.sparkSession)
 
     @F.pandas_udf("array<string>")
@@ -151,7 +148,6 @@ def npz_vectors(files: DataFrame) -> DataFrame:
         import io
 
         import numpy as np
-        import pandas as pd
 
         for pdf in parts:
             for path, content in zip(pdf["path"], pdf["content"]):
