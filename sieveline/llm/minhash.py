@@ -18,6 +18,8 @@ from .kernel import U, Words, blocks, mix, mix_int, runs
 BINS, ROWS, BANDS = 128, 5, 25
 #: Shingles of a verification unit before it is cut into blocks.
 UNIT = 1 << 18
+#: Large groups up to which their list is broadcast.
+MOST_LARGE = 100_000
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -222,11 +224,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links_of(base: DataFrame, memb: DataFrame, k: int, num: int, den: int) -> DataFrame:
     group = components(memb.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
-    of = memb.join(group, memb["doc_id"] == group["vertex"]).select("key", "doc_id", "n_shingles", F.col("component").alias("grp"))
-    sizes = of.dropDuplicates(["grp", "doc_id"]).groupBy("grp").agg(F.sum("n_shingles").alias("grp_size"))
-    of = stored(of.join(sizes, "grp"), "groups")
-    small = of.where(F.col("grp_size") <= UNIT).select(F.col("grp").alias("unit"), F.lit(0).alias("p"), F.lit(0).alias("q"), "doc_id", F.lit(0).alias("side")).distinct()
-    big = of.where(F.col("grp_size") > UNIT)
+    each = memb.select("doc_id", "n_shingles").distinct().join(group, F.col("doc_id") == group["vertex"]).select("doc_id", "n_shingles", F.col("component").alias("grp"))
+    each = stored(each, "members")
+    large = each.groupBy("grp").agg(F.sum("n_shingles").alias("grp_size")).where(F.col("grp_size") > UNIT)
+    # the large groups are few; their table is broadcast only if a count says so
+    listed = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
+    each = each.join(listed, "grp", "left")
+    of = memb.select("key", "doc_id", "n_shingles").join(each.where("grp_size is not null").select("doc_id", "grp"), "doc_id")
+    small = each.where("grp_size is null").select(F.col("grp").alias("unit"), F.lit(0).alias("p"), F.lit(0).alias("q"), "doc_id", F.lit(0).alias("side")).distinct()
+    big = of
     # a bucket with the members of another is taken once
     h = F.xxhash64("doc_id")
     marks = big.groupBy("key").agg(F.sum("n_shingles").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))

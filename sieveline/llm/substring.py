@@ -43,6 +43,11 @@ def minimizers(w: Words, window: int, k: int) -> tuple[np.ndarray, np.ndarray, n
     return first, arg[first], h
 
 
+def _of_text(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """An anchor's hash in its text."""
+    return h ^ mix(doc.astype(U) + U(1))
+
+
 def _anchors(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -53,6 +58,7 @@ def _anchors(window: int, k: int):
                 new = np.ones(len(arg), bool)
                 new[1:] = arg[1:] != arg[:-1]
                 p = arg[new]
+                p = p[np.sort(np.unique(_of_text(h[p], w.doc[p]), return_index=True)[1])]  # an anchor once per text
                 doc = w.doc[p]
                 yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(ids[i + doc]), pa.array((p - w.ofs[doc]).astype(np.int32))], names=["anchor", "doc_id", "pos"])
 
@@ -124,12 +130,20 @@ def _pieces(window: int, k: int):
                 first, arg, h = minimizers(w, window, k)
                 if not len(first):
                     continue
-                flag = np.zeros(len(w.key), np.int8)
                 v, d = pv[po[i] : po[j]], np.repeat(np.arange(j - i), np.diff(po[i : j + 1]))
                 place = np.where(v < 0, -1 - v, v)
-                own = place < np.diff(w.ofs)[d]  # places of another row of the same id may lie outside
-                flag[(place + w.ofs[d])[own]] = np.where(v < 0, 2, 1)[own]
-                f = flag[arg]
+                own = place < np.diff(w.ofs)[d] - k + 1  # places of another row of the same id may lie outside
+                seen = _of_text(h[(place + w.ofs[d])[own]], d[own])
+                hot_first = np.lexsort((v[own] >= 0, seen))
+                seen, hot_seen = seen[hot_first], v[own][hot_first] < 0
+                if not len(seen):
+                    continue
+                # every place of a shared anchor counts, not only the one that was sent
+                new = np.ones(len(arg), bool)
+                new[1:] = arg[1:] != arg[:-1]
+                mark = _of_text(h[arg[new]], w.doc[arg[new]])
+                at_seen = np.minimum(np.searchsorted(seen, mark), len(seen) - 1)
+                f = np.where(seen[at_seen] == mark, np.where(hot_seen[at_seen], 2, 1), 0)[np.cumsum(new) - 1]
                 m = f > 0
                 first, arg, f = first[m], arg[m], f[m]
                 if not len(first):

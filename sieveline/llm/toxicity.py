@@ -107,21 +107,31 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
     lens = np.array([len(f) for f in feats])
     col = np.concatenate(feats) if len(feats) else np.zeros(0, np.int32)
     row = np.repeat(np.arange(n), lens)
-    r = ratio[ids]
-    x = r[col]
-    w, v, bias, vb = np.zeros(len(ids)), np.zeros(len(ids)), float(np.log(pos / (n - pos))), 0.0
+    r = ratio[ids].astype(np.float32)
+    # sums over rows and over columns of the 0/1 matrix, as sums of runs
+    full, by_col = np.flatnonzero(lens), np.argsort(col, kind="stable")
+    row_at, col_row = (np.cumsum(lens) - lens)[full], row[by_col].astype(np.int32)
+    col_at = np.searchsorted(col[by_col], np.arange(len(ids)))
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(n, np.float32)
+        if len(full):
+            out[full] = np.add.reduceat(values[col], row_at)
+        return out
+
+    w, v, bias, vb = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32), float(np.log(pos / (n - pos))), 0.0
     cost = np.where(labels > 0, np.sqrt((n - pos) / pos), 1.0)
     # step size from a bound on the curvature
-    sq = np.bincount(row, x * x, minlength=n)
-    step = 1.0 / (0.25 * float((cost * (sq + 1)).max()) * 0.5 + l2)
+    step = 1.0 / (0.25 * float((cost * (by_row(r * r) + 1)).max()) * 0.5 + l2)
     step = max(step, 1e-4)
-    for k in range(rounds):
-        look_w, look_b = w + 0.9 * v, bias + 0.9 * vb
-        z = look_b + np.bincount(row, x * look_w[col], minlength=n)
-        g = cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)
-        gw = np.bincount(col, x * g[row], minlength=len(ids)) + l2 * look_w
-        gb = float(g.sum())
-        v, vb = 0.9 * v - step * gw, 0.9 * vb - step * gb
+    for _ in range(rounds):
+        look_w, look_b = w + np.float32(0.9) * v, bias + 0.9 * vb
+        z = look_b + by_row(r * look_w)
+        g = (cost * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels)).astype(np.float32)
+        gw = np.float32(l2) * look_w
+        if len(ids):
+            gw += r * np.add.reduceat(g[col_row], col_at)
+        v, vb = np.float32(0.9) * v - np.float32(step) * gw, 0.9 * vb - step * float(g.sum())
         w, bias = w + v, bias + vb
     weight = np.zeros(size)
     weight[ids] = w * r
