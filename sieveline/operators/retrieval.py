@@ -29,11 +29,14 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     tokens count once. Returns by, query_id, doc_id, score, rounded.
 
     Only tokens of queries leave the scan: the vocabulary of the queries is
-    joined before the token counts are shuffled; the number of documents and
+    joined, by broadcast if it is counted to be small, before the token counts
+    are shuffled; the number of documents and
     their mean length come from a separate aggregate over sizes.
     """
     q = queries.select(*by, query_id, F.explode(F.array_distinct(query_tokens)).alias("token"))
-    vocab = sized(q.select(*by, "token").distinct())
+    # neither the vocabulary nor the weights have more rows than the queries' tokens
+    hint = F.broadcast if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    vocab = hint(q.select(*by, "token").distinct())
     d = docs.select(*by, doc_id, doc_tokens, F.size(doc_tokens).alias("_len"))
     corpus = d.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     tf = d.select(*by, doc_id, "_len", F.explode(doc_tokens).alias("token")).join(vocab, [*by, "token"]).groupBy(*by, doc_id, "token").agg(F.count("*").alias("_c"), F.first("_len").alias("_len"))
@@ -41,7 +44,7 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     weights = q.join(df, [*by, "token"])
     weights = (weights.join(corpus, by) if by else weights.crossJoin(F.broadcast(corpus))).withColumn("_idf", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
     part = F.col("_idf") * F.col("_c") * (K1 + 1) / (F.col("_c") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return tf.join(sized(weights), [*by, "token"]).groupBy(*by, query_id, doc_id).agg(F.round(F.sum(part), digits).alias("score"))
+    return tf.join(hint(weights), [*by, "token"]).groupBy(*by, query_id, doc_id).agg(F.round(F.sum(part), digits).alias("score"))
 
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], name: str = "rank", k: int | None = None) -> DataFrame:
