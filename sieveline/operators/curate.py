@@ -181,3 +181,24 @@ def name_sets(df: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
     """Sorted union of arrays of names per group."""
     every = F.concat(*[F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays])
     return df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(every)))).alias("names"))
+
+
+def era_constraints(tasks: DataFrame, names: DataFrame, releases: DataFrame, key: list[str], cutoff: str) -> DataFrame:
+    """Lines pkg==ver per task: each wanted package at its latest release that is
+    not after the task's cutoff. Null for tasks without names or releases.
+
+    names: key, pkg; releases: pkg, ver, t, ordinal.
+    """
+    want = tasks.join(names, key).select(*key, "pkg", cutoff)
+    got = asof_latest(want, releases, ["pkg"], cutoff, "t", "ordinal", ["ver"]).where("asof_ver is not null")
+    lines = got.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("==", "pkg", "asof_ver"))), "\n").alias("constraints"))
+    return tasks.select(*key).join(lines, key, "left")
+
+
+def external_overlap(ours: DataFrame, theirs: DataFrame, base: str, our_id: str, their_id: str, patch: str) -> DataFrame:
+    """Tasks of two collections with one base, and whether their patches add and
+    remove the same lines."""
+    edits = lambda c: F.array_sort(F.array_distinct(F.filter(T.lines(c), lambda x: x.rlike(r"^[+-](?!\+\+|--)"))))
+    a = ours.select(base, F.col(our_id).alias("ours"), edits(F.col(patch)).alias("_a"))
+    b = theirs.select(base, F.col(their_id).alias("external"), edits(F.col(patch)).alias("_b"))
+    return a.join(b, base).select("ours", "external", (F.col("_a") == F.col("_b")).alias("identical_edit_lines"))

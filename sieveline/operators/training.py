@@ -20,10 +20,15 @@ def render_turns(df: DataFrame, by: list[str], order: list[str], role: str, text
     return df.groupBy(*by).agg(rows.alias("_rows")).select(*by, F.size("_rows").cast("long").alias("n_turns"), F.array_join(F.transform("_rows", lambda r: F.concat(r["_role"], F.lit(": "), r["_text"])), sep).alias("prompt"))
 
 
+#: The wording of a repair prompt, and of a file in it.
+REPAIR_PROMPT = "Fix the following issue in this repository. Output a unified diff patch.\n\n## Issue\n%s\n\n## Files\n%s"
+REPAIR_FILE = "### %s\n```python\n%s\n```"
+
+
 def repair_prompt(statement: Column, files: Column) -> Column:
     """Prompt for a patch: the issue, then files (array of {path, text})."""
-    shown = F.transform(files, lambda f: F.concat(F.lit("### "), f["path"], F.lit("\n```python\n"), f["text"], F.lit("\n```")))
-    return F.concat(F.lit("Fix the following issue in this repository. Output a unified diff patch.\n\n## Issue\n"), statement, F.lit("\n\n## Files\n"), F.array_join(shown, "\n\n"))
+    shown = F.transform(files, lambda f: F.format_string(REPAIR_FILE, f["path"], f["text"]))
+    return F.format_string(REPAIR_PROMPT, statement, F.array_join(shown, "\n\n"))
 
 
 def assemble(*parts: Column) -> Column:

@@ -15,5 +15,5 @@ GENERATIONS = SFT + ", gen string"
 CHECKED = "instance_id string, repo string, apply_ok boolean, passed boolean, why string, test_tail string"
 RESULTS = "instance_id string, steps bigint, seconds double, has_patch boolean, diff string, tool_hist map<string,bigint>, passed boolean, tail string, error string, model string, graph boolean, oracle boolean"
 LOC_RANKS = "instance_id string, repo string, n_targets bigint, flat_rank bigint, graph_rank bigint"
-OVERLAP = "ours string, swe_bench string, identical_edit_lines boolean"
+OVERLAP = "ours string, external string, identical_edit_lines boolean"
 GRAPH_FILE = "directed boolean, multigraph boolean, nodes array<struct<id: string, name: string, text: string>>, edges array<struct<source: string, target: string, type: string, key: bigint>>"
