@@ -48,6 +48,14 @@ def _of_text(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return h ^ mix(doc.astype(U) + U(1))
 
 
+def _whole(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Hashes of consecutive runs of n words each."""
+    start = np.cumsum(n) - n
+    place = np.arange(len(keys)) - np.repeat(start, n)
+    mult = np.array([mix_int(0x2545F4914F6CDD1D * (x + 1)) | 1 for x in range(int(n.max()) + 1)], U)
+    return mix(np.add.reduceat(keys * mult[place], start)) ^ mix(n.astype(U))
+
+
 def _anchors(window: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,12 +164,18 @@ def _pieces(window: int, k: int):
                 hot = f[s] == 2
                 if hot.any():
                     key = np.where(hot, runs(w.key, window)[np.minimum(a, len(w.key) - window)], key)
+                # a piece goes once per text, with all the places where it stands
+                doc = w.doc[a]
+                same = _of_text(_whole(w.key[ragged(a, b - a + 1)], b - a + 1), doc)
+                _, one, back = np.unique(same, return_index=True, return_inverse=True)
+                pos = (a - w.ofs[doc])[np.argsort(back, kind="stable")].astype(np.int32)
+                pos = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(back))]).astype(np.int32)), pa.array(pos))
+                a, b, key, doc = a[one], b[one], key[one], doc[one]
                 b0, b1 = w.start[a], w.end[b]
                 data = buf[ragged(b0, b1 - b0)]
                 ofs = np.concatenate([[0], np.cumsum(b1 - b0)]).astype(np.int32)
-                doc = w.doc[a]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pa.array((a - w.ofs[doc]).astype(np.int32)), pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
+                    [pa.array(key.view(np.int64)), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pos, pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
                     names=["key", "doc_id", "tag", "pos", "piece"],
                 )
 
@@ -171,13 +185,16 @@ def _pieces(window: int, k: int):
 def _repeated(table: pa.Table, window: int, before: list[FMIndex]) -> tuple[pa.RecordBatch, FMIndex]:
     """Windows of the pieces that a smaller document has, by an index of the
     pieces themselves and by those of earlier pieces of the same key."""
-    doc, tag, pos = (table.column(c).to_numpy() for c in ("doc_id", "tag", "pos"))
+    doc, tag = (table.column(c).to_numpy() for c in ("doc_id", "tag"))
+    lists = table.column("pos").combine_chunks()
+    if isinstance(lists, pa.ChunkedArray):
+        lists = pa.concat_arrays(lists.chunks)
+    pos, places = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
+    pos_at = np.cumsum(places) - places
     buf, at = text_arrays(table.column("piece"))
     w = Words(buf, at, lower=False)
     n = np.diff(w.ofs)
-    inside = np.arange(len(w.key)) - np.repeat(w.ofs[:-1], n)
-    mult = np.array([mix_int(0x2545F4914F6CDD1D * (x + 1)) | 1 for x in range(int(n.max()) + 1)], U)
-    whole = mix(np.add.reduceat(w.key * mult[inside], w.ofs[:-1])) ^ mix(n.astype(U))
+    whole = _whole(w.key, n)
     _, one, back = np.unique(whole, return_index=True, return_inverse=True)
     owner = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(owner, back, doc)
@@ -199,7 +216,10 @@ def _repeated(table: pa.Table, window: int, before: list[FMIndex]) -> tuple[pa.R
     s = np.flatnonzero(new)
     a, b = j[s], j[np.append(s[1:], len(row)) - 1] if len(row) else j[s]
     r = row[s]
-    return pa.RecordBatch.from_arrays([pa.array(doc[r], pa.int64()), pa.array(tag[r], pa.int32()), pa.array((pos[r] + a).astype(np.int32)), pa.array((pos[r] + b + window).astype(np.int32))], names=["doc_id", "tag", "start", "end"]), index
+    each = np.repeat(np.arange(len(r)), places[r])
+    at = pos[ragged(pos_at[r], places[r])]
+    d, t = doc[r][each], tag[r][each]
+    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array((at + a[each]).astype(np.int32)), pa.array((at + b[each] + window).astype(np.int32))], names=["doc_id", "tag", "start", "end"]), index
 
 
 def _search(window: int, most: int):
@@ -329,7 +349,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")
     places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos int, piece binary")
+    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos array<int>, piece binary")
     found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "doc_id long, tag int, start int, end int")
     whole = copies.select(F.col("ref").alias("doc_id"), F.explode("copy_tags").alias("tag"), F.lit(0).alias("start"), F.lit(_WHOLE).alias("end"))
     spans = found.union(whole).groupBy(F.col("doc_id").alias("ref")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
