@@ -208,7 +208,17 @@ def _join_back(spec_of, pieces_of):
             own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
             codes = []
             for t in _texts(lens.as_py(), data.as_py()):
-                w = np.fromiter(map(place.__getitem__, split.words(t)), np.int64)
+                words = split.words(t)
+                try:
+                    w = np.fromiter(map(place.__getitem__, words), np.int64)
+                except KeyError:  # the rows came in another order when they were read again
+                    new = sorted({x for x in words if x not in place})
+                    place.update((x, len(size) + k) for k, x in enumerate(new))
+                    more = split.encode(new)
+                    size = np.append(size, [len(x) for x in more])
+                    flat = np.append(flat, np.array([i for x in more for i in x], np.uint32))
+                    first = np.cumsum(size) - size
+                    w = np.fromiter(map(place.__getitem__, words), np.int64)
                 codes.append(flat[ragged(first[w], size[w])])
             n = np.array([len(c) for c in codes], np.int64)
             every = np.concatenate(codes) if codes else flat[:0]

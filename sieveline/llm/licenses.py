@@ -106,19 +106,19 @@ FORMS = (
 #: Sentences that licence texts and headers are known by: label, words all of
 #: which must occur, pattern, confidence, priority.
 TEXTS = (
-    ("mit", "permission deal software", r"permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?", 0.98, 60),
+    ("mit", "permission granted person copy", r"permission is hereby granted free of charge to any person obtaining a copy of this software(?: and associated documentation files)?", 0.98, 60),
     ("mit", "notice substantial", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", 0.9, 50),
     ("gpl", "redistribute gnu", r"you can redistribute it and or modify it under the terms of the gnu general public license", 0.98, 60),
-    ("gpl", "merchantability gnu", r"see the gnu general public license for more details", 0.9, 50),
-    ("lgpl", "redistribute lesser", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 0.98, 61),
+    ("gpl", "gnu general details", r"see the gnu general public license for more details", 0.9, 50),
+    ("lgpl", "redistribute gnu", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license", 0.98, 61),
     ("agpl", "redistribute affero", r"you can redistribute it and or modify it under the terms of the gnu affero general public license", 0.98, 61),
-    ("apache-2.0", "apache compliance", r"licensed under the apache license version 2 0(?: the license)?(?: you may not use this file except in compliance with the license)?", 0.98, 60),
+    ("apache-2.0", "licensed apache", r"licensed under the apache license version 2 0(?: the license)?(?: you may not use this file except in compliance with the license)?", 0.98, 60),
     ("bsd", "redistributions source", r"redistributions of source code must retain the above copyright notice", 0.95, 60),
     ("bsd-3-clause", "endorse promote", r"neither the name of .{1,120}? may be used to endorse or promote products derived from this software", 0.95, 60),
     ("bsd-4-clause", "advertising acknowledgement", r"all advertising materials mentioning features or use of this software must display the following acknowledgement", 0.95, 60),
     ("isc", "permission fee", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.95, 60),
     ("zlib", "misrepresented origin", r"the origin of this software must not be misrepresented", 0.95, 60),
-    ("mpl-2.0", "mozilla mpl", r"subject to the terms of the mozilla public license v 2 0", 0.98, 60),
+    ("mpl-2.0", "mozilla public", r"subject to the terms of the mozilla public license v 2 0", 0.98, 60),
     ("unlicense", "unencumbered domain", r"this is free and unencumbered software released into the public domain", 0.98, 60),
     ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0", 0.98, 60),
     ("cc-by", "creative commons attribution", r"creative commons attribution(?: [1234] 0)?(?: international| unported)? license", 0.9, 35),

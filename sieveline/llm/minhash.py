@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, stored
 from .components import components
+from .joins import join_groups
 from .kernel import U, Words, blocks, mix, mix_int, runs
 
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
@@ -206,12 +207,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sk = stored(base.mapInArrow(_sketches(k, "doc_id", "text"), "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>"), "sketches")
     some = sk.where("n_shingles > 0 and doc_id is not null")
-    equal = some.groupBy("n_shingles", "set1", "set2").agg(F.min("doc_id").alias("rep"))
-    classes = stored(some.select("doc_id", "n_shingles", "set1", "set2").join(equal, ["n_shingles", "set1", "set2"]).select("doc_id", "n_shingles", "rep"), "classes")
+    set_is = ["n_shingles", "set1", "set2"]
+    equal = stored(some.groupBy(*set_is).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "equal")
+    classes = join_groups(some.select("doc_id", *set_is), equal, set_is, "c", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
+    classes = stored(classes, "classes")
     reps = some.join(classes.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
     bands = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    many = bands.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low")).where("c > 1")
-    memb = stored(bands.join(many, "key").select("key", "doc_id", "n_shingles", "low"), "buckets")
+    many = stored(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low")).where("c > 1"), "shared")
+    memb = stored(join_groups(bands, many, ["key"], "c").select("key", "doc_id", "n_shingles", "low"), "buckets")
     if memb.isEmpty():
         edges = spark.createDataFrame([], "a long, b long")
     else:

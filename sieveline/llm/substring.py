@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship, stored
 from .fm_index import FMIndex
+from .joins import join_groups
 from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
 
 #: Words of an anchor; bytes of pieces that one index holds at most (plus one
@@ -343,8 +344,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     extra = ["extra"] if carry else []  # read in every branch, so that the exchanges stay equal
     text_is = ["len", "h1", "h2"]
     marks = base.where("doc_id is not null").select("doc_id", "tag", F.length("text").alias("len"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    copies = stored(marks.join(same, text_is).where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
+    same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high")
+    same = stored(same, "equal")
+    copies = stored(join_groups(marks, same, text_is, "c").where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
     texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
     anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")

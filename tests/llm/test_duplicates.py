@@ -76,6 +76,20 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("most", [50_000, 1])
+def test_hot_groups(spark, monkeypatch, most):
+    from sieveline.llm import joins
+
+    monkeypatch.setattr(joins, "HOT_ROWS", 3)
+    monkeypatch.setattr(joins, "MOST_HOT", most)
+    rows = corpus(4) + [(20_000 + k, "one text of many copies here, that is " + "again " * 20) for k in range(40)] + [(30_000 + k, "x " * 20) for k in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+    cut = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df).collect()}
+    assert cut == brute_cut(rows)
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(50))
     rows = [(3, t), (3, t), (None, t), (5, t + " end"), (4, "other words entirely for this one")]

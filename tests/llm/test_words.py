@@ -142,6 +142,12 @@ def test_signatures(text, want):
     assert {r.label for _, _, r in licenses.detect(text)} == {want}
 
 
+def test_keywords_stand_in_every_match():
+    for _, needs, pattern, _, _ in licenses.TEXTS:
+        fixed = re.sub(r"\(\?:[^()]*\)\??", " ", pattern)
+        assert set(needs.split()) <= set(re.findall("[a-z]+", fixed)), pattern
+
+
 def brute_overlaps(doc, item, need, penalty):
     best = None
     for start in range(-len(item) + 1, len(doc)):
