@@ -127,6 +127,46 @@ FROM w LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS qs FROM benchmark),
+t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(len(ws))) AS i FROM d),
+q AS (SELECT item_id, unnest(qs) AS x, unnest(range(len(qs))) AS j, len(qs) AS n FROM b),
+m AS (SELECT doc_id, item_id, t.i - q.j AS s, least(13, CAST(ceil(0.8 * any_value(n)) AS BIGINT)) AS need FROM t JOIN q USING (x) GROUP BY ALL HAVING count(*) >= least(13, ceil(0.8 * any_value(n)))),
+span AS (SELECT m.*, ws, qs, greatest(s, 0) AS lo, least(s + len(qs), len(ws)) AS hi FROM m JOIN d USING (doc_id) JOIN b USING (item_id)),
+c AS (SELECT doc_id, item_id, s, need, lo, len(qs) AS n, unnest(range(1, hi - lo + 1)) AS k, unnest(list_transform(range(lo, hi), lambda p: ws[p + 1] = qs[p - s + 1])) AS eq FROM span),
+r AS (SELECT *, sum(CASE WHEN eq THEN 1 ELSE -3 END) OVER w AS run FROM c WINDOW w AS (PARTITION BY doc_id, item_id, s ORDER BY k)),
+z AS (SELECT *, least(0, min(run) OVER (PARTITION BY doc_id, item_id, s ORDER BY k)) AS low FROM r),
+e AS (SELECT doc_id, item_id, s, any_value(need) AS need, any_value(lo) AS lo, any_value(n) AS n, arg_min(k, (low - run) * 1000000 + k) AS last, max(run - low) AS best FROM z GROUP BY ALL),
+f AS (SELECT e.*, coalesce((SELECT arg_min(k, run * 1000000 + k) FROM r WHERE r.doc_id = e.doc_id AND r.item_id = e.item_id AND r.s = e.s AND k <= last AND run < 0), 0) AS first FROM e WHERE best > 0),
+g AS (SELECT f.doc_id, f.item_id, f.s, any_value(need) AS need, any_value(f.lo + first) AS start_word, any_value(f.lo + last) AS end_word, any_value(f.n) AS n, count(*) FILTER (eq) AS hits
+  FROM f JOIN (SELECT doc_id, item_id, s, k, eq FROM r) r ON r.doc_id = f.doc_id AND r.item_id = f.item_id AND r.s = f.s AND k > first AND k <= last GROUP BY ALL)
+SELECT doc_id, item_id, hits AS n_matched, CAST(n AS BIGINT) AS item_words, CAST(start_word AS BIGINT) AS start_word, CAST(end_word AS BIGINT) AS end_word FROM g WHERE hits >= need
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY hits DESC, start_word, end_word) = 1
+"""
+
+OP5_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM w),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+g3 AS (SELECT doc_id, unnest(range(1, len(ws) - 1)) AS i, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS g FROM w WHERE len(ws) >= 3),
+rep3 AS (SELECT doc_id, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g3) WHERE c > 1),
+n3 AS (SELECT doc_id, count(DISTINCT i) AS n FROM rep3 GROUP BY doc_id),
+g8 AS (SELECT doc_id, unnest(range(1, len(ws) - 6)) AS i, unnest(list_transform(range(1, len(ws) - 6), lambda i: array_to_string(ws[i:i+7], ' '))) AS g FROM w WHERE len(ws) >= 8),
+rep8 AS (SELECT doc_id, unnest(range(i, i + 8)) AS i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g8) WHERE c > 1),
+n8 AS (SELECT doc_id, count(DISTINCT i) AS n FROM rep8 GROUP BY doc_id),
+pair AS (SELECT a.doc_id, b.i - a.i AS d, a.i FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.x = b.x AND a.i < b.i),
+isle AS (SELECT doc_id, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS k FROM pair),
+longest AS (SELECT doc_id, max(c) AS n FROM (SELECT doc_id, count(*) AS c FROM isle GROUP BY doc_id, d, k) GROUP BY doc_id),
+s AS (
+  SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(dup.n, 0) AS n_dup_lines, coalesce(n3.n, 0) AS n_repeat_words, coalesce(n8.n, 0) AS covered_words, coalesce(longest.n, 0) AS longest_repeat
+  FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN n3 USING (doc_id) LEFT JOIN n8 USING (doc_id) LEFT JOIN longest USING (doc_id)
+), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
+SELECT *, NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 100 AS kept FROM f
+"""
+
 OP3_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -151,4 +191,4 @@ FROM q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_minhash_near_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_warc_archive": OP4_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_warc_archive": OP4_SQL, "op8_substring_dedup": OP8_SQL}
