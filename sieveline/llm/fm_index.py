@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .kernel import U, ragged
+from .kernel import U
 
 
 class Wavelet:

@@ -315,7 +315,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     shell = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main" class="post">', "</div>"), ("<div>", "</div>")])
     parts.append(shell[0])
     if rng.random() < 0.9:
-        block(rng.choice(["<h1>", "<h2>"]), sentence(2, 10).rstrip("."), "</h1>" if False else "", 1)
+        block(rng.choice(["<h1>", "<h2>"]), sentence(2, 10).rstrip("."), "", 1)
         parts.append("</h1>" if "<h1>" in parts[-1] else "</h2>")
     for k in range(rng.choice([1, 2, 4, 8, 16])):
         r = rng.random()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship, stored
 from .components import components
 from .joins import join_groups
-from .kernel import U, Words, blocks, mix, mix_int, runs
+from .kernel import U, Words, blocks, mix, mix_int
 
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
 #: no band with probability (1 - 0.85**5)**25 < 5e-7.

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..session import shared_dir, ship, stored
 from . import joins
-from .joins import join_groups
 
 CRLF = "\r\n"
 #: Equal payloads of fewer bytes are not turned into revisits.
@@ -64,7 +63,7 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     once.write.bucketBy(n, "digest").sortBy("digest").option("compression", "zstd").option("path", where + "/payloads").saveAsTable(name)
     rows = base.select("id", "url", digest.alias("digest"), F.octet_length("payload").cast("long").alias("n"))
     least = rows.where(F.col("n") >= SMALLEST).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
-    rows = join_groups(rows, stored(least, "least"), ["digest"], "c", "left")
+    rows = joins.join_groups(rows, stored(least, "least"), ["digest"], "c", "left")
     again = F.coalesce((F.col("n") >= SMALLEST) & (F.col("id").isNull() | (F.col("id") > F.col("least"))) & F.col("least").isNotNull(), F.lit(False))
     line = lambda k, v: F.concat(F.lit(k + ": "), v, F.lit(CRLF))
     header = F.concat(
@@ -104,7 +103,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
         both = records.join(payloads, "digest")
     else:
         sized = payloads.join(hot, "digest", "left").select("digest", "payload", F.coalesce("c", F.lit(1)).alias("c"), F.octet_length("payload").alias("size"))
-        both = join_groups(records, sized, ["digest"], "c", size="size").select("digest", "header", "payload")
+        both = joins.join_groups(records, sized, ["digest"], "c", size="size").select("digest", "header", "payload")
     seen = F.sha2("payload", 256)
     both = both.withColumn("payload_digest", F.when(seen == F.col("digest"), seen).otherwise(F.raise_error(F.lit("payload does not match its digest"))))
     block = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
