@@ -45,9 +45,3 @@ def _batches(spark: SparkSession, out: str) -> list[int]:
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/stream/{name}-{uuid.uuid4().hex}"
 
-
-def first_seen_stream(spark: SparkSession, source: str, key: list[str], fmt: str = "parquet") -> DataFrame:
-    """A file source as a stream, a row per key: state holds keys. Run with
-    availableNow and read the sink; the batch equivalent is dropDuplicates."""
-    schema = spark.read.format(fmt).load(source).schema
-    return spark.readStream.schema(schema).format(fmt).load(source).dropDuplicates(key)
