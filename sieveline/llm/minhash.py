@@ -17,8 +17,10 @@ from .kernel import U, Words, blocks, mix, mix_int
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
 #: no band with probability (1 - 0.85**5)**25 < 5e-7.
 BINS, ROWS, BANDS = 128, 5, 25
-#: Shingles of a verification unit before it is cut into blocks.
-UNIT = 1 << 18
+#: Weight of a verification unit before it is cut into blocks: its shingles, and
+#: PER_SET for each set, as pairs of sets take memory too. Groups of more than
+#: BY_BUCKET units are compared bucket by bucket and not as a whole.
+UNIT, PER_SET, BY_BUCKET = 1 << 18, 128, 16
 #: Large groups up to which their list is broadcast.
 MOST_LARGE = 100_000
 
@@ -174,7 +176,7 @@ def _verify(k: int, num: int, den: int):
         split = int((table.column("side").to_numpy() == 0).sum())
         if split == len(ids):
             split = 0
-        elif key[1].as_py() == key[2].as_py():
+        elif key[2].as_py() == key[3].as_py():
             split = 0
         v, up = links(sets, split, num, den)
         return pa.table({"a": pa.array(ids[up], pa.int64()), "b": pa.array(ids[v], pa.int64())})
@@ -199,8 +201,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copies never meet in a bucket. Buckets with several sets give candidate
     groups; texts of candidates meet once per group, where all pairs are
     intersected exactly and only a spanning forest leaves the task. Groups
-    larger than UNIT shingles are taken bucket by bucket, and buckets larger
-    than that in pairs of blocks, so a task's memory does not follow the group.
+    larger than UNIT are compared in pairs of blocks, and very large ones bucket
+    by bucket, so a task's memory does not follow the group.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -227,23 +229,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _links_of(base: DataFrame, memb: DataFrame, k: int, num: int, den: int) -> DataFrame:
     group = components(memb.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
-    each = memb.select("doc_id", "n_shingles").distinct().join(group, F.col("doc_id") == group["vertex"]).select("doc_id", "n_shingles", F.col("component").alias("grp"))
+    weight = (F.col("n_shingles") + PER_SET).alias("weight")
+    each = memb.select("doc_id", weight).distinct().join(group, F.col("doc_id") == group["vertex"]).select("doc_id", "weight", F.col("component").alias("grp"))
     each = stored(each, "members")
-    large = each.groupBy("grp").agg(F.sum("n_shingles").alias("grp_size")).where(F.col("grp_size") > UNIT)
+    large = each.groupBy("grp").agg(F.sum("weight").alias("size")).where(F.col("size") > UNIT)
     # the large groups are few; their table is broadcast only if a count says so
     listed = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
-    each = each.join(listed, "grp", "left")
-    of = memb.select("key", "doc_id", "n_shingles").join(each.where("grp_size is not null").select("doc_id", "grp"), "doc_id")
-    small = each.where("grp_size is null").select(F.col("grp").alias("unit"), F.lit(0).alias("p"), F.lit(0).alias("q"), "doc_id", F.lit(0).alias("side")).distinct()
-    big = of
+    each = each.join(listed, "grp", "left").withColumn("size", F.coalesce("size", F.lit(0)))
+    whole = each.where(F.col("size") <= BY_BUCKET * UNIT).select(F.lit(0).alias("kind"), F.col("grp").alias("unit"), "size", "doc_id")
     # a bucket with the members of another is taken once
+    rest = memb.select("key", "doc_id").join(each.where(F.col("size") > BY_BUCKET * UNIT).select("doc_id", "weight"), "doc_id")
     h = F.xxhash64("doc_id")
-    marks = big.groupBy("key").agg(F.sum("n_shingles").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))
+    marks = rest.groupBy("key").agg(F.sum("weight").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))
     one = marks.groupBy("m1", "m2", "c").agg(F.min("key").alias("key"), F.max("size").alias("size"))
-    nb = F.ceil(F.col("size") / F.lit(UNIT // 2)).cast("int")
-    parts = big.join(one.select("key", nb.alias("nb")), "key").withColumn("part", F.pmod(F.hash("doc_id"), "nb"))
-    parts = parts.select("key", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    big = parts.select(F.col("key").alias("unit"), (F.least("part", "other") + 1).alias("p"), (F.greatest("part", "other") + 1).alias("q"), "doc_id", F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
-    units = small.union(big)
-    with_text = units.join(base, "doc_id").select("unit", "p", "q", "doc_id", "side", "text")
-    return stored(with_text.groupBy("unit", "p", "q").applyInArrow(_verify(k, num, den), "a long, b long"), "links")
+    buckets = rest.join(one.select("key", "size"), "key").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "size", "doc_id")
+    nb = F.when(F.col("size") > UNIT, F.ceil(F.col("size") / F.lit(UNIT // 2))).otherwise(1).cast("int")
+    parts = whole.union(buckets).withColumn("nb", nb).withColumn("part", F.pmod(F.hash("doc_id"), "nb"))
+    parts = parts.select("kind", "unit", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
+    units = parts.select("kind", "unit", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "doc_id", F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
+    with_text = units.join(base, "doc_id").select("kind", "unit", "p", "q", "doc_id", "side", "text")
+    return stored(with_text.groupBy("kind", "unit", "p", "q").applyInArrow(_verify(k, num, den), "a long, b long"), "links")

@@ -62,8 +62,10 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_large_groups_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "UNIT", 600)
+@pytest.mark.parametrize("unit", [600, 4000])
+def test_large_groups_in_blocks(spark, monkeypatch, unit):
+    """By bucket, and as a whole; both in blocks."""
+    monkeypatch.setattr(minhash, "UNIT", unit)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     rows = []
@@ -90,6 +92,14 @@ def test_hot_groups(spark, monkeypatch, most):
     assert cut == brute_cut(rows)
 
 
+def test_many_short_texts(spark):
+    """Sets of few shingles, which bands bring together easily."""
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice("abc") for _ in range(rng.randrange(1, 9)))) for k in range(700)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
 def test_repeated_and_null_ids(spark):
     t = " ".join(f"w{i}" for i in range(50))
     rows = [(3, t), (3, t), (None, t), (5, t + " end"), (4, "other words entirely for this one")]
