@@ -32,7 +32,7 @@ def ranks(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, list[tuple[np.n
     sv = value[order]
     new = np.ones(n, bool)
     new[1:] = sv[1:] != sv[:-1]
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32 if n < 1 << 31 else np.int64)  # a copy stays per level
     rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # rank: first place of the group
     last = np.searchsorted(doc, doc, "right")  # end of each word's text
     levels = [rank.copy()]
