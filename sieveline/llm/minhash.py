@@ -214,6 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = join_groups(some.select("doc_id", *set_is), equal, set_is, "c", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     classes = stored(classes, "classes")
     reps = some.join(classes.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
+    reps = stored(reps.select("doc_id", "n_shingles", "keys"), "reps")
     bands = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     many = stored(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low")).where("c > 1"), "shared")
     memb = stored(join_groups(bands, many, ["key"], "c").select("key", "doc_id", "n_shingles", "low"), "buckets")
