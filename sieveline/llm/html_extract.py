@@ -201,7 +201,7 @@ class Crf(NamedTuple):
         return out[::-1]
 
 
-def fit(pages: list[tuple[list[list[int]], list[int]]], l2: float = 0.02, rounds: int = 120) -> Crf:
+def fit(pages: list[tuple[list[list[int]], list[int]]], l2: float = 0.002, rounds: int = 250) -> Crf:
     """Maximum likelihood with an L2 penalty: forward-backward over all pages at
     once, Adam steps."""
     pages = [p for p in pages if p[0]]
@@ -279,7 +279,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             block(f'<div class="{rng.choice(["notice", "alert", "site-notice"])}">', sentence(4, 20), "</div>", 0)
         elif k == "form":
             parts.append("<form>")
-            block("<label>", word(), "</label><input name=q>", 0) if rng.random() < 0.5 else block("<p>", sentence(3, 10), "</p>", 0)
+            block("<label>", word(), "</label><input name=q>", 0) if rng.random() < 0.5 else block("<p>", sentence(3, 28), "</p>", 0)
             parts.append("</form>")
         elif k == "aside":
             parts.append(rng.choice(["<aside>", '<div class="sidebar">', '<div id="sidebar">']))
@@ -319,21 +319,21 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
         parts.append("</h1>" if "<h1>" in parts[-1] else "</h2>")
     for k in range(rng.choice([1, 2, 4, 8, 16])):
         r = rng.random()
-        if r < 0.72:
+        if r < 0.66:
             block("<p>", " ".join(sentence(1, 22) for _ in range(rng.randint(1, 5))), rng.choice(["</p>", "</p>", "</p>", "\n"]), 1)
-        elif r < 0.8:
+        elif r < 0.73:
             block("<p><b>", sentence(1, 12), "<br>", 1)
-        elif r < 0.86:
+        elif r < 0.79:
             block(rng.choice(["<h2>", "<h3>"]), sentence(1, 7), "", 1)
             parts.append("</h2>" if "<h2>" in parts[-1] else "</h3>")
-        elif r < 0.9:
+        elif r < 0.83:
             block("<blockquote><p>", sentence(4, 25), "</p></blockquote>", 1)
-        elif r < 0.94:
+        elif r < 0.87:
             parts.append("<ul>")
             for _ in range(rng.randint(1, 4)):
                 block("<li>", sentence(1, 12), "</li>", 1)
             parts.append("</ul>")
-        elif r < 0.97:
+        elif r < 0.9:
             parts.append("<table><tr>")
             block("<td>", sentence(1, 6), "</td>", 1)
             block("<td>", sentence(1, 6), "</td>", 1)
