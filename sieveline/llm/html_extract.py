@@ -134,7 +134,7 @@ def leaf_blocks(html: str) -> list[Block]:
 # -- features ----------------------------------------------------------------
 
 _TAGS = "nav header footer aside form article main section div ul ol li table tr td th p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dl dt dd a button label address details summary b strong em span menu dialog body".split()
-_NAMES = ["bias", *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _TAGS), *(f"cue:{c}" for c in CUES), *(f"words:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), *(f"commas:{k}" for k in range(4)), "stop", "copyright", "first", "digits", "short_link", "no_article", "article_h1"]
+_NAMES = ["bias", *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _TAGS), *(f"cue:{c}" for c in CUES), *(f"words:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), *(f"commas:{k}" for k in range(4)), "stop", "copyright", "first", "digits", "short_link", "no_article", "article_h1", "article_header"]
 FEATURE = {n: k for k, n in enumerate(_NAMES)}
 
 
@@ -163,6 +163,8 @@ def features(blocks: list[Block]) -> list[list[int]]:
             f.add("no_article")
         if "h1" in b.path and "article" in b.path:
             f.add("article_h1")
+        if "header" in b.path and ({"article", "main"} & set(b.path[: b.path.index("header")])):
+            f.add("article_header")
         out.append([FEATURE[x] for x in f if x in FEATURE])
     return out
 
@@ -315,8 +317,11 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     shell = rng.choice([("<article>", "</article>")] * 4 + [("<main>", "</main>"), ("<main><article>", "</article></main>"), ('<div class="content">', "</div>"), ('<div id="main" class="post">', "</div>"), ("<div>", "</div>")])
     parts.append(shell[0])
     if rng.random() < 0.9:
+        own = "article" in shell[0] and rng.random() < 0.3
+        parts.append("<header>" if own else "")
         block(rng.choice(["<h1>", "<h2>"]), sentence(2, 10).rstrip("."), "", 1)
         parts.append("</h1>" if "<h1>" in parts[-1] else "</h2>")
+        parts.append("</header>" if own else "")
     for k in range(rng.choice([1, 2, 4, 8, 16])):
         r = rng.random()
         if r < 0.66:
