@@ -152,10 +152,10 @@ def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
 
         def run(batches: Iterator[pa.RecordBatch], of=of) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for i, _, buf, at in blocks(batch.column(at_col)):
-                    clean[[i + d for d, _ in _overlaps(of.value, buf, at, min_words, share, penalty)]] = False
-                yield batch.filter(pa.array(clean))
+                for i, j, buf, at in blocks(batch.column(at_col)):
+                    clean = np.ones(j - i, bool)
+                    clean[[d for d, _ in _overlaps(of.value, buf, at, min_words, share, penalty)]] = False
+                    yield batch.slice(i, j - i).filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

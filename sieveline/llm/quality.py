@@ -14,6 +14,8 @@ from .kernel import _G, _VALUE, U, Words, blocks, codepoints, mix, powers
 #: Repeats of fewer words don't count; a text fails if repeats cover more than
 #: COVERED of its words, or if one repeat is longer than LONGEST words.
 SHORTEST, COVERED, LONGEST = 8, 0.45, 100
+#: Bytes of texts that are worked on at once.
+BLOCK = 1 << 20
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[*b"#*$%&|<>"]] = True
 
@@ -174,7 +176,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     texts have zero counts and fail. Texts are taken whole; repeated rows and
     ids get a row each; extra columns are ignored.
 
-    A map-only pass: rows never move, and memory follows a block of 2 MB of
+    A map-only pass: rows never move, and memory follows a block of 1 MB of
     texts or the longest single text.
     """
     ship(docs.sparkSession)
@@ -182,7 +184,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, buf, at in blocks(batch.column(1)):
+            for i, j, buf, at in blocks(batch.column(1), BLOCK):
                 s, failed, kept = _verdicts(buf, at, *rules)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(s[f]) for f in FIELDS), pa.array(failed), pa.array(kept)], names=["doc_id", *FIELDS, "base_failed", "kept"])
 
@@ -204,8 +206,7 @@ def passing(docs: DataFrame, text_col: str = "text", min_words: int = 50, shorte
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [_verdicts(buf, at, min_words, shortest, covered, longest)[2] for _, _, buf, at in blocks(batch.column(at_col))]
-            if kept:
-                yield batch.filter(pa.array(np.concatenate(kept)))
+            for i, j, buf, at in blocks(batch.column(at_col), BLOCK):
+                yield batch.slice(i, j - i).filter(pa.array(_verdicts(buf, at, min_words, shortest, covered, longest)[2]))
 
     return docs.mapInArrow(run, docs.schema)
