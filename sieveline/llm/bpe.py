@@ -16,7 +16,7 @@ from ..session import ship
 from .kernel import blocks, ragged, text_arrays
 
 #: Bytes of text in a chunk, and words of a bucket's table before it starts anew.
-CHUNK, TABLE = 16 << 20, 2_000_000
+CHUNK, TABLE = 12 << 20, 2_000_000
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -275,7 +275,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     text is that token. Null texts are taken as empty: no ids, empty text.
     Repeated rows and ids get a row each; extra columns are ignored.
 
-    Plan: texts go into chunks of about 16 MB (or one longer text), shuffled
+    Plan: texts go into chunks of about 12 MB (or one longer text), shuffled
     once. Each chunk sends its distinct words, packed by word hash, to
     `buckets` buckets; a bucket encodes every distinct word once and answers
     with ids in the order of the words sent. Chunk and answers meet by chunk
