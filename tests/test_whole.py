@@ -21,3 +21,10 @@ def test_graph_rerank_ranks_all_items(spark, sf):
     assert_same(df, whole("graph_rerank", (" WHERE item_id < 5", "")), connect(sf))
     items = spark.read.parquet(f"{sf}/benchmark.parquet").count()
     assert items > 5 and df.select("item_id").distinct().count() == items
+
+
+def test_tool_usage_counts_all_events(spark, sf, tmp_path):
+    assert_same(Q["tool_usage"](spark, sf), whole("tool_usage", (" WHERE event_id % 20 = 0", "")), connect(sf))
+    events = [(1, 7, "click"), (3, 7, "error"), (20, 7, "click"), (5, 8, "view"), (6, 9, "error"), (40, 10, "view")]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    assert [tuple(r) for r in Q["tool_usage"](spark, str(tmp_path)).collect()] == [(4, 2, 4)]
