@@ -148,7 +148,7 @@ def empty_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 2 = 0 GROUP BY source HAVING count(*) >= 30) AND doc_id % 2 = 0")
 def minimum_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.keep_mapped(table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select("doc_id", "source"), "source", 30).select("doc_id", "source")
+    return vectors.keep_mapped(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 30).select("doc_id", "source")
 
 
 @register("""

@@ -28,3 +28,13 @@ def test_tool_usage_counts_all_events(spark, sf, tmp_path):
     events = [(1, 7, "click"), (3, 7, "error"), (20, 7, "click"), (5, 8, "view"), (6, 9, "error"), (40, 10, "view")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     assert [tuple(r) for r in Q["tool_usage"](spark, str(tmp_path)).collect()] == [(4, 2, 4)]
+
+
+def test_minimum_groups_keeps_whole_sources(spark, sf, tmp_path):
+    sql = whole("minimum_groups", (" WHERE doc_id % 2 = 0 GROUP", " GROUP"), (" AND doc_id % 2 = 0", ""))
+    assert "%" not in sql
+    assert_same(Q["minimum_groups"](spark, sf), sql, connect(sf))
+    docs = [(i, "thirty") for i in range(30)] + [(i, "few") for i in range(100, 129)]
+    spark.createDataFrame(docs, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = Q["minimum_groups"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(30))
