@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 IGNORED = -100
+#: Fixed value: the longest sequence that is trained on.
+MOST = 2048
 
 
 def render_turns(df: DataFrame, by: list[str], order: list[str], role: str, text: str, sep: str = "\n") -> DataFrame:
@@ -36,7 +38,7 @@ def assemble(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def masked_labels(ids: Column, prompt_len: Column, most: int = 2048) -> Column:
+def masked_labels(ids: Column, prompt_len: Column, most: int = MOST) -> Column:
     """Labels of a sequence cut to `most`: the prompt's places are ignored."""
     cut = F.slice(ids, 1, most)
     n = F.least(prompt_len, F.lit(most)).cast("int")

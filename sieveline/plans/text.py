@@ -105,7 +105,7 @@ SELECT conv_id, substr(CASE WHEN coalesce(s, '') <> '' THEN 'system' || chr(10)
 def fallback_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda r: F.min_by("text", "turn") if r is None else F.min_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn")))
     f = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(first("system").alias("s"), first("user").alias("u"))
-    return f.select("conv_id", outcome.statement(F.lit("system"), F.col("s"), F.lit("user"), F.col("u"), F.lit("none"), 200).alias("statement"), T.tail(F.coalesce("u", F.lit("")), 50).alias("ending"))
+    return f.select("conv_id", outcome.statement(F.lit("system"), F.col("s"), F.lit("user"), F.col("u"), F.lit("none")).alias("statement"), T.tail(F.coalesce("u", F.lit("")), 50).alias("ending"))
 
 
 @register(r"SELECT conv_id, count(*) AS n_turns, string_agg(role || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS prompt FROM conversations GROUP BY conv_id")
@@ -125,8 +125,8 @@ def mask_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token lengths stand in for ids; batches are conv_id % 9."""
     c = table(spark, sf_dir, "conversations")
     ids = F.transform(T.tokens(F.col("text")), lambda x: F.length(x))
-    d = c.select("conv_id", "turn", (F.col("conv_id") % 9).alias("b"), ids.alias("all_ids"), F.least(F.col("turn") + 3, F.lit(64)).alias("pl"))
-    d = d.withColumns({"ids": F.slice("all_ids", 1, 64), "labels": training.masked_labels(F.col("all_ids"), F.col("pl"), 64)})
+    d = c.select("conv_id", "turn", (F.col("conv_id") % 9).alias("b"), ids.alias("all_ids"), (F.col("turn") + 3).alias("pl"))
+    d = d.withColumns({"ids": F.slice("all_ids", 1, training.MOST), "labels": training.masked_labels(F.col("all_ids"), F.col("pl"))})
     p = training.padded(d, ["b"], "ids", "labels", 0)
     join = lambda n: F.array_join(F.transform(n, lambda x: x.cast("string")), " ").alias(n)
     return p.select("conv_id", "turn", join("ids"), join("labels"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attended"))

@@ -38,3 +38,26 @@ def test_minimum_groups_keeps_whole_sources(spark, sf, tmp_path):
     spark.createDataFrame(docs, "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
     got = Q["minimum_groups"](spark, str(tmp_path)).collect()
     assert sorted(r.doc_id for r in got) == list(range(30))
+
+
+def turns(spark, tmp_path, rows):
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    return str(tmp_path)
+
+
+def test_mask_pad_cuts_at_the_default(spark, sf, tmp_path):
+    sql = whole("mask_pad", ("ids[1:64]", "ids[1:2048]"), ("least(turn + 3, 64)", "least(turn + 3, 2048)"))
+    assert_same(Q["mask_pad"](spark, sf), sql, connect(sf))
+    d = turns(spark, tmp_path, [(0, 0, "user", "ab " * 2100), (0, 1, "user", "abc " * 100), (1, 70, "user", "abcd " * 100)])
+    got = {(r.conv_id, r.turn): r for r in Q["mask_pad"](spark, d).collect()}
+    assert {k: r.n_attended for k, r in got.items()} == {(0, 0): 2048, (0, 1): 100, (1, 70): 100}
+    assert got[0, 0].labels.split() == ["-100"] * 3 + ["2"] * 2045
+    assert got[0, 1].ids.split() == ["3"] * 100 + ["0"] * 1948
+    assert got[1, 70].labels.split() == ["-100"] * 73 + ["4"] * 27
+
+
+def test_fallback_statement_cuts_at_the_default(spark, sf, tmp_path):
+    assert_same(Q["fallback_statement"](spark, sf), whole("fallback_statement", ("1, 200)", "1, 12000)")), connect(sf))
+    d = turns(spark, tmp_path, [(0, 0, "user", "x" * 13000), (1, 0, "system", "y" * 500)])
+    got = {r.conv_id: r.statement for r in Q["fallback_statement"](spark, d).collect()}
+    assert got == {0: "user\n\n" + "x" * 11994, 1: "system\n\n" + "y" * 500}
