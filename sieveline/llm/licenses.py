@@ -142,19 +142,27 @@ class Rule(NamedTuple):
     order: int
 
 
-def _needs(pattern: str) -> tuple[str, ...]:
-    """Words that every match of a pattern holds: those outside of groups and
-    options, and whole."""
-    flat = re.sub(r"\(\?:[^()]*\)\??", "\0", pattern)
-    flat = re.sub(r"\(\?:[^()]*\)\??", "\0", flat)
-    return tuple(w for w in re.findall(r"(?<![\w\0?\]\[])[a-z0-9]{2,}(?![\w\0?\]\[*+{(])", flat) if w not in {"the", "of", "under"})
+def _spellings(flat: str) -> list[str]:
+    """A pattern without groups, with and without each optional character."""
+    m = re.search(r"(.)\?", flat)
+    return [x for c in (m[1], "") for x in _spellings(flat[: m.start()] + c + flat[m.end() :])] if m else [flat]
+
+
+def _needs(pattern: str) -> set[frozenset[str]]:
+    """Sets of words, one of which every match of a pattern holds: those outside
+    of groups, and whole; a set for each spelling."""
+    flat = re.sub(r"\(\?:(?: [^()|]*(?:\||(?=\))))+\)\??", " \0", pattern)  # groups that begin with a space
+    for _ in range(2):
+        flat = re.sub(r"\(\?:[^()]*\)\??", "\0", flat)
+    words = lambda x: re.findall(r"(?<![\w\0\]\[])[a-z0-9]{2,}(?![\w\0\]\[*+{(])", x)
+    return {frozenset(words(x)) - {"the", "of", "under"} for x in _spellings(flat)}
 
 
 def _gates(pattern: str, more: str = "") -> tuple[tuple[str, ...], ...]:
     """Sets of words, one of which is in every text that the pattern matches."""
-    always = {*_needs(pattern), *more.split()}
-    if always:
-        return (tuple(sorted(always)),)
+    always = {x | {*more.split()} for x in _needs(pattern)}
+    if all(always):
+        return tuple(sorted(tuple(sorted(x)) for x in always if not any(y < x for y in always)))
     choices = re.match(r"\(\?:([^()]*)\)", pattern)
     return tuple(tuple(re.findall(r"[a-z0-9]+", c)) for c in choices[1].split("|"))
 

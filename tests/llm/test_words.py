@@ -198,3 +198,51 @@ def test_item_blocks(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "pre " + t + " post") for i, t in items], "doc_id long, text string")
     out = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, i) for i, _ in items}
+
+
+def spellings(pattern):
+    """Texts that a pattern matches: each choice and option, one for any text."""
+    outs = [""]
+    for op, x in pattern:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(x)]
+        elif op == "ANY":
+            more = ["x"]
+        elif op == "IN":
+            more = [chr(v) for _, v in x]
+        elif op == "BRANCH":
+            more = [t for p in x[1] for t in spellings(p)]
+        elif op == "SUBPATTERN":
+            more = spellings(x[-1])
+        else:
+            assert op in ("MAX_REPEAT", "MIN_REPEAT"), op
+            more = [t * x[0] for t in spellings(x[2])] + spellings(x[2])
+        outs = [a + b for a in outs for b in dict.fromkeys(more)]
+    return outs
+
+
+def test_gates_pass_every_spelling():
+    n = 0
+    for r in licenses.rules():
+        body = r.pattern.pattern.removeprefix("(?<![^ ])").removesuffix("(?![^ ])")
+        for text in spellings(re._parser.parse(body)):
+            assert r.pattern.fullmatch(text), (text, body)
+            words = set(text.split(" "))
+            assert any(words >= set(need) for need in r.needs), (text, r.needs)
+            n += 1
+    assert n > 1000
+
+
+def test_licenses_match_all_patterns_without_gates(spark, sf):
+    more = ["CreativeML OpenRAIL-M", "license: openrail", "License: Open-RAIL-M", "SPDX-License-Identifier: GPLv2.0-only", "license gpl v3.0", "license: GPL3.0", "BigCode Open RAIL license", "mulan psl license", "PHP-3.01", "the open rail"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("text is not null")
+    docs = docs.union(spark.createDataFrame([(-1 - k, t) for k, t in enumerate(more)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    rules = licenses.rules()
+    for d in docs.collect():
+        flat = " ".join(licenses._WORD.findall(d.text.translate(licenses._FOLD)))
+        found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(flat)]
+        want = sorted((r.label, flat.count(" ", 0, s), flat.count(" ", 0, e) + 1, r.score) for s, e, r in licenses.resolve(found))
+        assert sorted((x.label, x.start, x.end, x.score) for x in rows[d.doc_id].detections) == want
+    assert [rows[-1 - k].labels for k in range(4)] == ["openrail", "openrail", "openrail", "gpl-2.0"]
