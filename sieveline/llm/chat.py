@@ -67,8 +67,8 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     """One row per conversation, formatted by a template that can be read back.
 
     A turn is TURN role SEP body END; turns follow each other by turn, role and
-    text. Bodies come from text_col, or from parts_col (array of typed parts,
-    see visit). Control strings inside roles and texts are escaped. Returns
+    text. Bodies come from parts_col (array of typed parts, see visit), or from
+    text_col, each text one text part. Control strings inside roles and texts are escaped. Returns
     conv_id, n_turns, formatted, segments (array of {text, loss} whose texts
     joined are `formatted`; loss marks the bodies of `learn` turns), attachments
     (array of {turn_no, type, ref, units, tokens} in order), expanded_tokens
@@ -83,9 +83,10 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
     A conversation's turns meet in one row, as its text must.
     """
     if parts_col is not None:
-        body = visit(F.col(parts_col))
+        parts = F.col(parts_col)
     else:
-        body = F.struct(escape(_sql_text(F.col(text_col))).alias("body"), F.array().cast("array<struct<type:string,ref:string,units:long,tokens:long>>").alias("refs"))
+        parts = F.array(F.struct(F.lit("text").alias("type"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("units")))
+    body = visit(parts)
     role = _sql_text(F.col(role_col))
     row = turns.select(F.col(conv_col).alias("conv_id"), F.struct(F.col(turn_col).alias("turn"), role.alias("role"), body.alias("b")).alias("t"))
     by = row.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))

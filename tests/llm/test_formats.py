@@ -191,3 +191,14 @@ def test_extract(spark, sf, crf):
     odd = spark.createDataFrame([(1, None, None, 0), (2, "u", "", 0), (2, "u", "<p", 0), (None, "x", "<nav>" + "<div>" * 5000, 1)], "page_id long, url string, html string, n_chars int")
     assert [r.text for r in html_extract.extract(odd, crf).collect()][:2] == ["", ""]
     assert html_extract.extract(odd.limit(0), crf).count() == 0
+
+
+def test_texts_and_parts_take_one_path(spark, sf, monkeypatch):
+    seen, visit = [], chat.visit
+    monkeypatch.setattr(chat, "visit", lambda parts: seen.append(parts) or visit(parts))
+    assert queries.op3_chat_formatting(spark, sf).count() > 0 and len(seen) == 1
+    p = "array<struct<type:string,text:string,ref:string,units:long>>"
+    texts = ["a <|turn|> b\\", "", None, "<|image:0|> [INST]"]
+    rows = [(1, k, "user", t, [("text", t, None, None)]) for k, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {p}")
+    assert chat.format_chat(d).collect() == chat.format_chat(d, parts_col="parts").collect()
