@@ -78,13 +78,15 @@ def presence(texts: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10.0, rounds: int = 200) -> Model:
+def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10.0, rounds: int = 200, odds: float | None = None) -> Model:
     """Fit on present/absent n-grams.
 
     The log-count ratio of a bucket is log(p / q), p and q its smoothed shares of
     toxic and of other documents. Logistic regression with an L2 penalty learns
     weights over ratio-scaled features, by gradient steps with momentum; classes
-    weigh by the root of their odds. Weights below KEEP become zero. With one
+    weigh by the root of their odds. `odds` are those of toxic rows where texts
+    were sampled from, if the classes were sampled at different rates: rows then
+    weigh as their class does there. Weights below KEEP become zero. With one
     class only, the model is its smoothed share.
     """
     labels = np.asarray(labels, np.float64)
@@ -93,6 +95,7 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
     if n == 0 or pos == 0 or pos == n:
         share = (pos + 0.5) / (n + 1) if n else 0.05
         return Model(np.zeros(size), float(np.log(share / (1 - share))))
+    odds = pos / (n - pos) if odds is None else odds
     feats = presence(texts)
     p, q = np.zeros(size), np.zeros(size)
     for f, y in zip(feats, labels):
@@ -119,8 +122,8 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
             out[full] = np.add.reduceat(values[col], row_at)
         return out
 
-    w, v, bias, vb = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32), float(np.log(pos / (n - pos))), 0.0
-    cost = np.where(labels > 0, np.sqrt((n - pos) / pos), 1.0)
+    w, v, bias, vb = np.zeros(len(ids), np.float32), np.zeros(len(ids), np.float32), float(np.log(odds)), 0.0
+    cost = np.where(labels > 0, np.sqrt(odds) * (n - pos) / pos, 1.0)
     # step size from a bound on the curvature
     step = 1.0 / (0.25 * float((cost * (by_row(r * r) + 1)).max()) * 0.5 + l2)
     step = max(step, 1e-4)
@@ -141,8 +144,8 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows, a quarter of them toxic at most:
-    those of each class with the smallest hash of id. The driver holds only the
-    sample. Rows without label or id are left out; a document with several
+    those of each class with the smallest hash of id, weighed by the counts of
+    both classes in all labels. The driver holds only the sample. Rows without label or id are left out; a document with several
     labels has the largest."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     rank = F.xxhash64("id")
@@ -150,10 +153,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pos = lab.where("y = 1").orderBy(rank, "id").limit(sample // 4)
     neg = lab.where("y <> 1").orderBy(rank, "id").limit(sample - sample // 4)
     chosen = pos.unionByName(neg)
+    of = lab.agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg")).first()
+    odds = of["pos"] / of["neg"] if of["pos"] and of["neg"] else None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("id", "text", "y").toArrow()
     rows = rows.sort_by([("id", "ascending"), ("text", "ascending")])
     text = rows.column("text").combine_chunks()
-    return fit(text if not isinstance(text, pa.ChunkedArray) else pa.concat_arrays(text.chunks), np.asarray(rows.column("y")))
+    return fit(text if not isinstance(text, pa.ChunkedArray) else pa.concat_arrays(text.chunks), np.asarray(rows.column("y")), odds=odds)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

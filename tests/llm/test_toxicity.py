@@ -51,3 +51,15 @@ def test_null_labels_and_one_class(spark):
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (3, 1)], "doc_id long, toxic int")
     m = toxicity.train(docs, labels)
     assert not m.weight.any() and m.bias > 0
+
+
+def test_capped_classes_keep_their_odds(spark, monkeypatch):
+    sf, fit, calls = "/root/testdata/sf0.1", toxicity.fit, []
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y, **more: calls.append((texts, y, more)) or fit(texts, y, **more))
+    whole, part = toxicity.train(docs, labels, sample=10**6), toxicity.train(docs, labels, sample=800)
+    n, toxic = labels.count(), labels.where("toxic = 1").count()
+    texts, y, more = calls[1]
+    assert (y.sum(), len(y)) == (200, 800) and toxic < n / 8
+    assert more["odds"] == toxic / (n - toxic)
+    assert whole.bias < part.bias < fit(texts, y).bias
