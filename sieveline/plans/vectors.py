@@ -78,4 +78,4 @@ def char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotations are free, so there is no SQL; tests compare the products."""
     b = table(spark, sf_dir, "benchmark")
-    return V.svd_embed(V.tfidf(b, "item_id", V.char_grams(F.col("text"), 3, 3)), "item_id", 32)
+    return V.svd_embed(V.tfidf(b, "item_id", V.char_grams(F.col("text"))), "item_id")

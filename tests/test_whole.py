@@ -1,8 +1,11 @@
 """Queries that cover their whole tables, also where their registered SQL has a
 narrower scope."""
 
+import numpy as np
 from oracle import assert_same, connect
+from pyspark.sql import functions as F
 
+from sieveline.operators import vectors
 from sieveline.plans import registry
 
 Q, SQL = registry.queries(), registry.oracle_sql()
@@ -61,3 +64,20 @@ def test_fallback_statement_cuts_at_the_default(spark, sf, tmp_path):
     d = turns(spark, tmp_path, [(0, 0, "user", "x" * 13000), (1, 0, "system", "y" * 500)])
     got = {r.conv_id: r.statement for r in Q["fallback_statement"](spark, d).collect()}
     assert got == {0: "user\n\n" + "x" * 11994, 1: "system\n\n" + "y" * 500}
+
+
+def test_svd_embed_has_all_grams_and_dimensions(spark, sf):
+    e = {r.item_id: np.array(r.embedding) for r in Q["svd_embed"](spark, sf).collect()}
+    rows = vectors.tfidf(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id", vectors.char_grams(F.col("text"))).collect()
+    terms = {t: k for k, t in enumerate(sorted({r.term for r in rows}))}
+    assert {len(t) for t in terms} == {3, 4, 5}
+    ids = sorted(e)
+    x = np.zeros((len(ids), len(terms)))
+    for r in rows:
+        x[ids.index(r.item_id), terms[r.term]] = r.weight
+    got, rank = np.array([e[i] for i in ids]), min(256, len(ids) - 1)
+    assert got.shape == (len(ids), 256) and not got[:, rank:].any()
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    want = (u * s)[:, :rank]
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    assert np.abs(got @ got.T - want @ want.T).max() < 1e-3
