@@ -63,7 +63,7 @@ def context_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH u AS (SELECT user_id, count(*) FILTER (event_type IN ('click', 'error')) AS c FROM events WHERE event_id % 20 = 0 GROUP BY user_id)
+WITH u AS (SELECT user_id, count(*) FILTER (event_type IN ('click', 'error')) AS c FROM events GROUP BY user_id)
 SELECT count(*) AS n, count(*) FILTER (c > 0) AS n_using, CAST(sum(c) AS BIGINT) AS n_calls FROM u
 """)
 def tool_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def empty_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.empty_graphs(nodes, edges, c, "c_custkey").distinct()
 
 
-@register("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents WHERE doc_id % 2 = 0 GROUP BY source HAVING count(*) >= 30) AND doc_id % 2 = 0")
+@register("SELECT doc_id, source FROM documents WHERE source IN (SELECT source FROM documents GROUP BY source HAVING count(*) >= 30)")
 def minimum_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.keep_mapped(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 30).select("doc_id", "source")
 

@@ -63,7 +63,7 @@ def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH node AS (SELECT conv_id, turn, conv_id || ':' || turn AS node, regexp_extract_all(lower(coalesce(text, '')), '[a-z_]{2,}') AS t FROM conversations),
-q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z_]{2,}'))) AS token FROM benchmark WHERE item_id < 5),
+q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z_]{2,}'))) AS token FROM benchmark),
 c AS (SELECT count(*) AS n, avg(len(t)) AS av FROM node),
 tf AS (SELECT node, token, count(*) AS c, any_value(l) AS l FROM (SELECT node, unnest(t) AS token, len(t) AS l FROM node) GROUP BY ALL),
 df AS (SELECT token, count(*) AS df FROM tf GROUP BY token),

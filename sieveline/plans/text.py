@@ -100,7 +100,7 @@ def version_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH f AS (SELECT conv_id, arg_min(text, turn) FILTER (role = 'system') AS s, arg_min(text, turn) FILTER (role = 'user') AS u FROM conversations GROUP BY conv_id)
-SELECT conv_id, substr(CASE WHEN coalesce(s, '') <> '' THEN 'system' || chr(10) || chr(10) || s WHEN coalesce(u, '') <> '' THEN 'user' || chr(10) || chr(10) || u ELSE 'none' END, 1, 200) AS statement, right(coalesce(u, ''), 50) AS ending FROM f
+SELECT conv_id, substr(CASE WHEN coalesce(s, '') <> '' THEN 'system' || chr(10) || chr(10) || s WHEN coalesce(u, '') <> '' THEN 'user' || chr(10) || chr(10) || u ELSE 'none' END, 1, 12000) AS statement, right(coalesce(u, ''), 50) AS ending FROM f
 """)
 def fallback_statement(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = lambda r: F.min_by("text", "turn") if r is None else F.min_by(F.when(F.col("role") == r, F.col("text")), F.when(F.col("role") == r, F.col("turn")))
@@ -115,7 +115,7 @@ def prompt_render(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(r"""
 WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(coalesce(text, '')), '[a-z_]{2,}'), lambda x: length(x)) AS ids, conv_id % 9 AS b FROM conversations),
-c AS (SELECT *, ids[1:64] AS cut, least(turn + 3, 64) AS pl FROM t),
+c AS (SELECT *, ids[1:2048] AS cut, least(turn + 3, 2048) AS pl FROM t),
 l AS (SELECT *, list_concat(list_transform(range(pl), lambda x: CAST(-100 AS BIGINT)), cut[pl + 1:]) AS labels, max(len(cut)) OVER (PARTITION BY b) AS m FROM c)
 SELECT conv_id, turn, array_to_string(list_concat(cut, list_transform(range(m - len(cut)), lambda x: CAST(0 AS BIGINT))), ' ') AS ids,
   array_to_string(list_concat(labels, list_transform(range(m - len(cut)), lambda x: CAST(-100 AS BIGINT))), ' ') AS labels,
