@@ -26,107 +26,172 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 #: An open element that the start of another ends: paragraphs by any block, and
 #: items of a kind by the next.
 _P_STAYS = INLINE | HIDDEN | VOID - {"hr"}
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_LIMIT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_SCOPE = {"html", "table", "td", "th", "caption", "button", "object", "template"}
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+_SCOPE = frozenset("html table td th caption button object template".split())
+_LISTS = frozenset("ul ol menu".split())
+#: Kinds of elements that a start ends: those that it ends, and those behind
+#: which it doesn't look for one.
+_ENDS = (({"p"}, _SCOPE), ({"li"}, _LISTS | _SCOPE), ({"dt", "dd"}, {"dl"} | _SCOPE), ({"tr", "td", "th"}, _SCOPE - {"td", "th"}), ({"td", "th"}, {"tr"} | _SCOPE), ({"option"}, {"select"} | _SCOPE))
+_ENDED_BY = {"li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+_MOVES = {t: tuple(1 if t in own else -1 if t in limit else 0 for own, limit in _ENDS) for t in {x for own, limit in _ENDS for x in own | limit}}
+
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+_TO_VALUE, _BLANK = re.compile(r"[^>=]*"), re.compile(r"\s*")
+_ATTR = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _SPACES = re.compile(r"[\s\x00]+")
+_HUGE_REF = re.compile(r"&#0*[0-9]{8,};?")  # beyond all code points, and too long for int()
+
+#: Words in classes, ids and roles that features tell apart; those of boxes that
+#: are no part of an article, those of its readers' comments, those of its body;
+#: and elements that are such boxes.
+NOISE = ("ad ads advert advertisement sponsor sponsored promo promotion banner cookie consent gdpr notice alert sidebar side rail menu nav navigation breadcrumb breadcrumbs footer masthead topbar share social follow related recommended newsletter subscribe signup login modal popup overlay widget tags form search copyright legal pagination pager toc complementary contentinfo").split()
+TALK = "comment comments reply replies disqus respond discussion".split()
+BOXES = frozenset("nav footer aside form menu dialog".split())
+BODY = "article content post entry main story body text".split()
+CUES = [*NOISE, *TALK, *BODY, "header", "meta", "byline", "author"]
+_CUE, _NOISE, _TALK, _BODY = (frozenset(x) for x in (CUES, NOISE, TALK, BODY))
+
+
+class Node(NamedTuple):
+    """An open element, with what its ancestors and itself add up to."""
+
+    tag: str
+    tags: frozenset[str]  # those that features know
+    own: str  # the innermost that is not inline
+    cues: frozenset[str]
+    noise: bool  # inside a box of noise, and no article or its body inside of that
+    talk: bool
+    headed: bool  # in a header of an article
+    near: tuple[int, ...]  # where the nearest of each kind of _ENDS is open, or -1
 
-#: Words in classes, ids and roles that features tell apart.
-CUES = ("ad ads advert advertisement sponsor sponsored promo promotion banner cookie consent gdpr notice alert comment comments reply replies disqus sidebar side rail menu nav navigation breadcrumb breadcrumbs footer header masthead topbar share social follow related recommended newsletter subscribe signup login modal popup overlay widget tags meta byline author article content post entry main story body text search form copyright legal pagination pager toc complementary contentinfo").split()
-_CUE = frozenset(CUES)
+
+_ROOT = Node("", frozenset(), "", frozenset(), False, False, False, (-1,) * len(_ENDS))
 
 
 class Block(NamedTuple):
     text: str
-    path: tuple[str, ...]  # tags of open elements, outermost first
-    cues: frozenset[str]
+    node: Node
     linked: int  # characters inside links
 
 
+def _tag_end(html: str, at: int) -> int:
+    """Place of the > that ends a tag's attributes, or -1. Quotes count after =
+    only; one that isn't closed, or behind a > but not before white space, / or
+    another >, is none."""
+    gt = html.find(">", at)
+    part = html[at:gt]
+    if gt < 0 or "'" not in part and part.count('"') % 2 == 0:
+        return gt
+    while True:
+        at = _TO_VALUE.match(html, at).end()
+        if at == len(html) or html[at] == ">":
+            return at if at < len(html) else -1
+        at = _BLANK.match(html, at + 1).end()
+        quote = html[at : at + 1]
+        if quote in ('"', "'") and quote:
+            end = html.find(quote, at + 1)
+            if end < 0 or html[end + 1 : end + 2] not in ("", " ", "\t", "\n", "\r", "\f", "/", ">") and ">" in html[at:end]:
+                return html.find(">", at)
+            at = end + 1
+
+
+def _opened(tag: str, attrs: str, up: Node, depth: int) -> Node:
+    cues = frozenset()
+    if "=" in attrs and tag not in ("html", "body"):
+        words = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)).lower()
+        if words:
+            cues = _CUE.intersection(re.split(r"[^a-z]+", words))
+    near, moves = up.near, _MOVES.get(tag)
+    if moves:
+        near = tuple(depth if m > 0 else -1 if m < 0 else x for x, m in zip(near, moves))
+    tags = up.tags | {tag} if tag in _SEEN and tag not in up.tags else up.tags
+    noise = tag in BOXES or bool(cues & _NOISE) or up.noise and not (tag in ("article", "main") or cues & _BODY)
+    return Node(tag, tags, up.own if tag in INLINE else tag, up.cues | cues if cues else up.cues, noise, up.talk or bool(cues & _TALK), up.headed or tag == "header" and not up.tags.isdisjoint(("article", "main")), near)
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    """Runs of text that no block element interrupts, with their ancestors."""
+    """Runs of text that no block element interrupts, with what they lie in.
+
+    Time is linear in the page, whatever its markup: ancestors are summed up as
+    elements open, and nothing is searched for again once it was not found."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack: list[Node] = []
+    count: dict[str, int] = {}
     buf: list[str] = []
-    linked = hidden = links = 0
+    linked = hidden = 0
 
     def flush():
         nonlocal linked
         if buf:
-            text = _SPACES.sub(" ", unescape("".join(buf))).strip()
+            text = _SPACES.sub(" ", unescape(_HUGE_REF.sub("\ufffd", "".join(buf)))).strip()
             if text:
-                out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(c for _, c in stack)) if stack else frozenset(), linked))
+                out.append(Block(text, stack[-1] if stack else _ROOT, linked))
             buf.clear()
             linked = 0
 
-    def pop():
-        nonlocal hidden, links
-        tag, _ = stack.pop()
-        hidden -= tag in HIDDEN
-        links -= tag == "a"
-
-    def close_to(wanted: set[str], limit: set[str]):
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in wanted:
-                flush()
-                while len(stack) > k:
-                    pop()
-                return
-            if stack[k][0] in limit or stack[k][0] in _SCOPE:
-                return
+    def close(to: int):
+        nonlocal hidden
+        while len(stack) > to:
+            tag = stack.pop().tag
+            count[tag] -= 1
+            hidden -= tag in HIDDEN
 
     at, n = 0, len(html)
     while at < n:
-        m = _TOKEN.search(html, at)
-        end = m.start() if m else n
+        lt = html.find("<", at)
+        end = n if lt < 0 else lt
         if end > at and not hidden:
-            s = html[at:end]
-            buf.append(s)
-            if links:
-                linked += len(s)
-        if not m:
+            buf.append(html[at:end])
+            if count.get("a"):
+                linked += end - at
+        if lt < 0:
             break
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+        m = _NAME.match(html, lt + 1)
+        if not m:
+            if html.startswith("<!--", lt):
+                at = html.find("-->", lt + 2) + 3
+                at = at if at > 2 else n
+            elif html[lt + 1 : lt + 2] in ("!", "?"):
+                at = html.find(">", lt) + 1 or n
+            else:
+                at = lt + 1
+                if not hidden:
+                    buf.append("<")
             continue
-        tag = tag.lower()
+        gt = _tag_end(html, m.end())
+        if gt < 0:  # no tag ends any more: the rest is text
+            if not hidden:
+                buf.append(html[lt:])
+            break
+        attrs, at = html[m.end() : gt], gt + 1
+        tag = m[2].lower()
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None:
+            if count.get(tag):
                 if tag not in INLINE:
                     flush()
-                while len(stack) > k:
-                    pop()
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                close(k)
             elif tag == "br" and not hidden:
                 buf.append(" ")
             continue
         if tag not in INLINE:
             flush()
-        if tag not in _P_STAYS:
-            close_to({"p"}, set())
-        if tag in _SAME:
-            close_to(_SAME[tag], _LIMIT[tag])
+        for kind in ([] if tag in _P_STAYS else [0]) + ([_ENDED_BY[tag]] if tag in _ENDED_BY else []):
+            if stack and stack[-1].near[kind] >= 0:
+                flush()
+                close(stack[-1].near[kind])
         if tag in VOID:
-            if tag in ("br", "wbr", "img", "input") and not hidden and tag != "wbr":
+            if tag in ("br", "img", "input") and not hidden:
                 buf.append(" ")
             continue
-        attrs = m[3]
-        cues = frozenset()
-        if attrs and "=" in attrs:
-            words = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)).lower()
-            if words:
-                cues = _CUE.intersection(re.split(r"[^a-z]+", words))
         if tag in RAW:
-            close = _RAW_END[tag].search(html, at)
-            at = close.start() if close else n
-        stack.append((tag, cues))
+            raw = _RAW_END[tag].search(html, at)
+            at = raw.start() if raw else n
+        stack.append(_opened(tag, attrs, stack[-1] if stack else _ROOT, len(stack)))
+        count[tag] = count.get(tag, 0) + 1
         hidden += tag in HIDDEN
-        links += tag == "a"
     flush()
     return out
 
@@ -134,37 +199,37 @@ def leaf_blocks(html: str) -> list[Block]:
 # -- features ----------------------------------------------------------------
 
 _TAGS = "nav header footer aside form article main section div ul ol li table tr td th p h1 h2 h3 h4 h5 h6 pre blockquote figure figcaption dl dt dd a button label address details summary b strong em span menu dialog body".split()
-_NAMES = ["bias", *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _TAGS), *(f"cue:{c}" for c in CUES), *(f"words:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), *(f"commas:{k}" for k in range(4)), "stop", "copyright", "first", "digits", "short_link", "no_article", "article_h1", "article_header"]
+_NAMES = ["bias", *(f"in:{t}" for t in _TAGS), *(f"own:{t}" for t in _TAGS), *(f"cue:{c}" for c in CUES), *(f"words:{k}" for k in range(9)), *(f"links:{k}" for k in range(5)), *(f"commas:{k}" for k in range(4)), "stop", "copyright", "first", "digits", "short_link", "no_article", "article_h1", "article_header", "noise", "noise_inside", "talk"]
+_SEEN = frozenset(_TAGS)
 FEATURE = {n: k for k, n in enumerate(_NAMES)}
 
 
 def features(blocks: list[Block]) -> list[list[int]]:
-    any_article = any("article" in b.path or "main" in b.path for b in blocks)
+    body = ("article", "main")
+    any_article = any(not b.node.tags.isdisjoint(body) for b in blocks)
     out = []
     for k, b in enumerate(blocks):
+        at = b.node
         n = b.text.count(" ") + 1
-        f = {"bias", f"words:{min(8, n.bit_length())}", f"links:{min(4, 4 * b.linked // max(1, len(b.text)))}", f"commas:{min(3, b.text.count(',') + b.text.count('. '))}"}
-        f.update(f"in:{t}" for t in b.path)
-        own = [t for t in b.path if t not in INLINE]
-        if own:
-            f.add(f"own:{own[-1]}")
-        f.update(f"cue:{c}" for c in b.cues)
-        if b.text[-1] in ".!?…\"”":
-            f.add("stop")
-        if "©" in b.text or "copyright" in b.text.lower():
-            f.add("copyright")
-        if k == 0:
-            f.add("first")
-        if sum(c.isdigit() for c in b.text) * 3 > len(b.text):
-            f.add("digits")
-        if b.linked and n <= 4:
-            f.add("short_link")
-        if any_article and "article" not in b.path and "main" not in b.path:
-            f.add("no_article")
-        if "h1" in b.path and "article" in b.path:
-            f.add("article_h1")
-        if "header" in b.path and ({"article", "main"} & set(b.path[: b.path.index("header")])):
-            f.add("article_header")
+        inside = not at.tags.isdisjoint(body)
+        f = {"bias", f"words:{min(8, n.bit_length())}", f"links:{min(4, 4 * b.linked // max(1, len(b.text)))}", f"commas:{min(3, b.text.count(',') + b.text.count('. '))}", f"own:{at.own}"}
+        f.update(f"in:{t}" for t in at.tags)
+        f.update(f"cue:{c}" for c in at.cues)
+        for name, holds in (
+            ("stop", b.text[-1] in ".!?…\"”"),
+            ("copyright", "©" in b.text or "copyright" in b.text.lower()),
+            ("first", k == 0),
+            ("digits", sum(c.isdigit() for c in b.text) * 3 > len(b.text)),
+            ("short_link", b.linked and n <= 4),
+            ("no_article", any_article and not inside),
+            ("article_h1", "h1" in at.tags and "article" in at.tags),
+            ("article_header", at.headed),
+            ("noise", at.noise),
+            ("noise_inside", at.noise and inside),
+            ("talk", at.talk),
+        ):
+            if holds:
+                f.add(name)
         out.append([FEATURE[x] for x in f if x in FEATURE])
     return out
 
@@ -271,14 +336,41 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             block(f'<li><a href="/{word()}">', " ".join(word() for _ in range(rng.randint(1, 3))), "</a></li>", 0)
         parts.append(f"</ul></{tag}>")
 
+    def box(classes, tags="div div div section p aside"):
+        tag = rng.choice(tags.split())
+        key = rng.choice(["class", "class", "class", "id"])
+        return f'<{tag} {key}="{rng.choice(classes)}">', f"</{tag}>"
+
+    def talk():
+        """Readers' comments, in any of the usual shapes."""
+        open_, close = rng.choice([("<section {}>", "</section>"), ("<div {}>", "</div>"), ("<div {}>", "</div>"), ("<ol {}>", "</ol>"), ("<ul {}>", "</ul>")])
+        name = rng.choice(["comments", "comment-list", "comments-area", "post-comments", "replies", "disqus thread", "discussion"])
+        each = ("<li>", "</li>") if "l" in close[2:4] and rng.random() < 0.5 else rng.choice([('<div class="comment">', "</div>"), ('<article class="comment">', "</article>"), ('<li class="comment">', "</li>"), ('<div class="reply"><div class="body">', "</div></div>"), ("<p>", "</p>"), ('<div class="comment"><blockquote>', "</blockquote></div>")])
+        alone = rng.random() < 0.25 and "comment" in each[0]
+        if not alone:
+            parts.append(open_.format(f'{rng.choice(["class", "id"])}="{name}"'))
+            if rng.random() < 0.4:
+                block("<h3>", sentence(1, 4), "</h3>", 0)
+        for _ in range(rng.randint(1, 4)):
+            inner = ("<p>", "</p>") if each[0] != "<p>" and rng.random() < 0.7 else ("", "")
+            block(each[0] + inner[0], " ".join(sentence(2, 18) for _ in range(rng.randint(1, 3))), inner[1] + each[1], 0)
+        if not alone:
+            parts.append(close)
+
     def noise(inside=False):
-        k = rng.choice(["ad", "cookie", "form", "aside", "share", "related", "newsletter", "notice"] + ([] if inside else ["menu"]))
-        if k == "ad":
-            block(f'<div class="{rng.choice(["ad", "ads", "advert", "ad-banner", "sponsored", "promo"])}">', sentence(3, 18), "</div>", 0)
-        elif k == "cookie":
-            block(f'<div id="{rng.choice(["cookie", "cookie-consent", "gdpr-banner"])}"><p>', sentence(6, 25), "</p></div>", 0)
-        elif k == "notice":
-            block(f'<div class="{rng.choice(["notice", "alert", "site-notice"])}">', sentence(4, 20), "</div>", 0)
+        k = rng.choice(["ad", "cookie", "form", "aside", "share", "related", "newsletter", "notice", "notice"] + (["talk", "talk", "footer", "nav"] if inside else ["menu"]))
+        long_ = lambda: " ".join(sentence(3, 18) for _ in range(rng.randint(1, 3)))
+        if k == "talk":
+            talk()
+        elif k in ("ad", "cookie", "notice", "newsletter"):
+            names = {"ad": "ad ads advert ad-banner sponsored promo advertisement", "cookie": "cookie cookie-consent gdpr-banner", "notice": "notice alert site-notice notice-box", "newsletter": "newsletter newsletter-signup subscribe"}[k]
+            open_, close = box(names.split())
+            inner = ("<p>", "</p>") if not open_.startswith("<p") and rng.random() < 0.5 else ("", "")
+            deep = rng.randint(0, 2) if not open_.startswith("<p") else 0
+            parts.append(open_ + "<div>" * deep)
+            for _ in range(rng.randint(1, 3) if inner[0] else 1):
+                block(inner[0], long_(), inner[1], 0)
+            parts.append("</div>" * deep + close)
         elif k == "form":
             parts.append("<form>")
             block("<label>", word(), "</label><input name=q>", 0) if rng.random() < 0.5 else block("<p>", sentence(3, 28), "</p>", 0)
@@ -290,10 +382,13 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             for _ in range(rng.randint(1, 3)):
                 block("<p>", sentence(4, 30), "</p>", 0)
             parts.append(end)
+        elif k == "footer":
+            open_, close = rng.choice([("<footer>", "</footer>"), ("<footer><p>", "</p></footer>"), ('<div class="footer"><p>', "</p></div>")])
+            block(open_, long_(), close, 0)
+        elif k == "nav":
+            menu("nav") if rng.random() < 0.6 else block("<nav>", sentence(2, 12), "</nav>", 0)
         elif k == "share":
             block('<div class="share social">', " ".join(word() for _ in range(rng.randint(1, 4))), "</div>", 0)
-        elif k == "newsletter":
-            block('<div class="newsletter subscribe"><p>', sentence(4, 20), "</p></div>", 0)
         elif k == "menu":
             menu("div", ' class="menu"')
         else:
@@ -343,20 +438,19 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             block("<td>", sentence(1, 6), "</td>", 1)
             block("<td>", sentence(1, 6), "</td>", 1)
             parts.append("</tr></table>")
+        elif r < 0.915:
+            parts.append("<div><div>")
+            block(rng.choice(["<p>", "<pre>"]), sentence(2, 20), "", 1)
+            parts.append("</pre></div></div>" if "<pre>" in parts[-1] else "</p></div></div>")
+        elif r < 0.93:
+            block("<figure><img src=x><figcaption>", sentence(2, 14), "</figcaption></figure>", 1)
         elif k:
             noise(True)
-    if rng.random() < 0.15:
-        parts.append('<section class="comments" id="comments">')
-        for _ in range(rng.randint(1, 4)):
-            block('<div class="comment"><p>', " ".join(sentence(2, 18) for _ in range(rng.randint(1, 3))), "</p></div>", 0)
-        parts.append("</section>")
-    parts.append(shell[1])
     if rng.random() < 0.25:
-        parts.append('<div id="comments" class="comments">')
-        for _ in range(rng.randint(1, 5)):
-            block(rng.choice(['<article class="comment"><p>', '<div class="comment"><p>', '<li class="comment"><p>']), " ".join(sentence(2, 18) for _ in range(rng.randint(1, 3))), "", 0)
-            parts.append("</p></article>" if parts[-1].startswith("<article") else "</p></div>" if parts[-1].startswith("<div") else "</p></li>")
-        parts.append("</div>")
+        talk() if rng.random() < 0.6 else noise(True)
+    parts.append(shell[1])
+    if rng.random() < 0.3:
+        talk()
     for _ in range(rng.choice([0, 0, 1, 2])):
         noise()
     if rng.random() < 0.9:
@@ -397,8 +491,10 @@ def extract(pages: DataFrame, crf: Crf | None = None, id_col: str = "page_id", u
     CRF labels them all at once, and the blocks of the article are joined by one
     line break in page order. The CRF is fitted on labelled pages that train()
     makes up, or given. Null, empty or markup-only pages give the empty text.
-    Broken markup ends where the page ends. Repeated rows and ids get a row
-    each; extra columns are ignored. A map-only pass.
+    Broken markup ends where the page ends; a quote that is not closed is none.
+    Very long and deeply nested pages take time in proportion to their length.
+    Repeated rows and ids get a row each; no rows give no rows; extra columns,
+    whatever their names, are ignored. A map-only pass.
     """
     spark = pages.sparkSession
     ship(spark)

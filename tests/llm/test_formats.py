@@ -172,6 +172,9 @@ def test_viterbi_is_the_best_path(crf):
         ("<h1>t &am</h1><p title='a>b'>x</p></nope>", ["t &am", "x"]),
         ("plain < text", ["plain < text"]),
         ("<textarea><p>x</textarea><p>y<unclosed", ["y<unclosed"]),
+        ("<p title=\"it>one</p><p class=\"x\">two", ["one", "two"]),
+        ("<p title='it>one", ["one"]),
+        ("<a href=\"x\"title='y>z'>k</a> &#" + "9" * 5000 + ";", ["k \ufffd"]),
     ],
 )
 def test_leaf_blocks(html, want):
@@ -202,3 +205,55 @@ def test_texts_and_parts_take_one_path(spark, sf, monkeypatch):
     rows = [(1, k, "user", t, [("text", t, None, None)]) for k, t in enumerate(texts)]
     d = spark.createDataFrame(rows, f"conv_id long, turn long, role string, text string, parts {p}")
     assert chat.format_chat(d).collect() == chat.format_chat(d, parts_col="parts").collect()
+
+
+def made_page(rng):
+    """A page with boxes of noise inside its article, and its article's text;
+    made another way than the pages that the model learns from."""
+    say = lambda n: " ".join(rng.choice("rain over hills walked slowly, then again; nobody saw him there until morning came".split()) for _ in range(n)).capitalize() + "."
+    noise = [
+        lambda x: f'<div class="comments"><h4>{say(2)}</h4><div class="comment-body"><p>{x}</p></div></div>',
+        lambda x: f'<div class="comment"><p>{x}</p></div>',
+        lambda x: f'<ol class="comment-list"><li>{x}</li><li><p>{say(8)}</p></li></ol>',
+        lambda x: f'<section id="comments"><ul><li class="reply">{x}</li></ul></section>',
+        lambda x: f'<div class="notice">{x}</div>',
+        lambda x: f'<div class="notice notice-info"><div><p>{x}</p><p>{say(9)}</p></div></div>',
+        lambda x: f'<div role="alert"><p>{x}</p></div>',
+        lambda x: f'<aside><p>{x}</p></aside>',
+        lambda x: f'<div id="ad-slot" class="ad"><span>{x}</span></div>',
+        lambda x: f'<form action="/s"><p>{x}</p><input type=text></form>',
+        lambda x: f'<footer><p>{x}</p></footer>',
+        lambda x: f'<nav><a href="/1">{say(2)}</a> <a href="/2">{say(3)}</a></nav>',
+        lambda x: f"<script>var x = '<p>{x}</p>';</script>",
+    ]
+    want, parts = [], []
+    title = say(4)
+    want.append(title)
+    for _ in range(rng.randint(3, 9)):
+        if parts and rng.random() < 0.45:
+            parts.append(rng.choice(noise)(say(rng.randint(5, 30))))
+        else:
+            x = " ".join(say(rng.randint(4, 15)) for _ in range(rng.randint(2, 4)))
+            want.append(x)
+            parts.append(rng.choice(["<p>{}</p>", "<p>{}", "<div><p>{}</p></div>", "<blockquote>{}</blockquote>"]).format(x))
+    return f"<html><body><header><a href='/'>{say(2)}</a></header><nav><ul><li><a href=/a>{say(1)}</a></ul></nav><article><h1>{title}</h1>{''.join(parts)}</article><footer>&copy; {say(3)}</footer></body></html>", "\n".join(want)
+
+
+def test_noise_inside_articles(crf):
+    rng = random.Random(99)
+    pages = [made_page(rng) for _ in range(400)]
+    wrong = [(h, w) for h, w in pages if html_extract.main_text(h, crf) != w]
+    assert len(wrong) <= 4, wrong[0]
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<div>x", "<div>x</p></span>", '<a b="x>', "<", "<!--", "<script>", "<ul><li>a", "<table><tr><td>b", "&#9", '<i id="comment" '])
+def test_pages_take_linear_time(crf, unit):
+    import time
+
+    page = (unit * 40_000)[:32_768]
+    took = []
+    for text in (page, page, page * 8):
+        began = time.perf_counter()
+        html_extract.main_text(text, crf)
+        took.append(time.perf_counter() - began)
+    assert min(took[:2]) < 0.25 and took[2] < 20 * max(min(took[:2]), 0.005)
