@@ -12,11 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, stored
+from .joins import join_groups
 from .kernel import blocks, ragged, text_arrays
 
-#: Bytes of text in a chunk, and words of a bucket's table before it starts anew.
-CHUNK, TABLE = 12 << 20, 2_000_000
+#: Bytes of text in a chunk.
+CHUNK = 12 << 20
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -97,137 +98,108 @@ def _unpack(data: bytes) -> bytes:
     return _zstd.decompress(data[8:], n, asbytes=True) if n else b""
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows -> packed chunks of whole texts, numbered by partition and place."""
-    from pyspark import TaskContext
-
-    part, seq = TaskContext.get().partitionId(), 0
-    ids, texts, lens, size = [], [], [], 0
-
-    def flush():
-        nonlocal seq, ids, texts, lens, size
-        one = pa.concat_arrays(ids)
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, pa.schema([("id", one.type)])) as w:
-            w.write_batch(pa.record_batch([one], ["id"]))
-        row = pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), pa.array([_pack(sink.getvalue().to_pybytes())], pa.binary()), pa.array([_pack(np.concatenate(lens).astype("<i8").tobytes())], pa.binary()), pa.array([_pack(np.concatenate(texts).tobytes())], pa.binary())], names=["chunk", "ids", "lens", "data"])
-        seq += 1
-        ids, texts, lens, size = [], [], [], 0
-        return row
-
-    for batch in batches:
-        for i, j, buf, at in blocks(batch.column(1)):
-            ids.append(batch.column(0).slice(i, j - i))
-            texts.append(buf)
-            lens.append(np.diff(at))
-            size += len(buf) + 64 * (j - i)
-            if size >= CHUNK:
-                yield flush()
-    if ids:
-        yield flush()
-
-
-def _texts(lens: bytes, data: bytes) -> Iterator[str]:
-    raw, at = _unpack(data), 0
-    for n in np.frombuffer(_unpack(lens), "<i8").tolist():
-        yield raw[at : at + n].decode("utf-8", "replace")
-        at += n
-
-
-def _distinct(spec_of, buckets: int):
-    """Each chunk's distinct words, dealt to buckets by their hash; a word's
-    place in its chunk's blob of a bucket is what its ids come back by."""
-    import xxhash
+class _Numbers(dict):
+    """Numbers for words, in the order in which they first come."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _split(spec_of):
+    """Rows -> chunks of whole texts: their ids, how many words each has, which
+    of the chunk's distinct words stands at every position, and those words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         split = _splitter(spec_of.value)
+        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        place, ids, counts, codes = _Numbers(), [], [], []
+
+        def flush():
+            one = pa.concat_arrays(ids)
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, pa.schema([("id", one.type)])) as w:
+                w.write_batch(pa.record_batch([one], ["id"]))
+            packed = [sink.getvalue().to_pybytes(), np.array(counts, "<i8").tobytes(), np.concatenate(codes).astype("<u4").tobytes()]
+            words = pa.array(list(place), pa.string())
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in packed), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["chunk", "ids", "counts", "codes", "words"])
+
         for batch in batches:
-            for chunk, lens, data in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3)):
-                seen: set[str] = set()
-                for t in _texts(lens.as_py(), data.as_py()):
-                    seen.update(split.words(t))
-                by: list[list[str]] = [[] for _ in range(buckets)]
-                for w in seen:
-                    by[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
-                full = [b for b in range(buckets) if by[b]]
-                for b in full:
-                    by[b].sort()
-                packed = []
-                for b in full:
-                    enc = [w.encode() for w in by[b]]
-                    packed.append(_pack(np.array([len(e) for e in enc], "<u4").tobytes() + b"".join(enc)))
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), pa.array([len(by[b]) for b in full], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "chunk", "n", "words"])
+            for i, j, buf, at in blocks(batch.column(1)):
+                ids.append(batch.column(0).slice(i, j - i))
+                raw = buf.tobytes()
+                for a, b in zip(at.tolist(), at[1:].tolist()):
+                    words = split.words(raw[a:b].decode("utf-8", "replace"))
+                    counts.append(len(words))
+                    codes.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                size += len(buf) + 64 * (j - i)
+                if size >= CHUNK:
+                    yield flush()
+                    place, ids, counts, codes = _Numbers(), [], [], []
+                    seq, size = seq + 1, 0
+        if ids:
+            yield flush()
 
     return run
 
 
 def _encode(spec_of):
-    """Encode each distinct word of a bucket once; answer every chunk's blob."""
+    """Ids of distinct words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(spec_of.value)
-        table: dict[bytes, np.ndarray] = {}
-        bucket_of = None
         for batch in batches:
-            for bucket, chunk, n, blob in zip(*(c.to_pylist() for c in batch.columns)):
-                if bucket != bucket_of or len(table) > TABLE:
-                    table, bucket_of = {}, bucket
-                raw = _unpack(blob)
-                at = [0, *np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64).tolist()]
-                raw = raw[4 * n :]
-                words = [raw[a:b] for a, b in zip(at, at[1:])]
-                new = [w for w in words if w not in table]
-                table.update(zip(new, split.encode([w.decode() for w in new])))
-                ids = [table[w] for w in words]
-                size = np.array([len(x) for x in ids], "<u4")
-                flat = np.array([i for x in ids for i in x], "<u4")
-                yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([blob], pa.binary()), pa.array([n], pa.int32()), pa.array([_pack(size.tobytes() + flat.tobytes())], pa.binary())], names=["chunk", "words", "n", "ids"])
+            ids = split.encode(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
 
     return run
 
 
-def _join_back(spec_of, pieces_of):
-    """A chunk's texts with its words' ids -> ids and decoded text per row."""
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        split = _splitter(spec_of.value)
-        place: dict[str, int] = {}
-        sizes, flats = [], []
-        for blob, n, ids in zip(*(right.column(c).to_pylist() for c in ("words", "n", "ids"))):
-            raw = _unpack(blob)
-            at = [0, *np.cumsum(np.frombuffer(raw, "<u4", n), dtype=np.int64).tolist()]
-            raw = raw[4 * n :]
-            base = len(place)
-            place.update((raw[a:b].decode(), base + k) for k, (a, b) in enumerate(zip(at, at[1:])))
-            raw = _unpack(ids)
-            sizes.append(np.frombuffer(raw, "<u4", n))
-            flats.append(np.frombuffer(raw, "<u4", offset=4 * n))
-        size = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
-        flat = np.concatenate(flats) if flats else np.zeros(0, np.uint32)
-        first = np.cumsum(size) - size
-        out = []
-        for ids, lens, data in zip(left.column("ids"), left.column("lens"), left.column("data")):
-            own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
-            codes = []
-            for t in _texts(lens.as_py(), data.as_py()):
-                words = split.words(t)
-                try:
-                    w = np.fromiter(map(place.__getitem__, words), np.int64)
-                except KeyError:  # the rows came in another order when they were read again
-                    new = sorted({x for x in words if x not in place})
-                    place.update((x, len(size) + k) for k, x in enumerate(new))
-                    more = split.encode(new)
-                    size = np.append(size, [len(x) for x in more])
-                    flat = np.append(flat, np.array([i for x in more for i in x], np.uint32))
-                    first = np.cumsum(size) - size
-                    w = np.fromiter(map(place.__getitem__, words), np.int64)
-                codes.append(flat[ragged(first[w], size[w])])
-            n = np.array([len(c) for c in codes], np.int64)
-            every = np.concatenate(codes) if codes else flat[:0]
-            dec, dec_ofs = decode_ids(every, n, *pieces_of.value)
-            b = pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)), pa.py_buffer(every.astype("<u4"))])
-            out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(n), b, _as_text(dec, dec_ofs)], names=["doc_id", "n_tokens", "ids", "decoded"]))
-        return pa.concat_tables(out)
-
-    return run
+def _gather(parts: pa.Array, order: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of word codes: the words' parts one after the other, as bytes
+    and offsets. order: the part of each code."""
+    data, at = text_arrays(parts)
+    start, size = at[:-1][order], np.diff(at)[order]
+    done = np.concatenate([[0], np.cumsum(size[codes])])
+    out = np.empty(int(done[-1]), np.uint8)
+    for c in range(0, len(codes), 1 << 18):
+        k = codes[c : c + (1 << 18)]
+        out[done[c] : done[c + len(k)]] = data[ragged(start[k], size[k])]
+    return out, done[np.concatenate([[0], np.cumsum(counts)])]
+
+
+def _put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+    """A chunk, and its distinct words' ids and pieces -> ids and decoded text
+    of each of its rows, by the words' positions."""
+    out = []
+    order = np.argsort(right.column("place").to_numpy(), kind="stable")
+    for ids, counts, codes in zip(*(left.column(c) for c in ("ids", "counts", "codes"))):
+        own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
+        n = np.frombuffer(_unpack(counts.as_py()), "<i8")
+        code = np.frombuffer(_unpack(codes.as_py()), "<u4")
+        flat, ofs = _gather(right.column("ids"), order, code, n)
+        kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
+        b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
+        out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(np.diff(ofs) // 4), b.cast(pa.binary()), _as_text(*_gather(right.column("spelt"), order, code, n))], names=["doc_id", "n_tokens", "ids", "decoded"]))
+    return pa.concat_tables(out)
+
+
+def word_table(words: DataFrame, spec_of, spec: str) -> DataFrame:
+    """Distinct words (word, and how many rows have it) -> ids (packed) and the
+    bytes that they stand for: each word is encoded once, each of its ids is
+    joined to its piece."""
+    spark = words.sparkSession
+    pieces = piece_table(spec)
+    table = spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
+    coded = words.mapInArrow(_encode(spec_of), "word string, c long, ids array<int>")
+    each = coded.select("word", "c", F.posexplode("ids").alias("k", "id")).join(F.broadcast(table), "id")  # as many rows as the vocabulary has
+    # four bytes of an id, least first
+    packed = F.concat(*(F.lpad(F.hex(F.shiftright("id", 8 * b).bitwiseAND(F.lit(255))), 2, "0") for b in range(4)))
+    by = each.groupBy("word").agg(F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("k", packed.alias("id"), F.hex("piece").alias("piece")))).alias("x"))
+    joined = lambda f: F.unhex(F.array_join(F.col("x")[f], ""))
+    return by.select("word", "c", joined("id").alias("ids"), joined("piece").alias("spelt"))
 
 
 def decode_ids(ids: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -264,7 +236,7 @@ def read_spec(path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of every text and the text decoded from them.
 
     tokenizer: path of a byte-level BPE tokenizer's JSON on the driver (its
@@ -272,28 +244,30 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit integers),
     decoded. Ids are those of the tokenizers library without special tokens
     being added, without truncation or padding; a special token's string in a
-    text is that token. Null texts are taken as empty: no ids, empty text.
-    Repeated rows and ids get a row each; extra columns are ignored.
-
-    Plan: texts go into chunks of about 12 MB (or one longer text), shuffled
-    once. Each chunk sends its distinct words, packed by word hash, to
-    `buckets` buckets; a bucket encodes every distinct word once and answers
-    with ids in the order of the words sent. Chunk and answers meet by chunk
-    number, where ids take their words' positions. No row of the plan is a
-    word, so nothing here is skewed by frequent ones.
+    text is that token. Null and empty texts have no ids and decode to the empty
+    text; a very long text is a chunk of its own. Repeated rows and ids get a
+    row each; no rows give no rows; extra columns, whatever their names, are
+    ignored.
+
+    Plan: texts are split into words once, where they lie, and kept as numbers
+    of the chunk's distinct words (about 12 MB of text, or one longer text), in
+    the shared folder. The distinct words of all chunks, combined before the
+    shuffle, are the word table: each is encoded once, and its ids are joined to
+    their pieces. The table is joined to the chunks' words, and a chunk puts the
+    ids and the pieces at its words' positions. A word is a row per chunk that
+    has it; those of very many chunks stay in place in the join.
     """
     spark = docs.sparkSession
     ship(spark)
     spec = read_spec(tokenizer)
-    spec_of, pieces_of = spark.sparkContext.broadcast(spec), spark.sparkContext.broadcast(_pieces(spec))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = buckets or n
+    spec_of = spark.sparkContext.broadcast(spec)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    packed = base.mapInArrow(_chunks, "chunk long, ids binary, lens binary, data binary").repartition(n, "chunk")
-    words = packed.mapInArrow(_distinct(spec_of, buckets), "bucket int, chunk long, n int, words binary")
-    answers = words.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(spec_of), "chunk long, words binary, n int, ids binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_join_back(spec_of, pieces_of), f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    cut = stored(base.mapInArrow(_split(spec_of), "chunk long, ids binary, counts binary, codes binary, words array<string>"), "words")
+    used = cut.select("chunk", F.posexplode("words").alias("place", "word"))
+    table = stored(word_table(used.groupBy("word").agg(F.count("*").alias("c")), spec_of, spec), "word-table")
+    answers = join_groups(used, table, ["word"], "c").select("chunk", "place", "ids", "spelt")
+    return cut.select(F.col("chunk").alias("of"), "ids", "counts", "codes").groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_put_back, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def encode(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:

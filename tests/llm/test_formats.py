@@ -5,8 +5,6 @@ import hashlib
 import random
 import struct
 
-import numpy as np
-import pyarrow as pa
 import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
@@ -104,20 +102,32 @@ def test_bpe_matches_the_library(spark, sf, monkeypatch):
     assert bpe.encode_decode(docs.limit(0), TOKENIZER).count() == 0
 
 
-def test_bpe_without_answers(spark):
-    """Ids don't depend on the answers of the very chunk that asked."""
-    from types import SimpleNamespace
-
+def test_word_table(spark):
+    """One row per distinct word, encoded and spelt out of its ids' pieces."""
+    words = ["the", " the", "zebra", "  ", "日本", "x" * 5000, "<|endoftext|>", "\x00"]
     spec = bpe.read_spec(TOKENIZER)
-    join = bpe._join_back(SimpleNamespace(value=spec), SimpleNamespace(value=bpe._pieces(spec)))
-    ids = pa.BufferOutputStream()
-    with pa.ipc.new_stream(ids, pa.schema([("id", pa.int64())])) as w:
-        w.write_batch(pa.record_batch([pa.array([1, 2])], ["id"]))
-    texts = ["a b a", "b zebra"]
-    lens = np.array([len(t) for t in texts], "<i8").tobytes()
-    left = pa.table({"chunk": [0], "ids": [bpe._pack(ids.getvalue().to_pybytes())], "lens": [bpe._pack(lens)], "data": [bpe._pack("".join(texts).encode())]})
-    out = join(left, pa.table({"words": pa.array([], pa.binary()), "n": pa.array([], pa.int32()), "ids": pa.array([], pa.binary())}))
-    assert out.column("decoded").to_pylist() == texts
+    of = spark.sparkContext.broadcast(spec)
+    used = spark.createDataFrame([(w,) for w in words * 3], "word string").groupBy("word").agg(F.count("*").alias("c"))
+    rows = {r.word: r for r in bpe.word_table(used, of, spec).collect()}
+    sp = bpe.Splitter(spec)
+    assert set(rows) == set(words) and {r.c for r in rows.values()} == {3}
+    for w, ids in zip(words, sp.encode(words)):
+        assert list(struct.unpack(f"<{len(ids)}I", rows[w].ids)) == ids and bytes(rows[w].spelt) == w.encode()
+
+
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_bpe_frequent_words_stay_in_place(spark, monkeypatch, hot):
+    from tokenizers import Tokenizer
+
+    from sieveline.llm import joins
+
+    monkeypatch.setattr(bpe, "CHUNK", 200)
+    monkeypatch.setattr(joins, "HOT_ROWS", hot)
+    df = spark.createDataFrame([(k, f"the end of the {k}\n") for k in range(60)], "doc_id long, text string")
+    t = Tokenizer.from_file(TOKENIZER)
+    for r in bpe.encode_decode(df, TOKENIZER).collect():
+        text = f"the end of the {r.doc_id}\n"
+        assert list(struct.unpack(f"<{r.n_tokens}I", r.ids)) == t.encode(text).ids and r.decoded == text
 
 
 def test_decode_arrays(spark):
