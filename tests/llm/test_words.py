@@ -1,6 +1,7 @@
 """The word kernel, quality rules, licences and decontamination against brute force."""
 
 import collections
+import random
 import re
 
 import numpy as np
@@ -173,7 +174,7 @@ def test_decontamination_brute_force(spark):
         p = int(rng.integers(0, 100))
         docs[k][p : p + 1] = it
     rows = [(i, " ".join(d).upper() if i % 4 == 0 else ", ".join(d)) for i, d in enumerate(docs)] + [(99, None), (100, ""), (None, " ".join(items[0]))]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnRenamed("x", "y")
+    df = spark.createDataFrame([(*r, "clash", 5) for r in rows], "doc_id long, text string, item_id string, item int")
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)] + [(77, None), (78, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (-r.n_matched, r.start_word, r.end_word - r.start_word) for r in decontaminate.contaminated(df, bench).collect()}
     want = {}
@@ -181,9 +182,7 @@ def test_decontamination_brute_force(spark):
         for j, it in enumerate(items):
             need = min(13, int(np.ceil(0.8 * len(it))))
             if b := brute_overlaps(d, it, need, 3):
-                # a short item is found only as a whole run
-                if len(it) >= 11 or -b[0] == len(it):
-                    want[i, j] = b
+                want[i, j] = b
     want[None, 0] = (-40, 0, 40)
     assert got == want
     clean = {r.doc_id for r in decontaminate.uncontaminated(df, bench).collect()}
@@ -192,12 +191,49 @@ def test_decontamination_brute_force(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_short_items_in_every_way():
+    """Items of 1 to 15 words, and documents that have any of their words."""
+    for n in range(1, 16):
+        ways = range(1 << n) if n < 12 else random.Random(n).sample(range(1 << n), 2500)
+        need = min(13, int(np.ceil(0.8 * n)))
+        item = [f"i{k}" for k in range(n)]
+        docs = [["x", *(w if way >> k & 1 else "other" for k, w in enumerate(item)), "y"] for way in ways]
+        docs += [["x", "y", *item[a:]] for a in range(n)] + [item[: b + 1] for b in range(n)]
+        t = decontaminate.TestSet([" ".join(item)], 13, 0.8, 3)
+        got = decontaminate._overlaps(t, *buffers([" ".join(d) for d in docs]), 3)
+        want = {(k, 0): b for k, d in enumerate(docs) if (b := brute_overlaps(d, item, need, 3))}
+        assert got == want, n
+
+
+def test_masks_hit_every_long_stretch():
+    for n in range(16, 23):
+        ways = np.arange(1, 1 << n)
+        ways = ways[(ways & 1 > 0) & (ways >> (n - 1) & 1 > 0) & (np.bitwise_count(ways) >= 13)]
+        best = decontaminate.best_segments((ways[:, None] >> np.arange(n)) & 1 > 0, 3)
+        left = ways[(best[2] >= 13) & (best[0] == 0) & (best[1] == n)]
+        assert len(left)
+        for mask in decontaminate.MASKS:
+            bits = sum(1 << j for j, c in enumerate(mask) if c == "#")
+            for at in range(n - len(mask) + 1):
+                left = left[left & (bits << at) != bits << at]
+        assert not len(left)
+
+
+def test_decontamination_of_long_texts(spark):
+    item = " ".join(f"q{k}" for k in range(20))
+    text = "word " * 300_000 + item + " word" * 300_000
+    df = spark.createDataFrame([(1, text), (2, "word " * 300_000)], "doc_id long, text string")
+    assert [(r.doc_id, r.n_matched, r.start_word) for r in decontaminate.contaminated(df, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()] == [(1, 20, 300_000)]
+
+
 def test_item_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 20)
     items = [(i, " ".join(f"q{i}x{k}" for k in range(15))) for i in range(12)]
     docs = spark.createDataFrame([(i, "pre " + t + " post") for i, t in items], "doc_id long, text string")
     out = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id long, text string"))
     assert {(r.doc_id, r.item_id) for r in out.collect()} == {(i, i) for i, _ in items}
+    more = docs.union(spark.createDataFrame([(99, "clean text")], "doc_id long, text string"))
+    assert [r.doc_id for r in decontaminate.uncontaminated(more, spark.createDataFrame(items, "item_id long, text string")).collect()] == [99]
 
 
 def spellings(pattern):
