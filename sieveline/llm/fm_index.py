@@ -15,7 +15,7 @@ class Wavelet:
         self.levels = max(1, int(sigma - 1).bit_length())
         words = (n >> 6) + 1
         self.bits = np.zeros((self.levels, words), U)
-        self.count = np.zeros((self.levels, words), np.int64)
+        self.count = np.zeros((self.levels, words), np.uint32)
         self.zeros = np.zeros(self.levels, np.int64)
         cur = symbols
         for l in range(self.levels):
@@ -24,7 +24,7 @@ class Wavelet:
             padded[:n] = bit
             self.bits[l] = np.packbits(padded, bitorder="little").view(U)
             ones = np.bitwise_count(self.bits[l]).astype(np.int64)
-            self.count[l] = np.cumsum(ones) - ones
+            self.count[l] = (np.cumsum(ones) - ones).astype(np.uint32)
             self.zeros[l] = n - int(bit.sum())
             cur = np.concatenate([cur[~bit], cur[bit]])
         every = np.arange(sigma)
@@ -34,7 +34,7 @@ class Wavelet:
         for l in range(self.levels):
             w = i >> 6
             below = self.bits[l][w] & ((U(1) << (i & 63).astype(U)) - U(1))
-            one = self.count[l][w] + np.bitwise_count(below)
+            one = self.count[l][w].astype(np.int64) + np.bitwise_count(below)
             i = np.where((c >> (self.levels - 1 - l)) & 1, self.zeros[l] + one, i - one)
         return i
 
@@ -56,11 +56,10 @@ class FMIndex:
 
     vocabulary: sorted word hashes; pieces: word symbols in one array (1 and
     up) with offsets; owner: a document id per piece. Suffixes are sorted by
-    their first 16 symbols, which is enough for patterns of up to 15.
+    more symbols than a window has, which is as far as matches are followed.
     """
 
     def __init__(self, vocabulary: np.ndarray, symbols: np.ndarray, ofs: np.ndarray, owner: np.ndarray, window: int) -> None:
-        assert window < 15
         self.vocabulary, self.window = vocabulary, window
         lens = np.diff(ofs)
         text = np.zeros(len(symbols) + len(lens), np.int64)
@@ -71,22 +70,23 @@ class FMIndex:
         rank, by = _dense(text), {1: None}
         by[1] = rank
         k = 1
-        while k < 16:
+        while k <= window:
             nxt = np.full(n, 0, np.int64)
             nxt[: n - k] = by[k][k:] + 1 if n > k else 0
             by[2 * k] = _dense(by[k] * (n + 1) + nxt)
             k *= 2
-        sa = np.argsort(by[16], kind="stable")
+        sa = np.argsort(by[k], kind="stable")
         bwt = text[sa - 1]
         bwt[sa == 0] = text[-1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=sigma))])
         self.tree = Wavelet(bwt, sigma)
         # groups of suffixes that agree on `window` symbols
-        r = by[8]
-        tail = np.minimum(sa + window - 8, n - 1)
+        part = 1 << (window.bit_length() - 1)
+        r = by[part]
+        tail = np.minimum(sa + window - part, n - 1)
         new = np.ones(n, bool)
         new[1:] = (r[sa][1:] != r[sa][:-1]) | (r[tail][1:] != r[tail][:-1])
-        self.group = np.cumsum(new) - 1
+        self.group = (np.cumsum(new) - 1).astype(np.int32 if n < 1 << 31 else np.int64)
         self.group_start = np.flatnonzero(new)
         self.group_end = np.append(self.group_start[1:], n)
         doc = np.full(n, np.iinfo(np.int64).max)

@@ -14,8 +14,8 @@ from .fm_index import FMIndex
 from .joins import join_groups
 from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
 
-#: Words of an anchor; bytes of pieces that one index holds at most (plus one
-#: batch); rows of an anchor beyond which its windows are spread by their words.
+#: Words of an anchor; bytes of pieces from which an index takes no further key;
+#: places of an anchor beyond which its windows are spread by their words.
 ANCHOR, INDEX_BYTES, HOT_ROWS = 4, 2 << 20, 50_000
 #: End of a span that takes the whole text.
 _WHOLE = (1 << 31) - 1
@@ -66,62 +66,63 @@ def _anchors(window: int, k: int):
                 new = np.ones(len(arg), bool)
                 new[1:] = arg[1:] != arg[:-1]
                 p = arg[new]
-                p = p[np.sort(np.unique(_of_text(h[p], w.doc[p]), return_index=True)[1])]  # an anchor once per text
+                _, one, c = np.unique(_of_text(h[p], w.doc[p]), return_index=True, return_counts=True)  # an anchor once per text
+                p = p[one]
                 doc = w.doc[p]
-                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(ids[i + doc]), pa.array((p - w.ofs[doc]).astype(np.int32))], names=["anchor", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[p].view(np.int64)), pa.array(ids[i + doc]), pa.array((p - w.ofs[doc]).astype(np.int32)), pa.array(c.astype(np.int32))], names=["anchor", "doc_id", "pos", "c"])
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(most: int):
     """Rows sorted by anchor: pass on those of anchors that several documents
-    have. A run is held back up to HOT_ROWS rows; a longer one is passed on as
-    it comes, with its places marked (negative) as hot."""
-    def out(r, p):
-        return pa.RecordBatch.from_arrays([pa.array(r, pa.int64()), pa.array(p, pa.int32())], names=["doc_id", "place"])
-
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    key, size, hot = None, 0, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        a, r, p = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-        start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-        end = np.append(start[1:], len(a))
-        done_r, done_p = [], []
-        first = 0
-        if key is not None and a[0] == key:  # the run goes on
-            held.append((r[: end[0]], p[: end[0]]))
-            size += int(end[0])
-            if hot or size > HOT_ROWS:
-                hot = True
-                done_r += [x for x, _ in held]
-                done_p += [-1 - y for _, y in held]
+    have. A run is held back until it has `most` places; one with more is
+    passed on as it comes, with its places marked (negative) as hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key, size = None, 0
+
+        def rest() -> list[tuple[np.ndarray, np.ndarray]]:
+            r = np.concatenate([x for x, _ in held]) if held else np.zeros(0, np.int64)
+            return held if len(r) and (r != r[0]).any() else []
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, r, p, c = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+            start = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+            end = np.append(start[1:], len(a))
+            done = []
+            if key is not None and a[0] != key:
+                done, held, size = rest(), [], 0
+            # the runs that end in this batch, but for its first, are judged at once
+            s, e = start[1:-1], end[1:-1]
+            first, last = slice(0, end[0]), slice(start[-1], len(a))
+            held.append((r[first], p[first]))
+            size += int(c[first].sum())
+            if size > most:
+                done += [(x, np.where(y < 0, y, -1 - y)) for x, y in held]
                 held = []
-            first = 1
-        if first < len(start) or len(start) == 1 and first == 0:
-            if held and not hot:
-                hr, hp = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-                if (hr != hr[0]).any():
-                    done_r.append(hr)
-                    done_p.append(hp)
-            s, e = start[first:-1], end[first:-1]
-            if len(s):  # runs that lie inside this batch
-                n = e - s
-                mixed = np.maximum.reduceat(r[s[0] : e[-1]], s - s[0]) != np.minimum.reduceat(r[s[0] : e[-1]], s - s[0])
-                big = n > HOT_ROWS
-                m = np.repeat(mixed, n)
-                done_r.append(r[s[0] : e[-1]][m])
-                q = np.where(np.repeat(big, n), -1 - p[s[0] : e[-1]], p[s[0] : e[-1]])
-                done_p.append(q[m])
-            b = start[-1]
-            key, held, size, hot = a[-1], [(r[b:], p[b:])], len(a) - int(b), False
-        if done_r:
-            yield out(np.concatenate(done_r), np.concatenate(done_p))
-    if held and not hot:
-        hr, hp = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
-        if (hr != hr[0]).any():
-            yield out(hr, hp)
+            if len(start) > 1:
+                done += rest()
+                if len(s):
+                    lo, hi, n = s[0], e[-1], e - s
+                    mixed = np.maximum.reduceat(r[lo:hi], s - lo) != np.minimum.reduceat(r[lo:hi], s - lo)
+                    hot = np.add.reduceat(c[lo:hi].astype(np.int64), s - lo) > most
+                    m = np.repeat(mixed, n)
+                    done.append((r[lo:hi][m], np.where(np.repeat(hot, n), -1 - p[lo:hi], p[lo:hi])[m]))
+                held, size = [(r[last], p[last])], int(c[last].sum())
+                if size > most:
+                    done += [(r[last], -1 - p[last])]
+                    held = []
+            key = a[-1]
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in done]), pa.int64()), pa.array(np.concatenate([y for _, y in done]), pa.int32())], names=["doc_id", "place"])
+        if done := rest():
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in done]), pa.int64()), pa.array(np.concatenate([y for _, y in done]), pa.int32())], names=["doc_id", "place"])
+
+    return run
 
 
 def _pieces(window: int, k: int):
@@ -166,8 +167,9 @@ def _pieces(window: int, k: int):
                     key = np.where(hot, runs(w.key, window)[np.minimum(a, len(w.key) - window)], key)
                 # a piece goes once per text, with all the places where it stands
                 doc = w.doc[a]
-                same = _of_text(_whole(w.key[ragged(a, b - a + 1)], b - a + 1), doc)
-                _, one, back = np.unique(same, return_index=True, return_inverse=True)
+                own_words = w.key[ragged(a, b - a + 1)]
+                is1, is2 = _whole(own_words, b - a + 1), _whole(mix(own_words), b - a + 1)
+                _, one, back = np.unique(_of_text(is1, doc), return_index=True, return_inverse=True)
                 pos = (a - w.ofs[doc])[np.argsort(back, kind="stable")].astype(np.int32)
                 pos = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(back))]).astype(np.int32)), pa.array(pos))
                 a, b, key, doc = a[one], b[one], key[one], doc[one]
@@ -175,93 +177,75 @@ def _pieces(window: int, k: int):
                 data = buf[ragged(b0, b1 - b0)]
                 ofs = np.concatenate([[0], np.cumsum(b1 - b0)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pos, pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
-                    names=["key", "doc_id", "tag", "pos", "piece"],
+                    [*(pa.array(x.view(np.int64)) for x in (key, is1[one], is2[one])), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pos, pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
+                    names=["key", "is1", "is2", "doc_id", "tag", "pos", "piece"],
                 )
 
     return run
 
 
-def _repeated(table: pa.Table, window: int, before: list[FMIndex]) -> tuple[pa.RecordBatch, FMIndex]:
-    """Windows of the pieces that a smaller document has, by an index of the
-    pieces themselves and by those of earlier pieces of the same key."""
-    doc, tag = (table.column(c).to_numpy() for c in ("doc_id", "tag"))
-    lists = table.column("pos").combine_chunks()
-    if isinstance(lists, pa.ChunkedArray):
-        lists = pa.concat_arrays(lists.chunks)
-    pos, places = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-    pos_at = np.cumsum(places) - places
+def _indexed(table: pa.Table, window: int) -> pa.RecordBatch:
+    """The smallest document of every window of the given distinct pieces."""
     buf, at = text_arrays(table.column("piece"))
     w = Words(buf, at, lower=False)
-    n = np.diff(w.ofs)
-    whole = _whole(w.key, n)
-    _, one, back = np.unique(whole, return_index=True, return_inverse=True)
-    owner = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(owner, back, doc)
-    ln = n[one]
-    keys = w.key[ragged(w.ofs[one], ln)]
-    ofs = np.concatenate([[0], np.cumsum(ln)])
-    vocabulary, symbols = np.unique(keys, return_inverse=True)
-    index = FMIndex(vocabulary, symbols.astype(np.int64) + 1, ofs, owner, window)
-    least = index.matching(keys, ofs)
-    for x in before:
-        least = np.minimum(least, x.matching(keys, ofs))
-    wins = n - window + 1
-    row = np.repeat(np.arange(len(n)), wins)
-    j = ragged(np.zeros(len(n), np.int64), wins)
-    hit = least[ofs[back[row]] + j] < doc[row]
-    row, j = row[hit], j[hit]
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)
-    s = np.flatnonzero(new)
-    a, b = j[s], j[np.append(s[1:], len(row)) - 1] if len(row) else j[s]
-    r = row[s]
-    each = np.repeat(np.arange(len(r)), places[r])
-    at = pos[ragged(pos_at[r], places[r])]
-    d, t = doc[r][each], tag[r][each]
-    return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array((at + a[each]).astype(np.int32)), pa.array((at + b[each] + window).astype(np.int32))], names=["doc_id", "tag", "start", "end"]), index
+    vocabulary, symbols = np.unique(w.key, return_inverse=True)
+    index = FMIndex(vocabulary, symbols.astype(np.int64) + 1, w.ofs, table.column("owner").to_numpy(), window)
+    least = index.matching(w.key, w.ofs)
+    wins = np.maximum(np.diff(w.ofs) - window + 1, 0)
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wins)]).astype(np.int32)), pa.array(least[ragged(w.ofs[:-1], wins)]))
+    return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("is1", "is2", "c")), lists], names=["is1", "is2", "c", "least"])
 
 
 def _search(window: int, most: int):
+    """Distinct pieces sorted by key: whole keys go to one index until it holds
+    `most` bytes. A key has HOT_ROWS pieces of 2 * window words at most, or, if
+    its anchor is hot, a single one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
-        before: list[FMIndex] = []  # earlier pieces of a key that one index can't hold
-        before_key = None
         for batch in batches:
             for c in range(0, batch.num_rows, 8192):
                 part = batch.slice(c, 8192)
                 held.append(part)
-                size += part.column(4).nbytes
+                size += part.column(5).nbytes
                 if size < most:
                     continue
                 table = pa.Table.from_batches(held)
                 key = table.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1], "left"))
                 if cut:  # all but the last key is complete
-                    head = table.slice(0, cut)
-                    yield from _head(head, key[:cut], window, before, before_key)
-                    before, before_key = [], None
+                    yield _indexed(table.slice(0, cut), window)
                     held = table.slice(cut).to_batches()
-                    size = sum(x.column(4).nbytes for x in held)
-                else:
-                    got, index = _repeated(table, window, before if before_key == key[0] else [])
-                    yield got
-                    before = [*(before if before_key == key[0] else []), index]
-                    before_key, held, size = key[0], [], 0
+                    size = sum(x.column(5).nbytes for x in held)
         if held:
-            table = pa.Table.from_batches(held)
-            yield from _head(table, table.column("key").to_numpy(), window, before, before_key)
+            yield _indexed(pa.Table.from_batches(held), window)
 
     return run
 
 
-def _head(table: pa.Table, key: np.ndarray, window: int, before: list[FMIndex], before_key) -> Iterator[pa.RecordBatch]:
-    n = int(np.searchsorted(key, before_key, "right")) if before and key[0] == before_key else 0
-    if n:
-        yield _repeated(table.slice(0, n), window, before)[0]
-    if n < len(key):
-        yield _repeated(table.slice(n), window, [])[0]
+def _spans(window: int):
+    """Texts' pieces with the smallest documents of their windows -> the words
+    of a text that windows of smaller documents cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, tag = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            (pos, pos_at), (least, least_at) = ((x.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)) for x in (batch.column(2), batch.column(3)))
+            row = np.repeat(np.arange(len(doc)), np.diff(least_at))
+            j = np.arange(len(least)) - least_at[row]
+            hit = least < doc[row]
+            row, j = row[hit], j[hit]
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (j[1:] != j[:-1] + 1)
+            s = np.flatnonzero(new)
+            a, b, r = j[s], j[np.append(s[1:], len(row)) - 1] if len(row) else j[s], row[s]
+            places = np.diff(pos_at)[r]
+            each = np.repeat(np.arange(len(r)), places)
+            at = pos[ragged(pos_at[r], places)]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[r][each], pa.int64()), pa.array(tag[r][each], pa.int32()), pa.array((at + a[each]).astype(np.int32)), pa.array((at + b[each] + window).astype(np.int32))], names=["doc_id", "tag", "start", "end"])
+
+    return run
 
 
 def _cut(window: int):
@@ -324,17 +308,25 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     loses words. Extra columns are ignored, but for those named in `carry`, which
     come along as fields of a struct `extra`, with `text`, the row's own text.
 
+    Very long texts are taken whole; texts shorter than the window lose nothing;
+    no rows give no rows. window is 1 or more.
+
     Plan: equal texts are found by length and 128 bits of hash; all but those
-    with the smallest id go wholly. Of the rest every window is known by an anchor, its least 4-word run, so equal
-    windows share it. Anchors are shuffled once and only those of several rows
-    come back. The windows around them, as pieces of text, are shuffled to
-    shards by anchor; a shard builds FM-indexes of its distinct pieces and
-    streams pieces through backward search, which yields each window's interval
-    and so its smallest document. All returns join the texts in one exchange
-    of theirs. An anchor of over HOT_ROWS rows has its windows spread by their
-    own hash; a key with more pieces than an index holds is indexed in parts
-    that are all searched, so memory is bounded and nothing is dropped.
+    with the smallest id go wholly. Of the rest every window is known by an
+    anchor, its least 4-word run, so equal windows share it. Anchors are
+    shuffled once and only those of several texts come back. The windows around
+    them are pieces of text; equal pieces combine to their smallest document
+    before they are shuffled to shards by anchor. A shard builds FM-indexes of
+    its distinct pieces and streams them through backward search, which yields
+    each window's interval and so its smallest document. The answers are joined
+    to the texts that have the piece; a piece that very many texts have stays in
+    place there. An anchor of over HOT_ROWS places has its windows spread by
+    their own hash, where all that share a key are one piece: an index's memory
+    has a bound, and no key's time follows the number of its documents.
     """
+    if window < 1:
+        raise ValueError("a window has one word at least")
+    anchor = min(ANCHOR, window)
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("extra")] if carry else []))
@@ -347,11 +339,15 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = stored(same, "equal")
     copies = stored(join_groups(marks, same, text_is, "c").where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
     texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
-    anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, ANCHOR), "anchor long, doc_id long, pos int")
-    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared, "doc_id long, place int")
+    anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, anchor), "anchor long, doc_id long, pos int, c int")
+    shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared(HOT_ROWS), "doc_id long, place int")
     places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, ANCHOR), "key long, doc_id long, tag int, pos array<int>, piece binary")
-    found = pieces.repartition("key").sortWithinPartitions("key", "doc_id").mapInArrow(_search(window, INDEX_BYTES), "doc_id long, tag int, start int, end int")
+    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, anchor), "key long, is1 long, is2 long, doc_id long, tag int, pos array<int>, piece binary")
+    pieces = stored(pieces, "pieces")
+    distinct = pieces.groupBy("is1", "is2").agg(F.first("key").alias("key"), F.min("doc_id").alias("owner"), F.count("*").alias("c"), F.first("piece").alias("piece"))
+    least = distinct.select("key", "is1", "is2", "owner", "c", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(_search(window, INDEX_BYTES), "is1 long, is2 long, c long, least array<long>")
+    least = stored(least, "least")
+    found = join_groups(pieces.select("is1", "is2", "doc_id", "tag", "pos"), least, ["is1", "is2"], "c").select("doc_id", "tag", "pos", "least").mapInArrow(_spans(window), "doc_id long, tag int, start int, end int")
     whole = copies.select(F.col("ref").alias("doc_id"), F.explode("copy_tags").alias("tag"), F.lit(0).alias("start"), F.lit(_WHOLE).alias("end"))
     spans = found.union(whole).groupBy(F.col("doc_id").alias("ref")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"

@@ -146,7 +146,7 @@ def test_fm_index_matching():
     keys = np.concatenate(pieces).astype(np.uint64) * np.uint64(7919)
     ofs = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
     voc, sym = np.unique(keys, return_inverse=True)
-    for window in (8, 13):
+    for window in (1, 2, 5, 6, 7, 8, 13, 15, 16, 20):
         index = FMIndex(voc, sym + 1, ofs, owner, window)
         least = {}
         for p, o in zip(pieces, owner):
@@ -192,6 +192,47 @@ def passages(seed):
     return rows
 
 
+def test_windows_of_other_lengths(spark):
+    rows = passages(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for window in (1, 3, 6, 17):
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df, window=window).collect()}
+        assert got == brute_cut(rows, window), window
+    with pytest.raises(ValueError):
+        substring.substring_dedup(df, window=0)
+
+
+def test_shared_anchors_of_any_batches():
+    """Runs of anchors, cut into batches anywhere, hot or not."""
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    for _ in range(300):
+        rows = sorted((rng.randrange(6), rng.randrange(4), k, rng.randrange(1, 4)) for k in range(rng.randrange(1, 30)))
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(rng.randrange(4)))})
+        names = ["anchor", "doc_id", "pos", "c"]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=names) for a, b in zip(cuts, cuts[1:])]
+        out = sorted(x for b in substring._shared(12)(iter(batches)) for x in zip(*(c.to_pylist() for c in b.columns)))
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r[0]].append(r)
+        hot = {a: sum(r[3] for r in x) > 12 for a, x in by.items()}
+        want = sorted((r[1], -1 - r[2] if hot[a] else r[2]) for a, x in by.items() for r in x if len({y[1] for y in x}) > 1)
+        single = {a for a, x in by.items() if hot[a] and len({y[1] for y in x}) == 1}
+        extra = sorted(set(out) - set(want))  # hot runs of one text may pass too
+        assert [x for x in out if x in set(want)] == want and all(any(r[1] == d and -1 - r[2] == p for a in single for r in by[a]) for d, p in extra)
+
+
+def test_one_passage_in_all_documents(spark, monkeypatch):
+    """A hot passage is one piece to its index, however many documents have it."""
+    monkeypatch.setattr(substring, "HOT_ROWS", 30)
+    p = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, f"a{k} {p} b{k}") for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.substring_dedup(df).collect()}
+    assert got == brute_cut(rows)
+
+
 @pytest.mark.parametrize("hot, size", [(50_000, 2 << 20), (3, 400)])
 def test_substring_dedup(spark, monkeypatch, hot, size):
     monkeypatch.setattr(substring, "HOT_ROWS", hot)
