@@ -13,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
-from .joins import join_groups
 from .kernel import blocks, ragged, text_arrays
 
 #: Bytes of text in a chunk.
-CHUNK = 12 << 20
+CHUNK = 24 << 20
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -98,6 +97,15 @@ def _unpack(data: bytes) -> bytes:
     return _zstd.decompress(data[8:], n, asbytes=True) if n else b""
 
 
+def _planes(codes: np.ndarray) -> bytes:
+    """Numbers as their lowest bytes, then their second ones, and so on."""
+    return codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 class _Numbers(dict):
     """Numbers for words, in the order in which they first come."""
 
@@ -106,7 +114,7 @@ class _Numbers(dict):
         return n
 
 
-def _split(spec_of):
+def _split(spec_of, most: int):
     """Rows -> chunks of whole texts: their ids, how many words each has, which
     of the chunk's distinct words stands at every position, and those words."""
 
@@ -118,12 +126,16 @@ def _split(spec_of):
         place, ids, counts, codes = _Numbers(), [], [], []
 
         def flush():
+            code = np.concatenate(codes)
+            often = np.argsort(-np.bincount(code, minlength=len(place)), kind="stable")  # small numbers for frequent words
+            number = np.empty(len(place), "<u4")
+            number[often] = np.arange(len(place))
             one = pa.concat_arrays(ids)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", one.type)])) as w:
                 w.write_batch(pa.record_batch([one], ["id"]))
-            packed = [sink.getvalue().to_pybytes(), np.array(counts, "<i8").tobytes(), np.concatenate(codes).astype("<u4").tobytes()]
-            words = pa.array(list(place), pa.string())
+            packed = [sink.getvalue().to_pybytes(), np.array(counts, "<i8").tobytes(), _planes(number[code])]
+            words = pa.array(list(place), pa.string()).take(pa.array(often))
             return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in packed), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["chunk", "ids", "counts", "codes", "words"])
 
         for batch in batches:
@@ -135,7 +147,7 @@ def _split(spec_of):
                     counts.append(len(words))
                     codes.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
                 size += len(buf) + 64 * (j - i)
-                if size >= CHUNK:
+                if size >= most:
                     yield flush()
                     place, ids, counts, codes = _Numbers(), [], [], []
                     seq, size = seq + 1, 0
@@ -146,17 +158,61 @@ def _split(spec_of):
 
 
 def _encode(spec_of):
-    """Ids of distinct words."""
+    """The chunks' words, sorted by word -> a row per id of each distinct word;
+    the first also says in which chunks the word is, and at which places of
+    their lists. A word is encoded where it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(spec_of.value)
+        last, last_ids = None, []
         for batch in batches:
-            ids = split.encode(batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*batch.schema.names, "ids"])
+            if not batch.num_rows:
+                continue
+            runs = batch.column(0).dictionary_encode()  # sorted: numbered in order
+            words = runs.dictionary.to_pylist()
+            again = words[0] == last
+            ids = ([last_ids] if again else []) + split.encode(words[again:])
+            last, last_ids = words[-1], ids[-1]
+            size = np.array([len(x) for x in ids], np.int64)
+            places = np.zeros(int(size.sum()) + 1, np.int32)
+            places[np.cumsum(size) - size + 1] = np.bincount(runs.indices.to_numpy(), minlength=len(words))
+            ofs = pa.array(np.cumsum(places).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ragged(np.zeros_like(size), size)), pa.array([i for x in ids for i in x], pa.int32()), *(pa.ListArray.from_arrays(ofs, batch.column(c)) for c in (1, 2))], names=["k", "id", "chunks", "places"])
 
     return run
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ids in order, each with its piece -> a row per chunk and word: the word's
+    place, its ids and the bytes that they stand for."""
+    held: list[pa.RecordBatch] = []
+
+    def out(table: pa.Table) -> pa.RecordBatch:
+        k, ids = (table.column(c).to_numpy() for c in ("k", "id"))
+        first = np.flatnonzero(k == 0)
+        if not np.array_equal(k, np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))):
+            raise RuntimeError("ids came out of order")
+        data, at = text_arrays(table.column("piece"))
+        chunks, places = (pa.concat_arrays(table.column(c).chunks) for c in ("chunks", "places"))
+        times = chunks.value_lengths().to_numpy(zero_copy_only=False)[first]
+        word = pa.array(np.repeat(np.arange(len(first)), times))
+        blob = lambda raw, ofs: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ofs.astype(np.int32)), pa.py_buffer(raw)]).take(word)
+        return pa.RecordBatch.from_arrays([chunks.flatten(), places.flatten(), blob(ids.astype("<u4"), 4 * np.append(first, len(k))), blob(np.ascontiguousarray(data), at[np.append(first, len(k))])], names=["chunk", "place", "ids", "spelt"])
+
+    for batch in batches:
+        firsts = np.flatnonzero(batch.column(0).to_numpy() == 0)
+        if not len(firsts):  # a word of more ids than a batch has rows
+            held.append(batch)
+            continue
+        cut = int(firsts[-1])
+        head = [*held, batch.slice(0, cut)]
+        if sum(x.num_rows for x in head):
+            yield out(pa.Table.from_batches(head))
+        held = [batch.slice(cut)]
+    if sum(x.num_rows for x in held):
+        yield out(pa.Table.from_batches(held))
+
+
 def _gather(parts: pa.Array, order: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of word codes: the words' parts one after the other, as bytes
     and offsets. order: the part of each code."""
@@ -178,7 +234,7 @@ def _put_back(left: pa.Table, right: pa.Table) -> pa.Table:
     for ids, counts, codes in zip(*(left.column(c) for c in ("ids", "counts", "codes"))):
         own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
         n = np.frombuffer(_unpack(counts.as_py()), "<i8")
-        code = np.frombuffer(_unpack(codes.as_py()), "<u4")
+        code = _from_planes(_unpack(codes.as_py()))
         flat, ofs = _gather(right.column("ids"), order, code, n)
         kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
         b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
@@ -186,22 +242,6 @@ def _put_back(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def word_table(words: DataFrame, spec_of, spec: str) -> DataFrame:
-    """Distinct words (word, and how many rows have it) -> ids (packed) and the
-    bytes that they stand for: each word is encoded once, each of its ids is
-    joined to its piece."""
-    spark = words.sparkSession
-    pieces = piece_table(spec)
-    table = spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
-    coded = words.mapInArrow(_encode(spec_of), "word string, c long, ids array<int>")
-    each = coded.select("word", "c", F.posexplode("ids").alias("k", "id")).join(F.broadcast(table), "id")  # as many rows as the vocabulary has
-    # four bytes of an id, least first
-    packed = F.concat(*(F.lpad(F.hex(F.shiftright("id", 8 * b).bitwiseAND(F.lit(255))), 2, "0") for b in range(4)))
-    by = each.groupBy("word").agg(F.first("c").alias("c"), F.sort_array(F.collect_list(F.struct("k", packed.alias("id"), F.hex("piece").alias("piece")))).alias("x"))
-    joined = lambda f: F.unhex(F.array_join(F.col("x")[f], ""))
-    return by.select("word", "c", joined("id").alias("ids"), joined("piece").alias("spelt"))
-
-
 def decode_ids(ids: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of rows of ids, by lookup in the id-to-piece table."""
     at = ids.astype(np.int64)
@@ -250,12 +290,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored.
 
     Plan: texts are split into words once, where they lie, and kept as numbers
-    of the chunk's distinct words (about 12 MB of text, or one longer text), in
-    the shared folder. The distinct words of all chunks, combined before the
-    shuffle, are the word table: each is encoded once, and its ids are joined to
-    their pieces. The table is joined to the chunks' words, and a chunk puts the
-    ids and the pieces at its words' positions. A word is a row per chunk that
-    has it; those of very many chunks stay in place in the join.
+    of the chunk's distinct words (about 24 MB of text, or one longer text), in
+    the shared folder. These words meet by word: each distinct one is encoded
+    once, and its ids are joined to their pieces, a table of the vocabulary's
+    fixed size. Both go back to the chunks that have the word, where they take
+    the word's positions. However frequent a word is in texts, it is one row per
+    chunk, and those are streamed.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -263,11 +303,13 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     spec_of = spark.sparkContext.broadcast(spec)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    cut = stored(base.mapInArrow(_split(spec_of), "chunk long, ids binary, counts binary, codes binary, words array<string>"), "words")
+    cut = stored(base.mapInArrow(_split(spec_of, CHUNK), "chunk long, ids binary, counts binary, codes binary, words array<string>"), "words")
     used = cut.select("chunk", F.posexplode("words").alias("place", "word"))
-    table = stored(word_table(used.groupBy("word").agg(F.count("*").alias("c")), spec_of, spec), "word-table")
-    answers = join_groups(used, table, ["word"], "c").select("chunk", "place", "ids", "spelt")
-    return cut.select(F.col("chunk").alias("of"), "ids", "counts", "codes").groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_put_back, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    pieces = piece_table(spec)
+    table = spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
+    coded = used.select("word", "chunk", "place").repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, chunks array<long>, places array<int>")
+    spelt = coded.join(F.broadcast(table), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_spell, "chunk long, place int, ids binary, spelt binary")
+    return cut.select(F.col("chunk").alias("of"), "ids", "counts", "codes").groupBy("of").cogroup(spelt.groupBy("chunk")).applyInArrow(_put_back, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def encode(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import struct
 
+import pyarrow as pa
 import pytest
 from oracle import assert_same, connect
 from pyspark.sql import functions as F
@@ -102,27 +103,32 @@ def test_bpe_matches_the_library(spark, sf, monkeypatch):
     assert bpe.encode_decode(docs.limit(0), TOKENIZER).count() == 0
 
 
-def test_word_table(spark):
-    """One row per distinct word, encoded and spelt out of its ids' pieces."""
-    words = ["the", " the", "zebra", "  ", "日本", "x" * 5000, "<|endoftext|>", "\x00"]
-    spec = bpe.read_spec(TOKENIZER)
-    of = spark.sparkContext.broadcast(spec)
-    used = spark.createDataFrame([(w,) for w in words * 3], "word string").groupBy("word").agg(F.count("*").alias("c"))
-    rows = {r.word: r for r in bpe.word_table(used, of, spec).collect()}
-    sp = bpe.Splitter(spec)
-    assert set(rows) == set(words) and {r.c for r in rows.values()} == {3}
-    for w, ids in zip(words, sp.encode(words)):
-        assert list(struct.unpack(f"<{len(ids)}I", rows[w].ids)) == ids and bytes(rows[w].spelt) == w.encode()
-
+def test_words_of_many_chunks(spark, monkeypatch):
+    """Every word is encoded once, in whichever batches its rows come, and spelt
+    out of its ids' pieces."""
+    from types import SimpleNamespace
 
-@pytest.mark.parametrize("hot", [1, 1000])
-def test_bpe_frequent_words_stay_in_place(spark, monkeypatch, hot):
+    spec = bpe.read_spec(TOKENIZER)
+    words = sorted([" the"] * 9 + ["zebra"] * 2 + ["  ", "日本", "x" * 5000, "<|endoftext|>", "\x00"], key=str.encode)
+    rows = pa.table({"word": words, "chunk": pa.array(range(len(words)), pa.int64()), "place": pa.array(range(len(words)), pa.int32())})
+    calls, encode = [], bpe.Splitter.encode
+    monkeypatch.setattr(bpe.Splitter, "encode", lambda self, w: calls.extend(w) or encode(self, w))
+    pieces = bpe.piece_table(spec)
+    for size in (1, 2, 5, 100):
+        calls.clear()
+        coded = pa.Table.from_batches(bpe._encode(SimpleNamespace(value=spec))(iter(rows.to_batches(max_chunksize=size))))
+        assert sorted(calls) == sorted(set(words))
+        coded = coded.add_column(2, "piece", pa.array([pieces[i] for i in coded.column("id").to_pylist()], pa.binary()))
+        out = pa.Table.from_batches(bpe._spell(iter(coded.combine_chunks().to_batches(max_chunksize=size)))).to_pylist()
+        assert [(r["chunk"], r["place"], r["spelt"].decode()) for r in out] == [(k, k, w) for k, w in enumerate(words)]
+        for r in out:
+            assert list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"])) == encode(bpe._splitter(spec), [r["spelt"].decode()])[0]
+
+
+def test_bpe_of_many_chunks(spark, monkeypatch):
     from tokenizers import Tokenizer
 
-    from sieveline.llm import joins
-
     monkeypatch.setattr(bpe, "CHUNK", 200)
-    monkeypatch.setattr(joins, "HOT_ROWS", hot)
     df = spark.createDataFrame([(k, f"the end of the {k}\n") for k in range(60)], "doc_id long, text string")
     t = Tokenizer.from_file(TOKENIZER)
     for r in bpe.encode_decode(df, TOKENIZER).collect():
