@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,11 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, stored
+from ..session import shared_dir, ship
 from .kernel import blocks, ragged, text_arrays
 
-#: Bytes of text in a chunk.
-CHUNK = 24 << 20
+#: Bytes of text in a chunk. Of each chunk's TOP most frequent words, those that
+#: HOT_CHUNKS chunks or more have (and that are of LONGEST_HOT bytes at most) are
+#: known everywhere: the MOST_HOT ones that the most chunks have.
+CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 24 << 20, 50_000, 8, 100_000, 64
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -213,10 +216,9 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.Table.from_batches(held))
 
 
-def _gather(parts: pa.Array, order: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _gather(data: np.ndarray, at: np.ndarray, order: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of word codes: the words' parts one after the other, as bytes
-    and offsets. order: the part of each code."""
-    data, at = text_arrays(parts)
+    and offsets. order: the part of each code, by the parts' bytes and offsets."""
     start, size = at[:-1][order], np.diff(at)[order]
     done = np.concatenate([[0], np.cumsum(size[codes])])
     out = np.empty(int(done[-1]), np.uint8)
@@ -226,20 +228,40 @@ def _gather(parts: pa.Array, order: np.ndarray, codes: np.ndarray, counts: np.nd
     return out, done[np.concatenate([[0], np.cumsum(counts)])]
 
 
-def _put_back(left: pa.Table, right: pa.Table) -> pa.Table:
+def _put_back(hot_of):
     """A chunk, and its distinct words' ids and pieces -> ids and decoded text
     of each of its rows, by the words' positions."""
-    out = []
-    order = np.argsort(right.column("place").to_numpy(), kind="stable")
-    for ids, counts, codes in zip(*(left.column(c) for c in ("ids", "counts", "codes"))):
-        own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
-        n = np.frombuffer(_unpack(counts.as_py()), "<i8")
-        code = _from_planes(_unpack(codes.as_py()))
-        flat, ofs = _gather(right.column("ids"), order, code, n)
-        kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
-        b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
-        out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(np.diff(ofs) // 4), b.cast(pa.binary()), _as_text(*_gather(right.column("spelt"), order, code, n))], names=["doc_id", "n_tokens", "ids", "decoded"]))
-    return pa.concat_tables(out)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        hot = hot_of.value
+        out = []
+        place = right.column("place").to_numpy()
+        for ids, counts, codes, words in zip(*(left.column(c) for c in ("ids", "counts", "codes", "words"))):
+            own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
+            n = np.frombuffer(_unpack(counts.as_py()), "<i8")
+            code = _from_planes(_unpack(codes.as_py()))
+            order = pc.fill_null(pc.index_in(words.values, hot["word"]), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            order[place] = len(hot["word"]) + np.arange(len(place))
+            if (order < 0).any():
+                raise RuntimeError("a word has no ids")
+            got = []
+            for part in ("ids", "spelt"):
+                (d1, a1), (d2, a2) = hot[part], text_arrays(right.column(part))
+                got.append(_gather(np.concatenate([d1, d2]), np.concatenate([a1, a1[-1] + a2[1:]]), order, code, n))
+            (flat, ofs), text = got
+            kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
+            b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
+            out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(np.diff(ofs) // 4), b.cast(pa.binary()), _as_text(*text)], names=["doc_id", "n_tokens", "ids", "decoded"]))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def spelt(words: DataFrame, spec_of, pieces: DataFrame) -> DataFrame:
+    """For rows of word, chunk and place: the word's ids (packed) and, joined to
+    the ids, the bytes of their pieces. Every distinct word is encoded once."""
+    coded = words.select("word", "chunk", "place").repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, chunks array<long>, places array<int>")
+    return coded.join(F.broadcast(pieces), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_spell, "chunk long, place int, ids binary, spelt binary")
 
 
 def decode_ids(ids: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,8 +316,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     the shared folder. These words meet by word: each distinct one is encoded
     once, and its ids are joined to their pieces, a table of the vocabulary's
     fixed size. Both go back to the chunks that have the word, where they take
-    the word's positions. However frequent a word is in texts, it is one row per
-    chunk, and those are streamed.
+    the word's positions. The words that most chunks have, a bounded number, are
+    encoded first and sent to all; a word is one row per chunk otherwise, and
+    those are streamed.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -303,13 +326,23 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     spec_of = spark.sparkContext.broadcast(spec)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    cut = stored(base.mapInArrow(_split(spec_of, CHUNK), "chunk long, ids binary, counts binary, codes binary, words array<string>"), "words")
+    name = "bpe_words_" + uuid.uuid4().hex
+    cut = base.mapInArrow(_split(spec_of, CHUNK), "chunk long, ids binary, counts binary, codes binary, words array<string>")
+    cut.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/bpe/{name}").saveAsTable(name)
+    cut = spark.table(name)
+    by_id = piece_table(spec)
+    pieces = spark.createDataFrame(pa.table({"id": pa.array(list(by_id), pa.int32()), "piece": pa.array(list(by_id.values()), pa.binary())}))
     used = cut.select("chunk", F.posexplode("words").alias("place", "word"))
-    pieces = piece_table(spec)
-    table = spark.createDataFrame(pa.table({"id": pa.array(list(pieces), pa.int32()), "piece": pa.array(list(pieces.values()), pa.binary())}))
-    coded = used.select("word", "chunk", "place").repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, chunks array<long>, places array<int>")
-    spelt = coded.join(F.broadcast(table), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_spell, "chunk long, place int, ids binary, spelt binary")
-    return cut.select(F.col("chunk").alias("of"), "ids", "counts", "codes").groupBy("of").cogroup(spelt.groupBy("chunk")).applyInArrow(_put_back, f"doc_id {kind}, n_tokens long, ids binary, decoded string")
+    most = used.where((F.col("place") < TOP) & (F.octet_length("word") <= LONGEST_HOT)).groupBy("word").agg(F.count("*").alias("c")).where(F.col("c") >= HOT_CHUNKS)
+    words = most.orderBy(F.desc("c"), "word").limit(MOST_HOT).select("word").toArrow().column(0)
+    n = len(words)
+    hot = spark.createDataFrame(pa.table({"word": words, "chunk": pa.array(np.zeros(n, np.int64)), "place": pa.array(np.arange(n, dtype=np.int32))})) if n else None
+    known = spelt(hot, spec_of, pieces).toArrow().sort_by("place") if n else pa.table({"ids": pa.array([], pa.binary()), "spelt": pa.array([], pa.binary())})
+    hot_of = spark.sparkContext.broadcast({"word": pa.concat_arrays(words.chunks) if n else pa.array([], pa.string()), **{c: text_arrays(known.column(c)) for c in ("ids", "spelt")}})
+    if n:
+        used = used.join(F.broadcast(hot.select("word")), "word", "left_anti")  # MOST_HOT words of LONGEST_HOT bytes at most
+    answers = spelt(used, spec_of, pieces)
+    return cut.select(F.col("chunk").alias("of"), "ids", "counts", "codes", "words").groupBy("of").cogroup(answers.groupBy("chunk")).applyInArrow(_put_back(hot_of), f"doc_id {kind}, n_tokens long, ids binary, decoded string")
 
 
 def encode(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:

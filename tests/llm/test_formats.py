@@ -125,10 +125,12 @@ def test_words_of_many_chunks(spark, monkeypatch):
             assert list(struct.unpack(f"<{len(r['ids']) // 4}I", r["ids"])) == encode(bpe._splitter(spec), [r["spelt"].decode()])[0]
 
 
-def test_bpe_of_many_chunks(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_bpe_of_many_chunks(spark, monkeypatch, hot):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(bpe, "CHUNK", 200)
+    monkeypatch.setattr(bpe, "HOT_CHUNKS", hot)
     df = spark.createDataFrame([(k, f"the end of the {k}\n") for k in range(60)], "doc_id long, text string")
     t = Tokenizer.from_file(TOKENIZER)
     for r in bpe.encode_decode(df, TOKENIZER).collect():
