@@ -331,6 +331,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("extra")] if carry else []))
     # joins are on a key without nulls, so that all three share one exchange of the texts
+    # and as many tasks as there are shuffle partitions, as a task's memory follows its texts
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ref"), "doc_id", F.hash("text").alias("tag"), "text", *(["extra"] if carry else []))
     extra = ["extra"] if carry else []  # read in every branch, so that the exchanges stay equal
     text_is = ["len", "h1", "h2"]
@@ -338,6 +340,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high")
     same = stored(same, "equal")
     copies = stored(join_groups(marks, same, text_is, "c").where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
+    base = base.repartition(n, "ref")
     texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
     anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, anchor), "anchor long, doc_id long, pos int, c int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared(HOT_ROWS), "doc_id long, place int")
