@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -133,6 +135,117 @@ TEXTS = (
 )
 
 
+#: More sentences, that no other licence has: label and pattern.
+SENTENCES = """
+mit: the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability
+mit: to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense
+mit: released under the (?:terms of the )?mit licence
+mit-0: and to permit persons to whom the software is furnished to do so the software is provided as is
+gpl-2.0: either version 2 of the license or at your option any later version
+gpl-2.0: under the terms of version 2 of the gnu general public license
+gpl-2.0: the gnu general public license is intended to guarantee your freedom to share and change free software
+gpl-3.0: either version 3 of the license or at your option any later version
+gpl-3.0: the gnu general public license is a free copyleft license for software and other kinds of works
+gpl: you should have received a copy of the gnu general public license along with this (?:program|software|file|package)
+gpl: may be distributed under the terms of the (?:gnu )?gpl
+lgpl: you should have received a copy of the gnu (?:lesser|library) general public license
+lgpl: this (?:library|program) is free software licensed under the lgpl
+lgpl-2.1: either version 2 1 of the license or at your option any later version
+lgpl-3.0: this version of the gnu lesser general public license incorporates the terms and conditions of version 3
+agpl-3.0: the gnu affero general public license is a free copyleft license for software and other kinds of works specifically designed to ensure cooperation
+agpl: you should have received a copy of the gnu affero general public license
+gfdl: permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license
+apache-2.0: you may obtain a copy of the license at (?:https? )?(?:www )?apache org licenses license 2 0
+apache-2.0: unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+apache-2.0: terms and conditions for use reproduction and distribution 1 definitions
+apache-1.1: this product includes software developed by the apache software foundation
+bsd-2-clause: redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+bsd: redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer
+bsd: this software is provided by the copyright holders and contributors as is and any express or implied warranties
+bsd: use of this source code is governed by a bsd style license that can be found in the license file
+bsd-3-clause: the names? of (?:its|any) contributors? may not be used to endorse or promote products
+bsd-4-clause: this product includes software developed by the university of california
+0bsd: permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is
+isc: provided that the above copyright notice and this permission notice appear in all copies
+x11: except as contained in this notice the name of the x consortium shall not be used in advertising
+expat: copyright .{1,60}? thai open source software center
+zlib: altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+zlib: this notice may not be removed or altered from any source distribution
+libpng: the contributing authors and group 42 inc disclaim all warranties
+mpl-2.0: this source code form is subject to the terms of the mozilla public license
+mpl-2.0: if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1: the contents of this file are subject to the mozilla public license version 1 1
+epl-2.0: this program and the accompanying materials are made available under the terms of the eclipse public license (?:v ?)?2 0
+epl-1.0: this program and the accompanying materials are made available under the terms of the eclipse public license v1 0
+cddl: the contents of this file are subject to the terms of the common development and distribution license
+cddl: when distributing covered code include this cddl header notice in each file
+cpl-1.0: the accompanying program is provided under the terms of this common public license
+eupl: licensed under the eupl(?: version)? 1 [012] or as soon they will be approved by the european commission
+artistic-2.0: this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed
+artistic-1.0: the intent of this document is to state the conditions under which a package may be copied such that the copyright holder maintains some semblance of artistic control
+bsl-1.0: permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+unlicense: anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary
+unlicense: the author or authors of this code dedicate any and all copyright interest in the software to the public domain
+wtfpl: everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed
+wtfpl: you just do what the fuck you want to
+cc0-1.0: the person who associated a work with this deed has dedicated the work to the public domain
+cc0-1.0: to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights
+cc0-1.0: no copyright this work has been dedicated to the public domain
+cc-by: you must give appropriate credit provide a link to the license and indicate if changes were made
+cc-by: attribution you must give appropriate credit
+cc-by: licensed under a creative commons attribution
+cc-by-sa: if you remix transform or build upon the material you must distribute your contributions under the same license
+cc-by-nc: you may not use the material for commercial purposes
+cc-by-nd: if you remix transform or build upon the material you may not distribute the modified material
+cc-by-nc-nd: creativecommons org licenses by nc nd [1234] 0
+cc-by-nc-sa: creativecommons org licenses by nc sa [1234] 0
+cc-by-nd: creativecommons org licenses by nd [1234] 0
+cc-by-4.0: creativecommons org licenses by 4 0
+cc-by-3.0: creativecommons org licenses by 3 0
+ofl-1.1: this font software is licensed under the sil open font license
+ofl-1.1: the goals of the open font license ofl are to stimulate worldwide development of collaborative font projects
+psf-2.0: this license agreement is between the python software foundation psf and the individual or organization
+php-3.01: this product includes php software freely available from
+ruby: you can redistribute it and or modify it under either the terms of the 2 clause bsdl
+vim: there are no restrictions on distributing unmodified copies of vim except that they must include this license text
+w3c: by obtaining and or copying this work you the licensee agree that you have read understood and will comply with the following terms
+openssl: this product includes software developed by the openssl project for use in the openssl toolkit
+openssl: this product includes cryptographic software written by eric young
+postgresql: permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
+ncsa: redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers
+ms-pl: this license governs use of the accompanying software if you use the software you accept this license
+afl-3.0: licensed under the academic free license version [23] [01]
+osl-3.0: licensed under the open software license version [23] [01]
+odbl: this .{1,60}? is made available under the open database license
+odc-by: this .{1,60}? is made available under the open data commons attribution license
+pddl: this .{1,60}? is made available under the public domain dedication and license
+upl: subject to the condition set forth below permission is hereby granted to any person obtaining a copy of this software associated documentation and or data
+blueoak: in order to receive this license you must agree to its rules
+sspl: if you make the functionality of the program or a modified version available to third parties as a service
+busl: the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work
+elastic: you may not provide the software to third parties as a hosted or managed service
+openrail: use based restrictions as referenced in paragraph 5
+json: the software shall be used for good not evil
+beerware: if we meet some day and you think this stuff is worth it you can buy me a beer in return
+commons-clause: the license does not grant to you the right to sell the software
+commons-clause: commons clause license condition
+polyform: polyform (?:noncommercial|small business|shield|strict|perimeter|free trial) license
+llama: llama (?:2|3|3 1|3 2|3 3) community license(?: agreement)?
+gemma: gemma terms of use
+fair: usage of the works is permitted provided that this instrument is retained with the works
+curl: curl license
+icu: icu license
+jpeg: this software is based in part on the work of the independent jpeg group
+freetype: portions of this software are copyright .{1,40}? the freetype project
+sunpro: permission to use copy modify and distribute this software is freely granted provided that this notice is preserved
+hpnd: that the above copyright notice appear in all copies and that both that copyright notice and this permission notice appear in supporting documentation
+public-domain: this (?:work|file|software|code) is (?:hereby )?(?:in the public domain|public domain)
+proprietary: unauthorized (?:copying|use|reproduction|distribution) of this (?:file|software|document) .{0,40}?(?:is )?strictly prohibited
+proprietary: no part of this (?:publication|document|book) may be reproduced
+proprietary: this software is the confidential and proprietary information of
+"""
+
+
 class Rule(NamedTuple):
     label: str
     needs: tuple[tuple[str, ...], ...]  # any of these, all of its words
@@ -151,7 +264,8 @@ def _spellings(flat: str) -> list[str]:
 def _needs(pattern: str) -> set[frozenset[str]]:
     """Sets of words, one of which every match of a pattern holds: those outside
     of groups, and whole; a set for each spelling."""
-    flat = re.sub(r"\(\?:(?: [^()|]*(?:\||(?=\))))+\)\??", " \0", pattern)  # groups that begin with a space
+    flat = re.sub(r"\.\{\d+,\d+\}\??", "\0", pattern)  # any text
+    flat = re.sub(r"\(\?:(?: [^()|]*(?:\||(?=\))))+\)\??", " \0", flat)  # groups that begin with a space
     for _ in range(2):
         flat = re.sub(r"\(\?:[^()]*\)\??", "\0", flat)
     words = lambda x: re.findall(r"(?<![\w\0\]\[])[a-z0-9]{2,}(?![\w\0\]\[*+{(])", x)
@@ -176,16 +290,30 @@ def rules() -> list[Rule]:
             needs = _gates(name if "{name}" in shape else tag, {"tag": "spdx license identifier", "field": "license"}.get(form, ""))
             out.append((label, needs, body, score, priority))
     out += [(label, (tuple(needs.split()),), body, score, priority) for label, needs, body, score, priority in TEXTS]
+    out += [(label, _gates(body), body, 0.95, 55) for label, body in (line.split(": ", 1) for line in SENTENCES.strip().splitlines())]
     return [Rule(a, n, re.compile(rf"(?<![^ ])(?:{b})(?![^ ])"), s, p, k) for k, (a, n, b, s, p) in enumerate(out)]
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
     """Drop detections that lie inside one of higher priority, or of equal
-    priority that is longer or comes earlier in the rules."""
+    priority that is longer or comes earlier in the rules.
+
+    Those that stand enter a tree of largest ends by start, so that one look-up
+    says whether any of them starts before and ends behind a detection."""
+    starts = sorted({s for s, _, _ in found})
+    far = [-1] * (len(starts) + 1)
     kept: list[tuple[int, int, Rule]] = []
     for s, e, r in sorted(found, key=lambda x: (-x[2].priority, -(x[1] - x[0]), x[2].order, x[0])):
-        if not any(a <= s and e <= b for a, b, _ in kept):
+        at = k = bisect.bisect_left(starts, s) + 1
+        end = -1
+        while k:
+            end = max(end, far[k])
+            k &= k - 1
+        if end < e:
             kept.append((s, e, r))
+            while at < len(far):
+                far[at] = max(far[at], e)
+                at += at & -at
     return kept
 
 
@@ -198,13 +326,15 @@ def detect(text: str, gate: set[str] | None = None) -> list[tuple[int, int, Rule
     """Detections that stand, as (first word, end word, rule)."""
     if not _rules:
         _rules.extend(rules())
-    flat = " ".join(_WORD.findall(text.translate(_FOLD)))
-    have = set(flat.split(" ")) if gate is None else gate
+    words = _WORD.findall(text.translate(_FOLD))
+    flat = " ".join(words)
+    have = set(words) if gate is None else gate
     found = []
     for r in _rules:
         if any(all(n in have for n in need) for need in r.needs):
             found += [(m.start(), m.end(), r) for m in r.pattern.finditer(flat)]
-    return [(flat.count(" ", 0, s), flat.count(" ", 0, e) + 1, r) for s, e, r in resolve(found)]
+    first = list(itertools.accumulate((len(w) + 1 for w in words), initial=0)) if found else []  # where words begin
+    return [(bisect.bisect_right(first, s) - 1, bisect.bisect_left(first, e), r) for s, e, r in resolve(found)]
 
 
 def _word_keys(words: list[str]) -> np.ndarray:
@@ -282,8 +412,10 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     another of higher priority falls away. labels joins both; score is the
     highest confidence among them, 0 without any; detections lists the spans.
 
-    Null or empty texts: no words, no labels, score 0. Repeated rows and ids
-    get a row each; extra columns are ignored. A map-only pass.
+    Null or empty texts: no words, no labels, score 0. Very long texts are taken
+    whole, in time n log n of their detections. Repeated rows and ids get a row
+    each; no rows give no rows; extra columns, whatever their names, are
+    ignored. A map-only pass.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()

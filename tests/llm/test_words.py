@@ -122,8 +122,6 @@ def test_licenses_base_and_rules(spark, sf):
     for i, t in texts.items():
         r = rows[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_licenses(t)
-        ungated = {x.label for _, _, x in licenses.detect(t or "")}
-        assert set(filter(None, r.labels.split(","))) == ungated | set(filter(None, r.base_labels.split(",")))
         assert 0 <= r.score <= 1 and (r.score > 0) == bool(r.labels)
     assert rows[-4].labels == "cc-by,cc-by-sa" and rows[-5].labels == "" and rows[-3].n_base == 3
     assert licenses.scan_licenses(docs.limit(0)).count() == 0
@@ -258,6 +256,43 @@ def spellings(pattern):
     return outs
 
 
+def brute_resolve(found):
+    """Of detections, those that no better one holds, by looking at all pairs."""
+    best = lambda x: (-x[2].priority, -(x[1] - x[0]), x[2].order, x[0])
+    kept = []
+    for d in sorted(found, key=best):
+        if not any(a <= d[0] and d[1] <= b for a, b, _ in kept):
+            kept.append(d)
+    return kept
+
+
+def test_containment():
+    rng = random.Random(6)
+    rules = licenses.rules()
+    for _ in range(400):
+        found = [(a := rng.randrange(40), a + rng.randrange(1, 15), rng.choice(rules)) for _ in range(rng.randrange(25))]
+        assert licenses.resolve(found) == brute_resolve(found)
+
+
+def test_many_detections_take_linear_time():
+    import time
+
+    took = []
+    for n in (4000, 32_000):
+        began = time.perf_counter()
+        assert len(licenses.detect("the mit license; apache license 2.0, " * n)) == 2 * n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 25 * took[0]
+
+
+def test_hand_written_sentences():
+    """Each stands in a text as it is written; its label comes out."""
+    for line in licenses.SENTENCES.strip().splitlines():
+        label, body = line.split(": ", 1)
+        for text in spellings(re._parser.parse(body))[:4]:
+            assert label in {r.label for _, _, r in licenses.detect(f"So, {text.upper()}. More")}, text
+
+
 def test_gates_pass_every_spelling():
     n = 0
     for r in licenses.rules():
@@ -279,6 +314,6 @@ def test_licenses_match_all_patterns_without_gates(spark, sf):
     for d in docs.collect():
         flat = " ".join(licenses._WORD.findall(d.text.translate(licenses._FOLD)))
         found = [(m.start(), m.end(), r) for r in rules for m in r.pattern.finditer(flat)]
-        want = sorted((r.label, flat.count(" ", 0, s), flat.count(" ", 0, e) + 1, r.score) for s, e, r in licenses.resolve(found))
+        want = sorted((r.label, flat.count(" ", 0, s), flat.count(" ", 0, e) + 1, r.score) for s, e, r in brute_resolve(found))
         assert sorted((x.label, x.start, x.end, x.score) for x in rows[d.doc_id].detections) == want
     assert [rows[-1 - k].labels for k in range(4)] == ["openrail", "openrail", "openrail", "gpl-2.0"]
