@@ -160,21 +160,23 @@ def _byte_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return out
 
 
-FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words", "longest_repeat")
+FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MORE = ("covered_words", "longest_repeat")
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50, shortest: int = SHORTEST, covered: float = COVERED, longest: int = LONGEST) -> DataFrame:
     """Counts and a verdict for every document; one row per input row.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
-    n_repeat_words, covered_words (words inside maximal repeated substrings of
-    at least `shortest` words), longest_repeat (words), base_failed, kept.
+    n_repeat_words, base_failed, kept, covered_words (words inside maximal
+    repeated substrings of at least `shortest` words), longest_repeat (words).
 
     base_failed: fewer than min_words words, or more than half of the words in
     repeated 3-word windows. kept: not base_failed, repeats cover at most
     `covered` of the words and none is longer than `longest`. Null or empty
-    texts have zero counts and fail. Texts are taken whole; repeated rows and
-    ids get a row each; extra columns are ignored.
+    texts have zero counts and fail. Texts, very long ones too, are taken whole;
+    repeated rows and ids get a row each; no rows give no rows; extra columns,
+    whatever their names, are ignored.
 
     A map-only pass: rows never move, and memory follows a block of 1 MB of
     texts or the longest single text.
@@ -186,10 +188,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         for batch in batches:
             for i, j, buf, at in blocks(batch.column(1), BLOCK):
                 s, failed, kept = _verdicts(buf, at, *rules)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(s[f]) for f in FIELDS), pa.array(failed), pa.array(kept)], names=["doc_id", *FIELDS, "base_failed", "kept"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *(pa.array(s[f]) for f in FIELDS), pa.array(failed), pa.array(kept), *(pa.array(s[f]) for f in MORE)], names=["doc_id", *FIELDS, "base_failed", "kept", *MORE])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, f"doc_id {kind}, {', '.join(f + ' long' for f in FIELDS)}, base_failed boolean, kept boolean")
+    return docs.selectExpr(f"`{id_col}` as doc_id", f"`{text_col}` as text").mapInArrow(run, f"doc_id {kind}, {', '.join(f + ' long' for f in FIELDS)}, base_failed boolean, kept boolean, {', '.join(f + ' long' for f in MORE)}")
 
 
 def _verdicts(buf: np.ndarray, at: np.ndarray, min_words: int, shortest: int, covered: float, longest: int):
@@ -200,7 +202,8 @@ def _verdicts(buf: np.ndarray, at: np.ndarray, min_words: int, shortest: int, co
 
 def passing(docs: DataFrame, text_col: str = "text", min_words: int = 50, shortest: int = SHORTEST, covered: float = COVERED, longest: int = LONGEST) -> DataFrame:
     """The rows of docs, all columns as they are, that quality_rules would keep.
-    Rows are judged where they lie: no join, no shuffle."""
+    Rows are judged where they lie: no join, no shuffle. Null and empty texts
+    go; null ids and repeated rows are judged like any other; no rows give none."""
     ship(docs.sparkSession)
     at_col = docs.columns.index(text_col)
 

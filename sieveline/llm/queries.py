@@ -45,10 +45,12 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    archive = write_archive(_table(spark, sf_dir, "pages"))
-    h = F.col("header")
-    back = read_archive(spark, archive)
-    return back.select(field(h, "X-Page-ID").cast("long").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), "payload_digest", field(h, "WARC-Type").alias("record_type"), field(h, "X-Refers-To-Page-ID").cast("long").alias("refers_to"))
+    back = read_archive(spark, write_archive(_table(spark, sf_dir, "pages")))
+    h, n = F.col("header"), F.octet_length(F.encode("header", "UTF-8"))
+    # a response's payload is the block of its rebuilt record, a revisit's that of the record it refers to
+    block = F.substring(F.col("record"), n + 1, F.octet_length("record") - n - 4)
+    back = back.withColumn("restored", F.when(field(h, "WARC-Type") == "revisit", F.col("payload")).otherwise(block))
+    return back.select(field(h, "X-Page-ID").cast("long").alias("page_id"), F.octet_length("restored").cast("long").alias("payload_bytes"), F.sha2("restored", 256).alias("payload_digest"), field(h, "WARC-Type").alias("record_type"), field(h, "X-Refers-To-Page-ID").cast("long").alias("refers_to"))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +166,7 @@ s AS (
     coalesce(dup.n, 0) AS n_dup_lines, coalesce(n3.n, 0) AS n_repeat_words, coalesce(n8.n, 0) AS covered_words, coalesce(longest.n, 0) AS longest_repeat
   FROM w LEFT JOIN dup USING (doc_id) LEFT JOIN n3 USING (doc_id) LEFT JOIN n8 USING (doc_id) LEFT JOIN longest USING (doc_id)
 ), f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM s)
-SELECT *, NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 100 AS kept FROM f
+SELECT * EXCLUDE (covered_words, longest_repeat), NOT base_failed AND covered_words <= 0.45 * n_words AND longest_repeat <= 100 AS kept, covered_words, longest_repeat FROM f
 """
 
 OP3_SQL = r"""
