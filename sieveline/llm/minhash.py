@@ -17,10 +17,10 @@ from .kernel import U, Words, blocks, mix, mix_int
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
 #: no band with probability (1 - 0.85**5)**25 < 5e-7.
 BINS, ROWS, BANDS = 128, 5, 25
-#: Weight of a verification unit before it is cut into blocks: its shingles, and
-#: PER_SET for each set, as pairs of sets take memory too. Groups of more than
-#: BY_BUCKET units are compared bucket by bucket and not as a whole.
-UNIT, PER_SET, BY_BUCKET = 1 << 18, 128, 16
+#: Weight of a verification unit before it is cut up: its shingles, and PER_SET
+#: for each set, as pairs of sets take memory too. Members of a larger group meet
+#: pivots first, for as many turns.
+UNIT, PER_SET, TURNS = 1 << 18, 128, 3
 #: Large groups up to which their list is broadcast.
 MOST_LARGE = 100_000
 
@@ -200,9 +200,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     digest). Equal sets collapse to their smallest id first, so groups of
     copies never meet in a bucket. Buckets with several sets give candidate
     groups; texts of candidates meet once per group, where all pairs are
-    intersected exactly and only a spanning forest leaves the task. Groups
-    larger than UNIT are compared in pairs of blocks, and very large ones bucket
-    by bucket, so a task's memory does not follow the group.
+    intersected exactly and only a spanning forest leaves the task. In a group
+    larger than UNIT every member first meets the pivots of its buckets; a bucket
+    whose members are all linked by then is done. What is left is compared bucket
+    by bucket, in pairs of blocks, without the pairs inside its largest linked
+    part. So a task's memory does not follow the group, and the work on a group
+    of near copies follows its size, not its square.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -229,24 +232,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _links_of(base: DataFrame, memb: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between the sets that share a bucket: a forest of each unit."""
     group = components(memb.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
     weight = (F.col("n_shingles") + PER_SET).alias("weight")
     each = memb.select("doc_id", weight).distinct().join(group, F.col("doc_id") == group["vertex"]).select("doc_id", "weight", F.col("component").alias("grp"))
     each = stored(each, "members")
-    large = each.groupBy("grp").agg(F.sum("weight").alias("size")).where(F.col("size") > UNIT)
+    large = stored(each.groupBy("grp").agg(F.sum("weight").alias("size")).where(F.col("size") > UNIT), "large")
     # the large groups are few; their table is broadcast only if a count says so
-    listed = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
-    each = each.join(listed, "grp", "left").withColumn("size", F.coalesce("size", F.lit(0)))
-    whole = each.where(F.col("size") <= BY_BUCKET * UNIT).select(F.lit(0).alias("kind"), F.col("grp").alias("unit"), "size", "doc_id")
+    n = large.limit(MOST_LARGE + 1).count()
+    texts = stored(each.join(F.broadcast(large) if n <= MOST_LARGE else large, "grp", "left").join(base, "doc_id").select("doc_id", "weight", "grp", "size", "text"), "texts")
+    zero = F.lit(0)
+    links = _compare(texts.where("size is null").select(zero.alias("kind"), F.col("grp").alias("unit"), zero.alias("p"), zero.alias("q"), "doc_id", zero.alias("side"), "text"), k, num, den)
+    if not n:
+        return links
+    texts = texts.where("size is not null")
     # a bucket with the members of another is taken once
-    rest = memb.select("key", "doc_id").join(each.where(F.col("size") > BY_BUCKET * UNIT).select("doc_id", "weight"), "doc_id")
+    rest = memb.select("key", "doc_id").join(texts.select("doc_id", "weight").distinct(), "doc_id")
     h = F.xxhash64("doc_id")
-    marks = rest.groupBy("key").agg(F.sum("weight").alias("size"), F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))
-    one = marks.groupBy("m1", "m2", "c").agg(F.min("key").alias("key"), F.max("size").alias("size"))
-    buckets = rest.join(one.select("key", "size"), "key").select(F.lit(1).alias("kind"), F.col("key").alias("unit"), "size", "doc_id")
-    nb = F.when(F.col("size") > UNIT, F.ceil(F.col("size") / F.lit(UNIT // 2))).otherwise(1).cast("int")
-    parts = whole.union(buckets).withColumn("nb", nb).withColumn("part", F.pmod(F.hash("doc_id"), "nb"))
-    parts = parts.select("kind", "unit", "doc_id", "part", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other"))
-    units = parts.select("kind", "unit", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "doc_id", F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))
-    with_text = units.join(base, "doc_id").select("kind", "unit", "p", "q", "doc_id", "side", "text")
-    return stored(with_text.groupBy("kind", "unit", "p", "q").applyInArrow(_verify(k, num, den), "a long, b long"), "links")
+    marks = rest.groupBy("key").agg(F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))
+    one = stored(marks.groupBy("m1", "m2", "c").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
+    buckets = stored(join_groups(rest, one, ["key"], "c").select("key", "doc_id", "weight"), "buckets")
+    edges = None
+    for turn in range(TURNS + 1):
+        at = buckets.withColumn("label", F.col("doc_id"))
+        if edges is not None:
+            at = buckets.join(components(edges), F.col("doc_id") == F.col("vertex"), "left").select("key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("label"))
+        at = stored(at, "labelled")
+        pivot = F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", F.lit(turn)))
+        left = stored(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("pivot"), F.count("*").alias("c")).where("low < high"), "left")
+        if left.isEmpty():
+            break
+        if turn < TURNS:
+            units = _stars(at, left)
+        else:
+            units = _blocks_of(at, left)
+        more = _compare(units.join(texts.select("doc_id", "text"), "doc_id"), k, num, den)
+        edges = more if edges is None else edges.union(more)
+    return links if edges is None else links.union(edges)
+
+
+def _compare(units: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    return stored(units.groupBy("kind", "unit", "p", "q").applyInArrow(_verify(k, num, den), "a long, b long"), "links")
+
+
+def _stars(at: DataFrame, left: DataFrame) -> DataFrame:
+    """Units of a pivot and members of its buckets that it isn't linked with."""
+    pairs = join_groups(at, left.select("key", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.label").alias("with"), "c"), ["key"], "c")
+    pairs = stored(pairs.where("label <> with").select("pivot", "doc_id", "weight").distinct(), "pairs")
+    sizes = stored(pairs.groupBy("pivot").agg(F.count("*").alias("c"), F.ceil(F.sum("weight") / F.lit(UNIT)).cast("int").alias("nb")), "sizes")
+    members = join_groups(pairs, sizes, ["pivot"], "c").select("pivot", F.pmod(F.hash("doc_id"), "nb").alias("p"), "doc_id", F.lit(1).alias("side"))
+    pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("p"), F.col("pivot").alias("doc_id"), F.lit(0).alias("side"))
+    return members.union(pivots).select(F.lit(1).alias("kind"), F.col("pivot").alias("unit"), "p", F.lit(-1).alias("q"), "doc_id", "side")
+
+
+def _blocks_of(at: DataFrame, left: DataFrame) -> DataFrame:
+    """Units of two blocks of a bucket's members, or one, but for pairs of blocks
+    of its largest linked part."""
+    at = join_groups(at, left.select("key", "c"), ["key"], "c").select("key", "doc_id", "weight", "label")
+    linked = at.groupBy("key", "label").agg(F.sum("weight").alias("w"))
+    most = stored(linked.groupBy("key").agg(F.max_by("label", "w").alias("most"), F.max("w").alias("in"), F.sum("w").alias("all")).join(left.select("key", "c"), "key"), "most")
+    half = F.lit(UNIT // 2)
+    most = most.select("key", "most", "c", F.ceil((F.col("all") - F.col("in")) / half).cast("int").alias("others"), F.ceil(F.col("in") / half).cast("int").alias("same"))
+    rows = join_groups(at, most, ["key"], "c").withColumn("inside", F.col("label") == F.col("most"))
+    part = F.when(F.col("inside"), F.col("others") + F.pmod(F.hash("doc_id"), "same")).otherwise(F.pmod(F.hash("doc_id"), "others"))
+    last = F.when(F.col("inside"), F.col("others") - 1).otherwise(F.col("others") + F.col("same") - 1)
+    rows = rows.select("key", "doc_id", part.alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+    return rows.select(F.lit(2).alias("kind"), F.col("key").alias("unit"), F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "doc_id", F.when(F.col("part") <= F.col("other"), 0).otherwise(1).alias("side"))

@@ -62,10 +62,11 @@ def test_near_duplicates(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("unit", [600, 4000])
-def test_large_groups_in_blocks(spark, monkeypatch, unit):
-    """By bucket, and as a whole; both in blocks."""
+@pytest.mark.parametrize("unit, turns", [(600, 0), (600, 1), (4000, 3)])
+def test_large_groups_in_blocks(spark, monkeypatch, unit, turns):
+    """Pivots first, in several units, then what is left in blocks."""
     monkeypatch.setattr(minhash, "UNIT", unit)
+    monkeypatch.setattr(minhash, "TURNS", turns)
     rng = random.Random(5)
     base = [f"w{rng.randrange(500)}" for _ in range(80)]
     rows = []
@@ -78,6 +79,18 @@ def test_large_groups_in_blocks(spark, monkeypatch, unit):
     assert got == brute_components(rows)
 
 
+def test_near_copies_take_linear_pairs(spark, monkeypatch):
+    """Members that a pivot links are not compared with each other."""
+    monkeypatch.setattr(minhash, "UNIT", 4000)
+    kept = []
+    compare = minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda units, *a: kept.append(units.count()) or compare(units, *a))
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:100], f"only{k}", *base[101:]])) for k in range(600)]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(got.values()) == {0} and len(kept) == 2 and 599 <= kept[1] < 3 * 600
+
+
 @pytest.mark.parametrize("most", [50_000, 1])
 def test_hot_groups(spark, monkeypatch, most):
     from sieveline.llm import joins
