@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship, stored
+from ..session import shared_dir, ship, stored
 from .fm_index import FMIndex
 from .joins import join_groups
 from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
@@ -17,6 +19,9 @@ from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
 #: Words of an anchor; bytes of pieces from which an index takes no further key;
 #: places of an anchor beyond which its windows are spread by their words.
 ANCHOR, INDEX_BYTES, HOT_ROWS = 4, 2 << 20, 50_000
+#: Texts that have a piece beyond which it may be hot; the hot pieces, those that
+#: the most texts have, whose answers are sent to all tasks.
+HOT_PIECES, MOST_PIECES = 1_000, 10_000
 #: End of a span that takes the whole text.
 _WHOLE = (1 << 31) - 1
 
@@ -125,81 +130,148 @@ def _shared(most: int):
     return run
 
 
-def _pieces(window: int, k: int):
-    """Texts with the places of their shared anchors -> pieces of text, keyed so
-    that equal windows meet: by their anchor, or, where that is hot, by their
-    own words."""
+class Pieces(NamedTuple):
+    """Pieces of a block of texts, once per text: key, 128-bit identity, text,
+    where in the block a piece's first copy begins and ends, and all its places
+    in its text."""
+
+    key: np.ndarray
+    is1: np.ndarray
+    is2: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    pos: pa.ListArray
+
+
+def _of_block(buf: np.ndarray, at: np.ndarray, places: np.ndarray, at_places: np.ndarray, window: int, k: int) -> Pieces | None:
+    """Texts with the places of their shared anchors -> the pieces around them,
+    keyed so that equal windows meet: by their anchor, or, where that is hot
+    (its place is negative), by their own words."""
+    w = Words(buf, at, lower=False)
+    first, arg, h = minimizers(w, window, k)
+    if not len(first):
+        return None
+    d = np.repeat(np.arange(len(at) - 1), np.diff(at_places))
+    place = np.where(places < 0, -1 - places, places)
+    own = place < np.diff(w.ofs)[d] - k + 1  # places of another row of the same id may lie outside
+    seen = _of_text(h[(place + w.ofs[d])[own]], d[own])
+    hot_first = np.lexsort((places[own] >= 0, seen))
+    seen, hot_seen = seen[hot_first], places[own][hot_first] < 0
+    if not len(seen):
+        return None
+    # every place of a shared anchor counts, not only the one that was sent
+    new = np.ones(len(arg), bool)
+    new[1:] = arg[1:] != arg[:-1]
+    mark = _of_text(h[arg[new]], w.doc[arg[new]])
+    at_seen = np.minimum(np.searchsorted(seen, mark), len(seen) - 1)
+    f = np.where(seen[at_seen] == mark, np.where(hot_seen[at_seen], 2, 1), 0)[np.cumsum(new) - 1]
+    m = f > 0
+    first, arg, f = first[m], arg[m], f[m]
+    if not len(first):
+        return None
+    new = np.ones(len(first), bool)
+    new[1:] = (arg[1:] != arg[:-1]) | (first[1:] != first[:-1] + 1) | (f[1:] == 2)
+    s = np.flatnonzero(new)
+    a, b = first[s], first[np.append(s[1:], len(first)) - 1] + window - 1
+    key = h[arg[s]]
+    hot = f[s] == 2
+    if hot.any():
+        key = np.where(hot, runs(w.key, window)[np.minimum(a, len(w.key) - window)], key)
+    doc = w.doc[a]
+    words = w.key[ragged(a, b - a + 1)]
+    is1, is2 = _whole(words, b - a + 1), _whole(mix(words), b - a + 1)
+    _, one, back = np.unique(_of_text(is1, doc), return_index=True, return_inverse=True)
+    pos = (a - w.ofs[doc])[np.argsort(back, kind="stable")].astype(np.int32)
+    pos = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(back))]).astype(np.int32)), pa.array(pos))
+    return Pieces(key[one], is1[one], is2[one], doc[one], w.start[a[one]], w.end[b[one]], pos)
+
+
+def _blocks_of(batch: pa.RecordBatch, window: int, k: int) -> Iterator[tuple[int, np.ndarray, Pieces]]:
+    lists = batch.column(3)
+    pv, po = lists.values.to_numpy(zero_copy_only=False).astype(np.int64), lists.offsets.to_numpy().astype(np.int64)
+    for i, j, buf, at in blocks(batch.column(2), 1 << 20):
+        p = _of_block(buf, at, pv[po[i] : po[j]], po[i : j + 1] - po[i], window, k)
+        if p:
+            yield i, buf, p
+
+
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def _distinct(window: int, k: int):
+    """Texts with places -> the batch's distinct pieces: the smallest document of
+    each, how many have it, and its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc_id = batch.column(1).to_numpy(zero_copy_only=False)
+            cols, texts = [], []
+            for i, buf, p in _blocks_of(batch, window, k):
+                _, one, back = np.unique(p.is1, return_index=True, return_inverse=True)
+                owner = np.full(len(one), np.iinfo(np.int64).max)
+                np.minimum.at(owner, back, doc_id[i + p.doc])
+                cols.append((p.key[one], p.is1[one], p.is2[one], owner, np.bincount(back)))
+                b0, size = p.start[one], p.end[one] - p.start[one]
+                texts.append(pa.BinaryArray.from_buffers(pa.binary(), len(one), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.py_buffer(buf[ragged(b0, size)])]))
+            if cols:
+                key, is1, is2, owner, c = (np.concatenate(x) for x in zip(*cols))
+                one, owner, c = _combined(is1, owner, c)
+                yield pa.RecordBatch.from_arrays([_signed(key[one]), _signed(is1[one]), _signed(is2[one]), pa.array(owner), pa.array(c), pa.concat_arrays(texts).take(pa.array(one))], names=["key", "is1", "is2", "owner", "c", "piece"])
+
+    return run
+
+
+def _combined(is1: np.ndarray, owner: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of equal pieces: one row's place, the smallest document, all counts."""
+    _, one, back = np.unique(is1, return_index=True, return_inverse=True)
+    least, total = np.full(len(one), np.iinfo(np.int64).max), np.zeros(len(one), np.int64)
+    np.minimum.at(least, back, owner)
+    np.add.at(total, back, c)
+    return one, least, total
+
+
+def _asked(window: int, k: int, hot_of):
+    """Texts with places -> their pieces' identities and places. Those that very
+    many texts have are answered at once, and under an identity of their text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, answers = hot_of.value
         for batch in batches:
             tag, doc_id = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
-            places = batch.column(3)
-            pv, po = places.values.to_numpy(zero_copy_only=False).astype(np.int64), places.offsets.to_numpy().astype(np.int64)
-            for i, j, buf, at in blocks(batch.column(2), 1 << 20):
-                w = Words(buf, at, lower=False)
-                first, arg, h = minimizers(w, window, k)
-                if not len(first):
-                    continue
-                v, d = pv[po[i] : po[j]], np.repeat(np.arange(j - i), np.diff(po[i : j + 1]))
-                place = np.where(v < 0, -1 - v, v)
-                own = place < np.diff(w.ofs)[d] - k + 1  # places of another row of the same id may lie outside
-                seen = _of_text(h[(place + w.ofs[d])[own]], d[own])
-                hot_first = np.lexsort((v[own] >= 0, seen))
-                seen, hot_seen = seen[hot_first], v[own][hot_first] < 0
-                if not len(seen):
-                    continue
-                # every place of a shared anchor counts, not only the one that was sent
-                new = np.ones(len(arg), bool)
-                new[1:] = arg[1:] != arg[:-1]
-                mark = _of_text(h[arg[new]], w.doc[arg[new]])
-                at_seen = np.minimum(np.searchsorted(seen, mark), len(seen) - 1)
-                f = np.where(seen[at_seen] == mark, np.where(hot_seen[at_seen], 2, 1), 0)[np.cumsum(new) - 1]
-                m = f > 0
-                first, arg, f = first[m], arg[m], f[m]
-                if not len(first):
-                    continue
-                new = np.ones(len(first), bool)
-                new[1:] = (arg[1:] != arg[:-1]) | (first[1:] != first[:-1] + 1) | (f[1:] == 2)
-                s = np.flatnonzero(new)
-                a, b = first[s], first[np.append(s[1:], len(first)) - 1] + window - 1
-                key = h[arg[s]]
-                hot = f[s] == 2
-                if hot.any():
-                    key = np.where(hot, runs(w.key, window)[np.minimum(a, len(w.key) - window)], key)
-                # a piece goes once per text, with all the places where it stands
-                doc = w.doc[a]
-                own_words = w.key[ragged(a, b - a + 1)]
-                is1, is2 = _whole(own_words, b - a + 1), _whole(mix(own_words), b - a + 1)
-                _, one, back = np.unique(_of_text(is1, doc), return_index=True, return_inverse=True)
-                pos = (a - w.ofs[doc])[np.argsort(back, kind="stable")].astype(np.int32)
-                pos = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(back))]).astype(np.int32)), pa.array(pos))
-                a, b, key, doc = a[one], b[one], key[one], doc[one]
-                b0, b1 = w.start[a], w.end[b]
-                data = buf[ragged(b0, b1 - b0)]
-                ofs = np.concatenate([[0], np.cumsum(b1 - b0)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x.view(np.int64)) for x in (key, is1[one], is2[one])), pa.array(doc_id[i + doc], pa.int64()), pa.array(tag[i + doc], pa.int32()), pos, pa.BinaryArray.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(ofs), pa.py_buffer(data)])],
-                    names=["key", "is1", "is2", "doc_id", "tag", "pos", "piece"],
-                )
+            for i, _, p in _blocks_of(batch, window, k):
+                is1, is2, d = p.is1, p.is2, doc_id[i + p.doc]
+                least = pa.nulls(len(is1), pa.list_(pa.int64()))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known[:, 0], is1), len(known) - 1)
+                    hit = (known[at, 0] == is1) & (known[at, 1] == is2)
+                    least = answers.take(pa.array(at, mask=~hit))
+                    is1, is2 = np.where(hit, mix(d.astype(U)), is1), np.where(hit, ~is1, is2)
+                yield pa.RecordBatch.from_arrays([_signed(is1), _signed(is2), pa.array(d, pa.int64()), pa.array(tag[i + p.doc], pa.int32()), p.pos, least], names=["is1", "is2", "doc_id", "tag", "pos", "least"])
 
     return run
 
 
 def _indexed(table: pa.Table, window: int) -> pa.RecordBatch:
-    """The smallest document of every window of the given distinct pieces."""
+    """The smallest document of every window of the given pieces, each once."""
+    table = table.combine_chunks()
+    one, owner, c = _combined(*(table.column(x).to_numpy() for x in ("is1", "owner", "c")))
+    table = table.take(pa.array(one))
     buf, at = text_arrays(table.column("piece"))
     w = Words(buf, at, lower=False)
     vocabulary, symbols = np.unique(w.key, return_inverse=True)
-    index = FMIndex(vocabulary, symbols.astype(np.int64) + 1, w.ofs, table.column("owner").to_numpy(), window)
+    index = FMIndex(vocabulary, symbols.astype(np.int64) + 1, w.ofs, owner, window)
     least = index.matching(w.key, w.ofs)
     wins = np.maximum(np.diff(w.ofs) - window + 1, 0)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(wins)]).astype(np.int32)), pa.array(least[ragged(w.ofs[:-1], wins)]))
-    return pa.RecordBatch.from_arrays([*(table.column(c).combine_chunks() for c in ("is1", "is2", "c")), lists], names=["is1", "is2", "c", "least"])
+    return pa.RecordBatch.from_arrays([*(pa.array(table.column(x).to_numpy()) for x in ("is1", "is2")), pa.array(c), lists], names=["is1", "is2", "c", "least"])
 
 
 def _search(window: int, most: int):
-    """Distinct pieces sorted by key: whole keys go to one index until it holds
-    `most` bytes. A key has HOT_ROWS pieces of 2 * window words at most, or, if
-    its anchor is hot, a single one."""
+    """Pieces sorted by key, equal ones combined: whole keys go to one index until
+    it holds `most` bytes. A key has HOT_ROWS pieces of 2 * window words at most,
+    or, if its anchor is hot, a single one, which comes once per batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -319,8 +391,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     before they are shuffled to shards by anchor. A shard builds FM-indexes of
     its distinct pieces and streams them through backward search, which yields
     each window's interval and so its smallest document. The answers are joined
-    to the texts that have the piece; a piece that very many texts have stays in
-    place there. An anchor of over HOT_ROWS places has its windows spread by
+    to the texts that have the piece; those of pieces that very many texts have,
+    a bounded number, are sent to all tasks. An anchor of over HOT_ROWS places has its windows spread by
     their own hash, where all that share a key are one piece: an index's memory
     has a bound, and no key's time follows the number of its documents.
     """
@@ -330,30 +402,37 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("extra")] if carry else []))
-    # joins are on a key without nulls, so that all three share one exchange of the texts
-    # and as many tasks as there are shuffle partitions, as a task's memory follows its texts
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # joins are on a key without nulls
     base = base.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("ref"), "doc_id", F.hash("text").alias("tag"), "text", *(["extra"] if carry else []))
-    extra = ["extra"] if carry else []  # read in every branch, so that the exchanges stay equal
     text_is = ["len", "h1", "h2"]
     marks = base.where("doc_id is not null").select("doc_id", "tag", F.length("text").alias("len"), F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     same = marks.groupBy(*text_is).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c")).where("low < high")
     same = stored(same, "equal")
     copies = stored(join_groups(marks, same, text_is, "c").where("doc_id > low").groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("tag").alias("copy_tags")), "copies")
-    base = base.repartition(n, "ref")
     texts = base.join(copies, "ref", "left").where("doc_id is not null and (copy_tags is null or not array_contains(copy_tags, tag))")
-    anchors = texts.select("doc_id", "text", *extra).mapInArrow(_anchors(window, anchor), "anchor long, doc_id long, pos int, c int")
+    anchors = texts.select("doc_id", "text").mapInArrow(_anchors(window, anchor), "anchor long, doc_id long, pos int, c int")
     shared = anchors.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_shared(HOT_ROWS), "doc_id long, place int")
     places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
-    pieces = base.join(places, "ref").select("tag", "doc_id", "text", "places", *extra).mapInArrow(_pieces(window, anchor), "key long, is1 long, is2 long, doc_id long, tag int, pos array<int>, piece binary")
-    pieces = stored(pieces, "pieces")
-    distinct = pieces.groupBy("is1", "is2").agg(F.first("key").alias("key"), F.min("doc_id").alias("owner"), F.count("*").alias("c"), F.first("piece").alias("piece"))
-    least = distinct.select("key", "is1", "is2", "owner", "c", "piece").repartition("key").sortWithinPartitions("key").mapInArrow(_search(window, INDEX_BYTES), "is1 long, is2 long, c long, least array<long>")
+    # the texts move once, into buckets that both passes over the pieces and the cut read in place
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "texts_" + uuid.uuid4().hex
+    moved = base.repartition(n, "ref").join(places.repartition(n, "ref"), "ref", "left")
+    moved.write.bucketBy(n, "ref").sortBy("ref").option("compression", "zstd").option("path", f"{shared_dir(spark)}/substring/{name}").saveAsTable(name)
+    base = spark.table(name)
+    marked = base.where("places is not null").select("tag", "doc_id", "text", "places")
+    distinct = marked.mapInArrow(_distinct(window, anchor), "key long, is1 long, is2 long, owner long, c long, piece binary")
+    least = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window, INDEX_BYTES), "is1 long, is2 long, c long, least array<long>")
     least = stored(least, "least")
-    found = join_groups(pieces.select("is1", "is2", "doc_id", "tag", "pos"), least, ["is1", "is2"], "c").select("doc_id", "tag", "pos", "least").mapInArrow(_spans(window), "doc_id long, tag int, start int, end int")
+    hot = least.where(F.col("c") > HOT_PIECES).orderBy(F.desc("c"), "is1", "is2").limit(MOST_PIECES).toArrow()  # a bounded number
+    known = np.stack([hot.column(x).to_numpy().view(U) for x in ("is1", "is2")], axis=1)
+    order = np.argsort(known[:, 0], kind="stable")
+    hot_of = spark.sparkContext.broadcast((known[order], pa.concat_arrays(hot.column("least").chunks).take(pa.array(order)) if len(order) else None))
+    asked = marked.mapInArrow(_asked(window, anchor, hot_of), "is1 long, is2 long, doc_id long, tag int, pos array<int>, least array<long>")
+    both = asked.join(least.select("is1", "is2", F.col("least").alias("found")), ["is1", "is2"], "left")
+    found = both.select("doc_id", "tag", "pos", F.coalesce("least", "found").alias("least")).mapInArrow(_spans(window), "doc_id long, tag int, start int, end int")
     whole = copies.select(F.col("ref").alias("doc_id"), F.explode("copy_tags").alias("tag"), F.lit(0).alias("start"), F.lit(_WHOLE).alias("end"))
     spans = found.union(whole).groupBy(F.col("doc_id").alias("ref")).agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
     out = "doc_id long, n_words long, n_removed long, kept_text string"
     if carry:
         out += f", text string, extra {base.schema['extra'].dataType.simpleString()}"
-    return base.join(spans, "ref", "left").select("doc_id", "tag", "text", "spans", *extra).mapInArrow(_cut(window), out)
+    return base.join(spans, "ref", "left").select("doc_id", "tag", "text", "spans", *(["extra"] if carry else [])).mapInArrow(_cut(window), out)

@@ -237,8 +237,10 @@ def test_shared_anchors_of_any_batches():
 
 
 def test_one_passage_in_all_documents(spark, monkeypatch):
-    """A hot passage is one piece to its index, however many documents have it."""
+    """A hot passage is one piece to its index, however many documents have it,
+    and answered without a join."""
     monkeypatch.setattr(substring, "HOT_ROWS", 30)
+    monkeypatch.setattr(substring, "HOT_PIECES", 20)
     p = " ".join(f"p{k}" for k in range(40))
     rows = [(k, f"a{k} {p} b{k}") for k in range(200)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
