@@ -19,7 +19,9 @@ from .kernel import blocks, ragged, text_arrays
 #: Bytes of text in a chunk. Of each chunk's TOP most frequent words, those that
 #: HOT_CHUNKS chunks or more have (and that are of LONGEST_HOT bytes at most) are
 #: known everywhere: the MOST_HOT ones that the most chunks have.
-CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 24 << 20, 50_000, 8, 100_000, 64
+CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 32 << 20, 50_000, 8, 100_000, 64
+#: Rows that a task holds to send them to their chunks together.
+HELD = 1 << 20
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -216,6 +218,51 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(pa.Table.from_batches(held))
 
 
+def _sent(most: int):
+    """_spell(), its rows packed by chunk, `most` rows or a few more at a time."""
+
+    def pack(rows: pa.Table) -> pa.RecordBatch:
+        chunk = rows.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        start = np.flatnonzero(np.concatenate([[True], np.diff(chunk[order]) != 0]))
+        packed = []
+        for a, b in zip(start, np.append(start[1:], len(order))):
+            one = rows.take(pa.array(order[a:b]))
+            (ids, ids_at), (text, text_at) = (text_arrays(one.column(c)) for c in ("ids", "spelt"))
+            packed.append(_pack(_planes(np.array([b - a])) + _planes(np.concatenate([one.column("place").to_numpy(), np.diff(ids_at) // 4, np.diff(text_at)])) + len(ids).to_bytes(8, "little") + _planes(np.frombuffer(ids.tobytes(), "<u4")) + text.tobytes()))
+        return pa.RecordBatch.from_arrays([pa.array(chunk[order][start]), pa.array(packed, pa.binary())], names=["chunk", "answers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in _spell(batches):
+            held.append(batch)
+            n += batch.num_rows
+            if n >= most:
+                yield pack(pa.Table.from_batches(held))
+                held, n = [], 0
+        if n:
+            yield pack(pa.Table.from_batches(held))
+
+    return run
+
+
+def _opened(blobs: list[bytes]) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """Places of words, and the bytes and offsets of their ids and pieces."""
+    place, sizes, data = [], {"ids": [], "spelt": []}, {"ids": [], "spelt": []}
+    for blob in blobs:
+        raw = _unpack(blob)
+        n = int(_from_planes(raw[:4])[0])
+        numbers = _from_planes(raw[4 : 4 + 12 * n])
+        size = int.from_bytes(raw[4 + 12 * n : 12 + 12 * n], "little")
+        place.append(numbers[:n])
+        sizes["ids"].append(4 * numbers[n : 2 * n].astype(np.int64))
+        sizes["spelt"].append(numbers[2 * n :].astype(np.int64))
+        data["ids"].append(_from_planes(raw[12 + 12 * n : 12 + 12 * n + size]).view(np.uint8))
+        data["spelt"].append(np.frombuffer(raw, np.uint8, offset=12 + 12 * n + size))
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(place or none).astype(np.int64), {c: (np.concatenate(data[c] or [np.zeros(0, np.uint8)]), np.cumsum(np.concatenate([[0], *sizes[c]]))) for c in data}
+
+
 def _gather(data: np.ndarray, at: np.ndarray, order: np.ndarray, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For rows of word codes: the words' parts one after the other, as bytes
     and offsets. order: the part of each code, by the parts' bytes and offsets."""
@@ -235,7 +282,7 @@ def _put_back(hot_of):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         hot = hot_of.value
         out = []
-        place = right.column("place").to_numpy()
+        place, own_words = _opened(right.column("answers").to_pylist())
         for ids, counts, codes, words in zip(*(left.column(c) for c in ("ids", "counts", "codes", "words"))):
             own = pa.ipc.open_stream(_unpack(ids.as_py())).read_all().column(0).combine_chunks()
             n = np.frombuffer(_unpack(counts.as_py()), "<i8")
@@ -246,7 +293,7 @@ def _put_back(hot_of):
                 raise RuntimeError("a word has no ids")
             got = []
             for part in ("ids", "spelt"):
-                (d1, a1), (d2, a2) = hot[part], text_arrays(right.column(part))
+                (d1, a1), (d2, a2) = hot[part], own_words[part]
                 got.append(_gather(np.concatenate([d1, d2]), np.concatenate([a1, a1[-1] + a2[1:]]), order, code, n))
             (flat, ofs), text = got
             kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
@@ -258,10 +305,11 @@ def _put_back(hot_of):
 
 
 def spelt(words: DataFrame, spec_of, pieces: DataFrame) -> DataFrame:
-    """For rows of word, chunk and place: the word's ids (packed) and, joined to
-    the ids, the bytes of their pieces. Every distinct word is encoded once."""
+    """For rows of word, chunk and place: chunk and answers, which pack the
+    places, the words' ids and, joined to the ids, their pieces. Every distinct
+    word is encoded once."""
     coded = words.select("word", "chunk", "place").repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, chunks array<long>, places array<int>")
-    return coded.join(F.broadcast(pieces), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_spell, "chunk long, place int, ids binary, spelt binary")
+    return coded.join(F.broadcast(pieces), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_sent(HELD), "chunk long, answers binary")
 
 
 def decode_ids(ids: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -312,7 +360,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored.
 
     Plan: texts are split into words once, where they lie, and kept as numbers
-    of the chunk's distinct words (about 24 MB of text, or one longer text), in
+    of the chunk's distinct words (about 32 MB of text, or one longer text), in
     the shared folder. These words meet by word: each distinct one is encoded
     once, and its ids are joined to their pieces, a table of the vocabulary's
     fixed size. Both go back to the chunks that have the word, where they take
@@ -337,8 +385,8 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     words = most.orderBy(F.desc("c"), "word").limit(MOST_HOT).select("word").toArrow().column(0)
     n = len(words)
     hot = spark.createDataFrame(pa.table({"word": words, "chunk": pa.array(np.zeros(n, np.int64)), "place": pa.array(np.arange(n, dtype=np.int32))})) if n else None
-    known = spelt(hot, spec_of, pieces).toArrow().sort_by("place") if n else pa.table({"ids": pa.array([], pa.binary()), "spelt": pa.array([], pa.binary())})
-    hot_of = spark.sparkContext.broadcast({"word": pa.concat_arrays(words.chunks) if n else pa.array([], pa.string()), **{c: text_arrays(known.column(c)) for c in ("ids", "spelt")}})
+    place, known = _opened([r["answers"] for r in spelt(hot, spec_of, pieces).collect()] if n else [])
+    hot_of = spark.sparkContext.broadcast({"word": pa.concat_arrays(words.chunks).take(pa.array(place)) if n else pa.array([], pa.string()), **known})
     if n:
         used = used.join(F.broadcast(hot.select("word")), "word", "left_anti")  # MOST_HOT words of LONGEST_HOT bytes at most
     answers = spelt(used, spec_of, pieces)
