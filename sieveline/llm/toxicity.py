@@ -14,29 +14,45 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .kernel import _LOWER, U, blocks, mix, mix_int
 
-#: Lengths of character n-grams (bytes of UTF-8), and bits of their hash space.
+#: Lengths of character n-grams (code points), and bits of their hash space.
 SIZES, BITS = (4, 5, 6), 20
 #: Labelled rows that a fit reads at most: those with the smallest hash of id.
 SAMPLE = 4000
 #: Features with fewer documents than this, or a smaller weight, score nothing.
 LEAST, KEEP = 5, 0.02
+#: Change of a weight, as a share of the largest one, below which a fit ends.
+STILL = 1e-3
+
+
+def characters(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and the texts' offsets among them. A-Z are
+    folded; white space and digits are classes."""
+    if not (buf > 127).any():
+        return _CLASS[buf].astype(U), at
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    lead = buf[start].astype(U)
+    size = np.where(lead < 0x80, 1, np.where(lead < 0xE0, 2, np.where(lead < 0xF0, 3, 4)))
+    out = np.where(size == 1, _CLASS[buf[start]], lead & (U(0xFF) >> (size + 1).astype(U)))
+    for k in range(1, 4):
+        m = size > k
+        out[m] = out[m] << U(6) | (buf[np.minimum(start[m] + k, len(buf) - 1)] & U(0x3F))
+    return out.astype(U), np.searchsorted(start, at).astype(np.int64)
 
 
 def gram_hashes(buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n-gram length: bucket of every n-gram inside one text, and the
-    place where it starts. A-Z are folded; white space and digits are classes."""
-    b = _CLASS[buf].astype(U)
-    n = len(b)
-    inside = np.empty(n, np.int64)  # bytes from here to the end of the text
-    if n:
-        inside[:] = np.repeat(at[1:], np.diff(at)) - np.arange(n)
+    """For each n-gram length: bucket of every n-gram inside one text, and that
+    text."""
+    c, at = characters(buf, at)
+    n = len(c)
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
     for size in SIZES:
         if n < size:
             continue
         h = np.zeros(n - size + 1, U)
         for j in range(size):
-            h += b[j : n - size + 1 + j] * U(mix_int(0x7FEB352D * (j + 1) + size) | 1)
-        yield np.asarray(mix(h) >> U(64 - BITS)).astype(np.int64), np.flatnonzero(inside[: n - size + 1] >= size)
+            h += c[j : n - size + 1 + j] * U(mix_int(0x7FEB352D * (j + 1) + size) | 1)
+        i = np.flatnonzero(doc[: n - size + 1] == doc[size - 1 :])
+        yield (mix(h) >> U(64 - BITS)).astype(np.int64)[i], doc[i]
 
 
 _CLASS = _LOWER.copy()
@@ -54,10 +70,9 @@ class Model(NamedTuple):
         n = len(at) - 1
         keys = []
         used = self.weight != 0
-        for h, i in gram_hashes(buf, at):
-            i = i[used[h[i]]]
-            doc = np.searchsorted(at, i, "right") - 1
-            keys.append(doc << BITS | h[i])
+        for h, doc in gram_hashes(buf, at):
+            m = used[h]
+            keys.append(doc[m] << BITS | h[m])
         k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         return self.bias + np.bincount(k >> BITS, self.weight[k & ((1 << BITS) - 1)], minlength=n)
 
@@ -70,8 +85,8 @@ def presence(texts: pa.Array) -> list[np.ndarray]:
     out = []
     for _, _, buf, at in blocks(texts, 1 << 20):
         keys = []
-        for h, i in gram_hashes(buf, at):
-            keys.append((np.searchsorted(at, i, "right") - 1) << BITS | h[i])
+        for h, doc in gram_hashes(buf, at):
+            keys.append(doc << BITS | h)
         k = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         cut = np.searchsorted(k >> BITS, np.arange(len(at)))
         out += [(k[cut[d] : cut[d + 1]] & ((1 << BITS) - 1)).astype(np.int32) for d in range(len(at) - 1)]
@@ -136,6 +151,8 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
             gw += r * np.add.reduceat(g[col_row], col_at)
         v, vb = np.float32(0.9) * v - np.float32(step) * gw, 0.9 * vb - step * float(g.sum())
         w, bias = w + v, bias + vb
+        if abs(vb) < STILL and float(np.abs(v).max(initial=0)) < STILL * float(np.abs(w).max(initial=0)):
+            break
     weight = np.zeros(size)
     weight[ids] = w * r
     weight[np.abs(weight) < KEEP] = 0
@@ -163,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every row, by one pass. Null and empty texts
-    have the model's base rate. Repeated rows score alike; extra columns are
-    ignored. The broadcast model has a fixed size."""
+    have the model's base rate; very long ones are scored whole. Repeated rows
+    score alike; null ids are carried along; no rows give no rows; extra columns,
+    whatever their names, are ignored. The broadcast model has a fixed size."""
     spark = docs.sparkSession
     ship(spark)
     keep = np.flatnonzero(model.weight).astype(np.int32)

@@ -63,3 +63,54 @@ def test_capped_classes_keep_their_odds(spark, monkeypatch):
     assert (y.sum(), len(y)) == (200, 800) and toxic < n / 8
     assert more["odds"] == toxic / (n - toxic)
     assert whole.bias < part.bias < fit(texts, y).bias
+
+
+def brute_grams(text):
+    fold = "".join(c.lower() if "A" <= c <= "Z" else " " if c in "\t\n\v\f\r" else "0" if "0" <= c <= "9" else c for c in text)
+    return [(fold[i : i + n]) for n in toxicity.SIZES for i in range(len(fold) - n + 1)]
+
+
+def test_grams_are_of_characters():
+    texts = ["Idiot 12\n", "Дурак ты", "日本語です。\U0001f600x", "", "abc", "é" * 7, "дурак ТЫ идиот"]
+    enc = [t.encode() for t in texts]
+    buf, at = np.frombuffer(b"".join(enc), np.uint8), np.cumsum([0, *map(len, enc)])
+    got = [[] for _ in texts]
+    for h, doc in toxicity.gram_hashes(buf, at):
+        for x, d in zip(h.tolist(), doc.tolist()):
+            got[d].append(x)
+    names = {}
+    for t, g in zip(texts, got):
+        want = brute_grams(t)
+        assert len(g) == len(want)
+        for x, w in zip(g, want):
+            assert names.setdefault(w, x) == x
+    assert len(set(names.values())) == len(names)
+
+
+def test_scores_by_brute_force():
+    """The model's scores, from its weights and the set of a text's n-grams."""
+    texts = ["you idiot fool", "nice day", "дурак ты идиот", "good morning 123", "idiot fool you дурак"] * 4
+    model = toxicity.fit(pa.array(texts), np.array([1, 0, 1, 0, 1] * 4))
+    assert model.weight.any()
+    for t in [*texts[:5], "", "ничего тут нет", "IDIOT"]:
+        buf = np.frombuffer(t.encode(), np.uint8)
+        seen = {int(h) for hs, _ in toxicity.gram_hashes(buf, np.array([0, len(buf)])) for h in hs}
+        z = model.bias + sum(model.weight[h] for h in seen)
+        assert abs(model.scores(buf, np.array([0, len(buf)]))[0] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_ratios_by_brute_force():
+    """Log-count ratios say which n-grams weigh, and to which side."""
+    texts = ["bad words here", "bad things", "bad luck bad", "fine things", "fine words", "fine day"] * 3
+    labels = np.array([1, 1, 1, 0, 0, 0] * 3)
+    model = toxicity.fit(pa.array(texts), labels, l2=1.0)
+    grams = [set(brute_grams(t)) for t in texts]
+    for g in set().union(*grams):
+        p, q = sum(g in x for x, y in zip(grams, labels) if y), sum(g in x for x, y in zip(grams, labels) if not y)
+        ratio = np.log((p + 1) / (9 + 2)) - np.log((q + 1) / (9 + 2))
+        buf = np.frombuffer(g.encode(), np.uint8)
+        h = next(int(hs[0]) for n, (hs, _) in zip([n for n in toxicity.SIZES if n <= len(g)], toxicity.gram_hashes(buf, np.array([0, len(buf)]))) if n == len(g))
+        if p + q < toxicity.LEAST or abs(ratio) <= 0.7:
+            assert model.weight[h] == 0
+        elif model.weight[h]:
+            assert np.sign(model.weight[h]) == np.sign(ratio)
