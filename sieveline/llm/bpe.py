@@ -19,9 +19,9 @@ from .kernel import blocks, ragged, text_arrays
 #: Bytes of text in a chunk. Of each chunk's TOP most frequent words, those that
 #: HOT_CHUNKS chunks or more have (and that are of LONGEST_HOT bytes at most) are
 #: known everywhere: the MOST_HOT ones that the most chunks have.
-CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 32 << 20, 50_000, 8, 100_000, 64
+CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 16 << 20, 50_000, 3, 100_000, 64
 #: Rows that a task holds to send them to their chunks together.
-HELD = 1 << 20
+HELD = 1 << 19
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -267,12 +267,25 @@ def _gather(data: np.ndarray, at: np.ndarray, order: np.ndarray, codes: np.ndarr
     """For rows of word codes: the words' parts one after the other, as bytes
     and offsets. order: the part of each code, by the parts' bytes and offsets."""
     start, size = at[:-1][order], np.diff(at)[order]
-    done = np.concatenate([[0], np.cumsum(size[codes])])
-    out = np.empty(int(done[-1]), np.uint8)
-    for c in range(0, len(codes), 1 << 18):
-        k = codes[c : c + (1 << 18)]
-        out[done[c] : done[c + len(k)]] = data[ragged(start[k], size[k])]
-    return out, done[np.concatenate([[0], np.cumsum(counts)])]
+    row_at = np.concatenate([[0], np.cumsum(counts)])
+    step, total, sizes = 1 << 17, 0, np.zeros(len(counts), np.int64)
+    # a step of words at a time: nothing of the chunk's number of words but the bytes themselves
+    for c in range(0, len(codes), step):
+        n = size[codes[c : c + step]]
+        total += int(n.sum())
+    out, done = np.empty(total, np.uint8), 0
+    for c in range(0, len(codes), step):
+        k = codes[c : c + step]
+        n = size[k]
+        got = data[ragged(start[k], n)]
+        out[done : done + len(got)] = got
+        done += len(got)
+        first, last = np.searchsorted(row_at, [c, c + len(k)], "right")
+        edges = np.clip(row_at[max(first - 1, 0) : last + 1], c, c + len(k)) - c
+        upto = np.concatenate([[0], np.cumsum(n)])
+        part = np.diff(upto[edges])
+        sizes[max(first - 1, 0) : max(first - 1, 0) + len(part)] += part
+    return out, np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _put_back(hot_of):
@@ -360,7 +373,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     ignored.
 
     Plan: texts are split into words once, where they lie, and kept as numbers
-    of the chunk's distinct words (about 32 MB of text, or one longer text), in
+    of the chunk's distinct words (about 16 MB of text, or one longer text), in
     the shared folder. These words meet by word: each distinct one is encoded
     once, and its ids are joined to their pieces, a table of the vocabulary's
     fixed size. Both go back to the chunks that have the word, where they take
