@@ -71,6 +71,11 @@ def node_tokens(name: Column, text: Column, most: int = 400) -> Column:
     return F.concat(tokens(name), F.slice(tokens(text), 1, most))
 
 
+def text_or(text: Column, other: Column) -> Column:
+    """The text, or another value where it is null or empty."""
+    return F.when(present(text), text).otherwise(other)
+
+
 def before(text: Column, marker: str) -> Column:
     return F.substring_index(text, marker, 1)
 

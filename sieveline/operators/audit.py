@@ -41,9 +41,14 @@ def totals(found: DataFrame) -> DataFrame:
     return found.groupBy("severity", "check").agg(F.count("*").alias("n"))
 
 
+def exit_code(found: DataFrame) -> DataFrame:
+    """code: 1 if any finding is an error, else 0."""
+    return found.agg(F.max(F.when(F.col("severity") == "error", 1).otherwise(0)).alias("_c")).select(F.coalesce("_c", F.lit(0)).alias("code"))
+
+
 def fail_on_errors(found: DataFrame) -> None:
     """For command lines: stop if there is an error row."""
-    if not found.where("severity = 'error'").isEmpty():
+    if exit_code(found).first()["code"]:
         raise SystemExit(1)
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import outcome
 from ..functions import text as T
+from ..session import ship, stored
 
 
 def candidates(commits: DataFrame, since: str | None = None) -> DataFrame:
@@ -109,6 +113,25 @@ def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return out.select(*[c for c in left.columns if not c.startswith("_")], *[F.col(f"_v.{c}").alias(f"asof_{c}") for c in value])
 
 
+def asof_ranged(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ordinal: str, value: list[str]) -> DataFrame:
+    """asof_latest() for few keys with very many rows each.
+
+    The stream of both sides is cut into ranges of key and time. A range carries
+    its own rows forward; what it begins with is the last right row of the
+    ranges before it, of which there is one per key and range.
+    """
+    left, right = left.withColumns({"_side": F.lit(1), "_t": F.col(left_ts), "_o": F.lit(0).cast("long")}), right.select(*by, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"), (-F.col(ordinal)).cast("long").alias("_o"), F.struct(*value).alias("_v"))
+    both = left.unionByName(right, allowMissingColumns=True)
+    both = stored(both.repartitionByRange(*by, "_t", "_side", "_o").withColumn("_part", F.spark_partition_id()), "ranges")
+    ends = both.where("_side = 0").groupBy(*by, "_part").agg(F.max_by("_v", F.struct("_t", "_o")).alias("_last"))
+    every = both.select(*by, "_part").distinct().join(ends, [*by, "_part"], "left")
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = every.withColumn("_begin", F.last("_last", ignorenulls=True).over(earlier)).select(*by, "_part", "_begin")
+    w = Window.partitionBy(*by, "_part").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").join(begins, [*by, "_part"], "left").withColumn("_v", F.coalesce("_v", "_begin"))
+    return out.select(*[c for c in left.columns if not c.startswith("_")], *[F.col(f"_v.{c}").alias(f"asof_{c}") for c in value])
+
+
 def rank_hash(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 
@@ -136,10 +159,10 @@ def stratified_split(df: DataFrame, stratum: str, id_col: str, share: float = 0.
 def numbered(df: DataFrame, order: list[str], name: str = "_no") -> DataFrame:
     """Global row numbers from 0 in a total order, without one task that sorts all.
 
-    Rows are range partitioned and sorted; counts per range, one row each, give
-    the offsets.
+    Rows are range partitioned and stored with their range, as both branches
+    must see the same ranges; counts per range, one row each, give the offsets.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     w = Window.partitionBy("_part").orderBy(*order)
     inside = parts.withColumn(name, F.row_number().over(w) - 1)
     counts = inside.groupBy("_part").agg(F.count("*").alias("_c"))
@@ -172,6 +195,44 @@ def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name
     return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w).cast("long"))
 
 
+def wanted_requirements(names: DataFrame, by: list[str], own: str, name: str, resolved: DataFrame | None = None) -> DataFrame:
+    """Requirement names that are kept: no junk, not the package itself, and, for
+    groups with any resolved names (by, name), one of these."""
+    out = names.where(T.keep_requirement(F.col(name), F.col(own)))
+    if resolved is None:
+        return out
+    have = resolved.select(*by, name).distinct()
+    known = out.join(have, [*by, name], "left_semi")
+    return known.unionByName(out.join(have.select(*by), by, "left_anti"))
+
+
+def in_snapshot(tasks: DataFrame, key: list[str], files: str, members: DataFrame, path: str) -> DataFrame:
+    """Tasks with those of their patched files (an array) that the snapshot holds;
+    tasks without any are skipped. members: key, path."""
+    each = tasks.select(*key, F.explode(F.array_distinct(files)).alias("_f")).join(members.select(*key, F.col(path).alias("_f")).distinct(), [*key, "_f"], "left_semi")
+    return each.groupBy(*key).agg(F.array_sort(F.collect_list("_f")).alias("targets"))
+
+
+def with_assets(df: DataFrame, key: list[str], *assets: DataFrame) -> DataFrame:
+    """Rows whose key every one of the asset tables has."""
+    for a in assets:
+        df = df.join(a.select(*key), key, "left_semi")
+    return df
+
+
+def strict_join(df: DataFrame, other: DataFrame, key: list[str]) -> DataFrame:
+    """Inner join that stops if a key of df is not in `other`."""
+    names = ", ".join(key)
+    out = df.join(other.withColumn("_found", F.lit(True)), key, "left")
+    ok = F.when(F.col("_found"), True).otherwise(F.raise_error(F.lit(f"{names} without a match")).cast("boolean"))
+    return out.where(ok).drop("_found")
+
+
+def stamped(df: DataFrame, **values: object) -> DataFrame:
+    """The same value of a column in every row, as runs stamp their settings."""
+    return df.withColumns({k: F.lit(v) for k, v in values.items()})
+
+
 def constraints(df: DataFrame, pkg: str = "pkg", ver: str = "ver") -> DataFrame:
     """Lines pkg==ver."""
     return df.where(F.col(ver).isNotNull()).select(F.concat_ws("==", pkg, ver).alias("value"))
@@ -187,10 +248,11 @@ def era_constraints(tasks: DataFrame, names: DataFrame, releases: DataFrame, key
     """Lines pkg==ver per task: each wanted package at its latest release that is
     not after the task's cutoff. Null for tasks without names or releases.
 
-    names: key, pkg; releases: pkg, ver, t, ordinal.
+    names: key, pkg; releases: pkg, ver, t, ordinal. Packages are few and each
+    may hold most rows, so the join is ranged by time.
     """
     want = tasks.join(names, key).select(*key, "pkg", cutoff)
-    got = asof_latest(want, releases, ["pkg"], cutoff, "t", "ordinal", ["ver"]).where("asof_ver is not null")
+    got = asof_ranged(want, releases, ["pkg"], cutoff, "t", "ordinal", ["ver"]).where("asof_ver is not null")
     lines = got.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws("==", "pkg", "asof_ver"))), "\n").alias("constraints"))
     return tasks.select(*key).join(lines, key, "left")
 
@@ -202,3 +264,28 @@ def external_overlap(ours: DataFrame, theirs: DataFrame, base: str, our_id: str,
     a = ours.select(base, F.col(our_id).alias("ours"), edits(F.col(patch)).alias("_a"))
     b = theirs.select(base, F.col(their_id).alias("external"), edits(F.col(patch)).alias("_b"))
     return a.join(b, base).select("ours", "external", (F.col("_a") == F.col("_b")).alias("identical_edit_lines"))
+
+
+def asset_status(tasks: DataFrame, id_col: str, steps: list[tuple[str, Callable]]) -> DataFrame:
+    """Run a job per row and say how it ended: id, status.
+
+    Steps are (name, function) in order; the first gets the row as a dict, each
+    other one the row and what the step before it returned. The status is
+    "<name>-fail" of the first that raises, or "ok".
+    """
+    ship(tasks.sparkSession)
+
+    def one(row: dict) -> str:
+        got: tuple = ()
+        for name, step in steps:
+            try:
+                got = (step(row, *got),)
+            except Exception:  # noqa: BLE001
+                return f"{name}-fail"
+        return "ok"
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            yield pd.DataFrame({id_col: pdf[id_col], "status": [one(r) for r in pdf.to_dict("records")]})
+
+    return tasks.mapInPandas(run, f"{id_col} {tasks.schema[id_col].dataType.simpleString()}, status string")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 #: BM25 parameters and the weight of a neighbour's score.
 K1, B, NEIGHBOUR = 1.2, 0.75, 0.5
 #: Rows up to which a counted side is broadcast.
@@ -95,6 +97,49 @@ def first_hits(ranks: DataFrame, targets: DataFrame, query: list[str], item: str
     return hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.coalesce(F.min(rank), F.lit(0)).cast("int").alias("first_rank"))
 
 
+def first_hits_of(scores: DataFrame, targets: DataFrame, query: list[str], item: str, score: str = "score") -> DataFrame:
+    """first_hits() of the ranking by falling score and item, from the scores.
+
+    A query's best target is known by joining; its rank is one more than the
+    number of rows that come before it, which are counted where they lie. No row
+    is ranked and nothing is sorted.
+    """
+    t = targets.select(*query, item).distinct()
+    hit = t.join(scores.select(*query, item, score), [*query, item], "left")
+    lead = F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"))
+    best = hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.max(F.when(F.col(score).isNotNull(), lead)).alias("_best"))
+    n = best.limit(BROADCAST_ROWS + 1).count()
+    some = best.where("_best is not null").select(*query, "_best")
+    ahead = scores.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, query).groupBy(*query).agg(F.count_if(lead > F.col("_best")).alias("_ahead"))
+    out = best.join(ahead, query, "left")
+    return out.select(*query, "n_targets", F.coalesce(F.col("_ahead") + 1, F.lit(0)).cast("int").alias("first_rank"))
+
+
+def holding(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item: str, size: int = 3) -> DataFrame:
+    """Pairs (item_id, doc_id) of documents whose text holds an item's verbatim.
+
+    An item is looked for by one run of `size` space-separated words from its
+    inside, the one with the smallest hash: where the item stands, these words
+    stand whole, so the join is by equality, and holding is tested on the pairs
+    that it yields. Items too short for that, of at most `size` + 1 words, are tested
+    on every text if a count finds few of them.
+    """
+    grams = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
+    words = F.split(F.col(item), " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    i = items.select(item_id, item, F.array_min(grams(inner)).alias("_key"))
+    keys = docs.select(doc_id, F.explode(F.array_distinct(grams(F.split(F.col(text), " ")))).alias("_key"))
+    pairs = stored(keys.join(sized(i.where("_key is not null").select(item_id, "_key")), "_key").select(item_id, doc_id).distinct(), "pairs")
+    found = docs.select(doc_id, text).join(sized(pairs), doc_id).join(sized(i.select(item_id, item)), item_id).where(F.contains(F.col(text), F.col(item))).select(item_id, doc_id)
+    short = i.where("_key is null")
+    n = short.limit(BROADCAST_ROWS + 1).count()
+    if n > BROADCAST_ROWS:
+        raise ValueError(f"over {BROADCAST_ROWS} items have too few words to be looked for")
+    if n:
+        found = found.union(docs.select(doc_id, text).join(F.broadcast(short), F.contains(F.col(text), F.col(item))).select(item_id, doc_id))
+    return found.distinct()
+
+
 def recall_at(first: DataFrame, ks: list[int], by: list[str] | None = None, rank: str = "first_rank") -> DataFrame:
     """Share of queries whose first target is within k, for each k."""
     k = F.explode(F.array(*[F.lit(x) for x in ks])).alias("k")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
@@ -22,18 +27,27 @@ def order_percentiles(df: DataFrame, by: list[str], col: str, ps: dict[str, floa
     """Percentiles by position: the value at place min(n - 1, int(n * p)) of the
     sorted values of each group, nulls left out.
 
-    Values are counted first, so that a group travels as its distinct values and
-    running counts, never as one array: the window is over (group, value).
+    Values are counted first and the counts are ranged by value, so that a group
+    of any size lies in many tasks; running counts inside a range start at what
+    the ranges before it hold, one row per group and range.
     """
-    from pyspark.sql import Window
-
     c = df.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count("*").alias("_n"))
-    upto = c.withColumns({"_hi": F.sum("_n").over(Window.partitionBy(*by).orderBy(col)), "_all": F.sum("_n").over(Window.partitionBy(*by))})
+    c = stored(c.repartitionByRange(*by, col).withColumn("_part", F.spark_partition_id()), "counts")
+    per = c.groupBy(*by, "_part").agg(F.sum("_n").alias("_in"))
+    per = per.withColumns({"_before": F.sum("_in").over(Window.partitionBy(*by).orderBy("_part")) - F.col("_in"), "_all": F.sum("_in").over(Window.partitionBy(*by))})
+    inside = c.withColumn("_hi", F.sum("_n").over(Window.partitionBy(*by, "_part").orderBy(col)))
+    same = [F.col(f"i.{x}").eqNullSafe(F.col(f"p.{x}")) for x in by] + [F.col("i._part") == F.col("p._part")]
+    upto = inside.alias("i").join(per.alias("p"), reduce(lambda x, y: x & y, same)).select("i.*", "p._all", (F.col("i._hi") + F.col("p._before")).alias("_upto"))
     place = lambda p: F.least(F.col("_all") - 1, F.floor(F.col("_all") * F.lit(p)))
-    pick = [F.min(F.when(F.col("_hi") > place(p), F.col(col))).alias(n) for n, p in ps.items()]
+    pick = [F.min(F.when(F.col("_upto") > place(p), F.col(col))).alias(n) for n, p in ps.items()]
     return upto.groupBy(*by).agg(F.max("_all").alias("n"), *pick, F.max(col).alias("max"))
 
 
+def rounded(x: Column, digits: int = 1) -> Column:
+    """Rounded half to even."""
+    return F.bround(x, digits)
+
+
 def linear_percentiles(df: DataFrame, by: list[str], col: str, ps: dict[str, float]) -> DataFrame:
     """Interpolated percentiles, mean, and the share above 1."""
     return df.groupBy(*by).agg(*[F.percentile(col, F.lit(p)).alias(n) for n, p in ps.items()], F.avg(col).alias("mean"), F.avg((F.col(col) > 1).cast("double")).alias("share_over_1"))
@@ -66,23 +80,35 @@ def ids_where(df: DataFrame, by: list[str], id_col: str, ok: Column) -> DataFram
     return df.where(ok).groupBy(*by).agg(F.sort_array(F.collect_list(id_col)).alias("ids"))
 
 
+def log_gamma(x: Column) -> Column:
+    """ln of the gamma function for x >= 1: Stirling's series eight places up."""
+    y = x + 8.0
+    down = reduce(lambda a, k: a * (x + float(k)), range(1, 8), x)
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(down)
+
+
 def log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k, by a sum of logs over min(k, n - k) terms."""
-    m = F.least(k, n - k)
-    terms = F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, F.lit(0.0), lambda a, i: a + F.ln((n - m + i) / i))
+    """ln of n over k."""
+    n, k = n.cast("double"), k.cast("double")
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Two-sided exact test on discordant counts: twice the lower binomial tail
-    at 1/2, at most 1; 1 without discordant pairs. Terms come from a running
-    log of the coefficient, so long tails neither overflow nor repeat work."""
+    at 1/2, at most 1; 1 without discordant pairs.
+
+    The tail is summed from its largest term down, each from the one before.
+    Terms more than 6 sqrt(n) + 60 places away are below 1e-15 of the sum and
+    are not added, so the sum is short however many pairs there are.
+    """
     n, k = (b + c).cast("long"), F.least(b, c).cast("long")
-    ln2 = F.ln(F.lit(2.0))
-    start = F.struct((-n * ln2).alias("t"), F.exp(-n * ln2).alias("s"))
-    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
-    tail = F.aggregate(steps, start, lambda a, i: F.struct((a["t"] + F.ln((n - i + 1) / i)).alias("t"), (a["s"] + F.exp(a["t"] + F.ln((n - i + 1) / i))).alias("s")), lambda a: a["s"])
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
+    first = F.exp(log_choose(n, k) - n * math.log(2))
+    m = F.least(k, F.ceil(6 * F.sqrt(n.cast("double")) + 60).cast("long"))
+    steps = F.when(m > 0, F.sequence(F.lit(0).cast("long"), m - 1)).otherwise(F.array().cast("array<bigint>"))
+    one = F.lit(1.0)
+    tail = F.aggregate(steps, F.struct(one.alias("t"), one.alias("s")), lambda a, j: F.struct((a["t"] * (k - j) / (n - k + j + 1)).alias("t"), (a["s"] + a["t"] * (k - j) / (n - k + j + 1)).alias("s")), lambda a: a["s"])
+    return F.when(n == 0, one).otherwise(F.least(one, 2 * first * tail))
 
 
 def mcnemar(pairs: DataFrame, a: Column, b: Column, by: list[str] | None = None) -> DataFrame:

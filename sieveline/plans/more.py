@@ -49,16 +49,22 @@ def file_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""
-WITH l AS (SELECT lang, doc_id, string_split(text, chr(10)) AS ls FROM documents),
-c AS (SELECT lang, CAST(2 AS BIGINT) AS n, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS k FROM l)
-SELECT lang, CAST(sum(n) AS BIGINT) AS n_context, CAST(sum(k) AS BIGINT) AS n_found, round(sum(k) / sum(n), 6) AS fidelity FROM c GROUP BY lang
+WITH t AS (SELECT doc_id, lang, text, row_number() OVER (ORDER BY doc_id) AS no FROM documents),
+p AS (SELECT a.lang, regexp_split_to_array(b.text, '\r\n|\n|\r') AS quoted, regexp_split_to_array(a.text, '\r\n|\n|\r') AS own FROM t a JOIN t b ON b.no = CASE WHEN a.doc_id % 3 = 0 THEN greatest(a.no - 1, 1) ELSE a.no END),
+l AS (SELECT lang, CASE WHEN quoted[-1] = '' THEN quoted[:-2] ELSE quoted END AS quoted, CASE WHEN own[-1] = '' THEN own[:-2] ELSE own END AS own FROM p),
+c AS (SELECT lang, unnest(list_filter(quoted, lambda x, i: i % 2 = 1)) AS line, own FROM l)
+SELECT lang, count(*) AS n_context, count(*) FILTER (list_contains(own, line)) AS n_found, round(count(*) FILTER (list_contains(own, line)) / count(*), 6) AS fidelity FROM c GROUP BY lang
 """)
 def context_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Patches that quote a text's first line, and in a third of the cases a line
-    that it doesn't have."""
-    first = F.get(F.split("text", "\n"), 0)
-    patch = F.concat(F.lit(" "), first, F.lit("\n-x\n "), F.when(F.col("doc_id") % 3 == 0, F.lit("\x01not there")).otherwise(first))
-    out = metrics.context_fidelity(table(spark, sf_dir, "documents"), patch, F.col("text"), ["lang"])
+    """Patches that quote every other line of a text: mostly the document's own,
+    for every third id that of the document before it."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    no = curate.numbered(d.select("doc_id"), ["doc_id"])
+    t = d.join(no, "doc_id")
+    of = F.when(F.col("doc_id") % 3 == 0, F.greatest(F.col("_no") - 1, F.lit(0))).otherwise(F.col("_no"))
+    both = t.withColumn("_of", of).join(t.select(F.col("_no").alias("_of"), F.col("text").alias("quoted")), "_of")
+    marked = F.transform(T.lines(F.col("quoted")), lambda x, k: F.concat(F.when(k % 2 == 0, " ").otherwise("+"), x))
+    out = metrics.context_fidelity(both, F.array_join(marked, "\n"), F.col("text"), ["lang"])
     return out.withColumn("fidelity", F.round("fidelity", 6))
 
 

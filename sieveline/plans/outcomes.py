@@ -49,14 +49,15 @@ def _saw(kind: str):
 
 
 @register(_UNITS + """
-SELECT label, count(*) AS n FROM (SELECT CASE WHEN purchase > 0 THEN 'resolved' WHEN err >= 2 THEN 'llm_timeout' WHEN v = 0 AND signup > 0 AND click = 0 THEN 'empty_submit_no_edit'
+SELECT label, count(*) AS n FROM (SELECT CASE WHEN purchase > 0 THEN 'resolved' WHEN err = 1 THEN 'harness_error' WHEN err >= 2 THEN 'llm_timeout' WHEN v = 0 AND signup > 0 AND click = 0 THEN 'empty_submit_no_edit'
   WHEN v = 0 AND click > 0 THEN 'edits_failed_to_apply' WHEN v = 0 THEN 'no_edit_attempted' ELSE 'patch_failed_tests' END AS label FROM u) GROUP BY label
 """)
 def failure_taxonomy(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = {"error": "<llm_err>", "signup": "submit_patch", "click": "edit_file"}
     m = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     hist = F.transform_keys("hist", lambda k, v: F.coalesce(F.element_at(m, k), k))
-    label = outcome.taxonomy(_saw("purchase"), F.lit(None).cast("string"), hist, _saw("view"))
+    failed = F.when(F.element_at("hist", "error") == 1, "one error")
+    label = outcome.taxonomy(_saw("purchase"), failed, hist, _saw("view"))
     return _units(spark, sf_dir).select(label.alias("label")).groupBy("label").agg(F.count("*").alias("n"))
 
 

@@ -28,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from . import curation, graphs, more, outcomes, retrieval, text, vectors  # noqa: F401
+    from . import curation, graphs, more, outcomes, packaging, retrieval, storage, text, vectors  # noqa: F401
 
     return dict(_Q)
 

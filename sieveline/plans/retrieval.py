@@ -33,11 +33,9 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item verbatim: the stated items against
-    all rows; they are few and counted before they are broadcast."""
+    """Documents that hold a benchmark item verbatim."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.join(R.sized(b, 50_000), F.contains(F.col("text"), F.col("item"))).select("item_id", "doc_id").distinct()
+    return R.holding(table(spark, sf_dir, "documents"), b, "doc_id", "text", "item_id", "item")
 
 
 @register(_BM25 + "SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10")
@@ -47,8 +45,7 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(_HITS + "SELECT item_id, n_targets, first_rank FROM first")
 def first_hit_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = R.ranked(scores(spark, sf_dir), ["item_id"], "score", ["doc_id"])
-    return R.first_hits(ranks, targets(spark, sf_dir), ["item_id"], "doc_id")
+    return R.first_hits_of(scores(spark, sf_dir), targets(spark, sf_dir), ["item_id"], "doc_id")
 
 
 @register(_HITS + "SELECT k, count(*) AS n, count(*) FILTER (first_rank > 0 AND first_rank <= k) AS hits, count(*) FILTER (first_rank > 0 AND first_rank <= k) / count(*) AS recall FROM first CROSS JOIN (VALUES (1), (3), (5), (10)) v(k) GROUP BY k")
