@@ -20,7 +20,7 @@ BINS, ROWS, BANDS = 128, 5, 25
 #: Weight of a verification unit before it is cut up: its shingles, and PER_SET
 #: for each set, as pairs of sets take memory too. Members of a larger group meet
 #: pivots first, for as many turns.
-UNIT, PER_SET, TURNS = 1 << 18, 128, 3
+UNIT, PER_SET, TURNS = 1 << 18, 128, 2
 #: Large groups up to which their list is broadcast.
 MOST_LARGE = 100_000
 
@@ -250,22 +250,22 @@ def _links_of(base: DataFrame, memb: DataFrame, k: int, num: int, den: int) -> D
     rest = memb.select("key", "doc_id").join(texts.select("doc_id", "weight").distinct(), "doc_id")
     h = F.xxhash64("doc_id")
     marks = rest.groupBy("key").agg(F.sum(h.bitwiseAND(F.lit((1 << 40) - 1))).alias("m1"), F.bit_xor(h).alias("m2"), F.count("*").alias("c"))
-    one = stored(marks.groupBy("m1", "m2", "c").agg(F.min("key").alias("key")).select("key", "c"), "buckets")
-    buckets = stored(join_groups(rest, one, ["key"], "c").select("key", "doc_id", "weight"), "buckets")
+    one = marks.groupBy("m1", "m2", "c").agg(F.min("key").alias("key"))
+    buckets = stored(rest.join(one.select("key"), "key", "left_semi").select("key", "doc_id", "weight"), "buckets")
     edges = None
     for turn in range(TURNS + 1):
         at = buckets.withColumn("label", F.col("doc_id"))
-        if edges is not None:
-            at = buckets.join(components(edges), F.col("doc_id") == F.col("vertex"), "left").select("key", "doc_id", "weight", F.coalesce("component", "doc_id").alias("label"))
+        if edges is not None:  # a member is known by the first pivot, in the order of turn 0, that it is linked with, and that by its own
+            order = lambda c: F.xxhash64(c, F.lit(0))
+            up = edges.groupBy(F.col("b").alias("doc_id")).agg(F.min_by("a", order("a")).alias("up"))
+            up = up.join(up.select(F.col("doc_id").alias("up"), F.col("up").alias("top")), "up", "left").select("doc_id", F.coalesce("top", "up").alias("up"))
+            at = buckets.join(up, "doc_id", "left").select("key", "doc_id", "weight", F.coalesce("up", "doc_id").alias("label"))
         at = stored(at, "labelled")
         pivot = F.min_by(F.struct("doc_id", "label"), F.xxhash64("doc_id", F.lit(turn)))
-        left = stored(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("pivot"), F.count("*").alias("c")).where("low < high"), "left")
+        left = stored(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot.alias("pivot")).where("low < high"), "left")
         if left.isEmpty():
             break
-        if turn < TURNS:
-            units = _stars(at, left)
-        else:
-            units = _blocks_of(at, left)
+        units = _stars(at, left) if turn < TURNS else _blocks_of(at, left)
         more = _compare(units.join(texts.select("doc_id", "text"), "doc_id"), k, num, den)
         edges = more if edges is None else edges.union(more)
     return links if edges is None else links.union(edges)
@@ -276,11 +276,12 @@ def _compare(units: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def _stars(at: DataFrame, left: DataFrame) -> DataFrame:
-    """Units of a pivot and members of its buckets that it isn't linked with."""
-    pairs = join_groups(at, left.select("key", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.label").alias("with"), "c"), ["key"], "c")
+    """Units of a pivot and members of its buckets that it isn't linked with.
+    Rows are a few numbers each, so that a skewed join may split them."""
+    pairs = at.join(left.select("key", F.col("pivot.doc_id").alias("pivot"), F.col("pivot.label").alias("with")), "key")
     pairs = stored(pairs.where("label <> with").select("pivot", "doc_id", "weight").distinct(), "pairs")
-    sizes = stored(pairs.groupBy("pivot").agg(F.count("*").alias("c"), F.ceil(F.sum("weight") / F.lit(UNIT)).cast("int").alias("nb")), "sizes")
-    members = join_groups(pairs, sizes, ["pivot"], "c").select("pivot", F.pmod(F.hash("doc_id"), "nb").alias("p"), "doc_id", F.lit(1).alias("side"))
+    sizes = pairs.groupBy("pivot").agg(F.ceil(F.sum("weight") / F.lit(UNIT)).cast("int").alias("nb"))
+    members = pairs.join(sizes, "pivot").select("pivot", F.pmod(F.hash("doc_id"), "nb").alias("p"), "doc_id", F.lit(1).alias("side"))
     pivots = sizes.select("pivot", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("p"), F.col("pivot").alias("doc_id"), F.lit(0).alias("side"))
     return members.union(pivots).select(F.lit(1).alias("kind"), F.col("pivot").alias("unit"), "p", F.lit(-1).alias("q"), "doc_id", "side")
 
@@ -288,12 +289,12 @@ def _stars(at: DataFrame, left: DataFrame) -> DataFrame:
 def _blocks_of(at: DataFrame, left: DataFrame) -> DataFrame:
     """Units of two blocks of a bucket's members, or one, but for pairs of blocks
     of its largest linked part."""
-    at = join_groups(at, left.select("key", "c"), ["key"], "c").select("key", "doc_id", "weight", "label")
+    at = at.join(left.select("key"), "key", "left_semi")
     linked = at.groupBy("key", "label").agg(F.sum("weight").alias("w"))
-    most = stored(linked.groupBy("key").agg(F.max_by("label", "w").alias("most"), F.max("w").alias("in"), F.sum("w").alias("all")).join(left.select("key", "c"), "key"), "most")
+    most = linked.groupBy("key").agg(F.max_by("label", "w").alias("most"), F.max("w").alias("in"), F.sum("w").alias("all"))
     half = F.lit(UNIT // 2)
-    most = most.select("key", "most", "c", F.ceil((F.col("all") - F.col("in")) / half).cast("int").alias("others"), F.ceil(F.col("in") / half).cast("int").alias("same"))
-    rows = join_groups(at, most, ["key"], "c").withColumn("inside", F.col("label") == F.col("most"))
+    most = most.select("key", "most", F.ceil((F.col("all") - F.col("in")) / half).cast("int").alias("others"), F.ceil(F.col("in") / half).cast("int").alias("same"))
+    rows = at.join(most, "key").withColumn("inside", F.col("label") == F.col("most"))
     part = F.when(F.col("inside"), F.col("others") + F.pmod(F.hash("doc_id"), "same")).otherwise(F.pmod(F.hash("doc_id"), "others"))
     last = F.when(F.col("inside"), F.col("others") - 1).otherwise(F.col("others") + F.col("same") - 1)
     rows = rows.select("key", "doc_id", part.alias("part"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
