@@ -132,6 +132,19 @@ def asof_ranged(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return out.select(*[c for c in left.columns if not c.startswith("_")], *[F.col(f"_v.{c}").alias(f"asof_{c}") for c in value])
 
 
+def files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str, path: str, content: str) -> DataFrame:
+    """Files as they are at given revisions: by, rev, path, content.
+
+    history: by, rev (a growing number), path, content of files that a revision
+    changes, null where it deletes one; revisions: by, rev. A path's last change
+    up to the revision counts.
+    """
+    want = revisions.select(*by, rev).distinct().join(history.select(*by, path).distinct(), by)
+    changes = history.select(*by, path, F.col(rev).alias("_rev"), F.lit(0).cast("long").alias("_ord"), F.struct(F.col(content).alias("c")).alias("_file"))
+    got = asof_latest(want, changes, [*by, path], rev, "_rev", "_ord", ["_file"])
+    return got.where("asof__file.c is not null").select(*by, rev, path, F.col("asof__file.c").alias(content))
+
+
 def rank_hash(seed: str, *cols: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(seed), *[F.col(c).cast("string") for c in cols]))
 

@@ -100,6 +100,31 @@ def extract_diffs(df: DataFrame, text: str, name: str = "diff") -> DataFrame:
     return df.withColumn(name, run(text))
 
 
+def unified_diff(files: list | None) -> str:
+    """Unified diffs of files ({path, before, after}; null: there is none), one
+    after the other; without files, and where nothing differs, the empty text."""
+    import difflib
+
+    out: list[str] = []
+    for f in files or []:
+        old, new = ((f[k] or "").splitlines(keepends=True) for k in ("before", "after"))
+        names = ("/dev/null" if f["before"] is None else "a/" + f["path"], "/dev/null" if f["after"] is None else "b/" + f["path"])
+        for line in difflib.unified_diff(old, new, *names):
+            out.append(line if line.endswith("\n") else line + "\n\\ No newline at end of file\n")
+    return "".join(out)
+
+
+def unified_diffs(df: DataFrame, files: str, name: str = "patch") -> DataFrame:
+    """Add the diff of an array of {path, before, after}, in Arrow batches."""
+    ship(df.sparkSession)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(unified_diff)
+
+    return df.withColumn(name, run(files))
+
+
 def hunk_counts(df: DataFrame, by: list[str], patch: str) -> DataFrame:
     """Old and new line counts per hunk, by gaps and islands over exploded lines."""
     from ..functions import text as T

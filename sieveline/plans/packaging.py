@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outcome
 from ..functions import text as T
-from ..operators import audit, curate, graph, stats
+from ..operators import audit, curate, graph, stats, training
 from ..operators import retrieval as R
 from . import retrieval
 from .registry import register, table
@@ -202,3 +202,56 @@ def recall_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items are dealt to four repositories."""
     first = retrieval.first_hit_rank(spark, sf_dir).withColumn("repo", F.concat(F.lit("r"), (F.col("item_id") % 4).cast("string")))
     return R.recall_at(first, [1, 3, 5, 10], ["repo"]).withColumn("recall", F.round("recall", 6))
+
+
+@register(rf"""
+WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE ' ' END AS mark, {_LINES.format("coalesce(text, '')")} AS l FROM documents),
+n AS (SELECT doc_id, mark, list_transform(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: mark || x) AS ls FROM d),
+k AS (SELECT doc_id, mark, len(list_filter(ls, lambda x: NOT starts_with(x, '---') AND NOT starts_with(x, '+++'))) AS n FROM n)
+SELECT doc_id, CAST(1 AS BIGINT) AS hunk, CASE WHEN mark = '+' THEN 0 ELSE n END AS n_old, CASE WHEN mark = '-' THEN 0 ELSE n END AS n_new FROM k WHERE n > 0
+UNION ALL SELECT doc_id, CAST(2 AS BIGINT), CAST(1 AS BIGINT), CAST(2 AS BIGINT) FROM k
+""")
+def hunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hunk of a document's lines, all marked alike, and one of three lines."""
+    mark = F.when(F.col("doc_id") % 3 == 0, "-").when(F.col("doc_id") % 3 == 1, "+").otherwise(" ")
+    body = F.transform(T.lines(F.coalesce("text", F.lit(""))), lambda x: F.concat(mark, x))
+    patch = F.array_join(F.concat(F.array(F.lit("--- a/f"), F.lit("+++ b/f"), F.lit("@@ -1 +1 @@")), body, F.array(F.lit("@@ -9 +9 @@ f"), F.lit(" c"), F.lit("+x"), F.lit("--- no"))), "\n")
+    d = table(spark, sf_dir, "documents").select("doc_id", patch.alias("patch"))
+    return training.hunk_counts(d, ["doc_id"], "patch").select("doc_id", F.col("hunk").cast("long").alias("hunk"), "n_old", "n_new")
+
+
+@register("""
+SELECT conv_id, CASE WHEN conv_id % 5 = 0 OR conv_id % 3 = 0 THEN '' ELSE '--- a/f' || conv_id || '.py' || chr(10) || '+++ b/f' || conv_id || '.py' || chr(10) || '@@ -1,2 +1,3 @@' || chr(10) || ' same' || chr(10) || '-' || conv_id || chr(10) || '+' || n || chr(10) || '+end' || chr(10) END AS patch
+FROM (SELECT conv_id, 'n' || count(*) AS n FROM conversations GROUP BY conv_id)
+""")
+def diff_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs of a made-up file between two revisions; no files, and files that
+    don't differ, give the empty text."""
+    k = F.col("conv_id").cast("string")
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.concat(F.lit("n"), F.count("*").cast("string")).alias("n"))
+    before = F.concat(F.lit("same\n"), k, F.lit("\n"))
+    after = F.when(F.col("conv_id") % 3 == 0, before).otherwise(F.concat(F.lit("same\n"), F.col("n"), F.lit("\nend\n")))
+    one = F.array(F.struct(F.concat(F.lit("f"), k, F.lit(".py")).alias("path"), before.alias("before"), after.alias("after")))
+    rows = c.select("conv_id", F.when(F.col("conv_id") % 5 > 0, one).otherwise(F.slice(one, 1, 0)).alias("files"))
+    return training.unified_diffs(rows, "files").select("conv_id", "patch")
+
+
+@register("""
+WITH h AS (SELECT o_custkey, o_orderkey AS rev, 'f' || o_orderkey % 3 AS path, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderpriority END AS c FROM orders),
+r AS (SELECT o_custkey, rev FROM h WHERE rev % 4 = 0),
+g AS (SELECT r.o_custkey, r.rev, path, max(h.rev) AS last FROM r JOIN h ON h.o_custkey = r.o_custkey AND h.rev <= r.rev GROUP BY ALL)
+SELECT g.o_custkey, g.rev, g.path, c AS content FROM g JOIN h ON h.o_custkey = g.o_custkey AND h.rev = g.last AND h.path = g.path WHERE c IS NOT NULL
+""")
+def files_at_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers are repositories, orders revisions that each change a file, or
+    delete it."""
+    o = table(spark, sf_dir, "orders")
+    h = o.select("o_custkey", F.col("o_orderkey").alias("rev"), F.concat(F.lit("f"), (F.col("o_orderkey") % 3).cast("string")).alias("path"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("content"))
+    return curate.files_at(h, h.where("rev % 4 = 0"), ["o_custkey"], "rev", "path", "content")
+
+
+@register("SELECT conv_id, turn, 'role ' || role || CASE WHEN turn % 2 = 0 THEN chr(10) || 'tools: a, b' ELSE '' END || chr(10) || 'answer' AS prompt FROM conversations")
+def prompt_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt with a block of tools for every other turn."""
+    block = F.when(F.col("turn") % 2 == 0, "tools: a, b")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", training.assemble(F.concat(F.lit("role "), "role"), block, F.lit("answer")).alias("prompt"))

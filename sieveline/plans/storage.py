@@ -181,6 +181,16 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@register("SELECT DISTINCT 'assets=' || n_regionkey AS kind, 'part' AS name FROM nation")
+def asset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below a folder, by the folder they lie in; names end in numbers of
+    the writer's, which are cut."""
+    path = scratch(spark, "assets")
+    n = table(spark, sf_dir, "nation")
+    n.select("n_nationkey", F.col("n_regionkey").alias("assets")).write.partitionBy("assets").json(path)
+    return readers.inventory(spark, path).select("kind", F.substring_index("instance_id", "-", 1).alias("name")).distinct()
+
+
 @register("SELECT page_id AS instance_id, CASE page_id % 4 WHEN 0 THEN 'graph-fail' WHEN 1 THEN 'embed-fail' ELSE 'ok' END AS status FROM pages WHERE page_id % 7 > 0")
 def asset_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without assets get a graph, then vectors; sources that don't parse

@@ -10,6 +10,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+#: What has been stored: ("path" or "table", its name).
+_made: list[tuple[str, str]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -35,8 +37,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one is set only
-    where the session names none (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir; where the session names none, a
+    temporary one on a single machine, and an error on a cluster."""
     jsc = spark.sparkContext._jsc.sc()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
@@ -44,6 +46,8 @@ def shared_dir(spark: SparkSession) -> str:
     have = jsc.getCheckpointDir()
     if have.isDefined():
         return have.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     made = tempfile.mkdtemp(prefix="checkpoint-")
     spark.sparkContext.setCheckpointDir("file://" + made)
     return "file://" + made
@@ -57,13 +61,42 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored/{tag}-{uuid.uuid4().hex}"
+    _made.append(("path", path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, by: str, tag: str, path: str | None = None, sort: bool = False, name: str | None = None) -> DataFrame:
+    """Write a result to the shared folder in as many buckets as the shuffle has
+    partitions, so that joins by that column find it in place."""
+    spark = df.sparkSession
+    name = name or f"{tag}_{uuid.uuid4().hex}"
+    path = path or f"{shared_dir(spark)}/stored/{name}"
+    _made.append(("table", name))
+    w = df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
+    (w.sortBy(by) if sort else w).option("compression", "zstd").option("path", path).saveAsTable(name)
+    _made.append(("path", path))
+    return spark.table(name)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def remove(spark: SparkSession, df: DataFrame) -> None:
     """Delete a table made by stored() once nothing reads it any more."""
     for f in {os.path.dirname(x) for x in df.inputFiles()}:
         if "/stored/" in f:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, f)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that stored() and bucketed() have made. Results that were not
+    written elsewhere can't be read any more."""
+    while _made:
+        kind, name = _made.pop()
+        if kind == "table":
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        else:
+            _delete(spark, name)

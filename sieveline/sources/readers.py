@@ -57,6 +57,14 @@ def binary_files(spark: SparkSession, path: str, glob: str | None = None) -> Dat
     return (r.option("pathGlobFilter", glob) if glob else r).load(path)
 
 
+def inventory(spark: SparkSession, root: str) -> DataFrame:
+    """Assets below a folder, one per file: kind (the folder's name) and
+    instance_id (the file's name without its ending); contents aren't read."""
+    part = F.split(F.col("path"), "/")
+    name = F.element_at(part, -1)
+    return binary_files(spark, root).select(F.element_at(part, -2).alias("kind"), F.regexp_replace(name, r"\.(json|npz|tgz|tar\.gz|jsonl|parquet)$", "").alias("instance_id"))
+
+
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
     """Python files below a folder: path relative to it, content."""
     df = binary_files(spark, root, "*.py")

@@ -15,31 +15,22 @@ def run_available(spark: SparkSession, source: str, schema: StructType | str, st
     """Process all files that arrived since the last run, then stop.
 
     Each batch is written under its own number, so a batch that runs again after
-    a failure replaces its own output. With `key`, rows whose key an earlier
-    batch has written are left out: repeated rows in one batch keep one.
+    a failure replaces its own output. With `key`, rows whose key an earlier row
+    had are left out; the keys are the stream's state, kept in the checkpoint, so
+    that no batch reads what earlier ones wrote. `step` must be one that streams
+    allow then.
     """
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    rows = reader.load(source)
+    if key:
+        rows = step(rows).dropDuplicates(key)
 
     def write(batch: DataFrame, no: int) -> None:
-        rows = step(batch)
-        if key:
-            rows = rows.dropDuplicates(key)
-            done = [p for p in _batches(spark, out) if p < no]
-            if done:
-                before = spark.read.parquet(*[f"{out}/batch={p}" for p in done]).select(*key)
-                rows = rows.join(before, key, "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={no}")
-
-    q = reader.load(source).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-
-
-def _batches(spark: SparkSession, out: str) -> list[int]:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out + "/batch=*")
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p) or []
-    return sorted(int(f.getPath().getName().split("=")[1]) for f in found)
+        (batch if key else step(batch)).write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def scratch(spark: SparkSession, name: str) -> str:

@@ -228,3 +228,104 @@ def test_stream_resumes(spark, tmp_path):
     spark.createDataFrame([(2,), (3,)], "id long").write.mode("append").parquet(src)
     incremental.run_available(spark, src, "id long", step, out, ck, key=["id"])
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+
+
+def test_mcnemar_of_many_pairs(spark):
+    import math
+
+    want = lambda b, c: min(1.0, 2 * sum(math.comb(b + c, i) for i in range(min(b, c) + 1)) / 2 ** (b + c)) if b + c < 1000 else None
+    pairs = [(0, 5), (7, 7), (300, 400), (499, 499), (1, 900)]
+    df = spark.createDataFrame([*pairs, (10**12, 10**12 + 3 * 10**6)], "b long, c long")
+    got = [r.p for r in df.select(stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()]
+    assert got[:5] == pytest.approx([want(b, c) for b, c in pairs], rel=1e-9)
+    z = (3 * 10**6 - 1) / math.sqrt(2 * 10**12)  # the normal tail, corrected for continuity
+    assert got[5] == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
+def test_log_gamma(spark):
+    import math
+
+    xs = [1.0, 1.5, 2.0, 7.25, 100.0, 1e6, 1e12]
+    got = [r.g for r in spark.createDataFrame([(x,) for x in xs], "x double").select(stats.log_gamma(F.col("x")).alias("g")).collect()]
+    assert got == pytest.approx([math.lgamma(x) for x in xs], rel=1e-12, abs=1e-12)
+
+
+def test_percentiles_of_groups_in_many_ranges(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(None if k % 9 == 0 else k % 3, rng.choice([None, *range(50)])) for k in range(2000)]
+    got = {r.g: r for r in stats.order_percentiles(spark.createDataFrame(rows, "g int, v int").repartition(7), ["g"], "v", {"p10": 0.1, "p50": 0.5, "p99": 0.99}).collect()}
+    for g in {r[0] for r in rows}:
+        v = sorted(x for h, x in rows if h == g and x is not None)
+        assert (got[g].n, got[g].max) == (len(v), v[-1])
+        for name, p in (("p10", 0.1), ("p50", 0.5), ("p99", 0.99)):
+            assert got[g][name] == v[min(len(v) - 1, int(len(v) * p))]
+
+
+def test_ranged_asof_is_asof(spark):
+    import random
+
+    rng = random.Random(3)
+    left = spark.createDataFrame([(rng.choice("ab"), rng.randrange(100), k) for k in range(400)], "pkg string, cutoff int, q int")
+    rel = spark.createDataFrame([(rng.choice("abc"), rng.randrange(100), k, str(k)) for k in range(300)], "pkg string, t int, ordinal long, ver string")
+    one, two = ({r.q: r.asof_ver for r in f(left, rel, ["pkg"], "cutoff", "t", "ordinal", ["ver"]).collect()} for f in (curate.asof_latest, curate.asof_ranged))
+    assert one == two and len(two) == 400
+
+
+def test_first_hits_are_those_of_the_ranking(spark):
+    import random
+
+    rng = random.Random(4)
+    scores = spark.createDataFrame([(q, d, float(rng.randrange(8))) for q in range(12) for d in rng.sample(range(60), 25)], "q int, d int, score double")
+    targets = spark.createDataFrame([(q, rng.randrange(60)) for q in range(14) for _ in range(3)], "q int, d int")
+    ranks = retrieval.ranked(scores, ["q"], "score", ["d"])
+    want = {r.q: (r.n_targets, r.first_rank) for r in retrieval.first_hits(ranks, targets, ["q"], "d").collect()}
+    assert {r.q: (r.n_targets, r.first_rank) for r in retrieval.first_hits_of(scores, targets, ["q"], "d").collect()} == want
+    assert 0 in {x for _, x in want.values()}
+
+
+def test_holding(spark):
+    docs = ["a b c d e f g", "xa b c d e fx", "a b  c d e f", "c", "", None, "the c a b c d e f a b c d e f"]
+    items = ["a b c d e f", "b c d", "c", "zz", "", "b c d e f"]
+    d = spark.createDataFrame(list(enumerate(docs)), "doc int, text string")
+    i = spark.createDataFrame(list(enumerate(items)), "item_no int, what string")
+    got = {(r.item_no, r.doc) for r in retrieval.holding(d, i, "doc", "text", "item_no", "what").collect()}
+    assert got == {(k, n) for k, x in enumerate(items) for n, t in enumerate(docs) if t is not None and x in t}
+
+
+def test_strict_join_stops(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    with pytest.raises(Exception, match="k without a match"):
+        curate.strict_join(a, b, ["k"]).collect()
+    assert curate.strict_join(a.where("k = 1"), b, ["k"]).collect()[0].v == "x"
+
+
+def test_exit_code(spark):
+    found = spark.createDataFrame([("warning", "c", "1")], "severity string, check string, id string")
+    assert audit.exit_code(found).first().code == 0 and audit.exit_code(found.limit(0)).first().code == 0
+    bad = found.union(spark.createDataFrame([("error", "c", "1")], found.schema))
+    assert audit.exit_code(bad).first().code == 1
+    with pytest.raises(SystemExit):
+        audit.fail_on_errors(bad)
+
+
+def test_dependency_names(spark):
+    toml = '[project]\ndependencies = ["Foo-Bar>=1; python_version<\'3\'", "own", "x"]\n[project.optional-dependencies]\ndev = ["baz[all]"]\n[dependency-groups]\ntest = ["tt", {include-group = "dev"}]\ndocs = ["sphinx"]\n'
+    files = [("pyproject.toml", toml), ("requirements/base.txt", "req==1\n-e .\n# no\nversion\n"), ("setup.cfg", "[options]\ninstall_requires =\n  cfg>1\n\nname = z\n"), ("setup.py", "x = ['setup-dep >= 2', 'plain']"), ("other.txt", "nope"), ("requirements.txt", None)]
+    df = spark.createDataFrame([(1, "Own", p, t) for p, t in files] + [(2, "o", "pyproject.toml", "not toml ["), (3, "o", "pyproject.toml", "project = 3\ndependency-groups = []")], "repo int, own string, path string, content string")
+    names = lambda **k: sorted((r.repo, r.name) for r in readers.dependency_names(df, ["repo"], "own", **k).collect())
+    assert names() == [(1, n) for n in ("baz", "cfg", "foo_bar", "req", "setup_dep", "tt")]
+    assert names(all_groups=True) == [(1, n) for n in ("baz", "foo_bar", "setup_dep", "sphinx", "tt")]
+
+
+def test_clear(spark):
+    from sieveline import session
+
+    a, b = session.stored(spark.range(3), "x"), session.bucketed(spark.range(3), "id", "y")
+    assert a.count() == b.count() == 3
+    files = a.inputFiles() + b.inputFiles()
+    session.clear(spark)
+    import os
+
+    assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
