@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import os
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship
+from ..session import bucketed, ship
 from .kernel import blocks, ragged, text_arrays
 
 #: Bytes of text in a chunk. Of each chunk's TOP most frequent words, those that
@@ -22,6 +21,9 @@ from .kernel import blocks, ragged, text_arrays
 CHUNK, TOP, HOT_CHUNKS, MOST_HOT, LONGEST_HOT = 16 << 20, 50_000, 3, 100_000, 64
 #: Rows that a task holds to send them to their chunks together.
 HELD = 1 << 19
+#: Bits of a chunk's number within its partition, and of a word's in its chunk,
+#: which share a long with the partition's.
+SEQ_BITS, PLACE_BITS = 14, 28
 #: How byte-level BPE splits a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Code points whose classes have not changed in recent Unicode versions; texts
@@ -132,6 +134,8 @@ def _split(spec_of, most: int):
 
         def flush():
             code = np.concatenate(codes)
+            if part >> 63 - SEQ_BITS - PLACE_BITS or seq >> SEQ_BITS or len(place) >> PLACE_BITS:
+                raise ValueError("too many partitions, or too large ones")
             often = np.argsort(-np.bincount(code, minlength=len(place)), kind="stable")  # small numbers for frequent words
             number = np.empty(len(place), "<u4")
             number[often] = np.arange(len(place))
@@ -141,7 +145,8 @@ def _split(spec_of, most: int):
                 w.write_batch(pa.record_batch([one], ["id"]))
             packed = [sink.getvalue().to_pybytes(), np.array(counts, "<i8").tobytes(), _planes(number[code])]
             words = pa.array(list(place), pa.string()).take(pa.array(often))
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | seq], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in packed), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["chunk", "ids", "counts", "codes", "words"])
+            pa.default_memory_pool().release_unused()
+            return pa.RecordBatch.from_arrays([pa.array([part << SEQ_BITS | seq], pa.int64()), *(pa.array([_pack(x)], pa.binary()) for x in packed), pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)], names=["chunk", "ids", "counts", "codes", "words"])
 
         for batch in batches:
             for i, j, buf, at in blocks(batch.column(1)):
@@ -165,7 +170,7 @@ def _split(spec_of, most: int):
 def _encode(spec_of):
     """The chunks' words, sorted by word -> a row per id of each distinct word;
     the first also says in which chunks the word is, and at which places of
-    their lists. A word is encoded where it first comes."""
+    their lists (both in one number). A word is encoded where it first comes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = _splitter(spec_of.value)
@@ -182,7 +187,7 @@ def _encode(spec_of):
             places = np.zeros(int(size.sum()) + 1, np.int32)
             places[np.cumsum(size) - size + 1] = np.bincount(runs.indices.to_numpy(), minlength=len(words))
             ofs = pa.array(np.cumsum(places).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(ragged(np.zeros_like(size), size)), pa.array([i for x in ids for i in x], pa.int32()), *(pa.ListArray.from_arrays(ofs, batch.column(c)) for c in (1, 2))], names=["k", "id", "chunks", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(ragged(np.zeros_like(size), size)), pa.array([i for x in ids for i in x], pa.int32()), pa.ListArray.from_arrays(ofs, batch.column(1))], names=["k", "id", "at"])
 
     return run
 
@@ -198,11 +203,12 @@ def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not np.array_equal(k, np.arange(len(k)) - np.repeat(first, np.diff(np.append(first, len(k))))):
             raise RuntimeError("ids came out of order")
         data, at = text_arrays(table.column("piece"))
-        chunks, places = (pa.concat_arrays(table.column(c).chunks) for c in ("chunks", "places"))
-        times = chunks.value_lengths().to_numpy(zero_copy_only=False)[first]
+        where = pa.concat_arrays(table.column("at").chunks)
+        times = where.value_lengths().to_numpy(zero_copy_only=False)[first]
         word = pa.array(np.repeat(np.arange(len(first)), times))
         blob = lambda raw, ofs: pa.BinaryArray.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ofs.astype(np.int32)), pa.py_buffer(raw)]).take(word)
-        return pa.RecordBatch.from_arrays([chunks.flatten(), places.flatten(), blob(ids.astype("<u4"), 4 * np.append(first, len(k))), blob(np.ascontiguousarray(data), at[np.append(first, len(k))])], names=["chunk", "place", "ids", "spelt"])
+        chunk, place = np.divmod(where.flatten().to_numpy(), 1 << PLACE_BITS)
+        return pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(place.astype(np.int32)), blob(ids.astype("<u4"), 4 * np.append(first, len(k))), blob(np.ascontiguousarray(data), at[np.append(first, len(k))])], names=["chunk", "place", "ids", "spelt"])
 
     for batch in batches:
         firsts = np.flatnonzero(batch.column(0).to_numpy() == 0)
@@ -311,6 +317,7 @@ def _put_back(hot_of):
             (flat, ofs), text = got
             kind, wide = (pa.large_binary(), np.int64) if ofs[-1] > 2**31 - 1 else (pa.binary(), np.int32)
             b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
+            del code, order, got
             out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(np.diff(ofs) // 4), b.cast(pa.binary()), _as_text(*text)], names=["doc_id", "n_tokens", "ids", "decoded"]))
         return pa.concat_tables(out)
 
@@ -321,8 +328,9 @@ def spelt(words: DataFrame, spec_of, pieces: DataFrame) -> DataFrame:
     """For rows of word, chunk and place: chunk and answers, which pack the
     places, the words' ids and, joined to the ids, their pieces. Every distinct
     word is encoded once."""
-    coded = words.select("word", "chunk", "place").repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, chunks array<long>, places array<int>")
-    return coded.join(F.broadcast(pieces), "id").select("k", "id", "piece", "chunks", "places").mapInArrow(_sent(HELD), "chunk long, answers binary")
+    at = (F.col("chunk") * (1 << PLACE_BITS) + F.col("place")).alias("at")
+    coded = words.select("word", at).repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec_of), "k long, id int, at array<long>")
+    return coded.join(F.broadcast(pieces), "id").select("k", "id", "piece", "at").mapInArrow(_sent(HELD), "chunk long, answers binary")
 
 
 def decode_ids(ids: np.ndarray, n: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -387,10 +395,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     spec_of = spark.sparkContext.broadcast(spec)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = base.schema["doc_id"].dataType.simpleString()
-    name = "bpe_words_" + uuid.uuid4().hex
-    cut = base.mapInArrow(_split(spec_of, CHUNK), "chunk long, ids binary, counts binary, codes binary, words array<string>")
-    cut.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), "chunk").option("compression", "zstd").option("path", f"{shared_dir(spark)}/bpe/{name}").saveAsTable(name)
-    cut = spark.table(name)
+    cut = bucketed(base.mapInArrow(_split(spec_of, CHUNK), "chunk long, ids binary, counts binary, codes binary, words array<string>"), "chunk", "bpe_words")
     by_id = piece_table(spec)
     pieces = spark.createDataFrame(pa.table({"id": pa.array(list(by_id), pa.int32()), "piece": pa.array(list(by_id.values()), pa.binary())}))
     used = cut.select("chunk", F.posexplode("words").alias("place", "word"))

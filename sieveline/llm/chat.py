@@ -43,22 +43,13 @@ def visit(parts: Column) -> Column:
     media = F.filter(some, lambda p: kind(p).isin(known))
     rate = F.create_map(*[x for k, v in EXPANDS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
     refs = F.transform(media, lambda p: F.struct(kind(p).alias("type"), p["ref"].alias("ref"), F.coalesce(p["units"], F.lit(1)).cast("long").alias("units"), (F.coalesce(p["units"], F.lit(1)) * rate[kind(p)]).cast("long").alias("tokens")))
-    # the number of media parts before each one: a running array, built once
-    step = F.aggregate(
+    # which of the parts are media: their place in this list is their number
+    at = F.filter(F.transform(some, lambda p, i: F.when(kind(p).isin(known), i)), lambda i: i.isNotNull())
+    step = F.transform(
         some,
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("k")),
-        lambda a, p: F.struct(
-            F.concat(
-                a["out"],
-                F.array(
-                    F.when(kind(p).isin(known), F.concat(F.lit("<|"), kind(p), F.lit(":"), a["k"].cast("string"), F.lit("|>")))
-                    .when(kind(p).isin("text", ""), escape(_sql_text(p["text"])))
-                    .otherwise(F.concat(escape(F.concat(F.lit("["), kind(p), F.lit(": "), _sql_text(p["text"]), F.lit("]")))))
-                ),
-            ).alias("out"),
-            (a["k"] + F.when(kind(p).isin(known), 1).otherwise(0)).cast("int").alias("k"),
-        ),
-        lambda a: a["out"],
+        lambda p, i: F.when(kind(p).isin(known), F.concat(F.lit("<|"), kind(p), F.lit(":"), (F.array_position(at, i) - 1).cast("string"), F.lit("|>")))
+        .when(kind(p).isin("text", ""), escape(_sql_text(p["text"])))
+        .otherwise(escape(F.concat(F.lit("["), kind(p), F.lit(": "), _sql_text(p["text"]), F.lit("]")))),
     )
     return F.struct(F.array_join(step, "").alias("body"), refs.alias("refs"))
 
@@ -76,8 +67,8 @@ def format_chat(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
 
     Null texts and roles are empty; repeated rows and equal turn numbers are
     turns of their own; null turn numbers come first; rows with a null
-    conversation form one of their own. No rows, no conversations. Extra
-    columns are ignored.
+    conversation form one of their own; texts are taken whole, however long. No
+    rows, no conversations. Extra columns, whatever their names, are ignored.
 
     Turns are rendered where they lie; one shuffle by conversation moves them.
     A conversation's turns meet in one row, as its text must.

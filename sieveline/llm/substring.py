@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship, stored
+from ..session import bucketed, ship, stored
 from .fm_index import FMIndex
 from .joins import join_groups
 from .kernel import U, Words, blocks, mix, mix_int, ragged, runs, text_arrays
@@ -415,10 +414,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     places = shared.groupBy(F.col("doc_id").alias("ref")).agg(F.collect_set("place").alias("places"))
     # the texts move once, into buckets that both passes over the pieces and the cut read in place
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "texts_" + uuid.uuid4().hex
-    moved = base.repartition(n, "ref").join(places.repartition(n, "ref"), "ref", "left")
-    moved.write.bucketBy(n, "ref").sortBy("ref").option("compression", "zstd").option("path", f"{shared_dir(spark)}/substring/{name}").saveAsTable(name)
-    base = spark.table(name)
+    base = bucketed(base.repartition(n, "ref").join(places.repartition(n, "ref"), "ref", "left"), "ref", "texts", sort=True)
     marked = base.where("places is not null").select("tag", "doc_id", "text", "places")
     distinct = marked.mapInArrow(_distinct(window, anchor), "key long, is1 long, is2 long, owner long, c long, piece binary")
     least = distinct.repartition("key").sortWithinPartitions("key").mapInArrow(_search(window, INDEX_BYTES), "is1 long, is2 long, c long, least array<long>")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir, ship, stored
+from ..session import bucketed, shared_dir, ship, stored
 from . import joins
 
 CRLF = "\r\n"
@@ -36,7 +38,7 @@ def _one_line(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), r"[\r\n]+", " ")
 
 
-def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", buckets: int | None = None, where: str | None = None) -> Archive:
+def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", date: str = "1970-01-01T00:00:00Z", where: str | None = None) -> Archive:
     """Write a WARC record per row.
 
     Of rows with equal payloads of at least SMALLEST bytes, the one with the
@@ -56,11 +58,10 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     raw = F.encode(F.coalesce(F.col(payload_col), F.lit("")), "UTF-8") if pages.schema[payload_col].dataType.typeName() == "string" else F.coalesce(F.col(payload_col), F.lit(b""))
     base = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), raw.alias("payload"))
     digest = F.sha2("payload", 256)
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "warc_payloads_" + uuid.uuid4().hex
     once = base.select(digest.alias("digest"), "payload").groupBy("digest").agg(F.first("payload").alias("payload"), F.min(F.xxhash64("payload", F.length("payload"))).alias("h1"), F.max(F.xxhash64("payload", F.length("payload"))).alias("h2"))
     once = once.select("digest", F.when(F.col("h1") == F.col("h2"), F.col("payload")).otherwise(F.raise_error(F.lit("two payloads with one digest"))).cast("binary").alias("payload"))
-    once.write.bucketBy(n, "digest").sortBy("digest").option("compression", "zstd").option("path", where + "/payloads").saveAsTable(name)
+    bucketed(once, "digest", "warc_payloads", where + "/payloads", sort=True, name=name)
     rows = base.select("id", "url", digest.alias("digest"), F.octet_length("payload").cast("long").alias("n"))
     least = rows.where(F.col("n") >= SMALLEST).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("c")).where("c > 1")
     rows = joins.join_groups(rows, stored(least, "least"), ["digest"], "c", "left")
@@ -110,26 +111,68 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     return both.withColumn("record", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")))
 
 
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*(\d{1,15})[ \t]*\r\n", re.I)
+_START = re.compile(rb"(?:\A|(?<=\r\n))WARC/\d")
+
+
+def inflated(raw: bytes) -> bytes:
+    """What can be read of gzip members one after the other; bytes that aren't
+    gzip stay as they are."""
+    if raw[:2] != b"\x1f\x8b":
+        return raw
+    out = []
+    while raw[:2] == b"\x1f\x8b":
+        d = zlib.decompressobj(31)
+        try:
+            out.append(d.decompress(raw))
+            out.append(d.flush())
+        except zlib.error:
+            break
+        raw = d.unused_data
+    return b"".join(out)
+
+
+def records(raw: bytes) -> Iterator[tuple[int, bytes, bytes]]:
+    """Place, header and block of the records of a WARC file.
+
+    A record whose length isn't told, or leads to where no record ends, ends
+    where the next one begins. What lies between records, and a header without
+    an end, are no records."""
+    m = _START.search(raw)
+    while m:
+        at = m.start()
+        end = raw.find(b"\r\n\r\n", at)
+        if end < 0:
+            return
+        head, body = raw[at : end + 4], end + 4
+        n = _LENGTH.search(head)
+        nxt = body + int(n[1]) + 4 if n else -1
+        if n and raw[nxt - 4 : nxt] == b"\r\n\r\n":
+            yield at, head, raw[body : nxt - 4]
+            m = _START.search(raw, nxt)
+        else:
+            m = _START.search(raw, body)
+            yield at, head, (raw[body : m.start()] if m else raw[body:]).removesuffix(b"\r\n\r\n")
+
+
 def parse_warc(files: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """Records of WARC files (rows of Spark's binaryFile source; gzip too):
-    path, offset, header, block. For archives made elsewhere."""
+    path, offset, header, block. For archives made elsewhere.
+
+    Null and empty files have no records; a null path stays null; repeated files
+    are read each by itself; extra columns, whatever their names, are ignored.
+    Wrong lengths and cut or broken gzip lose no more than what can't be read
+    (see records and inflated). A file is a row and so must fit into memory, as
+    Spark's source asks; its records leave one at a time.
+    """
     ship(files.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
-        import gzip
-
         import pyarrow as pa
 
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                raw = data.as_py() or b""
-                if raw[:2] == b"\x1f\x8b":
-                    raw = gzip.decompress(raw)
-                at = 0
-                while (end := raw.find(b"\r\n\r\n", at)) >= 0:
-                    head = raw[at : end + 4]
-                    n = next((int(x.split(b":", 1)[1]) for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")), 0)
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at], pa.int64()), pa.array([head.decode("utf-8", "replace")]), pa.array([raw[end + 4 : end + 4 + n]], pa.binary())], names=["path", "offset", "header", "block"])
-                    at = end + 4 + n + 4
+                for at, head, block in records(inflated(data.as_py() or b"")):
+                    yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([at], pa.int64()), pa.array([head.decode("utf-8", "replace")]), pa.array([block], pa.binary())], names=["path", "offset", "header", "block"])
 
     return files.select(path_col, content_col).mapInArrow(run, "path string, offset long, header string, block binary")

@@ -110,7 +110,7 @@ def test_words_of_many_chunks(spark, monkeypatch):
 
     spec = bpe.read_spec(TOKENIZER)
     words = sorted([" the"] * 9 + ["zebra"] * 2 + ["  ", "日本", "x" * 5000, "<|endoftext|>", "\x00"], key=str.encode)
-    rows = pa.table({"word": words, "chunk": pa.array(range(len(words)), pa.int64()), "place": pa.array(range(len(words)), pa.int32())})
+    rows = pa.table({"word": words, "at": pa.array([k << bpe.PLACE_BITS | k for k in range(len(words))], pa.int64())})
     calls, encode = [], bpe.Splitter.encode
     monkeypatch.setattr(bpe.Splitter, "encode", lambda self, w: calls.extend(w) or encode(self, w))
     pieces = bpe.piece_table(spec)
@@ -275,3 +275,36 @@ def test_pages_take_linear_time(crf, unit):
         html_extract.main_text(text, crf)
         took.append(time.perf_counter() - began)
     assert min(took[:2]) < 0.25 and took[2] < 20 * max(min(took[:2]), 0.005)
+
+
+def test_parse_broken_warc(spark, tmp_path):
+    one = lambda n, body: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + n + b"\r\n\r\n" + body + b"\r\n\r\n"
+    good, wrong, long_ = one(b"5", b"hello"), one(b"x5", b"no length"), one(b"99999", b"too long")
+    bodies = lambda raw: [b for _, _, b in warc.records(raw)]
+    assert bodies(good + wrong + good + long_ + good) == [b"hello", b"no length", b"hello", b"too long", b"hello"]
+    assert bodies(b"junk\r\n" + good + b"WARC/1.1\r\ncut") == [b"hello"] and bodies(b"") == bodies(b"junk") == []
+    assert bodies(one(b"22", b"a\r\n\r\nWARC/1.1 inside\r\n")) == [b"a\r\n\r\nWARC/1.1 inside\r\n"]
+    packed = gzip.compress(good) + gzip.compress(wrong)
+    assert bodies(warc.inflated(packed)) == [b"hello", b"no length"]
+    assert bodies(warc.inflated(gzip.compress(good) + gzip.compress(wrong)[:12] + b"\xff" * 9))[0] == b"hello"
+    files = spark.createDataFrame([("a", packed, 1), ("b", None, 2), (None, good, 3), ("a", packed, 1)], "path string, content binary, offset int")
+    assert sorted((str(r.path), bytes(r.block)) for r in warc.parse_warc(files).collect()) == sorted([("a", b"hello"), ("a", b"no length")] * 2 + [("None", b"hello")])
+    assert warc.parse_warc(files.limit(0)).count() == 0
+
+
+def test_very_long_texts_in_chats_and_payloads(spark):
+    text = "a <|end|> \\ b " * 150_000
+    turns = spark.createDataFrame([(1, 0, "user", text), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    r = chat.format_chat(turns).select(chat.read_back(F.col("formatted")).alias("back"), chat.loss_text(F.col("segments")).alias("loss")).first()
+    assert r.loss == text and [x.text for x in r.back] == [text, text]
+    pages = spark.createDataFrame([(1, "u", text), (2, "u", text)], "page_id long, url string, html string")
+    back = warc.read_archive(spark, warc.write_archive(pages)).select(F.sha2("payload", 256).alias("d")).collect()
+    assert {r.d for r in back} == {hashlib.sha256(text.encode()).hexdigest()} and len(back) == 2
+
+
+def test_many_parts(spark):
+    p = "array<struct<type:string,text:string,ref:string,units:long>>"
+    parts = [("image", None, f"{k}.png", 1) if k % 2 else ("text", f"t{k}", None, None) for k in range(4000)]
+    r = chat.format_chat(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {p}"), parts_col="parts").first()
+    assert r.segments[1].text == "".join(f"<|image:{k // 2}|>" if k % 2 else f"t{k}" for k in range(4000))
+    assert len(r.attachments) == 2000 and r.expanded_tokens == 2000 * 256

@@ -317,3 +317,13 @@ def test_licenses_match_all_patterns_without_gates(spark, sf):
         want = sorted((r.label, flat.count(" ", 0, s), flat.count(" ", 0, e) + 1, r.score) for s, e, r in brute_resolve(found))
         assert sorted((x.label, x.start, x.end, x.score) for x in rows[d.doc_id].detections) == want
     assert [rows[-1 - k].labels for k in range(4)] == ["openrail", "openrail", "openrail", "gpl-2.0"]
+
+
+def test_quality_of_very_long_texts(spark):
+    rng = random.Random(1)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    df = spark.createDataFrame([(1, text), (2, text + " " + text), (3, "one two " * 300_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality.quality_rules(df).collect()}
+    assert (got[1].n_words, got[1].kept) == (400_000, True)
+    assert (got[2].longest_repeat, got[2].covered_words, got[2].kept) == (400_000, 800_000, False)
+    assert got[3].base_failed and got[3].longest_repeat == 599_998
