@@ -106,7 +106,7 @@ def unified_diff(files: list | None) -> str:
     import difflib
 
     out: list[str] = []
-    for f in files or []:
+    for f in [] if files is None else files:
         old, new = ((f[k] or "").splitlines(keepends=True) for k in ("before", "after"))
         names = ("/dev/null" if f["before"] is None else "a/" + f["path"], "/dev/null" if f["after"] is None else "b/" + f["path"])
         for line in difflib.unified_diff(old, new, *names):
