@@ -84,7 +84,7 @@ def log_gamma(x: Column) -> Column:
     """ln of the gamma function for x >= 1: Stirling's series eight places up."""
     y = x + 8.0
     down = reduce(lambda a, k: a * (x + float(k)), range(1, 8), x)
-    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7)))
+    series = 1 / (12 * y) - 1 / (360 * F.pow(y, F.lit(3))) + 1 / (1260 * F.pow(y, F.lit(5))) - 1 / (1680 * F.pow(y, F.lit(7))) + 1 / (1188 * F.pow(y, F.lit(9)))
     return (y - 0.5) * F.ln(y) - y + 0.5 * math.log(2 * math.pi) + series - F.ln(down)
 
 
@@ -94,6 +94,17 @@ def log_choose(n: Column, k: Column) -> Column:
     return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
+def log_fair(n: Column, k: Column) -> Column:
+    """ln of the probability of k heads in n tosses of a fair coin. From 50 on
+    it is written by how far k is from n / 2, so that nothing large cancels."""
+    n, k = n.cast("double"), k.cast("double")
+    m = n - k
+    d = (m - k) / n
+    rest = lambda x: 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    apart = -n / 2 * ((1 + d) * F.log1p(d) + (1 - d) * F.log1p(-d)) + 0.5 * F.ln(n / (2 * math.pi * k * m)) + rest(n) - rest(k) - rest(m)
+    return F.when(F.least(k, m) >= 50, apart).otherwise(log_choose(n, k) - n * math.log(2))
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
     """Two-sided exact test on discordant counts: twice the lower binomial tail
     at 1/2, at most 1; 1 without discordant pairs.
@@ -103,7 +114,7 @@ def mcnemar_p(b: Column, c: Column) -> Column:
     are not added, so the sum is short however many pairs there are.
     """
     n, k = (b + c).cast("long"), F.least(b, c).cast("long")
-    first = F.exp(log_choose(n, k) - n * math.log(2))
+    first = F.exp(log_fair(n, k))
     m = F.least(k, F.ceil(6 * F.sqrt(n.cast("double")) + 60).cast("long"))
     steps = F.when(m > 0, F.sequence(F.lit(0).cast("long"), m - 1)).otherwise(F.array().cast("array<bigint>"))
     one = F.lit(1.0)
