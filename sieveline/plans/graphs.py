@@ -61,10 +61,16 @@ def known_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.known_ends(edges, c, ["conv_id"], "turn")
 
 
-@register()
+@register("""
+WITH k AS (SELECT page_id AS k, 'pkg.m' || page_id || '.' AS m FROM pages)
+SELECT 'all' AS repo, m || 'C' || k AS source, m || 'C' || k || '.run' AS target, 'contains' AS type, CAST(0 AS BIGINT) AS key FROM k
+UNION ALL SELECT 'all', m || 'C' || k || x, m || 'helper' || k, 'calls', 0 FROM k CROSS JOIN (VALUES (''), ('.run')) v(x)
+UNION ALL SELECT 'all', a.m || 'helper' || a.k, b.m || 'C' || b.k || x, 'calls', y FROM k a JOIN k b ON b.k = a.k + 1 CROSS JOIN (VALUES ('.run', 0), ('', 1)) v(x, y)
+""")
 def symbol_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges of a graph built from made-up modules, one per page; SQL can't parse
-    sources, tests compare with a hand-made graph."""
+    """Edges of a graph built from made-up modules, one per page: a class whose
+    method calls a function, which calls the method of the next page's class.
+    SQL can't parse sources, but it knows what these hold."""
     k = F.col("page_id").cast("string")
     src = F.concat(F.lit("class C"), k, F.lit(":\n    def run(self):\n        return helper"), k, F.lit("()\n\ndef helper"), k, F.lit("():\n    return C"), (F.col("page_id") + 1).cast("string"), F.lit(".run()\n"))
     files = table(spark, sf_dir, "pages").select(F.lit("all").alias("repo"), F.concat(F.lit("pkg/m"), k, F.lit(".py")).alias("path"), src.alias("content"))

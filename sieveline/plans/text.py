@@ -132,11 +132,13 @@ def mask_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("conv_id", "turn", join("ids"), join("labels"), F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_attended"))
 
 
-@register()
+@register("""
+SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN '--- a/f' || doc_id || '.py' || chr(10) || '+++ b/f' || doc_id || '.py' || chr(10) || '@@ -1,2 +1,3 @@ def f' || chr(10) || ' ctx' || chr(10) || '-' || md5(coalesce(text, '')) || chr(10) || '+x' || chr(10) || '+y' || chr(10) END AS diff FROM documents
+""")
 def extract_diff_udf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diffs in made-up replies, hunk headers recounted."""
     k = F.col("doc_id").cast("string")
-    reply = F.concat(F.lit("Here:\n```diff\n--- a/f"), k, F.lit(".py\n+++ b/f"), k, F.lit(".py\n@@ -1,9 +1,9 @@\n ctx\n-"), F.substring("text", 1, 10), F.lit("\n+x\n+y\n```\nDone"))
+    reply = F.concat(F.lit("Here:\n```diff\n--- a/f"), k, F.lit(".py\n+++ b/f"), k, F.lit(".py\n@@ -1,9 +1,9 @@ def f\n ctx\n-"), F.md5(F.coalesce("text", F.lit("")).cast("binary")), F.lit("\n+x\nno line of a diff\n+y\n```\nDone"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 4 == 0, "no diff").otherwise(reply).alias("reply"))
     return training.extract_diffs(d, "reply").select("doc_id", "diff")
 
