@@ -92,7 +92,7 @@ def _splitter(spec: str) -> Splitter:
     return _splitters[spec]
 
 
-_zstd = pa.Codec("zstd", compression_level=1)
+_zstd = pa.Codec("zstd", compression_level=3)
 
 
 def _pack(data: bytes) -> bytes:

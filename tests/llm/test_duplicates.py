@@ -10,7 +10,7 @@ import pytest
 
 from sieveline.llm import minhash, substring
 from sieveline.llm.components import components
-from sieveline.llm.fm_index import FMIndex, Wavelet
+from sieveline.llm.fm_index import FMIndex, Wavelet, code_lengths
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -152,6 +152,23 @@ def test_wavelet_rank():
         assert w.rank(c, i).tolist() == [int((s[:y] == x).sum()) for x, y in zip(c, i)]
 
 
+def test_huffman_codes():
+    """As short as can be, and the matrix has about the entropy's bits."""
+    rng = np.random.default_rng(7)
+    for sigma, n in ((2, 50), (40, 3000), (3000, 60_000)):
+        p = 1 / np.arange(1, sigma + 1)
+        s = rng.choice(sigma, n, p=p / p.sum())
+        count = np.bincount(s, minlength=sigma)
+        length = code_lengths(count)
+        assert (length[count == 0] == 0).all() and abs((0.5 ** length[count > 0]).sum() - 1) < 1e-9
+        q = count[count > 0] / n
+        entropy = -(q * np.log2(q)).sum()
+        w = Wavelet(s, sigma)
+        assert entropy <= (count * length).sum() / n < entropy + 1
+        assert sum(x.words.size * 64 for x in w.levels) <= (count * length).sum() + 128 * len(w.levels)
+    assert code_lengths(np.array([0, 9, 0])).tolist() == [0, 1, 0] and code_lengths(np.array([0, 0])).tolist() == [0, 0]
+
+
 def test_fm_index_matching():
     rng = np.random.default_rng(2)
     pieces = [rng.integers(1, 5, int(rng.integers(1, 40))) for _ in range(80)]
