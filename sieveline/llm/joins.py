@@ -7,26 +7,33 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 
-#: Rows from which a group may be hot, and the hot groups that are broadcast at
-#: most: the largest ones. With wide rows they are fewer, and of MOST_SIZE bytes.
-HOT_ROWS, MOST_HOT, MOST_WIDE, MOST_SIZE = 1_000, 10_000, 64, 1 << 20
+#: Rows from which a group may be hot, and the hot groups at most: the largest
+#: ones. A group that isn't among them has less than one in MOST_HOT of all rows.
+HOT_ROWS, MOST_HOT = 1_000, 10_000
 
 
-def join_groups(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", size: str | None = None) -> DataFrame:
+def join_groups(left: DataFrame, right: DataFrame, keys: list[str], count: str, how: str = "inner", wide: bool = False) -> DataFrame:
     """left.join(right, keys, how) for a table `right` of one row per group with
     its number of rows in `count`; how is inner or left.
 
-    Rows of the largest groups stay where they are: those groups' rows of
-    `right`, a bounded number (and of bounded size, by the column `size`), are
-    broadcast. The others are joined by shuffle, so no task gets a hot group.
+    Rows of hot groups stay where they are: those groups' rows of `right`, a
+    bounded number, are broadcast. If these are wide (payloads), only their keys
+    are; a hot group's row is repeated for each HOT_ROWS rows of the group, which
+    are dealt to the copies by a hash of the whole row. All others are joined by
+    shuffle, so no task gets a hot group.
     """
     hot = right.where(F.col(count) > HOT_ROWS)
-    if size:
-        hot = hot.where(F.col(size) <= MOST_SIZE)
-    hot = stored(hot.orderBy(F.desc(count), *keys).limit(MOST_WIDE if size else MOST_HOT), "hot")
+    hot = hot.select(*keys, F.col(count).alias("_rows")) if wide else hot
+    hot = stored(hot.orderBy(F.desc("_rows" if wide else count), *keys).limit(MOST_HOT), "hot")
     if hot.isEmpty():
         return left.join(right, keys, how)
     names = F.broadcast(hot.select(*keys))
-    some = left.join(F.broadcast(hot), keys)
+    if wide:
+        copies = F.ceil(F.col("_rows") / HOT_ROWS).cast("int")
+        some = left.join(F.broadcast(hot), keys).withColumn("_copy", F.pmod(F.xxhash64(*left.columns), copies).cast("int")).drop("_rows")
+        each = right.join(F.broadcast(hot), keys).withColumn("_copy", F.explode(F.sequence(F.lit(0), copies - 1))).drop("_rows")
+        some = some.join(each, [*keys, "_copy"]).drop("_copy")
+    else:
+        some = left.join(F.broadcast(hot), keys)
     rest = left.join(names, keys, "left_anti").join(right.join(names, keys, "left_anti"), keys, how)
     return some.unionByName(rest)

@@ -103,8 +103,8 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     if hot.isEmpty():
         both = records.join(payloads, "digest")
     else:
-        sized = payloads.join(hot, "digest", "left").select("digest", "payload", F.coalesce("c", F.lit(1)).alias("c"), F.octet_length("payload").alias("size"))
-        both = joins.join_groups(records, sized, ["digest"], "c", size="size").select("digest", "header", "payload")
+        counted = payloads.join(hot, "digest", "left").select("digest", "payload", F.coalesce("c", F.lit(1)).alias("c"))
+        both = joins.join_groups(records, counted, ["digest"], "c", wide=True).select("digest", "header", "payload")
     seen = F.sha2("payload", 256)
     both = both.withColumn("payload_digest", F.when(seen == F.col("digest"), seen).otherwise(F.raise_error(F.lit("payload does not match its digest"))))
     block = F.when(field(F.col("header"), "WARC-Type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
