@@ -179,3 +179,20 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     first = np.cumsum(lengths) - lengths
     return np.arange(total) - np.repeat(first - starts, lengths)
+
+
+def word_array(buf: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of a block of texts one after the other, as bytes, and the
+    index of each text's first word (n + 1)."""
+    keep = ~_SPACE[buf]
+    edge = np.zeros(len(buf) + 1, bool)
+    edge[at] = True  # a text's end ends its last word
+    first = keep.copy()
+    first[1:] &= ~keep[:-1] | edge[1:-1]
+    last = keep.copy()
+    last[:-1] &= ~keep[1:] | edge[1:-1]
+    first, last = np.flatnonzero(first), np.flatnonzero(last)
+    ofs = np.zeros(len(first) + 1, np.int64)
+    np.cumsum(last - first + 1, out=ofs[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ofs), pa.py_buffer(buf[keep])])
+    return words, np.searchsorted(first, at).astype(np.int64)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from . import chat
 from .bpe import encode_decode
+from .collocations import collocations
 from .decontaminate import contaminated
 from .html_extract import extract
 from .licenses import scan_licenses
 from .minhash import near_duplicates
+from .packing import pack
 from .quality import quality_rules
 from .substring import substring_dedup
 from .toxicity import score, train
@@ -88,8 +90,16 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents")).drop("detections")
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_warc_archive, op5_quality_rules, op6_toxicity, op7_bpe_encode_decode, op8_substring_dedup, op9_html_extraction, op10_license_scan)}
+    return {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_minhash_near_dedup, op3_chat_formatting, op4_warc_archive, op5_quality_rules, op6_toxicity, op7_bpe_encode_decode, op8_substring_dedup, op9_html_extraction, op10_license_scan, op11_phrase_collocations, op12_best_fit_packing)}
 
 
 OP2_SQL = r"""
@@ -191,6 +201,31 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= 100 AND
 FROM q
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws, count(*) AS m FROM d GROUP BY ALL),
+g AS (
+  SELECT lang, 1 AS k, unnest(ws) AS phrase, m FROM p
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])), m FROM p
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])), m FROM p
+),
+f AS (SELECT lang, k, phrase, CAST(sum(m) AS BIGINT) AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT lang, phrase, a, i, array_to_string(w[:i], ' ') AS first, array_to_string(w[i + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS i FROM c)),
+s AS (
+  SELECT lang, phrase, a, i, x.f AS l, y.f AS r, CAST(1000000 * CAST(a AS HUGEINT) * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cut JOIN (SELECT lang, phrase AS first, f FROM f) x USING (lang, first) JOIN (SELECT lang, phrase AS rest, f FROM f) y USING (lang, rest)
+),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_ AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE k = 3),
+longer AS (SELECT lang, phrase, max(a) AS longer FROM inner_ GROUP BY ALL)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best JOIN total USING (lang) LEFT JOIN longer USING (lang, phrase)
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_spaced_seed_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_warc_archive": OP4_SQL, "op8_substring_dedup": OP8_SQL}
+    return {"op1_spaced_seed_decontamination": OP1_SQL, "op5_quality_rules": OP5_SQL, "op2_minhash_near_dedup": OP2_SQL, "op3_chat_formatting": OP3_SQL, "op4_warc_archive": OP4_SQL, "op8_substring_dedup": OP8_SQL, "op11_phrase_collocations": OP11_SQL}
