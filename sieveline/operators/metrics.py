@@ -17,11 +17,18 @@ def file_overlap(df: DataFrame, ours: Column, reference: Column, by: list[str] |
 
 
 def context_fidelity(df: DataFrame, patch: Column, source: Column, by: list[str] | None = None) -> DataFrame:
-    """Share of context lines of patches that the sources hold as lines."""
-    context = F.transform(F.filter(T.lines(patch), lambda x: x.startswith(" ")), lambda x: F.substring(x, 2, 1 << 30))
-    have = T.lines(source)
-    d = df.select(*(by or []), F.size(context).alias("_n"), F.size(F.filter(context, lambda x: F.array_contains(have, x))).alias("_k"))
-    out = d.groupBy(*(by or [])).agg(F.sum("_n").alias("n_context"), F.sum("_k").alias("n_found"))
+    """Share of context lines of patches that the sources hold as lines.
+
+    Both texts' lines leave their row marked with its number, and equal lines of
+    one row meet by a sum, so time is linear in the texts and a long text spreads.
+    """
+    context = F.transform(F.filter(T.lines(patch), lambda x: x.startswith(" ")), lambda x: F.struct(F.substring(x, 2, 1 << 30).alias("line"), F.lit(1).alias("n")))
+    have = F.transform(T.lines(source), lambda x: F.struct(x.alias("line"), F.lit(0).alias("n")))
+    none = F.array().cast("array<struct<line:string,n:int>>")
+    both = df.select(*(by or []), F.monotonically_increasing_id().alias("_row"), F.concat(F.coalesce(context, none), F.coalesce(have, none)).alias("_all"))
+    marked = both.select(*(by or []), "_row", F.explode_outer("_all").alias("_l"))
+    per = marked.groupBy(*(by or []), "_row", "_l.line").agg(F.coalesce(F.sum("_l.n"), F.lit(0)).alias("_n"), F.count_if(F.col("_l.n") == 0).alias("_have"))
+    out = per.groupBy(*(by or [])).agg(F.sum("_n").alias("n_context"), F.sum(F.when(F.col("_have") > 0, F.col("_n")).otherwise(0)).alias("n_found"))
     return out.withColumn("fidelity", F.try_divide(F.col("n_found").cast("double"), F.col("n_context")))
 
 

@@ -9,14 +9,16 @@ from ..session import stored
 
 #: BM25 parameters and the weight of a neighbour's score.
 K1, B, NEIGHBOUR = 1.2, 0.75, 0.5
-#: Rows up to which a counted side is broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a counted side is broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table only if a count finds it small; else leave it to joins
-    by shuffle."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table only if its rows and bytes, counted up to the limit, are
+    few; else leave it to joins by shuffle."""
+    row = F.octet_length(F.to_json(F.struct(*df.columns))) if df.columns else F.lit(0)
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
 def document_frequency(docs: DataFrame, id_col: str, toks: Column) -> DataFrame:
@@ -36,8 +38,10 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     their mean length come from a separate aggregate over sizes.
     """
     q = queries.select(*by, query_id, F.explode(F.array_distinct(query_tokens)).alias("token"))
-    # neither the vocabulary nor the weights have more rows than the queries' tokens
-    hint = F.broadcast if q.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    # neither the vocabulary nor the weights have more rows than the queries' tokens,
+    # or more than the weights' few numbers beside each
+    n, size = q.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length("token") + 64)).first()
+    hint = F.broadcast if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else lambda df: df
     vocab = hint(q.select(*by, "token").distinct())
     d = docs.select(*by, doc_id, doc_tokens, F.size(doc_tokens).alias("_len"))
     corpus = d.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
@@ -102,41 +106,54 @@ def first_hits_of(scores: DataFrame, targets: DataFrame, query: list[str], item:
 
     A query's best target is known by joining; its rank is one more than the
     number of rows that come before it, which are counted where they lie. No row
-    is ranked and nothing is sorted.
+    is ranked and nothing is sorted. Items may be of any type that has an order.
     """
     t = targets.select(*query, item).distinct()
     hit = t.join(scores.select(*query, item, score), [*query, item], "left")
-    lead = F.struct(F.col(score).alias("s"), (-F.col(item)).alias("i"))
-    best = hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.max(F.when(F.col(score).isNotNull(), lead)).alias("_best"))
-    n = best.limit(BROADCAST_ROWS + 1).count()
-    some = best.where("_best is not null").select(*query, "_best")
-    ahead = scores.join(F.broadcast(some) if n <= BROADCAST_ROWS else some, query).groupBy(*query).agg(F.count_if(lead > F.col("_best")).alias("_ahead"))
-    out = best.join(ahead, query, "left")
+    place = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
+    best = hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.min(F.when(F.col(score).isNotNull(), place)).alias("_best"))
+    some = sized(stored(best.where("_best is not null").select(*query, "_best"), "best"))
+    ahead = scores.join(some, query).groupBy(*query).agg(F.count_if(place < F.col("_best")).alias("_ahead"))
+    out = t.groupBy(*query).agg(F.count("*").alias("n_targets")).join(ahead, query, "left")
     return out.select(*query, "n_targets", F.coalesce(F.col("_ahead") + 1, F.lit(0)).cast("int").alias("first_rank"))
 
 
+def _words(df: DataFrame, text: str, name: str = "_w") -> DataFrame:
+    """The text's space-separated words as a column of its own, behind a
+    generator: else the split would be repeated in every expression over it."""
+    return df.withColumn(name, F.explode(F.array(F.split(F.col(text), " "))))
+
+
 def holding(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item: str, size: int = 3) -> DataFrame:
     """Pairs (item_id, doc_id) of documents whose text holds an item's verbatim.
 
     An item is looked for by one run of `size` space-separated words from its
-    inside, the one with the smallest hash: where the item stands, these words
-    stand whole, so the join is by equality, and holding is tested on the pairs
-    that it yields. Items too short for that, of at most `size` + 1 words, are tested
-    on every text if a count finds few of them.
+    inside: where the item stands, these words stand whole, so the join is by
+    equality, and holding is tested on the pairs that it yields. Of an item's
+    runs the one that the fewest documents have is taken. Items too short for
+    that, of at most `size` + 1 words, are tested on every text, a block of
+    items of bounded size at a time.
     """
-    grams = lambda w: F.when(F.size(w) >= size, F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, size)))).otherwise(F.array().cast("array<bigint>"))
-    words = F.split(F.col(item), " ")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    i = items.select(item_id, item, F.array_min(grams(inner)).alias("_key"))
-    keys = docs.select(doc_id, F.explode(F.array_distinct(grams(F.split(F.col(text), " ")))).alias("_key"))
-    pairs = stored(keys.join(sized(i.where("_key is not null").select(item_id, "_key")), "_key").select(item_id, doc_id).distinct(), "pairs")
-    found = docs.select(doc_id, text).join(sized(pairs), doc_id).join(sized(i.select(item_id, item)), item_id).where(F.contains(F.col(text), F.col(item))).select(item_id, doc_id)
-    short = i.where("_key is null")
-    n = short.limit(BROADCAST_ROWS + 1).count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"over {BROADCAST_ROWS} items have too few words to be looked for")
-    if n:
-        found = found.union(docs.select(doc_id, text).join(F.broadcast(short), F.contains(F.col(text), F.col(item))).select(item_id, doc_id))
+    runs = F.when(F.size("_w") >= size, F.transform(F.sequence(F.lit(1), F.size("_w") - size + 1), lambda i: F.xxhash64(F.slice("_w", i, size)))).otherwise(F.array().cast("array<bigint>"))
+    inner = _words(items.select(item_id, item), item).withColumn("_w", F.slice("_w", F.lit(2), F.greatest(F.size("_w") - 2, F.lit(0))))
+    of_items = stored(inner.select(item_id, F.explode_outer(F.array_distinct(runs)).alias("_key")), "runs")
+    known = sized(of_items.select("_key").where("_key is not null").distinct())
+    of_docs = stored(_words(docs.select(doc_id, text), text).select(doc_id, F.explode(F.array_distinct(runs)).alias("_key")).join(known, "_key", "left_semi"), "hits")
+    rare = of_docs.groupBy("_key").agg(F.count("*").alias("_n"))
+    key = of_items.join(rare, "_key").groupBy(item_id).agg(F.count("*").alias("_found"), F.min_by("_key", F.struct("_n", "_key")).alias("_key"))
+    # an item some run of which no document has is held by none
+    whole = of_items.where("_key is not null").groupBy(item_id).agg(F.count("*").alias("_runs"))
+    key = key.join(whole, item_id).where("_found = _runs").select(item_id, "_key")
+    pairs = stored(of_docs.join(sized(key), "_key").select(item_id, doc_id).distinct(), "pairs")
+    texts = docs.select(doc_id, text)
+    holds = F.contains(F.col(text), F.col(item))
+    found = texts.join(sized(pairs), doc_id).join(sized(items.select(item_id, item)), item_id).where(holds).select(item_id, doc_id)
+    short = stored(items.join(of_items.where("_key is null").select(item_id).distinct(), item_id, "left_semi").select(item_id, item), "short")
+    n, held = short.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(item)), F.lit(0))).first()
+    blocks = max(-(-n // BROADCAST_ROWS), -(-held // BROADCAST_BYTES))
+    for b in range(blocks):
+        some = short.where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == b)
+        found = found.union(texts.join(F.broadcast(some), holds).select(item_id, doc_id))
     return found.distinct()
 
 

@@ -207,9 +207,9 @@ def recall_by_repo(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(rf"""
 WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '-' WHEN 1 THEN '+' ELSE ' ' END AS mark, {_LINES.format("coalesce(text, '')")} AS l FROM documents),
 n AS (SELECT doc_id, mark, list_transform(CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END, lambda x: mark || x) AS ls FROM d),
-k AS (SELECT doc_id, mark, len(list_filter(ls, lambda x: NOT starts_with(x, '---') AND NOT starts_with(x, '+++'))) AS n FROM n)
+k AS (SELECT doc_id, mark, len(ls) AS n FROM n)
 SELECT doc_id, CAST(1 AS BIGINT) AS hunk, CASE WHEN mark = '+' THEN 0 ELSE n END AS n_old, CASE WHEN mark = '-' THEN 0 ELSE n END AS n_new FROM k WHERE n > 0
-UNION ALL SELECT doc_id, CAST(2 AS BIGINT), CAST(1 AS BIGINT), CAST(2 AS BIGINT) FROM k
+UNION ALL SELECT doc_id, CAST(2 AS BIGINT), CAST(2 AS BIGINT), CAST(2 AS BIGINT) FROM k
 """)
 def hunk_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A hunk of a document's lines, all marked alike, and one of three lines."""

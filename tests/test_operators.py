@@ -329,3 +329,67 @@ def test_clear(spark):
     import os
 
     assert not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in files)
+
+
+def test_first_hits_of_paths(spark):
+    scores = spark.createDataFrame([(1, "b.py", 2.0), (1, "a.py", 2.0), (1, "c.py", 3.0), (2, "a.py", 0.5)], "q int, path string, score double")
+    targets = spark.createDataFrame([(1, "b.py"), (1, "none.py"), (2, "x.py"), (3, "a.py")], "q int, path string")
+    got = {r.q: (r.n_targets, r.first_rank) for r in retrieval.first_hits_of(scores, targets, ["q"], "path").collect()}
+    assert got == {1: (2, 3), 2: (1, 0), 3: (1, 0)}
+
+
+def test_holding_takes_short_items_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 7)
+    d = spark.createDataFrame([(k, f"w{k} w{k + 1} end") for k in range(30)] + [(99, None)], "doc int, text string")
+    i = spark.createDataFrame([(k, f"w{k}") for k in range(20)] + [(50, "w5 w6 end"), (51, None), (52, "w1 w2 end more to say")], "item_no int, what string")
+    got = {(r.item_no, r.doc) for r in retrieval.holding(d, i, "doc", "text", "item_no", "what").collect()}
+    rows = [(r.item_no, r.what, t.doc, t.text) for r in i.collect() for t in d.collect()]
+    assert got == {(k, n) for k, x, n, t in rows if x is not None and t is not None and x in t}
+
+
+def _seconds(run, *args):
+    import time
+
+    run(*args)
+    took = []
+    for _ in range(2):
+        began = time.perf_counter()
+        run(*args)
+        took.append(time.perf_counter() - began)
+    return min(took)
+
+
+def test_long_texts_take_linear_time(spark):
+    """8 times as many words or lines take at most 20 times as long; a quadratic
+    pass over 32,000 words would take far more."""
+    from sieveline.operators import metrics
+
+    items = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6")], "item_no int, what string")
+
+    def hold(n):
+        d = spark.createDataFrame([(k, " ".join(f"w{i}" for i in range(k, n + k))) for k in range(4)], "doc int, text string")
+        assert retrieval.holding(d, items, "doc", "text", "item_no", "what").count() == 2
+
+    def context(n):
+        text = "\n".join(f" line {i}" for i in range(n))
+        d = spark.createDataFrame([(text, text.replace("\n ", "\n").strip())], "p string, s string")
+        r = metrics.context_fidelity(d, F.col("p"), F.col("s")).first()
+        assert (r.n_context, r.n_found) == (n, n)
+
+    for run in (hold, context):
+        assert _seconds(run, 32_000) < 20 * max(_seconds(run, 4_000), 0.1)
+
+
+def test_context_fidelity_counts_repeats_and_empty_rows(spark):
+    from sieveline.operators import metrics
+
+    rows = [(1, " a\n a\n+b\n c", "a\nx"), (1, None, "a"), (2, "", ""), (2, "+x", None), (3, " q", None)]
+    got = {r.g: (r.n_context, r.n_found) for r in metrics.context_fidelity(spark.createDataFrame(rows, "g int, p string, s string"), F.col("p"), F.col("s"), ["g"]).collect()}
+    assert got == {1: (3, 2), 2: (0, 0), 3: (1, 0)}
+
+
+def test_hunks_count_lines_that_look_like_heads(spark):
+    d = "--- a/f\n+++ b/f\n@@ -1,3 +1,3 @@\n ctx\n--- x\n+++ y\n-z\ndiff --git a b\n--- a/g\n"
+    rows = training.hunk_counts(spark.createDataFrame([(1, d)], "id int, p string"), ["id"], "p").orderBy("hunk").collect()
+    assert (rows[0].n_old, rows[0].n_new) == (3, 2)
+    assert "@@ -1,3 +1,2 @@" in training.clean_diff("```diff\n" + d + "```")
