@@ -181,12 +181,15 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(first - starts, lengths)
 
 
-def word_array(buf: np.ndarray, at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+def word_array(buf: np.ndarray, at: np.ndarray, also: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray]:
     """The words of a block of texts one after the other, as bytes, and the
-    index of each text's first word (n + 1)."""
+    index of each text's first word (n + 1). also: bytes before which a word is
+    cut as well."""
     keep = ~_SPACE[buf]
     edge = np.zeros(len(buf) + 1, bool)
     edge[at] = True  # a text's end ends its last word
+    if also is not None:
+        edge[:-1] |= also
     first = keep.copy()
     first[1:] &= ~keep[:-1] | edge[1:-1]
     last = keep.copy()

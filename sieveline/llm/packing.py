@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import zlib
@@ -27,17 +28,24 @@ POPULATION, CROSSOVERS, KEPT = 8, 40, 3
 #: of them, two at least, of those that are filled to less than FILLED.
 AGAIN, FILLED = 0.02, 0.98
 #: Bytes of text whose words are looked up together; words and ids remembered.
-BLOCK, KNOWN_WORDS, KNOWN_IDS = 8 << 20, 1 << 19, 1 << 23
+BLOCK, KNOWN_WORDS, KNOWN_IDS = 8 << 20, 1 << 20, 1 << 23
 #: Normalizers that neither look nor reach beyond white space.
 _LOCAL = ("NFC", "Lowercase")
 _PIECE = "doc_id, piece, start, length, ids_crc32"
+_BYTE = np.arange(256)
+_UPPER, _LOWER = (_BYTE >= 65) & (_BYTE <= 90), (_BYTE >= 97) & (_BYTE <= 122)
+_MARK = (_BYTE > 32) & (_BYTE < 127) & ~_UPPER & ~_LOWER & ~((_BYTE >= 48) & (_BYTE <= 57))
 
 
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct word encoded once.
 
     The tokenizer must take words between white space by themselves, which is
-    checked: white space is dropped and no rule reaches across it.
+    checked: white space is dropped and no rule reaches across it. As it splits
+    letters from marks and folds case, so do the words that are looked up, where
+    bytes alone tell: a Latin letter before an ASCII mark ends a word, and A-Z
+    before ASCII is folded. Blocks in which an added token's string may stand
+    are taken as they are.
     """
 
     def __init__(self, spec: str) -> None:
@@ -47,49 +55,60 @@ class Encoder:
         j = json.loads(spec)
         steps = (j["normalizer"] or {}).get("normalizers", [])
         splits = (j["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        drops = splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and r"[^\s\p{L}\p{N}]+" in splits[0]["pattern"].get("Regex", "")
+        drops = splits[0].get("type") == "Split" and splits[0]["behavior"] == "Removed" and splits[0]["invert"] and splits[0]["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         local = all(s["type"] in _LOCAL or (s["type"] == "Replace" and s["pattern"] == {"Regex": r"\s+"} and s["content"] == " ") for s in steps)
         plain = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or any(c.isspace() for c in t["content"]) for t in j["added_tokens"])
         if not (drops and local and plain) or any(p["type"] != "ByteLevel" or p["add_prefix_space"] or p["use_regex"] for p in splits[1:]):
             raise ValueError("only tokenizers that drop white space are supported")
+        self.folds = any(s["type"] == "Lowercase" for s in steps)
+        self.added = [t["content"].encode() for t in j["added_tokens"]]
         j["truncation"] = j["padding"] = None
         self.tokenizer = Tokenizer.from_str(json.dumps(j))
         self._forget()
 
     def _forget(self) -> None:
         self.row: dict[bytes, int] = {}
-        self.ids, self.at = [np.array([END], "<u4")], [np.array([0, 1], np.int64)]
-        self.n, self.end = 1, 1
+        # row 0 is the end of a document
+        self.ids, self.at = np.array([END], "<u4"), np.array([0, 1], np.int64)
 
     def _rows(self, words: list[bytes]) -> np.ndarray:
-        """Numbers of words; 0 is the end of a document."""
-        if len(self.row) > KNOWN_WORDS or self.end > KNOWN_IDS:
+        """Numbers of words, the new ones encoded."""
+        if len(self.row) > KNOWN_WORDS or len(self.ids) > KNOWN_IDS:
             self._forget()
         new = [w for w in words if w not in self.row]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
             size = np.fromiter(map(len, found), np.int64, len(found))
-            self.ids.append(np.fromiter((i for x in found for i in x), "<u4", int(size.sum())))
-            self.at.append(self.end + np.cumsum(size))
-            self.row.update(zip(new, range(self.n, self.n + len(new))))
-            self.n, self.end = self.n + len(new), self.end + int(size.sum())
-            self.ids, self.at = [np.concatenate(self.ids)], [np.concatenate(self.at)]
+            flat = np.fromiter(itertools.chain.from_iterable(found), "<u4", int(size.sum()))
+            self.row.update(zip(new, range(len(self.at) - 1, len(self.at) - 1 + len(new))))
+            self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, flat])
         return np.fromiter(map(self.row.__getitem__, words), np.int64, len(words))
 
     def encode(self, buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of a block of texts, END after each, and where each begins (n + 1)."""
-        words, ofs = word_array(buf, at)
+        cut, folded = None, buf
+        if self.folds and len(buf):
+            upper = _UPPER[buf]
+            upper[:-1] &= buf[1:] < 128  # a mark that combines may follow else
+            folded = buf + 32 * upper.astype(np.uint8)
+            raw = folded.tobytes()
+            if any(a.lower() in raw for a in self.added):
+                folded = buf
+            else:
+                letter = _LOWER[folded] | _UPPER[folded]
+                # the two bytes of U+00C0 to U+00FF, all letters but two
+                letter[1:] |= (buf[:-1] == 0xC3) & (buf[1:] != 0x97) & (buf[1:] != 0xB7)
+                cut = np.zeros(len(buf), bool)
+                cut[1:] = letter[:-1] & _MARK[buf[1:]]
+        words, ofs = word_array(folded, at, cut)
         coded = words.dictionary_encode()
         rows = self._rows(coded.dictionary.to_pylist())[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
         rows = np.insert(rows, ofs[1:], 0)
-        start, size = self.at[0][:-1], np.diff(self.at[0])
-        n = size[rows]
-        upto = np.concatenate([[0], np.cumsum(n)])
-        out = np.empty(int(upto[-1]), "<u4")
-        for c in range(0, len(rows), 1 << 18):  # a step at a time: no index of the whole block
-            some = rows[c : c + (1 << 18)]
-            out[upto[c] : upto[c + len(some)]] = self.ids[0][ragged(start[some], n[c : c + len(some)])]
-        return out, upto[ofs + np.arange(len(ofs))]
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(self.at) - 1, [None, pa.py_buffer(4 * self.at), pa.py_buffer(self.ids)])
+        out = known.take(pa.array(rows))
+        upto = np.frombuffer(out.buffers()[1], np.int64, len(rows) + 1) // 4
+        return np.frombuffer(out.buffers()[2], "<u4", int(upto[-1])), upto[ofs + np.arange(len(ofs))]
 
 
 _encoders: dict[str, Encoder] = {}
