@@ -22,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of pieces whose n-grams a task combines before it sends them on; hash
 #: buckets per shuffle partition; the memory that duckdb may use for one bucket
 #: before it goes to disk.
-BLOCK, BUCKETS, MEMORY = 8 << 20, 2, "160MB"
+BLOCK, BUCKETS, MEMORY = 4 << 20, 2, "160MB"
 #: Parts into which a language's candidates are dealt to be ranked.
 DEALT = 64
 _PARTS = pa.schema([("lang", pa.string()), ("k", pa.int8()), ("phrase", pa.large_string()), ("f", pa.int64())])
