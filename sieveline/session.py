@@ -53,6 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + made
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path of its own in the shared folder; clear() removes it."""
+    path = f"{shared_dir(spark)}/stored/{name}-{uuid.uuid4().hex}"
+    _made.append(("path", path))
+    return path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write a result to the shared folder as Parquet and read it back.
 

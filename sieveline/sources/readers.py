@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,16 @@ def jsonl(spark: SparkSession, paths: str | list[str], schema: str, missing_ok:
     return spark.read.schema(schema).json(many) if many else spark.createDataFrame([], schema)
 
 
+def parquet_or_none(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet with a fixed schema; a path that is not there yet has no rows."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def git_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
     r"""Commits from `git log --format=%H%x1f%P%x1f%ad%x1f%s --name-only` text:
     repo, sha, parents, date, subject, files.
