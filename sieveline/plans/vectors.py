@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, stats
+from ..operators import audit, neighbour_index, stats
 from ..operators import vectors as V
 from .registry import register, table
 
@@ -34,6 +34,19 @@ def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _nearest(spark, sf_dir)[1]
 
 
+@register(_NN + "SELECT count(*) AS n, true AS is_reached FROM k WHERE id % 20 = 0")
+def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours from lists of 50 rows, as many as the measured recall asks to be
+    probed, for the ids divisible by 20 against all rows: whether they hold 0.9
+    of the exact ones."""
+    e = table(spark, sf_dir, "embeddings")
+    ask = e.where("vec_id % 20 = 0")
+    exact = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, 1, 1, ask)
+    lists = max(1, e.count() // 50)
+    found = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, lists=lists, ask=ask)
+    return neighbour_index.recall(exact, found).select("n", (F.col("recall") >= 0.9).alias("is_reached"))
+
+
 @register(_NN + "SELECT label, n, round(same_share, 6) AS same_share, round(chance, 6) AS chance, round(same_share / (chance + 1e-9), 6) AS lift FROM lift")
 def knn_label_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lift(spark, sf_dir).select("label", "n", *[F.round(c, 6).alias(c) for c in ("same_share", "chance", "lift")])

@@ -85,3 +85,54 @@ def test_search_reads_postings_of_wanted_parts_only(spark, tmp_path):
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch" in plan and "CartesianProduct" not in plan and "Python" not in plan
     assert rows.select(F.max("rank")).first()[0] == 3
+
+
+def clustered(n, dims, groups, seed=0):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=(groups, dims))
+    return [(i, (centre[i % groups] + 0.3 * rng.normal(size=dims)).tolist()) for i in range(n)]
+
+
+def vectors_frame(spark, rows):
+    return spark.createDataFrame(rows, "id long, v array<double>")
+
+
+def test_lists_find_what_all_pairs_find(spark):
+    from sieveline.operators import neighbour_index as N
+    from sieveline.operators import vectors as V
+
+    rows = clustered(600, 16, 30)
+    df = vectors_frame(spark, rows)
+    exact = V.nearest(df, "id", "v", 5).cache()
+    key = lambda d: sorted((r.id, r["rank"], r.neighbour, r.similarity) for r in d.collect())
+    assert key(N.nearest_by_lists(df, "id", "v", 5, probes=12, lists=12)) == key(exact)
+    found = N.nearest_by_lists(df, "id", "v", 5, lists=12)
+    assert N.recall(exact, found).first().recall >= 0.9
+    centre = N.fit_centroids(df, "id", "v", 12)
+    assert N.probes_for(df, "id", "v", 5, centre) <= 6
+    ask = df.where("id % 20 = 0")
+    asked = N.nearest_by_lists(df, "id", "v", 5, 12, 12, ask=ask)
+    assert key(asked) == [x for x in key(exact) if x[0] % 20 == 0]
+
+
+def test_copies_and_long_lists(spark, monkeypatch):
+    """A third of all rows share a vector, and a list is longer than a block."""
+    from sieveline.operators import neighbour_index as N
+
+    monkeypatch.setattr(N, "ROWS", 16)
+    rows = clustered(120, 8, 6) + [(1000 + i, [1.0] + [0.0] * 7) for i in range(60)] + [(2000, [1.0, 0.001] + [0.0] * 6), (2001, [0.0] * 8), (7, None), (None, [1.0] * 8), (3, rows_of(3))]
+    df = vectors_frame(spark, rows)
+    got = {}
+    for r in N.nearest_by_lists(df, "id", "v", 4, probes=2, lists=2).collect():
+        got.setdefault(r.id, {})[r["rank"]] = (r.neighbour, r.similarity)
+    assert set(got) == {i for i, v in rows if i is not None and v is not None}
+    assert [got[1005][k][0] for k in (1, 2, 3, 4)] == [1000, 1001, 1002, 1003]
+    assert [got[1001][k][0] for k in (1, 2, 3, 4)] == [1000, 1002, 1003, 1004]
+    assert [got[2000][k][0] for k in (1, 2, 3, 4)] == [1000, 1001, 1002, 1003]
+    assert N.nearest_by_lists(df.limit(0), "id", "v", 4).count() == 0
+
+
+def rows_of(i):
+    return clustered(120, 8, 6)[i][1]
