@@ -90,13 +90,23 @@ def graph_of(facts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     return nodes, inside.unionByName(call_edges(uses, nodes, by))
 
 
+def dotted_suffixes(ids: DataFrame, by: list[str], node: str = "id") -> DataFrame:
+    """The least id per dotted ending: `c` and `b.c` of a.b.c (not the whole id).
+    A row per part of each id, combined where it lies."""
+    parts = F.split(F.col(node), r"\.")
+    ends = ids.select(*by, F.col(node).alias("_id"), F.explode(F.array(parts)).alias("_p")).where(F.size("_p") > 1)
+    ends = ends.select(*by, "_id", F.explode(F.transform(F.sequence(F.lit(2), F.size("_p")), lambda k: F.array_join(F.slice("_p", k, F.size("_p")), "."))).alias("suffix"))
+    return ends.groupBy(*by, "suffix").agg(F.min("_id").alias("least"))
+
+
 def resolve_names(calls: DataFrame, ids: DataFrame, by: list[str], call: str = "call", node: str = "id") -> DataFrame:
     """Resolve dotted names against ids: the exact id; else the only id with the
     same last part; else, if the name's first part is some id's last part, the
     smallest id that ends with "." + name.
 
-    All three are joins by equality on the last part; the ending is tested on
-    what that join yields. Names without a match drop out.
+    All three are joins by equality to a table of one row per key: the ids, the
+    last parts, and the least id per dotted ending, so a last part that very many
+    ids have forms no pairs. Names without a match drop out.
     """
     i = ids.select(*by, F.col(node).alias("_id")).distinct().withColumn("_last", T.last_part(F.col("_id")))
     names = calls.select(*by, F.col(call).alias("_call")).distinct().withColumns({"_last": T.last_part(F.col("_call")), "_first": T.first_part(F.col("_call"))})
@@ -106,7 +116,7 @@ def resolve_names(calls: DataFrame, ids: DataFrame, by: list[str], call: str = "
     one = rest.join(count.where("_n = 1"), [*by, "_last"]).select(*by, "_call", F.col("_only").alias("target"))
     known = count.select(*by, F.col("_last").alias("_first"))
     many = rest.join(known, [*by, "_first"], "left_semi").join(count.where("_n > 1").select(*by, "_last"), [*by, "_last"], "left_semi")
-    ends = many.join(i, [*by, "_last"]).where(F.endswith(F.col("_id"), F.concat(F.lit("."), F.col("_call")))).groupBy(*by, "_call").agg(F.min("_id").alias("target"))
+    ends = many.join(dotted_suffixes(i.withColumnRenamed("_id", "id"), by).select(*by, F.col("suffix").alias("_call"), F.col("least").alias("target")), [*by, "_call"]).select(*by, "_call", "target")
     return exact.unionByName(one).unionByName(ends).withColumnRenamed("_call", call)
 
 
@@ -132,14 +142,37 @@ def subgraph(adjacency: DataFrame, start: DataFrame, depth: int = 2, by: list[st
 
     A frontier joined with the adjacency (node, other) per step, less what has
     been seen; each step is kept in the shared folder. `most` keeps the first
-    nodes by depth and name.
+    nodes of each `by` by depth and name: a traversal whose nodes fill it stops
+    there, and the others go on. To follow many starts each by itself, name a
+    column of the start in `by` that the adjacency does not have.
     """
     by = by or []
+    on = [c for c in by if c in adjacency.columns]
     seen = start.select(*by, "node").distinct().withColumn("depth", F.lit(0))
+    seen = _within(seen, by, most)
     front = seen.select(*by, "node")
     for d in range(1, depth + 1):
-        step = adjacency.join(front, [*by, "node"]).select(*by, F.col("other").alias("node")).distinct()
-        new = stored(step.join(seen.select(*by, "node"), [*by, "node"], "left_anti"), "frontier")
-        seen = seen.unionByName(new.withColumn("depth", F.lit(d)))
-        front = new
-    return seen.orderBy("depth", "node").limit(most) if most else seen
+        step = adjacency.join(front, [*on, "node"]).select(*by, F.col("other").alias("node")).distinct()
+        new = step.join(seen.select(*by, "node"), [*by, "node"], "left_anti").withColumn("depth", F.lit(d))
+        if most:
+            # of what a step finds, no more than the room that its traversal has left
+            room = seen.groupBy(*by).agg((F.lit(most) - F.count("*")).alias("_room"))
+            new = new.join(room, by) if by else new.crossJoin(F.broadcast(room))
+            new = _within(new.where("_room > 0"), by, F.col("_room")).drop("_room")
+        new = stored(new, "frontier")
+        if new.isEmpty():
+            break
+        seen = seen.unionByName(new)
+        front = new.select(*by, "node")
+    return seen
+
+
+def _within(df: DataFrame, by: list[str], most: int | Column | None) -> DataFrame:
+    """The first `most` nodes of each `by` by depth and name. Nodes are ranked in
+    64 parts first, so that no more than 64 times as many meet in a task."""
+    if most is None:
+        return df
+    most = F.lit(most) if isinstance(most, int) else most
+    rank = lambda *more: F.row_number().over(Window.partitionBy(*by, *more).orderBy("depth", "node"))
+    part = df.withColumn("_part", F.pmod(F.xxhash64("node"), F.lit(64))).withColumn("_no", rank("_part")).where(F.col("_no") <= most)
+    return part.withColumn("_no", rank()).where(F.col("_no") <= most).drop("_part", "_no")

@@ -23,6 +23,14 @@ def bfs_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.subgraph(R.undirected(_edges(spark, sf_dir), []), start, 2)
 
 
+@register(_EDGES + """, t AS (SELECT DISTINCT 's' || s_suppkey AS start FROM supplier WHERE s_nationkey = 7), w(start, node, depth) AS (SELECT start, start, 0 FROM t UNION SELECT start, other, depth + 1 FROM w JOIN adj ON adj.node = w.node WHERE depth < 2),
+d AS (SELECT start, node, min(depth) AS depth FROM w GROUP BY ALL) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY start ORDER BY depth, node) <= 60""")
+def bfs_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier of a nation as a start of its own, 60 nodes each."""
+    start = table(spark, sf_dir, "supplier").where("s_nationkey = 7").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("start"))
+    return G.subgraph(R.undirected(_edges(spark, sf_dir), []), start.withColumn("node", F.col("start")), 2, ["start"], 60)
+
+
 @register("""
 WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS ord, 'p' || l_partkey AS source, 's' || l_suppkey AS target, CASE WHEN l_returnflag = 'R' THEN 'returns' ELSE 'sells' END AS type FROM lineitem)
 SELECT ord, CASE WHEN source = 's1' THEN '->' ELSE '<-' END AS direction, CASE WHEN source = 's1' THEN target ELSE source END AS other, type FROM e WHERE (source = 's1' OR target = 's1') AND type = 'sells' ORDER BY ord LIMIT 50

@@ -393,3 +393,45 @@ def test_hunks_count_lines_that_look_like_heads(spark):
     rows = training.hunk_counts(spark.createDataFrame([(1, d)], "id int, p string"), ["id"], "p").orderBy("hunk").collect()
     assert (rows[0].n_old, rows[0].n_new) == (3, 2)
     assert "@@ -1,3 +1,2 @@" in training.clean_diff("```diff\n" + d + "```")
+
+
+def test_names_with_a_last_part_that_very_many_ids_have(spark):
+    ids = spark.range(100_000).selectExpr("concat('m', id % 1000, '.c', id, '.get') as id").unionByName(spark.createDataFrame([("m.only",), ("get",), ("x.y.c7.get",)], "id string"))
+    calls = spark.range(3000).selectExpr("concat('c', id, '.get') as call").unionByName(spark.createDataFrame([("get",), ("only",), ("get.get",), ("nope.only",), ("nope.get",), (None,)], "call string"))
+    calls = calls.unionByName(spark.createDataFrame([("only.get",)], "call string"))
+    got = {r.call: r.target for r in graph.resolve_names(calls, ids.unionByName(spark.createDataFrame([("a.only.get",), ("b.only.get",), ("z.c5",), ("z.c7",)], "id string")), []).collect()}
+    # the first part of a name must be some id's last part: c5 and c7 are, the other c's are not
+    assert got == {"get": "get", "only": "m.only", "nope.only": "m.only", "only.get": "a.only.get", "c5.get": "m5.c5.get", "c7.get": "m7.c7.get"}
+
+
+def test_dotted_suffixes(spark):
+    ids = spark.createDataFrame([(1, "a.b.c"), (1, "b.c"), (1, "z.b.c"), (2, "q.c"), (2, "c"), (2, ""), (2, None), (2, "x..y")], "r int, id string")
+    got = {(r.r, r.suffix): r.least for r in graph.dotted_suffixes(ids, ["r"]).collect()}
+    assert got == {(1, "b.c"): "a.b.c", (1, "c"): "a.b.c", (2, "c"): "q.c", (2, ".y"): "x..y", (2, "y"): "x..y"}
+
+
+def test_budgets_per_start(spark):
+    """Each start has its own nodes and its own room; one that is full goes no further."""
+    import random
+
+    rng = random.Random(2)
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(150)})
+    adj = spark.createDataFrame([*edges, *((b, a) for a, b in edges)], "node int, other int").distinct()
+    starts = spark.createDataFrame([(k, k) for k in range(0, 60, 7)] + [(99, 99)], "start int, node int")
+
+    def brute(start, depth, most):
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+        seen, front = {start: 0}, [start]
+        for d in range(1, depth + 1):
+            front = sorted({b for a in front for b in near.get(a, ())} - set(seen))[: most - len(seen)]
+            seen |= dict.fromkeys(front, d)
+        return {(start, n, d) for n, d in seen.items()}
+
+    for most in (1, 5, 12, 1000):
+        got = {(r.start, r.node, r.depth) for r in graph.subgraph(adj, starts, 3, ["start"], most).collect()}
+        assert got == {x for r in starts.collect() for x in brute(r.start, 3, most)}
+    one = {(r.node, r.depth) for r in graph.subgraph(adj, starts.where("start = 7").select("node"), 3, most=12).collect()}
+    assert one == {x[1:] for x in brute(7, 3, 12)}
