@@ -97,45 +97,29 @@ def char_grams(text: Column, low: int = 3, high: int = 5) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.concat(*[F.when((F.length(w) >= n) if n > low else F.lit(True), grams(w, n)).otherwise(F.array().cast("array<string>")) for n in range(low, high + 1)])))
 
 
-def tfidf(docs: DataFrame, id_col: str, terms: Column, most_features: int | None = None) -> DataFrame:
+def tfidf(docs: DataFrame, id_col: str, terms: Column, most_features: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Smoothed TF-IDF weights with unit rows: idf = ln((1 + n) / (1 + df)) + 1.
 
-    most_features keeps the terms with the largest total counts. Returns id,
-    term, weight in long form.
+    With `by` each instance has its own n, df and features. most_features keeps
+    an instance's terms with the largest total counts, ties by the term; terms
+    are ranked in 64 parts first. Returns by, id, term, weight in long form.
     """
-    tf = docs.select(F.col(id_col), F.explode(terms).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("_c"))
-    df = tf.groupBy("term").agg(F.count("*").alias("_df"), F.sum("_c").alias("_total"))
-    if most_features:
+    by = by or []
+    tf = docs.select(*by, F.col(id_col), F.explode(terms).alias("term")).groupBy(*by, id_col, "term").agg(F.count("*").alias("_c"))
+    df = tf.groupBy(*by, "term").agg(F.count("*").alias("_df"), F.sum("_c").alias("_total"))
+    if most_features and not by:
         df = df.orderBy(F.desc("_total"), "term").limit(most_features)
-    n = docs.count()
-    w = tf.join(df, "term").withColumn("_w", F.col("_c") * (F.ln((F.lit(1.0) + n) / (F.lit(1.0) + F.col("_df"))) + 1))
-    length = w.groupBy(id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
-    return w.join(length, id_col).select(id_col, "term", (F.col("_w") / F.col("_l")).alias("weight"))
-
-
-def svd_embed(weights: DataFrame, id_col: str, dims: int = 256) -> DataFrame:
-    """Unit vectors from a truncated SVD of a long-form matrix, padded with 0.
-
-    The rank is min(dims, max(2, min(shape) - 1)). Signs and rotations inside
-    equal singular values are free.
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    spark = weights.sparkSession
-    terms = weights.select("term").distinct().orderBy("term").rdd.map(lambda r: r[0]).zipWithIndex().toDF(["term", "col"])
-    rows = weights.select(id_col).distinct().orderBy(id_col).rdd.map(lambda r: r[0]).zipWithIndex().toDF([id_col, "row"])
-    cols, n = terms.count(), rows.count()
-    k = min(dims, max(2, min(cols, n) - 1), cols)
-    sparse = weights.join(terms, "term").join(rows, id_col).groupBy("row").agg(F.collect_list(F.struct("col", "weight")).alias("e"))
-    mat = IndexedRowMatrix(sparse.rdd.map(lambda r: IndexedRow(r["row"], Vectors.sparse(cols, sorted((x["col"], x["weight"]) for x in r["e"])))))
-    svd = mat.computeSVD(k, computeU=True)
-    s = svd.s.toArray().tolist()
-    made = svd.U.rows.map(lambda r: (r.index, [float(x * y) for x, y in zip(r.vector.toArray(), s)]))
-    out = spark.createDataFrame(made, "row long, v array<double>")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)) + EPS
-    unit = F.transform("v", lambda x: (x / length).cast("float"))
-    return out.join(rows, "row").select(id_col, F.concat(unit, F.array_repeat(F.lit(0.0).cast("float"), F.lit(dims) - F.size("v"))).alias("embedding"))
+    elif most_features:
+        rank = lambda *more: F.row_number().over(Window.partitionBy(*by, *more).orderBy(F.desc("_total"), "term"))
+        df = df.withColumn("_part", F.pmod(F.xxhash64("term"), F.lit(64))).withColumn("_no", rank("_part")).where(F.col("_no") <= most_features)
+        df = df.withColumn("_no", rank()).where(F.col("_no") <= most_features).drop("_part", "_no")
+    if by:
+        df = df.join(docs.groupBy(*by).agg(F.count("*").alias("_n")), by)
+    else:
+        df = df.withColumn("_n", F.lit(docs.count()))
+    w = tf.join(df, [*by, "term"]).withColumn("_w", F.col("_c") * (F.ln((F.lit(1.0) + F.col("_n")) / (F.lit(1.0) + F.col("_df"))) + 1))
+    length = w.groupBy(*by, id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_l"))
+    return w.join(length, [*by, id_col]).select(*by, id_col, "term", (F.col("_w") / F.col("_l")).alias("weight"))
 
 
 def keep_mapped(nodes: DataFrame, by: str, least: int = 30) -> DataFrame:

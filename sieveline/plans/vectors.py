@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, neighbour_index, stats
+from ..operators import audit, embedding, neighbour_index, stats
 from ..operators import vectors as V
 from .registry import register, table
 
@@ -91,4 +91,12 @@ def char_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rotations are free, so there is no SQL; tests compare the products."""
     b = table(spark, sf_dir, "benchmark")
-    return V.svd_embed(V.tfidf(b, "item_id", V.char_grams(F.col("text"))), "item_id")
+    return embedding.svd_embed(V.tfidf(b, "item_id", V.char_grams(F.col("text"))), "item_id")
+
+
+@register()
+def svd_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items dealt to four instances, each with terms, weights and directions of
+    its own; no SQL, as above."""
+    b = table(spark, sf_dir, "benchmark").withColumn("repo", F.concat(F.lit("r"), (F.col("item_id") % 4).cast("string")))
+    return embedding.svd_embed(V.tfidf(b, "item_id", V.char_grams(F.col("text")), 2000, ["repo"]), "item_id", by=["repo"])

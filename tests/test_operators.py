@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sieveline import schemas
-from sieveline.operators import audit, curate, graph, retrieval, stats, training, vectors
+from sieveline.operators import audit, curate, embedding, graph, retrieval, stats, training, vectors
 from sieveline.sources import readers, writers
 from sieveline.streaming import incremental
 
@@ -163,7 +163,7 @@ def test_findings(spark):
 def test_svd_products(spark):
     docs = spark.createDataFrame([(0, "abc abd"), (1, "abc xyz"), (2, "xyz xyw"), (3, "klm abc")], "id int, text string")
     w = vectors.tfidf(docs, "id", vectors.char_grams(F.col("text"), 3, 3))
-    e = {r.id: np.array(r.embedding) for r in vectors.svd_embed(w, "id", 8).collect()}
+    e = {r.id: np.array(r.embedding) for r in embedding.svd_embed(w, "id", 8).collect()}
     assert all(abs(np.linalg.norm(v) - 1) < 1e-3 and len(v) == 8 for v in e.values())
 
 
@@ -435,3 +435,48 @@ def test_budgets_per_start(spark):
         assert got == {x for r in starts.collect() for x in brute(r.start, 3, most)}
     one = {(r.node, r.depth) for r in graph.subgraph(adj, starts.where("start = 7").select("node"), 3, most=12).collect()}
     assert one == {x[1:] for x in brute(7, 3, 12)}
+
+
+def _products(x, dims):
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    e = (u * s)[:, : min(dims, max(2, min(x.shape) - 1))]
+    e = e / np.linalg.norm(e, axis=1, keepdims=True)
+    return e @ e.T
+
+
+def _matrix(rows, key, ids):
+    terms = {t: k for k, t in enumerate(sorted({r.term for r in rows}))}
+    x = np.zeros((len(ids), len(terms)))
+    for r in rows:
+        x[ids.index(r[key]), terms[r.term]] = r.weight
+    return x
+
+
+def test_svd_of_instances(spark, sf):
+    """Each instance's products are those of its own matrix, features capped."""
+    b = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("*", "item_id % 3 as repo", "'x' as _b", "1 as q")
+    w = vectors.tfidf(b, "item_id", vectors.char_grams(F.col("text")), 300, ["repo"]).cache()
+    got = {}
+    for r in embedding.svd_embed(w, "item_id", 64, ["repo"]).collect():
+        got.setdefault(r.repo, {})[r.item_id] = np.array(r.embedding, float)
+    for repo in range(3):
+        rows = w.where(F.col("repo") == repo).collect()
+        alone = vectors.tfidf(b.where(F.col("repo") == repo), "item_id", vectors.char_grams(F.col("text")), 300).collect()
+        assert {(r.item_id, r.term, round(r.weight, 9)) for r in rows} == {(r.item_id, r.term, round(r.weight, 9)) for r in alone}
+        ids = sorted(got[repo])
+        e = np.array([got[repo][i] for i in ids])
+        assert e.shape == (len(ids), 64) and np.abs(e @ e.T - _products(_matrix(rows, "item_id", ids), 64)).max() < 1e-5
+
+
+def test_svd_with_more_rows_than_directions(spark, monkeypatch):
+    """Several blocks, hot terms and subspace iteration; extra and repeated cells."""
+    monkeypatch.setattr(embedding, "ROWS", 32)
+    monkeypatch.setattr(embedding, "TERMS", 50)
+    rng = np.random.default_rng(0)
+    x = (rng.normal(size=(150, 6)) * 2.0 ** -np.arange(6)) @ rng.normal(size=(6, 120)) + 1e-4 * rng.normal(size=(150, 120))
+    cells = [(i, f"t{j}", float(x[i, j])) for i in range(150) for j in range(120)]
+    df = spark.createDataFrame([*cells, (0, "t0", -99.0), (None, "t1", 1.0), (3, None, 1.0), (3, "t1", None)], "id int, term string, weight double")
+    e = {r.id: np.array(r.embedding, float) for r in embedding.svd_embed(df, "id", 6, rounds=3).collect()}
+    e = np.array([e[i] for i in range(150)])
+    assert np.abs(e @ e.T - _products(x, 6)).max() < 1e-4
+    assert embedding.svd_embed(df.limit(0), "id", 6).count() == 0
