@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import functools
 import itertools
 import re
 from collections.abc import Iterator
@@ -70,8 +71,8 @@ cc-by-nc-sa: (?:creative commons attribution|cc by) (?:noncommercial|nc) (?:shar
 cc-by-nc: (?:creative commons attribution|cc by) (?:noncommercial|nc)(?: [1234] 0)?: cc by nc [1234] 0
 cc-by-nd: (?:creative commons attribution|cc by) (?:noderivatives|noderivs|nd)(?: [1234] 0)?: cc by nd [1234] 0
 cc-by-sa: (?:creative commons attribution|cc by) (?:sharealike|share alike|sa)(?: [1234] 0)?: cc by sa [1234] 0
-cc-by-4.0: (?:creative commons attribution|cc by)(?: international)? 4 0: cc by 4 0
-cc-by-3.0: (?:creative commons attribution|cc by)(?: unported)? 3 0: cc by 3 0
+cc-by-4.0: (?:creative commons attribution|cc by)(?: international)? 4 0(?: international)?(?: public)?(?: license)?: cc by 4 0
+cc-by-3.0: (?:creative commons attribution|cc by)(?: unported)? 3 0(?: unported)?(?: license)?: cc by 3 0
 cc-by: creative commons attribution license: cc by
 ofl-1.1: sil open font license(?: version 1 [01])?: ofl 1 [01]
 psf-2.0: (?:python software foundation|psf) license(?: version 2)?: (?:psf|python) 2 0
@@ -97,6 +98,28 @@ busl: business source license: busl 1 1
 elastic: elastic license(?: 2 0)?: elastic 2 0
 openrail: (?:creativeml|bigscience|bigcode) open ?rail(?: m)?(?: license)?: open ?rail(?: m)?
 """
+#: Short names with a version as they stand in running text: label, name and
+#: pattern of the version. They are also tried in the form FORMS calls "under".
+SHORT = """
+gpl-1.0: gpl: 1 0
+gpl-2.0: gpl: 2(?: 0)?(?: only| or later)?
+gpl-3.0: gpl: 3(?: 0)?(?: only| or later)?
+lgpl-2.0: lgpl: 2 0(?: only| or later)?
+lgpl-2.1: lgpl: 2 1(?: only| or later)?
+lgpl-3.0: lgpl: 3(?: 0)?(?: only| or later)?
+agpl-3.0: agpl: 3(?: 0)?(?: only| or later)?
+apache-2.0: apache: 2 0
+mpl-1.1: mpl: 1 1
+mpl-2.0: mpl: 2 0
+epl-1.0: epl: 1 0
+epl-2.0: epl: 2 0
+cddl-1.0: cddl: 1 0
+eupl: eupl: 1 [012]
+cc-by-sa: cc by sa: [1234] 0
+cc-by-nc: cc by nc: [1234] 0
+"""
+#: Words of the same length that are read as another.
+READ_AS = {"licence": "license", "licences": "licenses"}
 #: Ways to state a license, with a confidence and a priority; the first is tried
 #: with names and identifiers, the tag form with identifiers only.
 FORMS = (
@@ -123,7 +146,7 @@ TEXTS = (
     ("mpl-2.0", "mozilla public", r"subject to the terms of the mozilla public license v 2 0", 0.98, 60),
     ("unlicense", "unencumbered domain", r"this is free and unencumbered software released into the public domain", 0.98, 60),
     ("bsl-1.0", "boost", r"distributed under the boost software license version 1 0", 0.98, 60),
-    ("cc-by", "creative commons attribution", r"creative commons attribution(?: [1234] 0)?(?: international| unported)? license", 0.9, 35),
+    ("cc-by", "creative commons attribution", r"creative commons attribution(?: [1234] 0)?(?: international| unported)? license", 0.9, 15),
     ("cc-by", "creativecommons", r"creativecommons org licenses by [1234] 0", 0.95, 45),
     ("cc-by-sa", "creativecommons", r"creativecommons org licenses by sa [1234] 0", 0.95, 46),
     ("cc-by-nc", "creativecommons", r"creativecommons org licenses by nc [1234] 0", 0.95, 46),
@@ -249,11 +272,21 @@ proprietary: this software is the confidential and proprietary information of
 class Rule(NamedTuple):
     label: str
     needs: tuple[tuple[str, ...], ...]  # any of these, all of its words
-    pattern: re.Pattern
+    body: str
     score: float
     priority: int
     order: int
 
+    @property
+    def pattern(self) -> re.Pattern:
+        """Compiled when a text first needs it."""
+        return _compiled(self.body)
+
+
+@functools.cache
+def _compiled(body: str) -> re.Pattern:
+    return re.compile(rf"(?<![^ ])(?:{body})(?![^ ])")
+
 
 def _spellings(flat: str) -> list[str]:
     """A pattern without groups, with and without each optional character."""
@@ -289,9 +322,13 @@ def rules() -> list[Rule]:
             body = shape.format(name=f"(?:{name})" if form == "under" else name, id=f"(?:{tag})")
             needs = _gates(name if "{name}" in shape else tag, {"tag": "spdx license identifier", "field": "license"}.get(form, ""))
             out.append((label, needs, body, score, priority))
+    under = next(f for f in FORMS if f[0] == "under")
+    for label, name, version in (re.split(r"(?<!\(\?): ", line) for line in SHORT.strip().splitlines()):
+        for short in (rf"{name}(?: version)? (?:v ?)?{version}", rf"{name}v?{version}"):
+            out += [(label, _gates(short), under[1].format(name=rf"(?:(?:gnu )?{short}(?: license)?)"), *under[2:]), (label, _gates(short), short, 0.8, 18)]
     out += [(label, (tuple(needs.split()),), body, score, priority) for label, needs, body, score, priority in TEXTS]
     out += [(label, _gates(body), body, 0.95, 55) for label, body in (line.split(": ", 1) for line in SENTENCES.strip().splitlines())]
-    return [Rule(a, n, re.compile(rf"(?<![^ ])(?:{b})(?![^ ])"), s, p, k) for k, (a, n, b, s, p) in enumerate(out)]
+    return [Rule(a, n, b, s, p, k) for k, (a, n, b, s, p) in enumerate(out)]
 
 
 def resolve(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
@@ -322,17 +359,21 @@ _FOLD = {c: c + 32 for c in range(65, 91)}
 _rules: list[Rule] = []
 
 
-def detect(text: str, gate: set[str] | None = None) -> list[tuple[int, int, Rule]]:
-    """Detections that stand, as (first word, end word, rule)."""
+def _read(text: str) -> list[str]:
+    return [READ_AS.get(w, w) for w in _WORD.findall(text.translate(_FOLD))]
+
+
+def detect(text: str, open_rules: list[Rule] | None = None) -> list[tuple[int, int, Rule]]:
+    """Detections that stand, as (first word, end word, rule). open_rules: those
+    whose gates the text passes, if that is known."""
     if not _rules:
         _rules.extend(rules())
-    words = _WORD.findall(text.translate(_FOLD))
+    words = _read(text)
     flat = " ".join(words)
-    have = set(words) if gate is None else gate
-    found = []
-    for r in _rules:
-        if any(all(n in have for n in need) for need in r.needs):
-            found += [(m.start(), m.end(), r) for m in r.pattern.finditer(flat)]
+    if open_rules is None:
+        have = set(words)
+        open_rules = [r for r in _rules if any(have.issuperset(need) for need in r.needs)]
+    found = [(m.start(), m.end(), r) for r in open_rules for m in r.pattern.finditer(flat)]
     first = list(itertools.accumulate((len(w) + 1 for w in words), initial=0)) if found else []  # where words begin
     return [(bisect.bisect_right(first, s) - 1, bisect.bisect_left(first, e), r) for s, e, r in resolve(found)]
 
@@ -348,13 +389,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _rules.extend(rules())
     phrases = [(_word_keys(p.split()), label) for p, label in BASE]
     gates = sorted({n for r in _rules for need in r.needs for n in need})
-    gate_keys = _word_keys(gates)
-    order = np.argsort(gate_keys)
-    gate_sorted = gate_keys[order]
+    index = {g: k for k, g in enumerate(gates)}
+    alias = [w for w, as_ in READ_AS.items() if as_ in index]
+    gate_keys = _word_keys(gates + alias)
+    by_key = np.argsort(gate_keys)
+    gate_sorted, order = gate_keys[by_key], np.array([*range(len(gates)), *(index[READ_AS[w]] for w in alias)])[by_key]
     near = np.zeros(1 << 16, bool)
     near[(gate_keys >> U(48)).astype(np.int64)] = True
-    index = {g: k for k, g in enumerate(gates)}
-    wants = {tuple(index[n] for n in need) for r in _rules for need in r.needs}
+    wants = list(dict.fromkeys(need for r in _rules for need in r.needs))
+    columns = [[index[n] for n in want] for want in wants]
+    number = {want: k for k, want in enumerate(wants)}
+    # the wants of all rules one after the other, and where each rule's begin
+    of_rules = np.array([number[need] for r in _rules for need in r.needs])
+    begins = np.cumsum([0, *(len(r.needs) for r in _rules[:-1])])
     for batch in batches:
         for i, j, buf, at in blocks(batch.column(1)):
             w = Words(buf, at, alnum=True)
@@ -378,19 +425,19 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for x in np.unique(d).tolist():
                     base[x].add(label)
             p = np.flatnonzero(near[(w.key >> U(48)).astype(np.int64)])
-            g = np.minimum(np.searchsorted(gate_sorted, w.key[p]), len(gates) - 1)
+            g = np.minimum(np.searchsorted(gate_sorted, w.key[p]), len(gate_sorted) - 1)
             m = gate_sorted[g] == w.key[p]
             have = np.zeros((n, len(gates)), bool)
             have[w.doc[p[m]], order[g[m]]] = True
-            fits = np.zeros(n, bool)
-            for want in wants:
-                fits |= have[:, list(want)].all(axis=1)
+            rows = np.flatnonzero(have.any(axis=1))
+            passed = np.stack([have[rows][:, c].all(axis=1) for c in columns], axis=1)
+            opened = np.logical_or.reduceat(passed[:, of_rules], begins, axis=1)
             labels = [set(b) for b in base]
             score = np.where(n_base > 0, 0.85, 0.0)
             spans: list[list] = [[] for _ in range(n)]
-            for x in np.flatnonzero(fits).tolist():
-                gate = {gates[k] for k in np.flatnonzero(have[x])}
-                for s, e, r in detect(buf[at[x] : at[x + 1]].tobytes().decode("utf-8", "replace"), gate):
+            for k in np.flatnonzero(opened.any(axis=1)).tolist():
+                x = int(rows[k])
+                for s, e, r in detect(buf[at[x] : at[x + 1]].tobytes().decode("utf-8", "replace"), [_rules[i] for i in np.flatnonzero(opened[k]).tolist()]):
                     labels[x].add(r.label)
                     score[x] = max(score[x], r.score)
                     spans[x].append({"label": r.label, "start": s, "end": e, "score": r.score})

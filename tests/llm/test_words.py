@@ -327,3 +327,39 @@ def test_quality_of_very_long_texts(spark):
     assert (got[1].n_words, got[1].kept) == (400_000, True)
     assert (got[2].longest_repeat, got[2].covered_words, got[2].kept) == (400_000, 800_000, False)
     assert got[3].base_failed and got[3].longest_repeat == 599_998
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Creative Commons Attribution 4.0 International License", "cc-by-4.0"),
+        ("Creative Commons Attribution 3.0 Unported License", "cc-by-3.0"),
+        ("Creative Commons Attribution 2.0 license", "cc-by"),
+        ("LGPLv2.1", "lgpl-2.1"),
+        ("Licensed under GPLv3", "gpl-3.0"),
+        ("GPL v3", "gpl-3.0"),
+        ("GPL version 2", "gpl-2.0"),
+        ("Released under the GPL-3.0 license", "gpl-3.0"),
+        ("distributed under the terms of the GNU GPL version 2 or later", "gpl-2.0"),
+        ("MPL 2.0", "mpl-2.0"),
+        ("the MIT licence", "mit"),
+        ("the Apache Licence, version 2.0", "apache-2.0"),
+    ],
+)
+def test_short_and_versioned_names(spark, text, want):
+    assert {r.label for _, _, r in licenses.detect(text)} == {want}
+    row = licenses.scan_licenses(spark.createDataFrame([(1, f"So: {text}."), (1, f"So: {text}.")], "doc_id long, text string").selectExpr("*", "'x' as labels", "0.1 as score")).collect()
+    assert len(row) == 2 and all(r.labels == want for r in row)
+
+
+def test_no_rule_loses_its_label_to_a_more_general_one():
+    """A text of a licence's own name or identifier has its label. (mit: the
+    contract's base label is the same.)"""
+    for line in [*licenses.LICENSES.strip().splitlines()]:
+        label, name, tag = re.split(r"(?<!\(\?): ", line)
+        for body, shape in ((name, "under the {}"), (name, "{}"), (tag, "SPDX-License-Identifier: {}")):
+            for text in list(spellings(re._parser.parse(body)))[:40]:
+                said = shape.format(text)
+                got = {r.label for _, _, r in licenses.detect(said)}
+                more = {x for x in got if x.startswith(label)}
+                assert label in got or more, (said, label, got)
