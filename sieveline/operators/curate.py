@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -132,17 +133,58 @@ def asof_ranged(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return out.select(*[c for c in left.columns if not c.startswith("_")], *[F.col(f"_v.{c}").alias(f"asof_{c}") for c in value])
 
 
-def files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str, path: str, content: str) -> DataFrame:
+def _dyadic(low: Column, high: Column, levels: int) -> Column:
+    """The fewest aligned ranges of 2**level numbers that make up low to high - 1,
+    as structs of level and bucket: two per level at most, none twice."""
+    none = F.array().cast("array<struct<level:int,bucket:bigint>>")
+    piece = lambda level, x: F.array(F.struct(level.cast("int").alias("level"), x.alias("bucket")))
+
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        more = lo < hi
+        at_lo, at_hi = more & (lo % 2 == 1), more & (hi % 2 == 1) & (lo + lo % 2 < hi)
+        out = F.concat(acc["out"], F.when(at_lo, piece(level, lo)).otherwise(none), F.when(at_hi, piece(level, hi - 1)).otherwise(none))
+        return F.struct(F.floor((lo + 1) / 2).cast("long").alias("lo"), F.floor(hi / 2).cast("long").alias("hi"), out.alias("out"))
+
+    start = F.struct(low.cast("long").alias("lo"), high.cast("long").alias("hi"), none.alias("out"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(levels)), start, step, lambda acc: acc["out"])
+
+
+def within_intervals(points: DataFrame, spans: DataFrame, by: list[str], point: str, low: str, high: str) -> DataFrame:
+    """Inner join of points with the spans of their key that hold them (low <=
+    point < high); numbers from 0. A null in any of these matches nothing.
+
+    A span is cut into aligned ranges, two per power of two at most, and a point
+    looks for the one of each power that it lies in: an equality join that forms
+    no other rows than those that come out.
+    """
+    most = points.agg(F.max(point)).first()[0]
+    levels = max(int(most or 0), 1).bit_length()
+    capped = F.least(F.col(high), F.lit(int(most or 0) + 1))
+    s = spans.where(F.col(low).isNotNull() & F.col(high).isNotNull()).withColumn("_d", F.explode(_dyadic(F.greatest(F.col(low), F.lit(0)), capped, levels)))
+    s = s.withColumns({"_level": F.col("_d.level"), "_bucket": F.col("_d.bucket")}).drop("_d")
+    p = points.where(F.col(point) >= 0).withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("_bucket", F.expr(f"shiftright(cast(`{point}` as bigint), _level)"))
+    return p.join(s, [*by, "_level", "_bucket"]).drop("_level", "_bucket")
+
+
+def files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str, path: str, content: str, wanted: list[str] | None = None) -> DataFrame:
     """Files as they are at given revisions: by, rev, path, content.
 
-    history: by, rev (a growing number), path, content of files that a revision
-    changes, null where it deletes one; revisions: by, rev. A path's last change
-    up to the revision counts.
+    history: by, rev (a growing number from 0), path, content of files that a
+    revision changes, null where it deletes one; revisions: by, rev. A path's
+    last change up to the revision counts. wanted: the only paths to look for.
+
+    A change holds from its revision to the path's next one; revisions join the
+    spans that hold them, so a path that is not there at a revision costs
+    nothing.
     """
-    want = revisions.select(*by, rev).distinct().join(history.select(*by, path).distinct(), by)
-    changes = history.select(*by, path, F.col(rev).alias("_rev"), F.lit(0).cast("long").alias("_ord"), F.struct(F.col(content).alias("c")).alias("_file"))
-    got = asof_latest(want, changes, [*by, path], rev, "_rev", "_ord", ["_file"])
-    return got.where("asof__file.c is not null").select(*by, rev, path, F.col("asof__file.c").alias(content))
+    h = history.select(*by, path, F.col(rev).alias("_from"), F.col(content).alias(content))
+    if wanted is not None:
+        h = h.where(F.col(path).isin(wanted))
+    until = F.coalesce(F.lead("_from").over(Window.partitionBy(*by, path).orderBy("_from")), F.lit(2**62))
+    spans = h.withColumn("_until", until).where(F.col(content).isNotNull())
+    got = within_intervals(revisions.select(*by, rev).distinct(), spans, by, rev, "_from", "_until")
+    return got.select(*by, rev, path, content)
 
 
 def rank_hash(seed: str, *cols: str) -> Column:
@@ -175,7 +217,7 @@ def numbered(df: DataFrame, order: list[str], name: str = "_no") -> DataFrame:
     Rows are range partitioned and stored with their range, as both branches
     must see the same ranges; counts per range, one row each, give the offsets.
     """
-    parts = stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+    parts = _ranged(df, order)
     w = Window.partitionBy("_part").orderBy(*order)
     inside = parts.withColumn(name, F.row_number().over(w) - 1)
     counts = inside.groupBy("_part").agg(F.count("*").alias("_c"))
@@ -201,11 +243,33 @@ def hash_sample(df: DataFrame, id_col: str, n: int, seed: str = "0", by: list[st
     return h.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_h", "_r")
 
 
+def running_sum(df: DataFrame, by: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """Sum of `value` (null: 0) over a group's rows up to each row, in a total order.
+
+    Rows are cut into ranges of group and order, whatever the groups' sizes. A
+    range adds up its own rows; what it begins with is the sum of the group's
+    ranges before it, one row per group and range. No task sorts a whole group.
+    """
+    parts = _ranged(df.withColumn("_value", F.coalesce(value.cast("long"), F.lit(0).cast("long"))), [*by, *order])
+    per = parts.groupBy(*by, "_part").agg(F.sum("_value").alias("_sum"))
+    before = F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = per.select(*by, "_part", before.alias("_before"))
+    inside = F.sum("_value").over(Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    same = reduce(lambda x, y: x & y, [F.col(f"r.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*by, "_part"]])
+    out = parts.withColumn("_inside", inside).alias("r").join(begins.alias("b"), same)
+    return out.select(*[F.col(f"r.{c}") for c in df.columns], (F.col("r._inside") + F.col("b._before")).cast("long").alias(name))
+
+
+def _ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """Rows range partitioned and stored with their range's number, so that all
+    that read them see the same ranges."""
+    return stored(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
 def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, name: str = "island") -> DataFrame:
     """Number runs of rows that begin at rows where `starts` holds; rows before
-    the first have 0."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(name, F.sum(F.when(starts, 1).otherwise(0)).over(w).cast("long"))
+    the first have 0. `order` must be total within a group."""
+    return running_sum(df, by, order, F.when(starts, 1).otherwise(0), name)
 
 
 def wanted_requirements(names: DataFrame, by: list[str], own: str, name: str, resolved: DataFrame | None = None) -> DataFrame:

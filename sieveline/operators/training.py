@@ -130,10 +130,10 @@ def hunk_counts(df: DataFrame, by: list[str], patch: str) -> DataFrame:
     All lines after a hunk's head and before the next head or file belong to it,
     those that begin with --- or +++ too."""
     from ..functions import text as T
+    from .curate import islands
 
     rows = df.select(*by, F.posexplode(T.lines(F.col(patch))).alias("no", "line"))
-    w = Window.partitionBy(*by).orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     starts = F.col("line").startswith("@@") | F.col("line").startswith("diff ")
-    rows = rows.withColumn("hunk", F.sum(starts.cast("int")).over(w)).withColumn("is_head", starts)
+    rows = islands(rows, by, ["no"], starts, "hunk").withColumn("is_head", starts)
     keep = rows.where("hunk > 0 and not is_head")
     return keep.groupBy(*by, "hunk").agg(F.count_if(F.col("line").substr(1, 1).isin("-", " ")).alias("n_old"), F.count_if(F.col("line").substr(1, 1).isin("+", " ")).alias("n_new"))

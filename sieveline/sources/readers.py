@@ -43,12 +43,14 @@ def git_log(spark: SparkSession, path: str, repo: str) -> DataFrame:
     repo, sha, parents, date, subject, files.
 
     Header lines hold \x1f; the lines up to the next are its files. A file is
-    one log and its order matters, so each file is numbered on its own.
+    one log and its order matters, so each file is numbered on its own, in
+    ranges of its lines: a long log is many tasks' work.
     """
+    from ..operators.curate import islands
+
     lines = spark.read.text(path).select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("no"), "value")
-    w = Window.partitionBy("f").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     head = F.instr("value", "\x1f") > 0
-    g = lines.withColumns({"commit": F.sum(head.cast("int")).over(w), "head": head}).where("commit > 0 and trim(value) <> ''")
+    g = islands(lines, ["f"], ["no"], head, "commit").withColumn("head", head).where("commit > 0 and trim(value) <> ''")
     per = g.groupBy("f", "commit").agg(F.max(F.when(F.col("head"), F.col("value"))).alias("h"), F.sort_array(F.collect_list(F.when(~F.col("head"), F.struct("no", F.trim("value").alias("v"))))).alias("files"))
     part = F.split("h", "\x1f")
     return per.select(F.lit(repo).alias("repo"), part[0].alias("sha"), F.filter(F.split(part[1], " "), lambda x: x != "").alias("parents"), part[2].alias("date"), part[3].alias("subject"), F.col("files.v").alias("files"))

@@ -480,3 +480,37 @@ def test_svd_with_more_rows_than_directions(spark, monkeypatch):
     e = np.array([e[i] for i in range(150)])
     assert np.abs(e @ e.T - _products(x, 6)).max() < 1e-4
     assert embedding.svd_embed(df.limit(0), "id", 6).count() == 0
+
+
+def test_points_in_spans(spark):
+    import random
+
+    rng = random.Random(3)
+    spans = [(k % 3, a, a + rng.choice([0, 1, 2, 7, 64, 10**6]), k) for k, a in enumerate(rng.sample(range(0, 400), 120))] + [(0, None, 5, 900), (0, 3, None, 901), (1, 0, 2**62, 902)]
+    points = [(k % 3, rng.randrange(0, 500)) for k in range(150)] + [(0, None), (1, 0), (None, 4)]
+    s, p = spark.createDataFrame(spans, "g int, low long, high long, no int"), spark.createDataFrame(points, "g int, at long")
+    got = sorted((r.g, r["at"], r.no) for r in curate.within_intervals(p, s, ["g"], "at", "low", "high").collect())
+    assert got == sorted((g, x, no) for g, x in points for h, a, b, no in spans if g == h and None not in (x, a, b) and a <= x < b)
+    assert curate.within_intervals(p.limit(0), s, ["g"], "at", "low", "high").count() == 0
+
+
+def test_files_at_wanted_paths(spark):
+    h = spark.createDataFrame([("r", 0, "a", "1"), ("r", 0, "b", "x"), ("r", 3, "a", "2"), ("r", 5, "a", None), ("r", 9, "a", "3"), ("q", 1, "a", "z")], "repo string, rev long, path string, body string")
+    at = spark.createDataFrame([("r", k) for k in (0, 2, 3, 4, 5, 8, 9, 100)] + [("q", 0), ("q", 1), ("q", 1)], "repo string, rev long")
+    every = {(r.repo, r.rev, r.path): r.body for r in curate.files_at(h, at, ["repo"], "rev", "path", "body").collect()}
+    a = {("r", 0): "1", ("r", 2): "1", ("r", 3): "2", ("r", 4): "2", ("r", 9): "3", ("r", 100): "3", ("q", 1): "z"}
+    assert every == {(*k, "a"): v for k, v in a.items()} | {("r", k, "b"): "x" for k in (0, 2, 3, 4, 5, 8, 9, 100)}
+    assert {(r.repo, r.rev): r.body for r in curate.files_at(h, at, ["repo"], "rev", "path", "body", ["a", "setup.py"]).collect()} == a
+
+
+def test_running_sum_of_one_large_group(spark):
+    """A group spreads over ranges; small and null groups keep their own sums."""
+    from pyspark.sql import Window
+
+    df = spark.range(200_000).selectExpr("if(id < 199000, 'hot', if(id % 7 = 0, null, concat('g', id % 50))) as g", "id as no", "if(id % 11 = 0, null, id % 5) as v")
+    got = curate.running_sum(df, ["g"], ["no"], F.col("v"), "upto")
+    w = Window.partitionBy("g").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    want = df.withColumn("upto", F.sum(F.coalesce("v", F.lit(0))).over(w))
+    assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 200_000
+    sizes = curate._ranged(df, ["g", "no"]).groupBy("_part").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in sizes) < 150_000
