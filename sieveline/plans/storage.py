@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..operators import curate, tools
 from ..sources import readers, writers
 from ..streaming.incremental import scratch
@@ -148,6 +149,20 @@ WITH p AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '_')) AS b, p_size
 SELECT DISTINCT k % 20 AS repo, unnest(CASE k % 5 WHEN 0 THEN ['dep_' || b, 'extra_' || s, 'test_dep_' || s] WHEN 1 THEN ['req_' || b, 'no'] WHEN 2 THEN ['cfg_' || b, 'more'] WHEN 3 THEN ['set_' || s] ELSE [] END) AS name FROM p
 """)
 def manifest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _manifest_names(spark, sf_dir)
+
+
+@register("""
+WITH p AS (SELECT p_partkey AS k, lower(replace(p_brand, '#', '_')) AS b, p_size AS s FROM part)
+SELECT DISTINCT k % 20 AS repo, unnest(CASE k % 5 WHEN 0 THEN ['dep_' || b, 'extra_' || s, 'test_dep_' || s, 'sphinx'] WHEN 3 THEN ['set_' || s] ELSE [] END) AS name FROM p
+""")
+def tree_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same manifests as a tree has them: all groups of pyproject.toml, and
+    setup.py, but no requirements or setup.cfg."""
+    return _manifest_names(spark, sf_dir, all_groups=True)
+
+
+def _manifest_names(spark: SparkSession, sf_dir: str, **how: bool) -> DataFrame:
     """Parts are manifests: TOML, requirements, setup.cfg, setup.py and another
     file; junk words and the package's own name are in all."""
     k, b, s = F.col("p_partkey"), F.regexp_replace("p_brand", "#", "-"), F.col("p_size").cast("string")
@@ -160,7 +175,7 @@ def manifest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.when(kind == 0, "pyproject.toml").when(kind == 1, "requirements/main.txt").when(kind == 2, "setup.cfg").when(kind == 3, "setup.py").otherwise("README.md")
     text = F.when(kind == 0, toml).when(kind == 1, req).when(kind == 2, cfg).when(kind == 3, setup).otherwise("x>=1")
     files = table(spark, sf_dir, "part").select((k % 20).alias("repo"), F.lit("Own-Pkg").alias("own"), path.alias("path"), text.alias("content"))
-    return readers.dependency_names(files, ["repo"], "own")
+    return readers.dependency_names(files, ["repo"], "own", **how)
 
 
 @register("SELECT tool, n FROM (SELECT 'count_rows' AS tool, CAST(count(*) AS VARCHAR) AS n FROM region UNION ALL SELECT 'first_name', min(n_name) FROM nation UNION ALL SELECT 'nope', 'unknown tool nope' UNION ALL SELECT 'broken', 'error: no such table')")
@@ -191,6 +206,19 @@ def asset_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.inventory(spark, path).select("kind", F.substring_index("instance_id", "-", 1).alias("name")).distinct()
 
 
+@register("SELECT 'nation=' || c_nationkey AS package, 'def c' || c_custkey || '(): return ' || c_nationkey AS line FROM customer")
+def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the Python files below a folder, by package; the folder has other
+    files as well."""
+    root = scratch(spark, "tree")
+    c = table(spark, sf_dir, "customer")
+    line = F.concat(F.lit("def c"), F.col("c_custkey").cast("string"), F.lit("(): return "), F.col("c_nationkey").cast("string"))
+    c.select(line.alias("line"), F.col("c_nationkey").alias("nation")).write.partitionBy("nation").option("extension", "py").csv(root)
+    c.select("c_name", F.col("c_nationkey").alias("nation")).write.mode("append").partitionBy("nation").json(root)
+    files = readers.source_tree(spark, root)
+    return files.select(F.substring_index("path", "/", 1).alias("package"), F.explode(T.lines(F.decode("content", "UTF-8"))).alias("line"))
+
+
 @register("SELECT page_id AS instance_id, CASE page_id % 4 WHEN 0 THEN 'graph-fail' WHEN 1 THEN 'embed-fail' ELSE 'ok' END AS status FROM pages WHERE page_id % 7 > 0")
 def asset_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages without assets get a graph, then vectors; sources that don't parse
