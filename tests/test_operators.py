@@ -514,3 +514,53 @@ def test_running_sum_of_one_large_group(spark):
     assert got.columns == want.columns and got.exceptAll(want).count() == 0 and got.count() == 200_000
     sizes = curate._ranged(df, ["g", "no"]).groupBy("_part").count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in sizes) < 150_000
+
+
+def _tar(path, members, mode="w:gz"):
+    with tarfile.open(path, mode) as t:
+        for name, data in members:
+            m = tarfile.TarInfo(name)
+            m.size = len(data)
+            t.addfile(m, io.BytesIO(data))
+
+
+def test_tar_source_reads_what_is_asked_for(spark, tmp_path):
+    from sieveline.sources import archives
+
+    _tar(tmp_path / "a.tgz", [("./x/one.py", b"print(1)"), ("x/two.txt", "é".encode() * 9000), ("x/bad.py", b"\xff ok")])
+    (tmp_path / "sub").mkdir()
+    _tar(tmp_path / "sub/b.tar", [("x/one.py", b""), ("y.py", b"y")], "w")
+    _tar(tmp_path / "c.tar.gz", [])
+    (tmp_path / "no.zip").write_bytes(b"nothing")
+    for root in (f"file://{tmp_path}", str(tmp_path)):
+        df = archives.tar_members(spark, root)
+        got = {(r.instance_id, r.path): (r.size, r.text) for r in df.collect()}
+        assert got == {("a", "x/one.py"): (8, "print(1)"), ("a", "x/two.txt"): (18000, "é" * 6000), ("a", "x/bad.py"): (4, "� ok"), ("b", "x/one.py"): (0, ""), ("b", "y.py"): (1, "y")}
+        assert df.rdd.getNumPartitions() == 3
+        assert {r.path for r in df.where("path = 'x/one.py' and size > 0").collect()} == {"x/one.py"}
+        one = df.where("instance_id = 'b' and path like '%.py' and size >= 0")
+        assert sorted(r.path for r in one.collect()) == ["x/one.py", "y.py"] and one.rdd.getNumPartitions() == 1
+        assert df.where(F.col("path").isin("y.py", "none")).count() == 1
+    listing = archives.tar_members(spark, str(tmp_path), ("instance_id", "path"))
+    assert listing.columns == ["instance_id", "path"] and listing.count() == 5
+
+
+def test_a_large_archive_is_read_in_little_memory(spark, tmp_path):
+    """80 MB of members; the reader's own memory stays small."""
+    import os
+    import tracemalloc
+
+    from pyspark.sql.datasource import InputPartition
+    from pyspark.sql.types import StructType
+
+    from sieveline.sources import archives
+
+    big = b"0123456789" * 600 + os.urandom(2_000_000)
+    _tar(tmp_path / "big.tgz", [(f"m{k}.bin", big) for k in range(40)])
+    reader = archives.TarReader(str(tmp_path), StructType.fromDDL(archives.SCHEMA), 6000)
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in reader.read(InputPartition(f"{tmp_path}/big.tgz")))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 40 and peak < 8_000_000
+    assert archives.tar_members(spark, f"{tmp_path}/big.tgz").where("path = 'm39.bin'").first().text == "0123456789" * 600
