@@ -114,6 +114,18 @@ def asof_latest(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return out.select(*[c for c in left.columns if not c.startswith("_")], *[F.col(f"_v.{c}").alias(f"asof_{c}") for c in value])
 
 
+#: Rows of one key from which an as-of join is ranged by time.
+HOT_KEY = 1_000_000
+
+
+def asof(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ordinal: str, value: list[str]) -> DataFrame:
+    """asof_latest(), or asof_ranged() if any key has HOT_KEY rows or more, which
+    a count per key tells first."""
+    both = left.select(*by).unionByName(right.select(*by))
+    most = both.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0] or 0
+    return (asof_ranged if most >= HOT_KEY else asof_latest)(left, right, by, left_ts, right_ts, ordinal, value)
+
+
 def asof_ranged(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, right_ts: str, ordinal: str, value: list[str]) -> DataFrame:
     """asof_latest() for few keys with very many rows each.
 
@@ -316,9 +328,11 @@ def constraints(df: DataFrame, pkg: str = "pkg", ver: str = "ver") -> DataFrame:
 
 
 def name_sets(df: DataFrame, by: list[str], arrays: list[str]) -> DataFrame:
-    """Sorted union of arrays of names per group."""
+    """Sorted union of arrays of names per group; null names are left out, and a
+    group without names has none. Names are made distinct before they meet."""
     every = F.concat(*[F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays])
-    return df.groupBy(*by).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(every)))).alias("names"))
+    names = df.select(*by, F.explode_outer(every).alias("_name")).distinct()
+    return names.groupBy(*by).agg(F.sort_array(F.collect_list("_name")).alias("names"))
 
 
 def era_constraints(tasks: DataFrame, names: DataFrame, releases: DataFrame, key: list[str], cutoff: str) -> DataFrame:

@@ -45,7 +45,7 @@ FROM (SELECT * FROM events WHERE event_type = 'error') e LEFT JOIN (SELECT * FRO
 def asof_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest view of the same user that is not after each error."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
-    out = curate.asof_latest(e.where("event_type = 'error'"), e.where("event_type = 'view'"), ["user_id"], "ts", "ts", "event_id", ["event_id", "ts"])
+    out = curate.asof(e.where("event_type = 'error'"), e.where("event_type = 'view'"), ["user_id"], "ts", "ts", "event_id", ["event_id", "ts"])
     return out.select("event_id", "asof_event_id", "asof_ts")
 
 

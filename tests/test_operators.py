@@ -564,3 +564,18 @@ def test_a_large_archive_is_read_in_little_memory(spark, tmp_path):
     tracemalloc.stop()
     assert rows == 40 and peak < 8_000_000
     assert archives.tar_members(spark, f"{tmp_path}/big.tgz").where("path = 'm39.bin'").first().text == "0123456789" * 600
+
+
+def test_asof_is_ranged_for_hot_keys(spark, monkeypatch):
+    rel = spark.createDataFrame([(k % 3, k, k, f"v{k}") for k in range(60)], "pkg int, t int, ordinal int, ver string")
+    q = spark.createDataFrame([(k % 4, k * 2) for k in range(40)], "pkg int, cutoff int")
+    args = (q, rel, ["pkg"], "cutoff", "t", "ordinal", ["ver"])
+    one = sorted(map(repr, curate.asof(*args).collect()))
+    monkeypatch.setattr(curate, "HOT_KEY", 10)
+    assert sorted(map(repr, curate.asof(*args).collect())) == one
+    assert curate.asof(q.limit(0), rel.limit(0), *args[2:]).count() == 0
+
+
+def test_name_sets(spark):
+    df = spark.createDataFrame([(1, ["b", "a", None], ["a"]), (1, None, ["c"]), (2, None, None), (3, [], [None]), (None, ["z"], None)], "g int, x array<string>, y array<string>")
+    assert {r.g: r.names for r in curate.name_sets(df, ["g"], ["x", "y"]).collect()} == {1: ["a", "b", "c"], 2: [], 3: [], None: ["z"]}
