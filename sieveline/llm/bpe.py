@@ -92,7 +92,7 @@ def _splitter(spec: str) -> Splitter:
     return _splitters[spec]
 
 
-_zstd = pa.Codec("zstd", compression_level=3)
+_zstd = pa.Codec("zstd", compression_level=7)
 
 
 def _pack(data: bytes) -> bytes:
@@ -417,7 +417,7 @@ def encode(docs: DataFrame, tokenizer: str, **kw) -> DataFrame:
 
 def decode(tokens: DataFrame, tokenizer: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Texts of rows of ids (binary as made by encode, or array<int>): each id
-    is joined to its piece in order. Null ids give the empty text; an id outside
+    looks up its piece in the vocabulary's table, in order. Null ids give the empty text; an id outside
     the vocabulary adds nothing; invalid UTF-8 becomes U+FFFD."""
     spark = tokens.sparkSession
     ship(spark)
