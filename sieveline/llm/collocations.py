@@ -22,7 +22,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of pieces whose n-grams a task combines before it sends them on; hash
 #: buckets per shuffle partition; the memory that duckdb may use for one bucket
 #: before it goes to disk.
-BLOCK, BUCKETS, MEMORY = 4 << 20, 2, "160MB"
+BLOCK, BUCKETS, MEMORY = 3 << 20, 2, "128MB"
 #: Parts into which a language's candidates are dealt to be ranked.
 DEALT = 64
 _PARTS = pa.schema([("lang", pa.string()), ("k", pa.int8()), ("phrase", pa.large_string()), ("f", pa.int64())])
@@ -53,27 +53,28 @@ def block_ngrams(lang: pa.Array, buf: np.ndarray, at: np.ndarray, m: np.ndarray,
     coded = words.dictionary_encode()
     by_name = pc.array_sort_indices(coded.dictionary).to_numpy()
     names = coded.dictionary.take(pa.array(by_name)).cast(pa.large_string())
-    number = np.empty(len(names), np.int64)
+    number = np.empty(len(names), np.int32)
     number[by_name] = np.arange(len(names))
     code = number[coded.indices.to_numpy()]
     word_hash = np.fromiter(map(_hash, coded.dictionary.to_pylist()), U, len(names))[by_name]
-    row = np.repeat(np.arange(len(at) - 1), np.diff(ofs))
-    weight, of = m[row], lang_no[row].astype(np.int64)
+    row = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(ofs))
+    weight, of = m[row], lang_no[row]
+    del words, coded
     totals = np.zeros(len(langs.dictionary), np.int64)
     np.add.at(totals, of, weight)
     found = [(np.arange(len(totals)), 0, pa.array([""] * len(totals), pa.large_string()), totals, lang_hash)]
     # an n-gram is numbered by its first words' number and its last word's
-    pos, known = np.arange(len(code)), of
+    pos, known = np.arange(len(code), dtype=np.int32), of
     for k in range(1, longest + 1):
         pos = pos[pos + k <= len(code)]
         pos = pos[row[pos] == row[pos + k - 1]]
         if not len(pos):
             break
-        key = known[pos] * max(len(names), 1) + code[pos + k - 1]
+        key = known[pos] * np.int64(len(names)) + code[pos + k - 1]
         order = np.argsort(key, kind="stable")
         new = np.concatenate([[True], np.diff(key[order]) != 0])
         start = np.flatnonzero(new)
-        known = np.zeros(len(code), np.int64)
+        known = np.zeros(len(code), np.int32)
         known[pos[order]] = np.cumsum(new) - 1
         at_first = pos[order[start]]
         said = [names.take(pa.array(code[at_first + j])) for j in range(k)]
@@ -84,6 +85,7 @@ def block_ngrams(lang: pa.Array, buf: np.ndarray, at: np.ndarray, m: np.ndarray,
     bucket = (mix(np.concatenate([x[4] for x in found])) % U(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     take = pa.array(order)
+    del row, weight, of, pos, known, code
     no = pa.array(np.concatenate([x[0] for x in found])).take(take)
     ks = np.repeat(np.array([x[1] for x in found], np.int8), [len(x[0]) for x in found])
     table = pa.table([langs.dictionary.take(no), pa.array(ks[order]), pa.chunked_array([x[2] for x in found]).take(take), pa.array(np.concatenate([x[3] for x in found])[order])], schema=_PARTS)
@@ -111,11 +113,13 @@ def _ngrams(longest: int, buckets: int):
                     yield pa.RecordBatch.from_arrays([pa.array([bucket[a]], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["bucket", "parts"])
 
         size = 0
+        pool = pa.default_memory_pool()
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size >= BLOCK:
                 yield from flush()
+                pool.release_unused()
                 size = 0
         if held:
             yield from flush()
