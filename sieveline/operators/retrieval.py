@@ -106,10 +106,12 @@ def first_hits_of(scores: DataFrame, targets: DataFrame, query: list[str], item:
 
     A query's best target is known by joining; its rank is one more than the
     number of rows that come before it, which are counted where they lie. No row
-    is ranked and nothing is sorted. Items may be of any type that has an order.
+    is ranked and nothing is sorted. The scores are read twice, and so computed
+    once and kept in the shared folder. Items may be of any type that has an order.
     """
+    scores = stored(scores.select(*query, item, score), "scores")
     t = targets.select(*query, item).distinct()
-    hit = t.join(scores.select(*query, item, score), [*query, item], "left")
+    hit = t.join(scores, [*query, item], "left")
     place = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
     best = hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.min(F.when(F.col(score).isNotNull(), place)).alias("_best"))
     some = sized(stored(best.where("_best is not null").select(*query, "_best"), "best"))
