@@ -192,8 +192,8 @@ def uncontaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     with several blocks the rows that are left are stored after each, so that
     one block at a time is in memory.
 
-    Null and empty texts are clean; rows with null ids and repeated rows are
-    judged each by itself; extra columns, whatever their names, stay as they
+    Null and empty texts are clean; very long ones are read whole; rows with null
+    ids and repeated rows are judged each by itself; no rows give none; extra columns, whatever their names, stay as they
     are. An empty test set leaves every row.
     """
     spark = docs.sparkSession

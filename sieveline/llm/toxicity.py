@@ -162,8 +162,11 @@ def fit(texts: pa.Array, labels: np.ndarray, smooth: float = 1.0, l2: float = 10
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows, a quarter of them toxic at most:
     those of each class with the smallest hash of id, weighed by the counts of
-    both classes in all labels. The driver holds only the sample. Rows without label or id are left out; a document with several
-    labels has the largest."""
+    both classes in all labels. The driver holds only the sample. Rows without
+    label or id are left out; a document with several labels has the largest, and
+    rows of one id are a row each. Null and empty texts have no n-grams, very
+    long ones are taken whole; without labelled rows of both classes every score
+    is the share that is known, or a half. Extra columns are ignored."""
     lab = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y"))
     rank = F.xxhash64("id")
     # the smallest hashes of each class: top-k per class, without a shuffle of texts

@@ -94,7 +94,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     """Records with their full payloads: header, digest, payload (a revisit's is
     that of the record it refers to), payload_digest computed from the payload
     read, record (the record's bytes as they stand in a WARC file). A payload
-    that doesn't match its digest stops the read.
+    that doesn't match its digest stops the read. An empty archive has no rows.
     """
     records = spark.read.parquet(archive.records)
     payloads = spark.table(archive.payloads)

@@ -294,3 +294,40 @@ def test_queries_match_brute_force(spark, sf):
     near = {r.doc_id: (r.n_shingles, r.component_id) for r in Q.op2_minhash_near_dedup(spark, sf).collect()}
     assert near == brute_components(docs)
     assert collections.Counter(near.values())
+
+
+def test_ids_of_several_texts_tie_their_sets(spark):
+    """One id's rows are one vertex, whatever sets they have, empty ones too."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (7, b), (7, None), (9, c), (9, ""), (12, None), (12, ""), (4, c + " end"), (11, b), (11, c)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as component", "1L as rep", "2L as c", "3L as cost")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect())
+    want = {1: 1, 2: 1, 7: 1, 11: 1, 9: 1, 4: 1, 12: 12}
+    sizes = {None: 0, "": 0, a: 26, b: 26, c: 26, c + " end": 27}
+    assert got == sorted((i, sizes[t], want[i], want[i] == i) for i, t in rows)
+
+
+def test_copies_are_not_labelled_one_by_one(spark, monkeypatch):
+    """Edges are between distinct sets: 500 copies add none."""
+    seen = []
+    label = minhash.components
+    monkeypatch.setattr(minhash, "components", lambda edges, *a: seen.append(edges.count()) or label(edges, *a))
+    t = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, t) for k in range(500)] + [(1000, t + " more"), (1001, "other words of a text that is by itself")]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict.fromkeys([*range(500), 1000], 0) | {1001: 1001}
+    assert max(seen) <= minhash.BANDS  # two sets meet in a band each at most
+
+
+def test_long_texts_of_few_shingles_weigh_by_their_bytes(spark, monkeypatch):
+    """Repeated lines: a group's texts are cut into units by bytes."""
+    monkeypatch.setattr(minhash, "UNIT", 20_000)
+    rows = []
+    for k in range(30):
+        rows.append((k, f"own{k} words here\n" + "the same line again and again\n" * (2000 + k)))
+    units = []
+    compare = minhash._compare
+    monkeypatch.setattr(minhash, "_compare", lambda u, *a: units.append(u.groupBy("kind", "unit", "p", "q").agg({"doc_id": "count"}).collect()) or compare(u, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+    assert max(r[4] for x in units for r in x) < 15  # by shingles all thirty would be one unit

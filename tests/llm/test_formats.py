@@ -343,3 +343,31 @@ def test_many_parts(spark):
     r = chat.format_chat(spark.createDataFrame([(1, 0, "user", parts)], f"conv_id long, turn long, role string, parts {p}"), parts_col="parts").first()
     assert r.segments[1].text == "".join(f"<|image:{k // 2}|>" if k % 2 else f"t{k}" for k in range(4000))
     assert len(r.attachments) == 2000 and r.expanded_tokens == 2000 * 256
+
+
+def test_warc_of_nothing_and_of_long_payloads(spark):
+    long_ = "é" * 3_000_000
+    rows = [(1, "http://a/", long_), (2, "http://b/", long_), (3, None, "x" * 99)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'d' as digest", "'h' as header", "1 as n", "2 as id", "'p' as payload")
+    back = {warc_id(r.header): (len(r.payload), "revisit" in r.header) for r in warc.read_archive(spark, warc.write_archive(df)).collect()}
+    assert back == {1: (6_000_000, False), 2: (6_000_000, True), 3: (99, False)}
+    assert warc.read_archive(spark, warc.write_archive(df.limit(0))).count() == 0
+
+
+def warc_id(header):
+    import re
+
+    return int(re.search(r"X-Page-ID: (\d+)", header)[1])
+
+
+def test_bpe_of_repeated_ids_and_clashing_names(spark):
+    from tokenizers import Tokenizer
+
+    from sieveline.llm import bpe, queries
+
+    path = queries.tokenizer_path()
+    rows = [(1, "one text"), (1, "another"), (1, "one text"), (None, "one text"), (2, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as ids", "2 as chunk", "'y' as decoded", "3 as words")
+    got = sorted(((r.doc_id is None, r.doc_id), list(struct.unpack(f"<{r.n_tokens}I", r.ids)), r.decoded) for r in bpe.encode_decode(df, path).collect())
+    t = Tokenizer.from_file(path)
+    assert got == sorted(((i is None, i), t.encode(x or "", add_special_tokens=False).ids, x or "") for i, x in rows)

@@ -45,3 +45,22 @@ def test_stage_columns_and_edges(spark, sf):
             n = out.count()
             assert df is odd or n == 0
     assert len(P.STAGES) == 5
+
+
+def test_stages_keep_odd_rows_apart(spark, sf):
+    """Null ids, repeated rows, very long texts, and columns with the operators' names."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    t = " ".join(f"w{i}" for i in range(80))
+    long_ = " ".join(f"v{i}" for i in range(60_000))
+    rows = [(3, t, "en", "s", 9), (3, t, "en", "s", 9), (None, t, None, "s", 9), (5, long_, "en", "s", 9), (6, None, None, None, None), (7, "", "en", "s", 0)]
+    odd = spark.createDataFrame(rows, docs.schema).selectExpr("*", "'a' as kept", "'b' as component", "1 as n_words", "2 as key", "'c' as kept_text", "3 as cost", "4 as item_id")
+    want = {"quality rules": 4, "near dedup": 6, "substring dedup": 4, "decontamination": 6}
+    for name, stage in P.STAGES:
+        out = stage(spark, odd, sf)
+        if name == "bpe":
+            assert out.count() == len(rows)
+            continue
+        assert out.columns == odd.columns
+        got = out.collect()
+        assert len(got) == want[name] and all(r.cost == 3 and r.kept == "a" and r.item_id == 4 for r in got)
+        assert [r.text for r in got if r.doc_id == 5] == [long_]
