@@ -16,7 +16,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     label in its neighbourhood and rewrites the edges onto labels, so a star
     vanishes in one round and a path shrinks by half or more; edges within one
     label are dropped. Only vertices and edges in shared tables are kept
-    between rounds. Returns (vertex, component).
+    between rounds. Returns (vertex, component); no edges give no rows.
     """
     e = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct(), "edges")
     spark = edges.sparkSession

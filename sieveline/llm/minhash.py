@@ -17,8 +17,9 @@ from .kernel import U, Words, blocks, mix, mix_int
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
 #: no band with probability (1 - 0.85**5)**25 < 5e-7.
 BINS, ROWS, BANDS = 128, 5, 25
-#: Weight of a verification unit before it is cut up: its shingles, and PER_SET
-#: for each set, as pairs of sets take memory too. Members of a larger group meet
+#: Weight of a verification unit before it is cut up: its shingles, or a sixteenth
+#: of its bytes where lines repeat, and PER_SET for each set, as pairs of sets take
+#: memory too. Members of a larger group meet
 #: pivots first, for as many turns.
 UNIT, PER_SET, TURNS = 1 << 18, 128, 2
 #: Large groups up to which their list is broadcast.
@@ -109,8 +110,8 @@ def _sketches(k: int, id_col: str, text_col: str):
                 some = n > 0
                 flat = pa.array(keys[some].ravel().view(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), *(pa.array(np.where(some, s, U(0)).view(np.int64)) for s in sums), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), flat)],
-                    names=["doc_id", "n_shingles", "set1", "set2", "keys"],
+                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.maximum(n, np.diff(at) >> 4)), *(pa.array(np.where(some, s, U(0)).view(np.int64)) for s in sums), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), flat)],
+                    names=["doc_id", "n_shingles", "cost", "set1", "set2", "keys"],
                 )
 
     return run
@@ -194,7 +195,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and wordless texts have the empty set, link with nothing and are kept.
     Repeated ids: rows of one id belong to one vertex, and texts of that id
     link separately. Null ids never occur in links and give a null component.
-    Extra columns are ignored.
+    Very long texts are taken whole, and weigh by their bytes as well as by their
+    shingles; no rows give no rows; extra columns, whatever their names, are
+    ignored.
 
     Plan: one pass makes sketches (25 band keys, set size and 128-bit set
     digest). Equal sets collapse to their smallest id first, so groups of
@@ -210,31 +213,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sk = stored(base.mapInArrow(_sketches(k, "doc_id", "text"), "doc_id long, n_shingles long, set1 long, set2 long, keys array<long>"), "sketches")
+    sk = stored(base.mapInArrow(_sketches(k, "doc_id", "text"), "doc_id long, n_shingles long, cost long, set1 long, set2 long, keys array<long>"), "sketches")
     some = sk.where("n_shingles > 0 and doc_id is not null")
     set_is = ["n_shingles", "set1", "set2"]
     equal = stored(some.groupBy(*set_is).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1"), "equal")
     classes = join_groups(some.select("doc_id", *set_is), equal, set_is, "c", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     classes = stored(classes, "classes")
     reps = some.join(classes.where("doc_id = rep").select("doc_id", "n_shingles").distinct(), ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "set1", "set2"])
-    reps = stored(reps.select("doc_id", "n_shingles", "keys"), "reps")
-    bands = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
+    reps = stored(reps.select("doc_id", "cost", "keys"), "reps")
+    bands = reps.select("doc_id", "cost", F.explode("keys").alias("key"))
     many = stored(bands.groupBy("key").agg(F.count("*").alias("c"), F.min("doc_id").alias("low")).where("c > 1"), "shared")
-    memb = stored(join_groups(bands, many, ["key"], "c").select("key", "doc_id", "n_shingles", "low"), "buckets")
+    memb = stored(join_groups(bands, many, ["key"], "c").select("key", "doc_id", "cost", "low"), "buckets")
     if memb.isEmpty():
         edges = spark.createDataFrame([], "a long, b long")
     else:
         edges = _links_of(base, memb, k, num, den)
-    joined = classes.where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).union(edges)
-    comp = components(joined)
-    out = sk.select("doc_id", "n_shingles").join(comp, sk["doc_id"] == comp["vertex"], "left")
+    # an id of several texts ties their sets together
+    several = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("_high")).where("a < _high").select("doc_id", "a")
+    ties = classes.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
+    comp = components(edges.union(ties)).select(F.col("vertex").alias("rep"), "component")
+    # only sets were labelled; their documents, which may be very many, take the label
+    sizes = equal.groupBy("rep").agg(F.sum("c").alias("c"))
+    known = stored(comp.join(sizes, "rep", "left").select("rep", "component", F.coalesce("c", F.lit(1)).alias("c")), "known")
+    rows = join_groups(classes, known, ["rep"], "c", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    none = sk.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    also = rows.join(none.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component").alias("component"))
+    out = rows.unionByName(none.join(also, "doc_id", "left"))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def _links_of(base: DataFrame, memb: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """Links between the sets that share a bucket: a forest of each unit."""
     group = components(memb.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")))
-    weight = (F.col("n_shingles") + PER_SET).alias("weight")
+    weight = (F.col("cost") + PER_SET).alias("weight")
     each = memb.select("doc_id", weight).distinct().join(group, F.col("doc_id") == group["vertex"]).select("doc_id", "weight", F.col("component").alias("grp"))
     each = stored(each, "members")
     large = stored(each.groupBy("grp").agg(F.sum("weight").alias("size")).where(F.col("size") > UNIT), "large")
