@@ -55,6 +55,7 @@ def padded(df: DataFrame, batch: list[str], ids: str, labels: str, pad: int) ->
 
 #: How lines of a unified diff begin.
 DIFF_LINES = ("diff ", "index ", "--- ", "+++ ", "@@", "+", "-", " ")
+#: Patterns of a fenced diff and of a hunk's head.
 _FENCE = re.compile(r"```(?:diff|patch)?\s*\n(.*?)(?:```|\Z)", re.S)
 _HUNK = re.compile(r"@@ -(\d+)(?:,\d+)? \+(\d+)(?:,\d+)? @@(.*)")
 

@@ -175,6 +175,8 @@ UNION ALL SELECT 'either', count(*) FROM (SELECT user_id FROM events WHERE event
 UNION ALL SELECT 'bag', count(*) FROM (SELECT user_id FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE event_type = 'signup' AND event_id % 7 = 0)
 """)
 def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two collections of users, all clicks and every seventh signup; the filter
+    by id makes the second one differ from the first, it saves no work."""
     e = table(spark, sf_dir, "events")
     a, b = e.where("event_type = 'click'").select("user_id"), e.where("event_type = 'signup' and event_id % 7 = 0").select("user_id")
     parts = {"left": a.subtract(b), "both": a.intersect(b), "either": a.union(b).distinct(), "bag": a.union(b)}
@@ -187,4 +189,6 @@ def set_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' ELSE 'left' END AS only_in FROM (SELECT doc_id FROM documents WHERE doc_id % 9 > 0) d FULL JOIN (SELECT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
 def id_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All labels against a copy of the documents that lacks every ninth id, so
+    that ids are missing on both sides."""
     return audit.id_mismatch(table(spark, sf_dir, "documents").where("doc_id % 9 > 0"), table(spark, sf_dir, "labels"), ["doc_id"])

@@ -18,10 +18,10 @@ _LINES = r"regexp_split_to_array({0}, '\r\n|\n|\r')"
 @register("""
 WITH c AS (SELECT o_orderkey, md5(CAST(o_orderkey AS VARCHAR)) AS sha, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || ' +0000' AS date, o_orderdate, o_orderpriority,
   ['src/m' || o_orderkey % 7 || '.py', 'README.md', CASE o_orderkey % 4 WHEN 0 THEN 'tests/test_m.py' WHEN 1 THEN 'pkg/latest_x.py' WHEN 2 THEN 'tests/data.txt' ELSE 'pkg/m_test.py' END] AS files FROM orders),
-k AS (SELECT *, list_filter(files, lambda f: f LIKE '%.py' AND NOT regexp_matches(f, '(^|/)(tests?|testing)/|test_.*\\.py$|.*_test\\.py$', 'i')) AS src, list_filter(files, lambda f: f LIKE '%.py' AND regexp_matches(f, '(^|/)(tests?|testing)/|test_.*\\.py$|.*_test\\.py$', 'i')) AS tst FROM c)
+k AS (SELECT *, list_filter(files, lambda f: f LIKE '%.py' AND NOT regexp_matches(f, 'TEST_PATH', 'i')) AS src, list_filter(files, lambda f: f LIKE '%.py' AND regexp_matches(f, 'TEST_PATH', 'i')) AS tst FROM c)
 SELECT o_orderpriority || '_' || substr(sha, 1, 7) AS instance_id, sha AS fix_commit, 'p' || o_orderkey AS base_commit, date, array_to_string(src, ' ') AS src_files, array_to_string(tst, ' ') AS test_files
 FROM k WHERE o_orderkey % 3 > 0 AND o_orderdate >= TIMESTAMP '1996-01-01' AND len(src) > 0 AND len(tst) > 0
-""")
+""".replace("TEST_PATH", T.TEST_PATH.removeprefix("(?i)")))
 def candidate_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits; every third is a merge, with two parents."""
     k = F.col("o_orderkey")

@@ -35,7 +35,7 @@ def hunk_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("conv_id", "island").agg(F.count("*").alias("n_turns"), F.sum(F.length("text")).alias("n_chars"), roles.alias("roles"))
 
 
-_TEST = r"(^|/)(tests?|testing)/|test_.*\.py$|.*_test\.py$"
+_TEST = T.TEST_PATH.removeprefix("(?i)")
 
 
 @register(rf"""
