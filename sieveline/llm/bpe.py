@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import bucketed, ship
-from .kernel import blocks, ragged, text_arrays
+from .kernel import blocks, ragged, text_arrays, trim
 
 #: Bytes of text in a chunk. Of each chunk's TOP most frequent words, those that
 #: HOT_CHUNKS chunks or more have (and that are of LONGEST_HOT bytes at most) are
@@ -163,6 +163,8 @@ def _split(spec_of, most: int):
                     seq, size = seq + 1, 0
         if ids:
             yield flush()
+        del place, ids, counts, codes
+        trim()
 
     return run
 
@@ -188,6 +190,7 @@ def _encode(spec_of):
             places[np.cumsum(size) - size + 1] = np.bincount(runs.indices.to_numpy(), minlength=len(words))
             ofs = pa.array(np.cumsum(places).astype(np.int32))
             yield pa.RecordBatch.from_arrays([pa.array(ragged(np.zeros_like(size), size)), pa.array([i for x in ids for i in x], pa.int32()), pa.ListArray.from_arrays(ofs, batch.column(1))], names=["k", "id", "at"])
+        trim()
 
     return run
 
@@ -248,6 +251,8 @@ def _sent(most: int):
                 held, n = [], 0
         if n:
             yield pack(pa.Table.from_batches(held))
+        held = []
+        trim()
 
     return run
 
@@ -319,6 +324,8 @@ def _put_back(hot_of):
             b = type(pa.array([], kind)).from_buffers(kind, len(n), [None, pa.py_buffer(ofs.astype(wide)), pa.py_buffer(flat)])
             del code, order, got
             out.append(pa.table([own if not isinstance(own, pa.ChunkedArray) else pa.concat_arrays(own.chunks), pa.array(np.diff(ofs) // 4), b.cast(pa.binary()), _as_text(*text)], names=["doc_id", "n_tokens", "ids", "decoded"]))
+        del own_words, place
+        trim()
         return pa.concat_tables(out)
 
     return run

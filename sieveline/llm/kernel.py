@@ -8,6 +8,7 @@ with one running sum for a whole block and passed through a finaliser.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -155,6 +156,17 @@ def text_arrays(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return data[at[0] : at[-1]], at - at[0]
 
 
+_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def trim() -> None:
+    """Give memory that is no longer used back to the system. Workers outlive
+    their tasks, and else keep what the largest of them took."""
+    pa.default_memory_pool().release_unused()
+    if _give_back:
+        _give_back(0)
+
+
 def blocks(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Cut a column into runs of rows of at most `most` bytes, or one row."""
     buf, at = text_arrays(column)

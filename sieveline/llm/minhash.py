@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import ship, stored
 from .components import components
 from .joins import join_groups
-from .kernel import U, Words, blocks, mix, mix_int
+from .kernel import U, Words, blocks, mix, mix_int, trim
 
 #: Bins of a sketch, and how they are banded. A pair at similarity 0.85 shares
 #: no band with probability (1 - 0.85**5)**25 < 5e-7.
@@ -22,6 +22,8 @@ BINS, ROWS, BANDS = 128, 5, 25
 #: memory too. Members of a larger group meet
 #: pivots first, for as many turns.
 UNIT, PER_SET, TURNS = 1 << 18, 128, 2
+#: Sets of a unit after which a task gives memory back.
+LARGE = 256
 #: Large groups up to which their list is broadcast.
 MOST_LARGE = 100_000
 
@@ -100,6 +102,7 @@ def band_keys(sig: np.ndarray, rows: int = ROWS, bands: int = BANDS) -> np.ndarr
 
 def _sketches(k: int, id_col: str, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             ids = batch.column(batch.schema.names.index(id_col))
             for i, j, buf, at in blocks(batch.column(batch.schema.names.index(text_col))):
@@ -113,6 +116,7 @@ def _sketches(k: int, id_col: str, text_col: str):
                     [ids.slice(i, j - i).cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(np.maximum(n, np.diff(at) >> 4)), *(pa.array(np.where(some, s, U(0)).view(np.int64)) for s in sums), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]).astype(np.int32)), flat)],
                     names=["doc_id", "n_shingles", "cost", "set1", "set2", "keys"],
                 )
+        trim()
 
     return run
 
@@ -180,6 +184,9 @@ def _verify(k: int, num: int, den: int):
         elif key[2].as_py() == key[3].as_py():
             split = 0
         v, up = links(sets, split, num, den)
+        del sets, table
+        if len(ids) >= LARGE:
+            trim()
         return pa.table({"a": pa.array(ids[up], pa.int64()), "b": pa.array(ids[v], pa.int64())})
 
     return run

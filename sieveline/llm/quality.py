@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..session import ship
-from .kernel import _G, _VALUE, U, Words, blocks, codepoints, mix, powers
+from .kernel import _G, _VALUE, U, Words, blocks, codepoints, mix, powers, trim
 
 #: Repeats of fewer words don't count; a text fails if repeats cover more than
 #: COVERED of its words, or if one repeat is longer than LONGEST words.
@@ -208,8 +208,10 @@ def passing(docs: DataFrame, text_col: str = "text", min_words: int = 50, shorte
     at_col = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trim()
         for batch in batches:
             for i, j, buf, at in blocks(batch.column(at_col), BLOCK):
                 yield batch.slice(i, j - i).filter(pa.array(_verdicts(buf, at, min_words, shortest, covered, longest)[2]))
+        trim()
 
     return docs.mapInArrow(run, docs.schema)
