@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .topk import EPS, Best
 
-EPS = 1e-9
+#: Blocks of a table that ask, unless their rows pass this many bytes; rows that
+#: are asked at once, as a multiple.
+ASKING, BLOCK_BYTES, HELD = 32, 8 << 20, 4
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -31,44 +35,57 @@ def similar(df: DataFrame, id_col: str, vec: str, query_id, k: int, digits: int
     return out.orderBy(F.desc("similarity"), id_col).limit(k)
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    one = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    one = pa.concat_arrays(one.chunks) if isinstance(one, pa.ChunkedArray) else one
+    if one.null_count or one.flatten().null_count or pc.count_distinct(pc.list_value_length(one)).as_py() > 1:
+        raise ValueError("vectors must be there and of one length")
+    return one.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(one), -1)
+
+
+def dealt(n: int, dims: int, block: int) -> tuple[int, int]:
+    """Blocks that ask, and larger ones that are asked, for n vectors: ASKING at
+    most, until rows of so many dimensions pass BLOCK_BYTES."""
+    rows = min(max(1, BLOCK_BYTES // (8 * dims)), max(block, -(-n // ASKING)))
+    return max(1, -(-n // rows)), max(1, -(-n // (HELD * rows)))
+
+
 def nearest(df: DataFrame, id_col: str, vec: str, k: int, group: str | None = None, block: int = 2048, digits: int = 6) -> DataFrame:
     """k nearest other rows of every row by cosine, within `group` if given.
 
-    A blocked product: rows are dealt to blocks, each pair of blocks is one
-    group of a shuffle and one matrix product in its task, which keeps the k
-    best per row; the partial lists of a row are then merged. Work is all pairs,
-    as an exact search needs; no row of the plan is a pair. Ties go to the
-    smaller id. Returns id, neighbour, similarity, rank.
+    A blocked product: rows are dealt to small blocks that ask and to large ones
+    that are asked; each pair of blocks is one group of a shuffle and one product
+    in its task, which keeps the k best per row (topk.Best); the few partial lists
+    of a row are then merged. Work is all pairs, as an exact search needs; no row
+    of the plan is a pair. Blocks grow with the table, up to a size in bytes, so
+    that copies of rows don't. Ties go to the smaller id. Returns id, neighbour,
+    similarity, rank.
     """
     ship(df.sparkSession)
     by = [group] if group else []
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    part = F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
-    base = df.select(*by, F.col(id_col).alias("id"), F.col(vec).alias("vec"), part.alias("part"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
-    left = base.select(*by, "id", "vec", F.col("part").alias("p"), other).withColumnRenamed("other", "q").withColumn("side", F.lit(0))
-    right = base.select(*by, "id", "vec", F.col("part").alias("q"), other).withColumnRenamed("other", "p").withColumn("side", F.lit(1))
+    n, dims = df.agg(F.count("*"), F.max(F.size(vec))).first()
+    asking, held = dealt(n, dims or 1, block)
+    part = lambda blocks: F.pmod(F.xxhash64(id_col), F.lit(blocks)).cast("int")
+    base = df.select(*by, F.col(id_col).alias("id"), F.col(vec).alias("vec"), part(asking).alias("p"), part(held).alias("q"))
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = base.select(*by, "id", "vec", "p", each(held).alias("q"), F.lit(0).alias("side"))
+    right = base.select(*by, "id", "vec", each(asking).alias("p"), "q", F.lit(1).alias("side"))
     both = left.unionByName(right)
     kind = df.schema[id_col].dataType.simpleString()
-
-    def top(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0], pdf[pdf.side == 1].sort_values("id")
-        cols = {g: pdf[g].iloc[:1] for g in by}
-        if not len(a) or not len(b):
-            return pd.DataFrame({**{g: cols[g].iloc[:0] for g in by}, "id": a.id.iloc[:0], "neighbour": a.id.iloc[:0], "similarity": np.zeros(0)})
-        x, y = (np.array(t.vec.tolist(), np.float64) for t in (a, b))
-        s = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + EPS)
-        s = np.round(s, digits) + 0.0
-        s[a.id.to_numpy()[:, None] == b.id.to_numpy()[None]] = -np.inf
-        m = min(k, s.shape[1])
-        o = np.argsort(-s, axis=1, kind="stable")[:, :m]  # b is sorted by id
-        sim = np.take_along_axis(s, o, axis=1)
-        ok = np.isfinite(sim).ravel()
-        return pd.DataFrame({**{g: np.repeat(cols[g].to_numpy(), ok.sum()) for g in by}, "id": np.repeat(a.id.to_numpy(), m)[ok], "neighbour": b.id.to_numpy()[o].ravel()[ok], "similarity": sim.ravel()[ok]})
-
     schema = ", ".join([*[f"{g} {df.schema[g].dataType.simpleString()}" for g in by], f"id {kind}, neighbour {kind}, similarity double"])
-    part_best = both.groupBy(*by, "p", "q").applyInPandas(top, schema)
+
+    def top(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        a, b = (table.take(pa.array(np.flatnonzero(side == x))) for x in (0, 1))
+        x, y = matrix(a.column("vec")), matrix(b.column("vec"))
+        best = Best(x, a.column("id").to_numpy(), y, b.column("id").to_numpy(), k, digits)
+        best.meet(np.arange(len(x)), np.arange(len(y)))
+        i, j, s = best.found()
+        out = {g: table.column(g).take(pa.array(np.zeros(len(i), np.int64))) for g in by}
+        return pa.table({**out, "id": a.column("id").take(pa.array(i)), "neighbour": b.column("id").take(pa.array(j)), "similarity": pa.array(s)})
+
+    part_best = both.groupBy(*by, "p", "q").applyInArrow(top, schema)
     w = Window.partitionBy("id", *by).orderBy(F.desc("similarity"), "neighbour")
     return part_best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -1,8 +1,10 @@
 """What larger tables showed: keys past a million, work that grows faster than the input."""
 
 import duckdb
+import numpy as np
 from oracle import assert_same
 
+from sieveline.operators import vectors
 from sieveline.plans import registry
 
 Q, SQL = registry.queries(), registry.oracle_sql()
@@ -29,3 +31,40 @@ def test_first_link_orders_lines_as_its_sql_does(spark, tmp_path):
     df = Q["first_link"](spark, str(tmp_path))
     assert {r.c_custkey: r.l_partkey for r in df.collect()} == {1: 40, 2: 6, 3: None}
     assert_same(df, SQL["first_link"], con)
+
+
+def test_nearest_copies_no_more_of_a_larger_table(spark):
+    """Each row is copied once per block of the other side; blocks grow with the
+    table, within bounds of bytes."""
+    assert [sum(vectors.dealt(n, 64, 2048)) for n in (2_000, 100_000, 500_000)] == [2, 40, 40]
+    assert 500_000 / vectors.dealt(500_000, 64, 2048)[0] * 64 * 8 <= 8 << 20
+    assert vectors.dealt(1_000_000, 1024, 2048)[0] == 977 and vectors.dealt(0, 1, 2048) == (1, 1)
+
+
+def test_best_is_exact_for_ties_copies_and_small_norms():
+    from sieveline.operators.topk import Best
+
+    rng = np.random.default_rng(1)
+    plain = rng.normal(size=(5000, 16))
+    third, same, zero = plain.copy(), np.repeat(plain[:3], 1700, 0)[:5000], plain.copy()
+    third[::3], zero[5] = plain[0], 0
+    for y in (plain, third, same, plain * 1e-5, zero, plain[:5]):
+        x, ids = y[:200], rng.permutation(len(y))
+        best = Best(x, ids[:200], y, ids, 8, 6)
+        best.meet(np.arange(len(x)), np.arange(len(y)))
+        got = {}
+        for i, j, s in zip(*best.found()):
+            got.setdefault(i, []).append((-s, ids[j]))
+        s = np.round((x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + 1e-9), 6) + 0.0
+        for i in range(len(x)):
+            assert got[i] == sorted((-v, j) for v, j in zip(s[i], ids) if j != ids[i])[:8]
+
+
+def test_nearest_over_many_blocks(spark, monkeypatch):
+    rows = np.random.default_rng(2).integers(-2, 3, (300, 4)).astype(float)
+    monkeypatch.setattr(vectors, "HELD", 2)
+    df = spark.createDataFrame([(i, v.tolist(), "a") for i, v in enumerate(rows)], "id long, v array<float>, g string")
+    key = lambda d: sorted((r.id, r["rank"], r.neighbour, r.similarity) for r in d.collect())
+    one = key(vectors.nearest(df, "id", "v", 4))
+    assert len(one) == 1200 and key(vectors.nearest(df, "id", "v", 4, block=20)) == one
+    assert key(vectors.nearest(df, "id", "v", 4, group="g", block=40)) == one
