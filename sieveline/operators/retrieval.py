@@ -11,6 +11,10 @@ from ..session import stored
 K1, B, NEIGHBOUR = 1.2, 0.75, 0.5
 #: Rows and bytes up to which a counted side is broadcast.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: The same for targets, whose rows are two short columns.
+MOST_TARGETS = 1_000_000
+#: Pairs of a query and a document to a partition at most; partitions at most.
+PAIRS, MOST_PARTS = 500_000, 20_000
 
 
 def sized(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -33,9 +37,11 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     tokens count once. Returns by, query_id, doc_id, score, rounded.
 
     Only tokens of queries leave the scan: the vocabulary of the queries is
-    joined, by broadcast if it is counted to be small, before the token counts
-    are shuffled; the number of documents and
-    their mean length come from a separate aggregate over sizes.
+    joined, by broadcast if it is counted to be small, before the tokens are
+    shuffled, once, by document; the number of documents and their mean length
+    come from a separate aggregate over sizes. If the weights are broadcast, a
+    document's pairs are formed and added up where its tokens lie and leave it
+    nowhere: the result is partitioned by document, PAIRS pairs to a partition.
     """
     q = queries.select(*by, query_id, F.explode(F.array_distinct(query_tokens)).alias("token"))
     # neither the vocabulary nor the weights have more rows than the queries' tokens,
@@ -45,7 +51,9 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     vocab = hint(q.select(*by, "token").distinct())
     d = docs.select(*by, doc_id, doc_tokens, F.size(doc_tokens).alias("_len"))
     corpus = d.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
-    tf = d.select(*by, doc_id, "_len", F.explode(doc_tokens).alias("token")).join(vocab, [*by, "token"]).groupBy(*by, doc_id, "token").agg(F.count("*").alias("_c"), F.first("_len").alias("_len"))
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-docs.count() * queries.count() // PAIRS)))
+    tf = d.select(*by, doc_id, "_len", F.explode(doc_tokens).alias("token")).join(vocab, [*by, "token"]).repartition(parts, *by, doc_id)
+    tf = tf.groupBy(*by, doc_id, "token").agg(F.count("*").alias("_c"), F.first("_len").alias("_len"))
     df = tf.groupBy(*by, "token").agg(F.count("*").alias("_df"))
     weights = q.join(df, [*by, "token"])
     weights = (weights.join(corpus, by) if by else weights.crossJoin(F.broadcast(corpus))).withColumn("_idf", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
@@ -107,14 +115,15 @@ def first_hits_of(scores: DataFrame, targets: DataFrame, query: list[str], item:
     A query's best target is known by joining; its rank is one more than the
     number of rows that come before it, which are counted where they lie. No row
     is ranked and nothing is sorted. The scores are read twice, and so computed
-    once and kept in the shared folder. Items may be of any type that has an order.
+    once and kept in the shared folder; where the targets are few enough to be
+    broadcast, no score is shuffled. Items may be of any type that has an order.
     """
     scores = stored(scores.select(*query, item, score), "scores")
-    t = targets.select(*query, item).distinct()
-    hit = t.join(scores, [*query, item], "left")
+    t = stored(targets.select(*query, item).distinct(), "targets")
+    hit = scores.join(sized(t, MOST_TARGETS), [*query, item])
     place = F.struct((-F.col(score)).alias("s"), F.col(item).alias("i"))
-    best = hit.groupBy(*query).agg(F.count("*").alias("n_targets"), F.min(F.when(F.col(score).isNotNull(), place)).alias("_best"))
-    some = sized(stored(best.where("_best is not null").select(*query, "_best"), "best"))
+    best = hit.where(F.col(score).isNotNull()).groupBy(*query).agg(F.min(place).alias("_best"))
+    some = sized(stored(best, "best"))
     ahead = scores.join(some, query).groupBy(*query).agg(F.count_if(place < F.col("_best")).alias("_ahead"))
     out = t.groupBy(*query).agg(F.count("*").alias("n_targets")).join(ahead, query, "left")
     return out.select(*query, "n_targets", F.coalesce(F.col("_ahead") + 1, F.lit(0)).cast("int").alias("first_rank"))

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from oracle import assert_same
 
-from sieveline.operators import vectors
+from sieveline.operators import retrieval, vectors
 from sieveline.plans import registry
 
 Q, SQL = registry.queries(), registry.oracle_sql()
@@ -68,3 +68,16 @@ def test_nearest_over_many_blocks(spark, monkeypatch):
     one = key(vectors.nearest(df, "id", "v", 4))
     assert len(one) == 1200 and key(vectors.nearest(df, "id", "v", 4, block=20)) == one
     assert key(vectors.nearest(df, "id", "v", 4, group="g", block=40)) == one
+
+
+def test_pairs_of_bm25_stay_where_the_document_is(spark, monkeypatch):
+    """Tokens are shuffled by document; the pairs are not."""
+    docs = spark.createDataFrame([(k, [f"w{k % 7}", f"w{k % 5}", "w1"]) for k in range(60)], "doc long, t array<string>")
+    queries = spark.createDataFrame([(k, [f"w{k}", "w1"]) for k in range(6)], "q long, t array<string>")
+    key = lambda d: sorted(map(tuple, d.collect()))
+    one = key(retrieval.bm25(docs, queries, [], "doc", "t", "q", "t"))
+    monkeypatch.setattr(retrieval, "PAIRS", 40)
+    many = retrieval.bm25(docs, queries, [], "doc", "t", "q", "t")
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" not in plan and "REPARTITION_BY_NUM" in plan
+    assert len(one) == 360 and key(many) == one and many.rdd.getNumPartitions() == 9
