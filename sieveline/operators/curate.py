@@ -179,6 +179,10 @@ def within_intervals(points: DataFrame, spans: DataFrame, by: list[str], point:
     return p.join(s, [*by, "_level", "_bucket"]).drop("_level", "_bucket")
 
 
+#: Changes or revisions of a group from which files are found by aligned ranges.
+HOT_GROUP = 1_000
+
+
 def files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str, path: str, content: str, wanted: list[str] | None = None) -> DataFrame:
     """Files as they are at given revisions: by, rev, path, content.
 
@@ -187,15 +191,33 @@ def files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str,
     last change up to the revision counts. wanted: the only paths to look for.
 
     A change holds from its revision to the path's next one; revisions join the
-    spans that hold them, so a path that is not there at a revision costs
-    nothing.
+    spans that hold them. Both sides are shuffled once, by group, and a group's
+    spans are tested against its revisions. Groups with more than HOT_GROUP
+    changes or revisions, which a count tells, join by aligned ranges instead
+    (within_intervals), where a path that is not there costs nothing.
     """
+    sizes = lambda df: df.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_GROUP).select(*by)
+    hot = stored(sizes(history).union(sizes(revisions)).distinct(), "hot_groups")
+    if not hot.isEmpty():
+        of = lambda how: (history.join(hot, by, how), revisions.join(hot, by, how))
+        (few, few_at), (many, many_at) = of("left_anti"), of("left_semi")
+        return _files_at(few, few_at, by, rev, path, content, wanted, False).unionByName(_files_at(many, many_at, by, rev, path, content, wanted, True))
+    return _files_at(history, revisions, by, rev, path, content, wanted, False)
+
+
+def _files_at(history: DataFrame, revisions: DataFrame, by: list[str], rev: str, path: str, content: str, wanted: list[str] | None, hot: bool) -> DataFrame:
     h = history.select(*by, path, F.col(rev).alias("_from"), F.col(content).alias(content))
     if wanted is not None:
         h = h.where(F.col(path).isin(wanted))
+    if not hot:
+        h, revisions = h.repartition(*by), revisions.select(*by, rev).repartition(*by)
     until = F.coalesce(F.lead("_from").over(Window.partitionBy(*by, path).orderBy("_from")), F.lit(2**62))
     spans = h.withColumn("_until", until).where(F.col(content).isNotNull())
-    got = within_intervals(revisions.select(*by, rev).distinct(), spans, by, rev, "_from", "_until")
+    at = revisions.select(*by, rev).distinct()
+    if hot:
+        got = within_intervals(at, spans, by, rev, "_from", "_until")
+    else:
+        got = at.where(F.col(rev) >= 0).join(spans, by).where((F.col("_from") <= F.col(rev)) & (F.col(rev) < F.col("_until")))
     return got.select(*by, rev, path, content)
 
 

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from oracle import assert_same
 
-from sieveline.operators import retrieval, vectors
+from sieveline.operators import curate, graph, retrieval, vectors
 from sieveline.plans import registry
 
 Q, SQL = registry.queries(), registry.oracle_sql()
@@ -81,3 +81,35 @@ def test_pairs_of_bm25_stay_where_the_document_is(spark, monkeypatch):
     plan = many._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(q#" not in plan and "REPARTITION_BY_NUM" in plan
     assert len(one) == 360 and key(many) == one and many.rdd.getNumPartitions() == 9
+
+
+def test_files_at_forms_no_ranges_in_small_groups(spark, monkeypatch):
+    """A small group's changes meet its revisions by the group alone; large groups
+    go by ranges, with the same rows."""
+    h = spark.createDataFrame([(k % 3, k, f"f{k % 4}", None if k % 5 == 0 else f"v{k}") for k in range(200)], "repo int, rev long, path string, body string")
+    at = h.where("rev % 2 = 0 or repo = 1").select("repo", "rev")
+    small = curate.files_at(h, at, ["repo"], "rev", "path", "body")
+    assert "_level" not in small._jdf.queryExecution().optimizedPlan().toString()
+    key = lambda d: sorted(map(tuple, d.collect()))
+    one = key(small)
+    last = {}
+    want = []
+    for k in range(200):
+        last[k % 3, f"f{k % 4}"] = None if k % 5 == 0 else f"v{k}"
+        if k % 2 == 0 or k % 3 == 1:
+            want += [(k % 3, k, p, v) for (g, p), v in last.items() if g == k % 3 and v is not None]
+    assert one == sorted(want)
+    for most in (0, 66):  # all groups are large; one of them is
+        monkeypatch.setattr(curate, "HOT_GROUP", most)
+        assert key(curate.files_at(h, at, ["repo"], "rev", "path", "body")) == one
+
+
+def test_calls_are_combined_before_they_are_resolved(spark):
+    facts = [("r", "p1", "node", "a", "old", 1), ("r", "p1", "node", "a", "new", 5), ("r", "p2", "node", "a", "x", 3), ("r", "p1", "node", "b", None, 2)]
+    facts += [("r", "p2", "call", "a", "b", k) for k in range(10, 400)] + [("r", "p1", "call", "a", "b", 1), ("r", "p1", "call", "b", "a", 7), ("r", "p1", "call", "b", "b", 8)]
+    df = spark.createDataFrame(facts, "repo string, path string, kind string, a string, b string, no long")
+    nodes, edges = graph.graph_of(df, ["repo"])
+    assert sorted((r.id, r.text or "") for r in nodes.collect()) == [("a", "new"), ("b", "")]
+    assert sorted((r.source, r.target, r.key) for r in edges.collect()) == [("a", "b", 0), ("b", "a", 0)]
+    leaves = [x for x in edges.inputFiles() if "/uses-" in x]
+    assert leaves and spark.read.parquet(*leaves).count() == 3
