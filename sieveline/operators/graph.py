@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import ship, stored
+from .retrieval import sized
 
 _DEFS = (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)
 
@@ -81,15 +82,20 @@ def graph_of(facts: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     definition's file. Containment edges all have key 0 and may repeat; calls of
     a source are numbered by first use.
     """
-    node = facts.where("kind = 'node'")
-    pick = Window.partitionBy(*by, "a").orderBy("path", F.desc("no"))
-    nodes = node.withColumn("_r", F.row_number().over(pick)).where("_r = 1").select(*by, F.col("a").alias("id"), F.col("a").alias("name"), F.col("b").alias("text"))
+    nodes = nodes_of(facts, by)
     inside = facts.where("kind = 'contains'").select(*by, F.col("a").alias("source"), F.col("b").alias("target"), F.lit("contains").alias("type"), F.lit(0).cast("long").alias("key"))
-    body = node.groupBy(*by, "a").agg(F.max(F.struct("path", "no")).alias("m")).select(*by, "a", F.col("m.path").alias("path"))
-    uses = facts.where("kind = 'call'").join(body, [*by, "a", "path"], "left_semi").select(*by, F.col("a").alias("source"), F.col("b").alias("call"), "no")
+    body = facts.where("kind = 'node'").groupBy(*by, "a").agg(F.max(F.struct("path", "no")).alias("m")).select(*by, "a", F.col("m.path").alias("path"))
+    uses = facts.where("kind = 'call'").join(sized(stored(body, "bodies")), [*by, "a", "path"], "left_semi").select(*by, F.col("a").alias("source"), F.col("b").alias("call"), "no")
     return nodes, inside.unionByName(call_edges(uses, nodes, by))
 
 
+def nodes_of(facts: DataFrame, by: list[str]) -> DataFrame:
+    """The nodes of graph_of(), by an aggregate that combines where facts lie."""
+    first = F.min_by(F.struct("b"), F.struct("path", -F.col("no"))).alias("_b")
+    node = facts.where("kind = 'node'").groupBy(*by, "a").agg(first)
+    return node.select(*by, F.col("a").alias("id"), F.col("a").alias("name"), F.col("_b.b").alias("text"))
+
+
 def dotted_suffixes(ids: DataFrame, by: list[str], node: str = "id") -> DataFrame:
     """The least id per dotted ending: `c` and `b.c` of a.b.c (not the whole id).
     A row per part of each id, combined where it lies."""
@@ -121,6 +127,9 @@ def resolve_names(calls: DataFrame, ids: DataFrame, by: list[str], call: str = "
 
 
 def call_edges(uses: DataFrame, nodes: DataFrame, by: list[str]) -> DataFrame:
+    """Edges of resolved calls. Of a source's uses of a name the first counts:
+    they are combined where they lie, once, and only names are resolved."""
+    uses = stored(uses.groupBy(*by, "source", "call").agg(F.min("no").alias("no")), "uses")
     to = resolve_names(uses, nodes, by)
     e = uses.join(to, [*by, "call"]).where("target <> source").groupBy(*by, "source", "target").agg(F.min("no").alias("no"))
     w = Window.partitionBy(*by, "source").orderBy("no")

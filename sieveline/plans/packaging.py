@@ -185,7 +185,7 @@ def _facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(_FACTS + "z AS (SELECT 1) SELECT repo, a AS id, text FROM n")
 def duplicate_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of symbols defined again the first path's last text stands."""
-    return graph.graph_of(_facts(spark, sf_dir), ["repo"])[0].select("repo", "id", "text")
+    return graph.nodes_of(_facts(spark, sf_dir), ["repo"]).select("repo", "id", "text")
 
 
 @register(_FACTS + """b AS (SELECT repo, a, max(path || ' ' || lpad(CAST(no AS VARCHAR), 12, '0')) AS m FROM f GROUP BY ALL),
