@@ -6,16 +6,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship, stored
-from .vectors import EPS
+from .topk import EPS, Best
 
 #: Rows that centroids are fitted on at most; rows of a list that the number of
 #: lists aims at; lists at most, so that the centroids broadcast stay small
-#: (64 MB at 256 dimensions); rows of a block of a list that is longer.
+#: (64 MB at 256 dimensions); rows of a block at least.
 SAMPLE, LIST, MOST_LISTS, ROWS = 20_000, 1_000, 65_536, 2_048
+#: Cells that lists are dealt to at most; rows of a block of a larger table.
+CELLS, MOST_ROWS = 64, 16_384
 #: Share of exact neighbours to be found, and the rows on which it is measured.
 REACH, ASKED = 0.95, 500
 
@@ -63,23 +66,27 @@ def _assign(centre_of, probes: int):
 
 
 def _best_of_blocks(k: int, digits: int, kind: pa.DataType):
-    """A block of probing rows and one of a list's rows -> the k best of each."""
+    """A block of probing rows with the lists that they probe here, and a block of
+    rows of these lists -> the k best of each probing row."""
 
     def run(asking: pa.Table, held: pa.Table) -> pa.Table:
-        none = pa.table({"id": pa.array([], kind), "neighbour": pa.array([], kind), "similarity": pa.array([], pa.float64())})
         if not asking.num_rows or not held.num_rows:
-            return none
-        held = held.sort_by("id")
+            return pa.table({"id": pa.array([], kind), "neighbour": pa.array([], kind), "similarity": pa.array([], pa.float64())})
         one = lambda t, c: t.column(c).combine_chunks() if t.column(c).num_chunks != 1 else t.column(c).chunk(0)
-        x, y = _vectors(one(asking, "vec")), _vectors(one(held, "vec"))
-        s = (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None] + EPS)
-        s = np.round(s, digits) + 0.0
-        s[one(asking, "id").to_numpy(zero_copy_only=False)[:, None] == one(held, "id").to_numpy(zero_copy_only=False)[None]] = -np.inf
-        m = min(k, s.shape[1])
-        order = np.argsort(-s, axis=1, kind="stable")[:, :m]  # held is sorted by id
-        sim = np.take_along_axis(s, order, 1).ravel()
-        out = pa.table({"id": one(asking, "id").take(pa.array(np.repeat(np.arange(len(x)), m))), "neighbour": one(held, "id").take(pa.array(order.ravel())), "similarity": pa.array(sim)})
-        return out.filter(pa.array(np.isfinite(sim)))
+        ids = lambda t: one(t, "id").to_numpy(zero_copy_only=False)
+        best = Best(_vectors(one(asking, "vec")), ids(asking), _vectors(one(held, "vec")), ids(held), k, digits)
+        probed = one(asking, "lists")
+        row = np.repeat(np.arange(len(probed)), pc.list_value_length(probed).to_numpy(zero_copy_only=False))
+        to, of = probed.flatten().to_numpy(), held.column("list").to_numpy()
+        by_to, by_of = np.argsort(to, kind="stable"), np.argsort(of, kind="stable")
+        to, of, row = to[by_to], of[by_of], row[by_to]
+        for x in np.unique(of):
+            i, j = np.searchsorted(to, x, "left"), np.searchsorted(to, x, "right")
+            m, n = np.searchsorted(of, x, "left"), np.searchsorted(of, x, "right")
+            if i < j:
+                best.meet(row[i:j], by_of[m:n])
+        i, j, sim = best.found()
+        return pa.table({"id": one(asking, "id").take(pa.array(i)), "neighbour": one(held, "id").take(pa.array(j)), "similarity": pa.array(sim)})
 
     return run
 
@@ -96,8 +103,9 @@ def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int |
     neither fill a list nor hide other neighbours. Rows with a null id or vector
     are left out; a repeated id counts once per vector; no rows give none.
 
-    A row is sent to `probes` lists at most, in which it is compared with the
-    list's entries: the shuffle is linear in the rows. Lists longer than ROWS are
+    Lists are dealt to CELLS cells at most. A row goes to a cell once, with the
+    lists that it probes there, and is compared with these lists' entries: the
+    shuffle is linear in the rows, however many lists they probe. Large cells are
     compared in blocks, each pair of them a task's work. What is found is exact
     but for neighbours in lists not probed; probes = lists finds all.
     """
@@ -121,14 +129,22 @@ def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int |
     if ask is not None:
         wanted = rows.join(ask.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
         asking = put.join(wanted.select("vec").distinct(), "vec", "left_semi")
-    # a long list's rows and those that probe it are dealt to blocks
-    sizes = put.groupBy(F.col("lists")[0].alias("list")).agg(F.count("*").alias("_held")).join(asking.select(F.explode("lists").alias("list")).groupBy("list").agg(F.count("*").alias("_asking")), "list")
-    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("_held") / ROWS).cast("int").alias("_b"), F.ceil(F.col("_asking") / ROWS).cast("int").alias("_a")))  # a row per list
+    # lists share cells, to which a row goes once with the lists that it probes
+    # there; a large cell's rows and those that ask it are dealt to blocks
+    n_cells = min(lists, max(1, min(CELLS, -(-n // ROWS))))
+    cell = lambda c: F.pmod(F.hash(c), F.lit(n_cells))
+    right = put.select(cell(F.col("lists")[0]).alias("cell"), "id", "vec", F.col("lists")[0].alias("list"))
+    each_list = asking.select("id", "vec", F.transform("lists", lambda x: F.struct(cell(x).alias("cell"), x.alias("list"))).alias("_l"))
+    cells = each_list.select("id", "vec", "_l", F.explode(F.array_distinct("_l.cell")).alias("cell"))
+    left = cells.select("cell", "id", "vec", F.transform(F.filter("_l", lambda x: x["cell"] == F.col("cell")), lambda x: x["list"]).alias("lists"))
+    rows_at = max(ROWS, min(MOST_ROWS, -(-n // CELLS)))
+    sizes = right.groupBy("cell").agg(F.count("*").alias("_held")).join(left.groupBy("cell").agg(F.count("*").alias("_asking")), "cell")
+    sizes = F.broadcast(sizes.select("cell", F.ceil(F.col("_held") / (2 * rows_at)).cast("int").alias("_b"), F.ceil(F.col("_asking") / rows_at).cast("int").alias("_a")))  # a row per cell
     dealt = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = asking.select("id", "vec", F.explode("lists").alias("list")).join(sizes, "list").select("list", dealt("_a").alias("a"), each("_b").alias("b"), "id", "vec")
-    right = put.select("id", "vec", F.col("lists")[0].alias("list")).join(sizes, "list").select(F.col("list").alias("list"), each("_a").alias("a"), dealt("_b").alias("b"), F.col("id").alias("id"), F.col("vec").alias("vec"))
-    by = ["list", "a", "b"]
+    left = left.join(sizes, "cell").select("cell", dealt("_a").alias("a"), each("_b").alias("b"), "id", "vec", "lists")
+    right = right.join(sizes, "cell").select("cell", each("_a").alias("a"), dealt("_b").alias("b"), F.col("id").alias("id"), F.col("vec").alias("vec"), F.col("list").alias("list"))
+    by = ["cell", "a", "b"]
     arrow = put.select("id").limit(0).toArrow().schema.field("id").type
     found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_best_of_blocks(k, digits, arrow), f"id {kind}, neighbour {kind}, similarity double")
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")

@@ -4,7 +4,7 @@ import duckdb
 import numpy as np
 from oracle import assert_same
 
-from sieveline.operators import curate, graph, retrieval, vectors
+from sieveline.operators import curate, graph, neighbour_index, retrieval, vectors
 from sieveline.plans import registry
 
 Q, SQL = registry.queries(), registry.oracle_sql()
@@ -113,3 +113,13 @@ def test_calls_are_combined_before_they_are_resolved(spark):
     assert sorted((r.source, r.target, r.key) for r in edges.collect()) == [("a", "b", 0), ("b", "a", 0)]
     leaves = [x for x in edges.inputFiles() if "/uses-" in x]
     assert leaves and spark.read.parquet(*leaves).count() == 3
+
+
+def test_rows_go_to_a_cell_once_however_many_lists_they_probe(spark, monkeypatch):
+    """Probing all of 40 lists takes a row to 3 cells, not to 40 lists."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 4)))], "id long, v array<double>")
+    monkeypatch.setattr(neighbour_index, "CELLS", 3)
+    monkeypatch.setattr(neighbour_index, "ROWS", 64)
+    key = lambda d: sorted((r.id, r["rank"], r.neighbour, r.similarity) for r in d.collect())
+    assert key(neighbour_index.nearest_by_lists(df, "id", "v", 5, 40, 40)) == key(vectors.nearest(df, "id", "v", 5))
