@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -90,26 +91,44 @@ def archive_members(archives: DataFrame, wanted: str | None = None, most: int =
     to read; the rest of an archive is skipped."""
     ship(archives.sparkSession)
     cols = ["path", "content", *([wanted] if wanted else [])]
+    return archives.select(*cols).mapInArrow(_members(most, with_text), "instance_id string, path string, text string")
 
-    def run(parts: Iterator) -> Iterator:
-        import io
+
+#: Characters of members that leave a task at once.
+MEMBER_CHARS = 4 << 20
+
+
+def _members(most: int, with_text: bool):
+    """Archives (path, content, paths wanted) -> their members. One archive at a
+    time is opened, as it lies in its batch, and of a text no more than its first
+    characters is read; members leave in blocks of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tarfile
 
-        for pdf in parts:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                want = set(r[2]) if wanted and r[2] is not None else None
-                name = r[0].rsplit("/", 1)[-1].removesuffix(".tgz").removesuffix(".tar.gz").removesuffix(".tar")
-                with tarfile.open(fileobj=io.BytesIO(r[1])) as t:
+        schema = pa.schema([(c, pa.string()) for c in ("instance_id", "path", "text")])
+        rows, held = [], 0
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path = batch.column(0)[k].as_py()
+                want = batch.column(2)[k].as_py() if batch.num_columns > 2 else None
+                want = set(want) if want is not None else None
+                name = path.rsplit("/", 1)[-1].removesuffix(".tgz").removesuffix(".tar.gz").removesuffix(".tar")
+                with tarfile.open(fileobj=pa.BufferReader(batch.column(1)[k].as_buffer())) as t:
                     for m in t:
                         p = m.name.removeprefix("./")
                         if not m.isfile() or want is not None and p not in want:
                             continue
-                        text = t.extractfile(m).read().decode("utf-8", "replace")[:most] if with_text else None
-                        rows.append((name, p, text))
-            yield pd.DataFrame(rows, columns=["instance_id", "path", "text"])
-
-    return archives.select(*cols).mapInPandas(run, "instance_id string, path string, text string")
+                        text = t.extractfile(m).read(4 * most).decode("utf-8", "replace")[:most] if with_text else None
+                        rows.append({"instance_id": name, "path": p, "text": text})
+                        held += 200 + len(text or "")
+                        if held > MEMBER_CHARS:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return run
 
 
 def releases(index: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from oracle import assert_same
 
 from sieveline.operators import curate, graph, neighbour_index, retrieval, vectors
 from sieveline.plans import registry
+from sieveline.sources import readers
 
 Q, SQL = registry.queries(), registry.oracle_sql()
 
@@ -123,3 +125,19 @@ def test_rows_go_to_a_cell_once_however_many_lists_they_probe(spark, monkeypatch
     monkeypatch.setattr(neighbour_index, "ROWS", 64)
     key = lambda d: sorted((r.id, r["rank"], r.neighbour, r.similarity) for r in d.collect())
     assert key(neighbour_index.nearest_by_lists(df, "id", "v", 5, 40, 40)) == key(vectors.nearest(df, "id", "v", 5))
+
+
+def test_archive_members_leave_in_bounded_blocks(monkeypatch):
+    import io
+    import tarfile
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as t:
+        for k in range(30):
+            m = tarfile.TarInfo(f"./m{k}")
+            m.size = 100
+            t.addfile(m, io.BytesIO("é".encode() * 50))
+    monkeypatch.setattr(readers, "MEMBER_CHARS", 1000)
+    batch = pa.RecordBatch.from_pylist([{"path": f"/x/{n}.tgz", "content": out.getvalue()} for n in "ab"])
+    got = list(readers._members(7, True)(iter([batch])))
+    assert max(b.num_rows for b in got) <= 5 and [r for b in got for r in b.to_pylist()] == [{"instance_id": n, "path": f"m{k}", "text": "é" * 7} for n in "ab" for k in range(30)]
