@@ -15,16 +15,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
 from ..sources.readers import parquet_or_none
-from .retrieval import K1, B, ranked, sized
+from .retrieval import BROADCAST_ROWS, K1, MOST_PARTS, MOST_TARGETS, PAIRS, B, counted, ranked, sized
 
 #: Postings of a block; folders by token; documents to a salt, which bounds the
 #: postings of a token that are sorted in one task.
 BLOCK, PARTS, SALTED = 128, 64, 1_000_000
+#: Words of new documents to a partition in which their postings are sorted.
+POSTINGS = 2_000_000
 #: Documents per query that are scored exactly to learn what a score must reach.
 SEEDS = 4
 #: Scores are compared after rounding to 6 digits: what a bound may fall short.
@@ -45,6 +47,8 @@ def _docs(spark: SparkSession, path: str, kind: str) -> DataFrame:
 def append(docs: DataFrame, path: str, doc_id: str, tokens: str) -> int:
     """Index the documents that the index does not hold yet; returns how many.
 
+    Ids are compared without texts, and words are counted where their text lies.
+
     docs: an id and an array of tokens (null: none). Of repeated ids one row is
     taken, the one with the most tokens, ties by their order as text. Null ids
     are left out. Postings are written before the list of documents, into the
@@ -55,21 +59,34 @@ def append(docs: DataFrame, path: str, doc_id: str, tokens: str) -> int:
     kind = docs.schema[doc_id].dataType.simpleString()
     have = _docs(spark, path, kind)
     toks = F.coalesce(F.col(tokens), F.array().cast("array<string>"))
-    new = docs.select(F.col(doc_id).alias("doc_id"), toks.alias("t")).where("doc_id is not null").join(have.select("doc_id"), "doc_id", "left_anti")
-    new = new.groupBy("doc_id").agg(F.max_by("t", F.struct(F.size("t"), F.xxhash64("t"))).alias("t"))
-    new = stored(new.withColumn("len", F.size("t").cast("long")), "new_docs")
-    n, avg = new.agg(F.count("*"), F.avg("len")).first()
+    new = docs.select(F.col(doc_id).alias("doc_id"), toks.alias("t")).where("doc_id is not null")
+    ids = stored(new.groupBy("doc_id").agg(F.count("*").alias("n")).join(have.select("doc_id"), "doc_id", "left_anti"), "new_ids")
+    n, most = ids.agg(F.count("*"), F.max("n")).first()
     if not n:
         return 0
-    batch = (have.agg(F.max("batch")).first()[0] or 0) + 1
-    salts = -(-n // SALTED)
-    c = new.select("doc_id", "len", F.explode("t").alias("token")).groupBy("token", "doc_id").agg(F.count("*").alias("c"), F.first("len").alias("len"))
-    c = c.withColumns({"salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "_w": F.col("c") / (F.col("c") + K1 * (1 - B + B * F.col("len") / F.lit(max(avg, 1e-9))))})
-    no = F.row_number().over(Window.partitionBy("token", "salt").orderBy(F.desc("_w"), "doc_id"))
-    blocks = c.withColumn("block", F.floor((no - 1) / BLOCK)).groupBy("token", "salt", "block").agg(F.count("*").alias("n"), F.max("c").alias("most"), F.min("len").alias("least"), F.max("_w").alias("w"), F.collect_list(F.struct("doc_id", "c", "len")).alias("postings"))
-    blocks = blocks.withColumns({"avg": F.lit(float(avg)), "part": _part(F.col("token"))})
-    blocks.repartition("part", "salt").sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
-    new.select("doc_id", "len").write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
+    last = have.agg(F.max("batch")).first()[0] or 0
+    if last:
+        new = new.join(sized(ids.select("doc_id"), MOST_TARGETS), "doc_id", "left_semi")
+    if most > 1:  # only repeated ids' texts meet
+        again = sized(ids.where("n > 1").select("doc_id"), MOST_TARGETS)
+        best = new.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("t", F.struct(F.size("t"), F.xxhash64("t"))).alias("t"))
+        new = new.join(again, "doc_id", "left_anti").unionByName(best)
+    new = new.withColumn("len", F.size("t").cast("long"))
+    lens = stored(new.select("doc_id", "len"), "new_docs")
+    avg, words = lens.agg(F.avg("len"), F.sum("len")).first()
+    batch = last + 1
+    # a token's postings of a salt lie in one partition, which is all that their
+    # blocks and the folders ask for: postings are shuffled once
+    salts, parts = -(-n // SALTED), max(spark.sparkContext.defaultParallelism, min(MOST_PARTS, -(-words // POSTINGS)))
+    c = counted(new, "t", ["doc_id", "len"])
+    place = {"part": _part(F.col("token")), "salt": F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"), "fold": F.pmod(F.hash("token"), F.lit(-(-parts // (PARTS * salts))))}
+    c = c.withColumns(place).repartition(parts, *place)
+    c = c.withColumn("_w", F.col("c") / (F.col("c") + K1 * (1 - B + B * F.col("len") / F.lit(max(avg, 1e-9)))))
+    no = F.row_number().over(Window.partitionBy(*place, "token").orderBy(F.desc("_w"), "doc_id"))
+    blocks = c.withColumn("block", F.floor((no - 1) / BLOCK)).groupBy(*place, "token", "block").agg(F.count("*").alias("n"), F.max("c").alias("most"), F.min("len").alias("least"), F.max("_w").alias("w"), F.collect_list(F.struct("doc_id", "c", "len")).alias("postings"))
+    blocks = blocks.withColumn("avg", F.lit(float(avg))).drop("fold")
+    blocks.sortWithinPartitions("part", "token").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings/batch={batch}")
+    lens.write.mode("overwrite").parquet(f"{path}/docs/batch={batch}")
     return n
 
 
@@ -99,10 +116,13 @@ def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, to
     formed only from blocks where this reaches far enough. Pairs whose sum and
     the closed blocks' bounds stay below it go before the rest is scored. No
     step drops a document that could be among the k best.
+
+    Postings are shuffled by document, a row each, and pairs are formed and added
+    up where they then lie. The pairs left are sent to the postings if they are
+    few; else all postings of the queries' tokens are added up by document.
     """
     docs = _docs(spark, path, kind)
-    corpus_n, avg = docs.agg(F.count("*"), F.avg("len")).first()
-    last = docs.agg(F.max("batch")).first()[0] or 0
+    corpus_n, avg, last = docs.agg(F.count("*"), F.avg("len"), F.coalesce(F.max("batch"), F.lit(0))).first()
     q = stored(queries.select(F.col(query_id).alias("q"), F.explode(F.array_distinct(tokens)).alias("token")).where("q is not null and token is not null").distinct(), "query_tokens")
     vocab = q.select("token").distinct()
     out = spark.createDataFrame([], f"q {q.schema['q'].dataType.simpleString()}, doc_id {kind}, score double, rank int").withColumnRenamed("q", query_id)
@@ -112,45 +132,56 @@ def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, to
     index = spark.read.schema(_POSTINGS.format(kind=kind)).parquet(f"{path}/postings").where((F.col("batch") <= last) & F.col("part").isin(parts))
     # what bounds need: no postings are read yet
     weight = lambda c, n: (K1 + 1) * c / (c + K1 * (1 - B + B * n / F.lit(max(avg, 1e-9))))
-    block = ["token", "batch", "salt", "block"]
-    meta = index.select(*block, "n", "most", "least", "w", "avg").join(sized(vocab), "token")
-    known = meta.groupBy("token").agg(F.sum("n").alias("df"))
-    meta = meta.join(sized(known), "token")
     # a weight grows with the mean length, at most in proportion
     then = (K1 + 1) * F.col("w") * F.greatest(F.lit(1.0), F.lit(avg) / F.col("avg"))
-    meta = meta.withColumn("w", F.least(weight(F.col("most"), F.col("least")), then))
-    idf = F.log1p((F.lit(corpus_n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    meta = stored(meta.select(*block, "n", "df", idf.alias("idf"), (F.col("w") * idf).alias("bound")), "blocks")
+    bound = (F.least(weight(F.col("most"), F.col("least")), then) * F.col("idf")).alias("bound")
+    block = ["token", "batch", "salt", "block"]
+    meta = index.select(*block, "n", "most", "least", "w", "avg").join(sized(vocab), "token")
+    df = F.col("df")
+    idf = F.log1p((F.lit(corpus_n) - df + 0.5) / (df + 0.5))
+    known = stored(meta.groupBy("token").agg(F.sum("n").alias("df")).select("token", "df", idf.alias("idf")), "known")
+    if known.isEmpty():
+        return Searched(out, 0, 0, 0, 0, 0)
+    meta = stored(meta.join(sized(known), "token").select(*block, "n", "df", "idf", bound), "blocks")
     top = meta.groupBy("token").agg(F.max("bound").alias("top"), F.first("idf").alias("idf"), F.first("df").alias("df"))
     terms = stored(q.join(top, "token"), "terms")
-    part = (F.col("idf") * weight(F.col("_p.c"), F.col("_p.len"))).alias("add")
+    add = F.sum(F.col("idf") * weight(F.col("c"), F.col("len"))).alias("s")
 
-    def added(chosen: DataFrame) -> DataFrame:
-        """Rows (q, doc_id, token, add) of chosen blocks (q, idf and a block's key)."""
-        return sized(chosen).join(index, block).select("q", "token", "idf", F.explode("postings").alias("_p")).select("q", "token", F.col("_p.doc_id").alias("doc_id"), part)
+    def exploded(blocks: DataFrame, *columns: str | Column) -> DataFrame:
+        return blocks.select(*columns, F.explode("postings").alias("_p")).select(*blocks.select(*columns).columns, "_p.*")
 
-    def asked(pairs: DataFrame, of: DataFrame) -> DataFrame:
-        """What the tokens `of` add to given pairs (q, doc_id)."""
-        want = pairs.select("q", "doc_id").join(of.select("q", "token", "idf"), "q")
-        have = index.join(sized(of.select("token").distinct()), "token").select("token", F.explode("postings").alias("_p")).select("token", F.col("_p.doc_id").alias("doc_id"), "_p")
-        return sized(want).join(have, ["token", "doc_id"]).select("q", "doc_id", "token", part)
+    def asked(pairs: DataFrame) -> DataFrame:
+        """The scores s of given pairs (q, doc_id)."""
+        have = exploded(index.join(sized(known.select("token")), "token"), "token")
+        return have.join(sized(pairs), "doc_id").join(sized(terms.select("q", "token", "idf")), ["q", "token"]).groupBy("q", "doc_id").agg(add)
 
     first = meta.groupBy("token").agg(F.max_by(F.struct("batch", "salt", "block"), F.struct("bound", "batch", "salt", "block")).alias("_b")).select("token", "_b.*")
-    seen = added(terms.join(first, "token").select("q", "idf", *block)).groupBy("q", "doc_id").agg(F.sum("add").alias("s"))
+    chosen = stored(terms.join(first, "token").select("q", "idf", *block), "first_blocks")
+    seen = exploded(sized(chosen).join(index, block), "q", "idf").groupBy("q", "doc_id").agg(add)
     seeds = stored(ranked(seen, ["q"], "s", ["doc_id"], "no", SEEDS * k).select("q", "doc_id"), "seeds")
-    exact = asked(seeds, terms).groupBy("q", "doc_id").agg(F.sum("add").alias("s"))
-    reach = ranked(exact, ["q"], "s", ["doc_id"], "no", k).where(F.col("no") == k).select("q", (F.col("s") - SLACK).alias("reach"))
+    reach = stored(ranked(asked(seeds), ["q"], "s", ["doc_id"], "no", k).where(F.col("no") == k).select("q", (F.col("s") - SLACK).alias("reach")), "reach")
     # a document is looked for by the last of its tokens in this order: the ones
     # before it are all that it can have besides
     before = F.sum("top").over(Window.partitionBy("q").orderBy(F.col("top") / F.col("df"), "token")) - F.col("top")
     terms = stored(terms.join(reach, "q", "left").withColumns({"before": before, "reach": F.coalesce("reach", F.lit(0.0))}), "terms")
-    judged = terms.select("q", "token", "idf", "before", "reach").join(meta.drop("idf", "df"), "token").withColumn("open", F.col("bound") + F.col("before") >= F.col("reach"))
-    judged = stored(judged, "judged")
-    paired = judged.where("open")
-    per = judged.where("not open").groupBy("q", "token").agg(F.max("bound").alias("b")).groupBy("q").agg(F.sum("b").alias("rest"))
-    pairs = stored(added(paired.select("q", "idf", *block)).groupBy("q", "doc_id").agg(F.sum("add").alias("s")), "pairs")
-    left = pairs.join(reach, "q", "left").join(per, "q", "left").where("reach is null or s + coalesce(rest, 0) >= reach").select("q", "doc_id")
-    total = asked(stored(left, "left"), terms).groupBy("q", "doc_id").agg(F.round(F.sum("add"), digits).alias("score"))
+    by_query = sized(terms.select("q", "token", "idf", "before", "reach"))
+    is_open = F.col("bound") + F.col("before") >= F.col("reach")
+    per = stored(meta.drop("idf", "df").join(by_query, "token").where(~is_open).groupBy("q", "token").agg(F.max("bound").alias("b")).groupBy("q").agg(F.sum("b").alias("rest")), "rest")
+    # blocks that are open to some query; SLACK, as a difference may round
+    some = sized(stored(terms.groupBy("token").agg(F.first("idf").alias("idf"), (F.min(F.col("reach") - F.col("before")) - SLACK).alias("least_bound")), "open"))
+    # their postings meet by document, once; pairs are formed and added up there
+    spread = max(spark.sparkContext.defaultParallelism, min(MOST_PARTS, -(-corpus_n * terms.select("q").distinct().count() // PAIRS)))
+    posted = exploded(index.join(some, "token").withColumn("bound", bound).where("bound >= least_bound"), "token", "bound").repartition(spread, "doc_id")
+    seen_pairs = Observation()
+    pairs = posted.join(by_query, "token").where(is_open).groupBy("q", "doc_id").agg(add).observe(seen_pairs, F.count(F.lit(1)).alias("n"))
+    able = lambda pairs, most: pairs.join(sized(reach), "q", "left").where(F.col("reach").isNull() | (most >= F.col("reach")))
+    left = stored(able(pairs.join(sized(per), "q", "left"), F.col("s") + F.coalesce("rest", F.lit(0.0))).select("q", "doc_id"), "left")
+    if left.count() <= BROADCAST_ROWS:
+        total = asked(left)
+    else:
+        whole = exploded(index.join(sized(known.select("token")), "token"), "token").repartition(spread, "doc_id")
+        total = able(whole.join(by_query, "token").groupBy("q", "doc_id").agg(add), F.col("s"))
+    total = total.select("q", "doc_id", F.round("s", digits).alias("score"))
     rows = ranked(total, ["q"], "score", ["doc_id"], k=k).select(F.col("q").alias(query_id), "doc_id", "score", "rank")
     count = lambda d: tuple(int(x or 0) for x in d.agg(F.count("*"), F.sum("n")).first())
-    return Searched(rows, *count(meta), *count(paired.select(*block, "n").distinct()), pairs.count())
+    return Searched(rows, *count(meta), *count(meta.drop("idf").join(some, "token").where("bound >= least_bound")), seen_pairs.get["n"])

@@ -30,6 +30,18 @@ def document_frequency(docs: DataFrame, id_col: str, toks: Column) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(F.array_distinct(toks)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
+def counted(docs: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
+    """A row (keep, token, c) per distinct token of a document, counted where its
+    text lies: tokens are sorted in the row, and counts are the distances between
+    the places where a new one begins. No row leaves its partition for that."""
+    # behind generators, else each step would be repeated in every expression over it
+    s = docs.select(*keep, F.explode(F.array(F.sort_array(F.array_compact(tokens)))).alias("_s")).where(F.size("_s") > 0)
+    starts = F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2)))
+    s = s.select(*keep, "_s", F.explode(F.array(starts)).alias("_b"))
+    runs = F.transform("_b", lambda p, i: F.struct(F.get("_s", p - 1).alias("token"), (F.coalesce(F.get("_b", i + 1), F.size("_s") + 1) - p).cast("long").alias("c")))
+    return s.select(*keep, F.explode(runs).alias("_r")).select(*keep, "_r.*")
+
+
 def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_tokens: str, query_id: str, query_tokens: str, digits: int = 6) -> DataFrame:
     """Scores of all (query, document) pairs that share a token, within `by`.
 

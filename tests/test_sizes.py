@@ -1,11 +1,13 @@
 """What larger tables showed: keys past a million, work that grows faster than the input."""
 
+import re
+
 import duckdb
 import numpy as np
 import pyarrow as pa
 from oracle import assert_same
 
-from sieveline.operators import curate, graph, neighbour_index, retrieval, vectors
+from sieveline.operators import bm25_index, curate, graph, neighbour_index, retrieval, vectors
 from sieveline.plans import registry
 from sieveline.sources import readers
 
@@ -141,3 +143,24 @@ def test_archive_members_leave_in_bounded_blocks(monkeypatch):
     batch = pa.RecordBatch.from_pylist([{"path": f"/x/{n}.tgz", "content": out.getvalue()} for n in "ab"])
     got = list(readers._members(7, True)(iter([batch])))
     assert max(b.num_rows for b in got) <= 5 and [r for b in got for r in b.to_pylist()] == [{"instance_id": n, "path": f"m{k}", "text": "é" * 7} for n in "ab" for k in range(30)]
+
+
+def test_words_are_counted_where_their_text_lies(spark):
+    docs = [(1, ["b", "a", "b", "", "a", "b"]), (2, []), (3, None), (4, ["x"]), (5, [None, "é", "é"])]
+    df = retrieval.counted(spark.createDataFrame(docs, "d long, t array<string>"), "t", ["d"])
+    assert sorted(map(tuple, df.collect())) == [(1, "", 1), (1, "a", 2), (1, "b", 3), (4, "x", 1), (5, "é", 2)]
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_the_index_stay_where_the_document_is(spark, tmp_path, monkeypatch):
+    """Many pairs that bounds leave are added up by document, not shuffled one by one."""
+    docs = spark.createDataFrame([(k, [f"w{k % 7}", f"w{k % 5}", "w1"]) for k in range(60)], "doc long, t array<string>")
+    queries = spark.createDataFrame([(k, [f"w{k}", "w1"]) for k in range(6)], "q long, t array<string>")
+    path = f"file://{tmp_path}/ix"
+    bm25_index.append(docs, path, "doc", "t")
+    monkeypatch.setattr(bm25_index, "BROADCAST_ROWS", 0)
+    rows = bm25_index.search(spark, path, queries, "q", "t", 10).rows
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "doc_id#" in plan and not re.search(r"hashpartitioning\(q#\d+L?, doc_id#", plan) and "REPARTITION_BY_NUM" in plan
+    want = retrieval.ranked(retrieval.bm25(docs, queries, [], "doc", "t", "q", "t"), ["q"], "score", ["doc"], k=10)
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select("q", "doc", "score", "rank").collect()))
