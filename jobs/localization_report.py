@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from sieveline.functions import text as T
 from sieveline.operators import bm25_index, retrieval
+from sieveline.session import stored
 from sieveline.sources.readers import parquet_or_none
 
 from . import common
@@ -48,11 +49,12 @@ def run(spark: SparkSession, documents: str, queries: str, out: str, settings: d
     kind = docs.schema[doc].dataType.simpleString()
     found = bm25_index.search(spark, f"{out}/index", asked.select(item, T.tokens(F.col(text)).alias("t")), item, "t", c["k"], kind=kind)
     log.info("search: %d blocks of %d, %d postings of %d, %d pairs", found.blocks_paired, found.blocks, found.postings_paired, found.postings, found.pairs)
-    ranks = found.rows.withColumnRenamed("doc_id", doc)
-    targets = retrieval.holding(docs, asked.select(item, F.col(text).alias("_asked")), doc, text, item, "_asked")
+    # both are read several times below
+    ranks = stored(found.rows.withColumnRenamed("doc_id", doc), "ranks")
+    targets = stored(retrieval.holding(docs, asked.select(item, F.col(text).alias("_asked")), doc, text, item, "_asked"), "targets")
     hits = ranks.join(targets.withColumn("is_target", F.lit(True)), [item, doc], "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
     first = retrieval.first_hits(ranks, targets, [item], doc)
-    groups = docs.where(F.col(doc).isNotNull()).groupBy(doc).agg(F.min(group).alias(group))
+    groups = docs.join(retrieval.sized(ranks.select(doc).distinct()), doc, "left_semi").groupBy(doc).agg(F.min(group).alias(group))
     report = hits.join(first, item, "left").join(groups, doc, "left")
     names = [f.split()[0] for f in ranks_schema(docs, asked, c).split(", ")]
     report = report.withColumns({"n_targets": F.coalesce("n_targets", F.lit(0)), "first_rank": F.coalesce("first_rank", F.lit(0))}).select(*names)

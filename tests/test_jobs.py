@@ -10,6 +10,7 @@ from oracle import TABLES, assert_same, connect
 from pyspark.sql import functions as F
 
 from jobs import common, episode_outcomes, localization_report, queries
+from sieveline import session
 from sieveline.streaming import incremental
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -69,6 +70,16 @@ def test_report_of_growing_documents(spark, sf, tmp_path):
     assert sorted(os.listdir(tmp_path / "out/index/docs")) == files and len([f for f in files if f.startswith("batch=")]) == 2
 
 
+def test_report_keeps_ranks_and_targets_that_it_reads_often(spark, tmp_path, monkeypatch):
+    kept = []
+    monkeypatch.setattr(localization_report, "stored", lambda df, tag: kept.append(tag) or session.stored(df, tag), raising=False)
+    spark.createDataFrame([(k, f"some words of text w{chr(97 + k)} here", "en") for k in range(20)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/d")
+    spark.createDataFrame([(7, "words of text wh here")], "item_id long, text string").write.parquet(f"{tmp_path}/q")
+    back = localization_report.run(spark, f"file://{tmp_path}/d", f"file://{tmp_path}/q", f"file://{tmp_path}/out", {"k": 2})
+    assert kept == ["ranks", "targets"]
+    assert sorted((r.doc_id, r["rank"], r.is_target, r.n_targets, r.first_rank, r.lang) for r in back.collect()) == [(0, 2, False, 1, 1, "en"), (7, 1, True, 1, 1, "en")]
+
+
 EVENT = "k long, no long, what string"
 
 
