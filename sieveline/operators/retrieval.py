@@ -42,7 +42,7 @@ def counted(docs: DataFrame, tokens: str, keep: list[str]) -> DataFrame:
     return s.select(*keep, F.explode(runs).alias("_r")).select(*keep, "_r.*")
 
 
-def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_tokens: str, query_id: str, query_tokens: str, digits: int = 6) -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_tokens: str, query_id: str, query_tokens: str, digits: int = 6, within: list[str] | None = None) -> DataFrame:
     """Scores of all (query, document) pairs that share a token, within `by`.
 
     docs: by, doc_id, array of tokens; queries likewise; a query's distinct
@@ -54,23 +54,26 @@ def bm25(docs: DataFrame, queries: DataFrame, by: list[str], doc_id: str, doc_to
     come from a separate aggregate over sizes. If the weights are broadcast, a
     document's pairs are formed and added up where its tokens lie and leave it
     nowhere: the result is partitioned by document, PAIRS pairs to a partition.
+    `within` names columns of docs, such as a document's file, that the result
+    keeps and is partitioned by instead, so that what belongs together meets.
     """
+    own = [*(within or []), doc_id]
     q = queries.select(*by, query_id, F.explode(F.array_distinct(query_tokens)).alias("token"))
     # neither the vocabulary nor the weights have more rows than the queries' tokens,
     # or more than the weights' few numbers beside each
     n, size = q.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.octet_length("token") + 64)).first()
     hint = F.broadcast if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else lambda df: df
     vocab = hint(q.select(*by, "token").distinct())
-    d = docs.select(*by, doc_id, doc_tokens, F.size(doc_tokens).alias("_len"))
+    d = docs.select(*by, *own, doc_tokens, F.size(doc_tokens).alias("_len"))
     corpus = d.groupBy(*by).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     parts = max(docs.sparkSession.sparkContext.defaultParallelism, min(MOST_PARTS, -(-docs.count() * queries.count() // PAIRS)))
-    tf = d.select(*by, doc_id, "_len", F.explode(doc_tokens).alias("token")).join(vocab, [*by, "token"]).repartition(parts, *by, doc_id)
-    tf = tf.groupBy(*by, doc_id, "token").agg(F.count("*").alias("_c"), F.first("_len").alias("_len"))
+    tf = d.select(*by, *own, "_len", F.explode(doc_tokens).alias("token")).join(vocab, [*by, "token"]).repartition(parts, *by, *(within or [doc_id]))
+    tf = tf.groupBy(*by, *own, "token").agg(F.count("*").alias("_c"), F.first("_len").alias("_len"))
     df = tf.groupBy(*by, "token").agg(F.count("*").alias("_df"))
     weights = q.join(df, [*by, "token"])
     weights = (weights.join(corpus, by) if by else weights.crossJoin(F.broadcast(corpus))).withColumn("_idf", F.log1p((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5)))
     part = F.col("_idf") * F.col("_c") * (K1 + 1) / (F.col("_c") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    return tf.join(hint(weights), [*by, "token"]).groupBy(*by, query_id, doc_id).agg(F.round(F.sum(part), digits).alias("score"))
+    return tf.join(hint(weights), [*by, "token"]).groupBy(*by, query_id, *own).agg(F.round(F.sum(part), digits).alias("score"))
 
 
 def ranked(df: DataFrame, by: list[str], score: str, tie: list[str], name: str = "rank", k: int | None = None) -> DataFrame:
@@ -98,6 +101,21 @@ def rerank(scores: DataFrame, adjacency: DataFrame, by: list[str], node: str, sc
     return out.withColumn(score, F.coalesce(score, F.lit(0.0)) + weight * F.coalesce("_near", F.lit(0.0))).drop("_near")
 
 
+def rerank_within(scores: DataFrame, adjacency: DataFrame, by: list[str], within: list[str], node: str, score: str = "score", weight: float = NEIGHBOUR) -> DataFrame:
+    """rerank() for scores that are partitioned by `within` (see bm25) and edges
+    that don't leave it: adjacency has within, node, other.
+
+    A score goes, beside its node, to the node's neighbours, whose list it has
+    been given by a broadcast or one join; what a node gets is added up where it
+    lies. No pair of a query and a node is shuffled."""
+    lists = sized(stored(adjacency.groupBy(*within, F.col("node").alias(node)).agg(F.collect_list("other").alias("_others")), "neighbours"), MOST_TARGETS)
+    near = F.transform(F.coalesce("_others", F.array().cast(lists.schema["_others"].dataType)), lambda o: F.struct(o.alias("to"), F.lit(None).cast("double").alias("own"), F.col(score).alias("near")))
+    sent = F.concat(F.array(F.struct(F.col(node).alias("to"), F.col(score).alias("own"), F.lit(None).cast("double").alias("near"))), near)
+    got = scores.join(lists, [*within, node], "left").select(*by, *within, F.explode(sent).alias("_g")).select(*by, *within, F.col("_g.to").alias(node), "_g.own", "_g.near")
+    out = got.groupBy(*by, *within, node).agg(F.max("own").alias("own"), F.max("near").alias("near"))
+    return out.select(*by, *within, node, (F.coalesce("own", F.lit(0.0)) + weight * F.coalesce("near", F.lit(0.0))).alias(score))
+
+
 def prefix_file_map(nodes: DataFrame, files: DataFrame, by: list[str], node: str, path: str, most: int = 6, sep: str = ".", suffixes: tuple[str, ...] = (".py", "/__init__.py")) -> DataFrame:
     """The file of a dotted name: its longest prefix (of at most `most` parts)
     that is a file, a module before a package. Candidates are made per node and

@@ -93,13 +93,13 @@ def graph_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("node"), T.tokens(F.col("text")).alias("t"))
     q = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("t"))
-    s = R.bm25(c, q, [], "node", "t", "item_id", "t")
+    s = R.bm25(c, q, [], "node", "t", "item_id", "t", within=["conv_id"])
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("node").alias("target"))
-    edges = c.select("conv_id", "turn", F.col("node").alias("source")).join(nxt, ["conv_id", "turn"]).select("source", "target")
-    g = R.rerank(s, R.undirected(edges, []), ["item_id"], "node")
+    edges = c.select("conv_id", "turn", F.col("node").alias("source")).join(nxt, ["conv_id", "turn"]).select("conv_id", "source", "target")
+    g = R.rerank_within(s, R.undirected(edges, ["conv_id"]), ["item_id"], ["conv_id"], "node")
     # half of a sixth digit is often a tie at the fifth: scaled first, as SQL rounds
     top = F.round(F.greatest(F.lit(0.0), F.max("score")) * 1e5) / 1e5
-    f = g.withColumn("conv_id", F.substring_index("node", ":", 1).cast("long")).groupBy("item_id", "conv_id").agg(top.alias("score"))
+    f = g.groupBy("item_id", "conv_id").agg(top.alias("score"))
     return R.ranked(f, ["item_id"], "score", ["conv_id"], k=10).select("item_id", "conv_id", "score", "rank")
 
 

@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 from oracle import assert_same
+from pyspark.sql import functions as F
 
 from sieveline.operators import bm25_index, curate, graph, neighbour_index, retrieval, vectors
 from sieveline.plans import registry
@@ -164,3 +165,15 @@ def test_pairs_of_the_index_stay_where_the_document_is(spark, tmp_path, monkeypa
     assert "doc_id#" in plan and not re.search(r"hashpartitioning\(q#\d+L?, doc_id#", plan) and "REPARTITION_BY_NUM" in plan
     want = retrieval.ranked(retrieval.bm25(docs, queries, [], "doc", "t", "q", "t"), ["q"], "score", ["doc"], k=10)
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, want.select("q", "doc", "score", "rank").collect()))
+
+
+def test_neighbours_of_a_file_are_added_where_its_scores_lie(spark):
+    """As rerank(), but no pair of a query and a node is shuffled."""
+    docs = spark.createDataFrame([(k % 4, k, [f"w{k % 7}", f"w{k % 5}"]) for k in range(40)], "file long, node long, t array<string>")
+    queries = spark.createDataFrame([(k, [f"w{k}"]) for k in range(4)], "q long, t array<string>")
+    adj = retrieval.undirected(spark.createDataFrame([(k % 4, k, k + 4) for k in range(36)], "file long, source long, target long"), ["file"])
+    got = retrieval.rerank_within(retrieval.bm25(docs, queries, [], "node", "t", "q", "t", within=["file"]), adj, ["q"], ["file"], "node").groupBy("q", "file").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(q#" not in plan and "REPARTITION_BY_NUM" in plan
+    want = retrieval.rerank(retrieval.bm25(docs, queries, [], "node", "t", "q", "t"), adj.drop("file"), ["q"], "node").withColumn("file", F.col("node") % 4).groupBy("q", "file").agg(F.max("score").alias("score"), F.count("*").alias("n"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect())) and got.count() == 16
