@@ -130,6 +130,50 @@ def test_rows_go_to_a_cell_once_however_many_lists_they_probe(spark, monkeypatch
     assert key(neighbour_index.nearest_by_lists(df, "id", "v", 5, 40, 40)) == key(vectors.nearest(df, "id", "v", 5))
 
 
+def test_what_a_row_carries_does_not_grow_with_the_lists(spark, monkeypatch):
+    """Rows that probe 150 of 200 lists are stored without them, whether the number
+    of probes is given or measured; they find what these lists hold."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    ask, centre = df.where("id % 20 = 0"), rng.normal(size=(200, 6))
+    monkeypatch.setattr(neighbour_index, "CELLS", 3)
+    monkeypatch.setattr(neighbour_index, "ROWS", 64)
+    longest, stored = [], neighbour_index.stored
+
+    def noted(d, tag):
+        out = stored(d, tag)
+        longest.extend(out.agg(*[F.max(F.size(c)) for c, kind in out.dtypes if kind.startswith("array")]).first())
+        return out
+
+    monkeypatch.setattr(neighbour_index, "stored", noted)
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    close, all_pairs = unit(x) @ unit(centre).T, np.round(unit(x) @ unit(x).T, 6)
+    own = close.argmax(1)
+    for probes in (1, 7, 150):
+        got = {}
+        for r in neighbour_index.nearest_by_lists(df, "id", "v", 5, probes, 200, ask, centre=unit(centre)).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.neighbour))
+        for i in range(0, 900, 20):
+            there = np.flatnonzero(np.isin(own, np.argsort(-close[i])[:probes]) & (np.arange(900) != i))
+            best = there[np.lexsort((there, -all_pairs[i, there]))][:5]
+            assert [j for _, j in sorted(got.get(i, []))] == best.tolist()
+    neighbour_index.nearest_by_lists(df, "id", "v", 5, None, 200, ask, centre=unit(centre)).collect()
+    assert max(longest) <= 6
+
+
+def test_centroids_are_compared_in_bounded_pieces(spark):
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4096, 4)))], "id long, v array<double>")
+    tracemalloc.start()
+    centre = neighbour_index.fit_centroids(df, "id", "v", 4000, rounds=1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert centre.shape == (4000, 4) and most < 64 << 20
+
+
 def test_archive_members_leave_in_bounded_blocks(monkeypatch):
     import io
     import tarfile
