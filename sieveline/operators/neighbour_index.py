@@ -120,14 +120,27 @@ def _best_of_blocks(k: int, digits: int, kind: pa.DataType, centre_of):
     return run
 
 
-def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int | None = None, lists: int | None = None, ask: DataFrame | None = None, digits: int = 6, reach: float = REACH, centre: np.ndarray | None = None) -> DataFrame:
+def _rows(df: DataFrame, id_col: str, vec: str) -> DataFrame:
+    return df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+
+
+def entries(df: DataFrame, id_col: str, vec: str, k: int) -> DataFrame:
+    """Equal vectors as one: vec, its smallest id, its k + 1 smallest ids (found in
+    salted parts); stored, for several searches of the same k."""
+    dealt = _rows(df, id_col, vec).distinct().withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
+    few = lambda d, *by: d.withColumn("_no", F.row_number().over(Window.partitionBy("vec", *by).orderBy("id"))).where(F.col("_no") <= k + 1).drop("_no")
+    return stored(few(few(dealt, "_part")).groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+
+
+def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int | None = None, lists: int | None = None, ask: DataFrame | None = None, digits: int = 6, reach: float = REACH, centre: np.ndarray | None = None, some: DataFrame | None = None) -> DataFrame:
     """k nearest other rows by cosine, found in the `probes` lists closest to a
     row: id, neighbour, similarity, rank, in the form of vectors.nearest().
 
     Every row is in one list, that of its closest centroid; `lists` of them, by
     default one per LIST rows. Without `probes` their number is measured: the
     least that finds the share `reach` of the exact neighbours of a sample (see
-    probes_for). centre: centroids fitted before. ask: the rows to answer, by default all of df.
+    probes_for). centre: centroids fitted before. ask: the rows to answer, by default
+    all of df. some: entries() of df made before.
     Equal vectors are one entry that stands for its k + 1 smallest ids, so copies
     neither fill a list nor hide other neighbours. Rows with a null id or vector
     are left out; a repeated id counts once per vector; no rows give none.
@@ -143,18 +156,15 @@ def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int |
     spark = df.sparkSession
     ship(spark)
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    # copies: the k + 1 smallest ids of each vector, found in salted parts
-    dealt = rows.distinct().withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(64)))
-    few = lambda d, *by: d.withColumn("_no", F.row_number().over(Window.partitionBy("vec", *by).orderBy("id"))).where(F.col("_no") <= k + 1).drop("_no")
-    some = stored(few(few(dealt, "_part")).groupBy("vec").agg(F.min("id").alias("id"), F.sort_array(F.collect_list("id")).alias("ids")), "vectors")
+    rows = _rows(df, id_col, vec)
+    some = entries(df, id_col, vec, k) if some is None else some
     n, dims = some.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
         return spark.createDataFrame([], f"id {kind}, neighbour {kind}, similarity double, rank int")
     lists = lists or min(MOST_LISTS, max(1, -(-n // LIST)))
     if centre is None and (probes is None or probes < lists):
         centre = fit_centroids(some, "id", "vec", lists)
-    probes = probes_for(df, id_col, vec, k, centre, reach) if probes is None else probes
+    probes = probes_for(df, id_col, vec, k, centre, reach, some) if probes is None else probes
     wanted = rows if ask is None else rows.join(ask.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi")
     asking = some.select("id", "vec")
     if ask is not None:
@@ -194,16 +204,17 @@ def nearest_by_lists(df: DataFrame, id_col: str, vec: str, k: int, probes: int |
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))).where(F.col("rank") <= k)
 
 
-def probes_for(df: DataFrame, id_col: str, vec: str, k: int, centre: np.ndarray, reach: float = REACH) -> int:
+def probes_for(df: DataFrame, id_col: str, vec: str, k: int, centre: np.ndarray, reach: float = REACH, some: DataFrame | None = None) -> int:
     """The least number of probes with which the share `reach` of the k exact
     neighbours is found, for ASKED rows at most (those with the smallest hash of
     their id) against all rows. A neighbour is found by p probes if its list is
     among the p closest to the row."""
     ask = df.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(id_col)).limit(ASKED)
-    exact = nearest_by_lists(df, id_col, vec, k, 1, 1, ask)
-    vectors = df.where(F.col(vec).isNotNull()).groupBy(id_col).agg(F.min(F.col(vec).cast("array<double>")).alias("_v"))
+    exact = stored(nearest_by_lists(df, id_col, vec, k, 1, 1, ask, some=some).select("id", "neighbour"), "sample")
+    named = exact.select(F.explode(F.array("id", "neighbour")).alias(id_col)).distinct()  # ASKED * (k + 1) at most
+    vectors = df.where(F.col(vec).isNotNull()).join(F.broadcast(named), id_col, "left_semi").groupBy(id_col).agg(F.min(F.col(vec).cast("array<double>")).alias("_v"))
     of = lambda name: vectors.select(F.col(id_col).alias(name), F.col("_v").alias(f"_{name}"))
-    pairs = exact.select("id", "neighbour").join(of("id"), "id").join(of("neighbour"), "neighbour").select("_id", "_neighbour")
+    pairs = exact.join(of("id"), "id").join(of("neighbour"), "neighbour").select("_id", "_neighbour")
     centre_of = df.sparkSession.sparkContext.broadcast(centre)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

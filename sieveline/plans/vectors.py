@@ -41,9 +41,10 @@ def knn_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     of the exact ones."""
     e = table(spark, sf_dir, "embeddings")
     ask = e.where("vec_id % 20 = 0")
-    exact = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, 1, 1, ask)
+    some = neighbour_index.entries(e, "vec_id", "embedding", 8)
+    exact = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, 1, 1, ask, some=some)
     lists = max(1, e.count() // 50)
-    found = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, lists=lists, ask=ask)
+    found = neighbour_index.nearest_by_lists(e, "vec_id", "embedding", 8, lists=lists, ask=ask, some=some)
     return neighbour_index.recall(exact, found).select("n", (F.col("recall") >= 0.9).alias("is_reached"))
 
 

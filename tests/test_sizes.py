@@ -143,7 +143,8 @@ def test_what_a_row_carries_does_not_grow_with_the_lists(spark, monkeypatch):
 
     def noted(d, tag):
         out = stored(d, tag)
-        longest.extend(out.agg(*[F.max(F.size(c)) for c, kind in out.dtypes if kind.startswith("array")]).first())
+        arrays = [c for c, kind in out.dtypes if kind.startswith("array")]
+        longest.extend(out.agg(F.count("*") * 0, *[F.max(F.size(c)) for c in arrays]).first())
         return out
 
     monkeypatch.setattr(neighbour_index, "stored", noted)
